@@ -79,24 +79,43 @@ def _field_text(entries: Column, name: str) -> Column:
     return hit["value"].cast("string")
 
 
-def extract_text_col(obj, text_field: str = "text", fields: Sequence[str] = TEXT_FIELDS,
-                     letters: str = PERSIAN_LETTERS) -> tuple[Column, Column]:
-    """(text, source_field) by the precedence configured field -> known names ->
-    any string value in key order.  Named fields are stripped before the gate;
-    the any-value step gates the raw value, then strips."""
-    entries = _dict_entries(col_of(obj))
-    texts, names = [], []
-    for name in [text_field] + [f for f in fields]:
-        s = ustrip(_field_text(entries, name))
-        ok = is_valid_text(s, letters)
-        texts.append(F.when(ok, s))
-        names.append(F.when(ok, F.lit(name)))
-    strings = F.filter(entries, lambda e: (F.schema_of_variant(e["value"]) == "STRING")
-                       & is_valid_text(e["value"].cast("string"), letters))
+def _probe_names(text_field: str, fields: Sequence[str]) -> list[str]:
+    names = []
+    for n in [text_field, *fields]:
+        if n not in names:
+            names.append(n)
+    return names
+
+
+def winner_col(entries, text_field: str = "text", fields: Sequence[str] = TEXT_FIELDS,
+               letters: str = PERSIAN_LETTERS) -> Column:
+    """``struct(name, value)`` of the first candidate passing the gate, or NULL.
+
+    Candidates in precedence order: the configured field, the known names
+    (values stripped before the gate), then every string value in key order
+    (gated raw).  ``coalesce`` stops at the first hit, so later probes are not
+    evaluated for rows that already have a winner.
+    """
+    e = col_of(entries)
+    probes = []
+    for name in _probe_names(text_field, fields):
+        s = ustrip(_field_text(e, name))
+        probes.append(F.when(is_valid_text(s, letters), F.struct(F.lit(name).alias("name"), s.alias("value"))))
+    strings = F.filter(e, lambda x: (F.schema_of_variant(x["value"]) == "STRING")
+                       & is_valid_text(x["value"].cast("string"), letters))
     first = F.try_element_at(strings, F.lit(1))
-    texts.append(ustrip(first["value"].cast("string")))
-    names.append(first["key"])
-    return F.coalesce(*texts), F.coalesce(*names)
+    probes.append(F.when(first.isNotNull(), F.struct(first["key"].alias("name"),
+                                                     first["value"].cast("string").alias("value"))))
+    return F.coalesce(*probes)
+
+
+def _with_winner(df: DataFrame, line_col: str, text_field: str, fields: Sequence[str],
+                 letters: str) -> DataFrame:
+    # Staged projections: Catalyst keeps a non-cheap column that is used more
+    # than once in its own Project instead of inlining it into every use.
+    p = with_parsed(df, line_col)
+    p = p.withColumn("_entries", _dict_entries(F.col(OBJ)))
+    return p.withColumn("_win", winner_col(F.col("_entries"), text_field, fields, letters))
 
 
 def extract_text(df: DataFrame, line_col: str = "line", text_field: str = "text",
@@ -105,26 +124,37 @@ def extract_text(df: DataFrame, line_col: str = "line", text_field: str = "text"
     """Parse each line and extract its text; malformed lines are dropped.
 
     Adds ``text`` and ``source_field``.  With ``keep_rejected`` the objects
-    without any valid text stay, with NULL text.
+    without any valid text stay, with NULL text.  Accepted rows are emitted by
+    a generator (one line -> 0 or 1 rows), which keeps the optimizer from
+    copying the whole extraction into a pushed-down filter.
     """
-    p = with_parsed(df, line_col).where(F.col(OBJ).isNotNull())
-    text, src = extract_text_col(F.col(OBJ), text_field, fields, letters)
-    out = p.withColumn("text", text).withColumn("source_field", src).drop(OBJ)
-    if not keep_rejected:
-        out = out.where(F.col("text").isNotNull())
-    return out
+    cols = [c for c in df.columns]
+    p = _with_winner(df, line_col, text_field, fields, letters)
+    if keep_rejected:
+        return p.where(F.col(OBJ).isNotNull()).select(
+            *cols, ustrip(F.col("_win.value")).alias("text"), F.col("_win.name").alias("source_field"))
+    row = F.struct(*[F.col(c) for c in cols], ustrip(F.col("_win.value")).alias("text"),
+                   F.col("_win.name").alias("source_field"))
+    gen = F.filter(F.array(F.when(F.col("_win").isNotNull(), row)), lambda r: r.isNotNull())
+    return p.select(F.inline(gen))
+
+
+def extract_text_col(obj, text_field: str = "text", fields: Sequence[str] = TEXT_FIELDS,
+                     letters: str = PERSIAN_LETTERS) -> tuple[Column, Column]:
+    """(text, source_field) columns for an already parsed object column."""
+    win = winner_col(_dict_entries(col_of(obj)), text_field, fields, letters)
+    return ustrip(win["value"]), win["name"]
 
 
 def classify_lines(df: DataFrame, line_col: str = "line", text_field: str = "text",
                    fields: Sequence[str] = TEXT_FIELDS, letters: str = PERSIAN_LETTERS) -> DataFrame:
     """Every line with its outcome: ``outcome`` in (accepted, rejected, malformed,
     not_object); ``text``/``source_field`` filled for accepted lines."""
-    p = with_parsed(df, line_col)
-    text, src = extract_text_col(F.col(OBJ), text_field, fields, letters)
+    p = _with_winner(df, line_col, text_field, fields, letters)
     outcome = F.when(F.col(OBJ).isNull(), malformed_reason(F.col(line_col), F.col(OBJ))) \
-        .when(text.isNotNull(), F.lit("accepted")).otherwise(F.lit("rejected"))
-    return p.withColumn("text", text).withColumn("source_field", src) \
-        .withColumn("outcome", outcome).drop(OBJ)
+        .when(F.col("_win").isNotNull(), F.lit("accepted")).otherwise(F.lit("rejected"))
+    return p.withColumn("text", ustrip(F.col("_win.value"))).withColumn("source_field", F.col("_win.name")) \
+        .withColumn("outcome", outcome).drop(OBJ, "_entries", "_win")
 
 
 def count_valid(df: DataFrame, line_col: str = "line", max_samples: int | None = None,
@@ -134,9 +164,9 @@ def count_valid(df: DataFrame, line_col: str = "line", max_samples: int | None =
     A single aggregation with map-side partial counts; the cap is applied to
     the global count (exact, same as stopping the count at the cap).
     """
-    p = with_parsed(df, line_col)
-    text, _ = extract_text_col(F.col(OBJ), **kw)
-    n = F.count_if(text.isNotNull())
+    p = _with_winner(df, line_col, kw.get("text_field", "text"), kw.get("fields", TEXT_FIELDS),
+                     kw.get("letters", PERSIAN_LETTERS))
+    n = F.count_if(F.col("_win").isNotNull())
     if max_samples:
         n = F.least(n, F.lit(max_samples).cast("bigint"))
     return p.agg(n.cast("bigint").alias("n_valid"))
