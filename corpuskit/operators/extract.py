@@ -38,10 +38,12 @@ def parse_object(line) -> Column:
 
 
 def malformed_reason(line, parsed) -> Column:
-    """Why a line is not an object: ``malformed`` JSON or a ``not_object`` value."""
+    """Why a line is not an object: a JSON value that is not an object
+    (``not_object``: list, string, number, null) or ``malformed`` text
+    (broken JSON, single quotes, trailing data)."""
+    v = F.try_parse_json(col_of(line))
     return F.when(col_of(parsed).isNotNull(), F.lit(None).cast("string")) \
-        .when(F.try_parse_json(col_of(line)).isNotNull() & ~F.rtrim(col_of(line)).endswith("}"),
-              F.lit("not_object")) \
+        .when(v.isNotNull() & ~F.schema_of_variant(v).startswith("OBJECT"), F.lit("not_object")) \
         .otherwise(F.lit("malformed"))
 
 
