@@ -80,14 +80,17 @@ def has_script(c, letters: str = PERSIAN_LETTERS) -> Column:
 
 
 def min_stripped_len(c, n: int = 25) -> Column:
-    return F.coalesce(F.length(ustrip(c)) >= n, F.lit(False))
+    """Stripped length >= n code points.  A string of >= 4n bytes has >= n
+    code points (UTF-8 uses <= 4 bytes each), which skips counting long texts."""
+    s = ustrip(c)
+    return F.coalesce((F.octet_length(s) >= 4 * n) | (F.length(s) >= n), F.lit(False))
 
 
 def plain_fallback(c) -> Column:
     """Long enough (unstripped), not markup/JSON-looking, no link."""
     x = col_of(c)
     return F.coalesce(
-        (F.length(x) > 100) & ~x.startswith("{") & ~x.startswith("[") & ~x.startswith("<")
+        ((F.octet_length(x) > 400) | (F.length(x) > 100)) & ~x.startswith("{") & ~x.startswith("[") & ~x.startswith("<")
         & ~x.contains("http"),
         F.lit(False))
 

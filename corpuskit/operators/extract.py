@@ -65,20 +65,26 @@ def quarantine_malformed(df: DataFrame, line_col: str = "line") -> tuple[DataFra
     return good, bad
 
 
-def _dict_entries(obj: Column) -> Column:
-    """Entries with Python-dict semantics: first-occurrence key order, last value."""
-    entries = F.map_entries(obj)
-    keys = F.array_distinct(F.map_keys(obj))
-    dedup = F.transform(keys, lambda k: F.struct(
-        k.alias("key"),
-        F.try_element_at(F.filter(entries, lambda e: e["key"] == k), F.lit(-1))["value"].alias("value")))
-    return F.when(F.size(keys) == F.size(entries), entries).otherwise(dedup)
+def dict_map(obj) -> Column:
+    """The parsed map with Python-dict semantics for duplicate keys (first
+    position, last value).  Rows without duplicates (the norm) pass through;
+    only rows with a repeated key are rebuilt."""
+    m = col_of(obj)
+    keys = F.map_keys(m)
+    dk = F.array_distinct(keys)
+    entries = F.map_entries(m)
+    rebuilt = F.map_from_arrays(dk, F.transform(dk, lambda k: F.try_element_at(
+        F.filter(entries, lambda e: e["key"] == k), F.lit(-1))["value"]))
+    return F.when(F.size(dk) == F.size(keys), m).otherwise(rebuilt)
 
 
-def _field_text(entries: Column, name: str) -> Column:
+def _entries_of(m: Column) -> Column:
+    return F.map_entries(m)
+
+
+def _field_text(m: Column, name: str) -> Column:
     """``str(data[name])`` as text: string values raw, others as JSON text."""
-    hit = F.try_element_at(F.filter(entries, lambda e: e["key"] == F.lit(name)), F.lit(-1))
-    return hit["value"].cast("string")
+    return F.try_element_at(m, F.lit(name)).cast("string")
 
 
 def _probe_names(text_field: str, fields: Sequence[str]) -> list[str]:
@@ -89,25 +95,28 @@ def _probe_names(text_field: str, fields: Sequence[str]) -> list[str]:
     return names
 
 
-def winner_col(entries, text_field: str = "text", fields: Sequence[str] = TEXT_FIELDS,
+def winner_col(obj, text_field: str = "text", fields: Sequence[str] = TEXT_FIELDS,
                letters: str = PERSIAN_LETTERS) -> Column:
     """``struct(name, value)`` of the first candidate passing the gate, or NULL.
 
-    Candidates in precedence order: the configured field, the known names
-    (values stripped before the gate), then every string value in key order
-    (gated raw).  ``coalesce`` stops at the first hit, so later probes are not
-    evaluated for rows that already have a winner.
+    ``obj`` is a :func:`dict_map`.  Candidates in precedence order: the
+    configured field, the known names (values stripped before the gate), then
+    every string value in key order (gated raw).  ``coalesce`` stops at the
+    first hit; map lookups are by key (no copies of the entries).
     """
-    e = col_of(entries)
+    m = col_of(obj)
     probes = []
     for name in _probe_names(text_field, fields):
-        s = ustrip(_field_text(e, name))
+        s = ustrip(_field_text(m, name))
         probes.append(F.when(is_valid_text(s, letters), F.struct(F.lit(name).alias("name"), s.alias("value"))))
-    strings = F.filter(e, lambda x: (F.schema_of_variant(x["value"]) == "STRING")
-                       & is_valid_text(x["value"].cast("string"), letters))
-    first = F.try_element_at(strings, F.lit(1))
-    probes.append(F.when(first.isNotNull(), F.struct(first["key"].alias("name"),
-                                                     first["value"].cast("string").alias("value"))))
+
+    # One higher-order chain producing the struct directly, referenced once,
+    # so it is evaluated once and only for rows without a named-field winner.
+    # Gate first (cheap rejections of short values), type check second.
+    ok = F.filter(F.map_entries(m), lambda e: is_valid_text(e["value"].cast("string"), letters)
+                  & (F.schema_of_variant(e["value"]) == "STRING"))
+    probes.append(F.try_element_at(F.transform(ok, lambda e: F.struct(
+        e["key"].alias("name"), e["value"].cast("string").alias("value"))), F.lit(1)))
     return F.coalesce(*probes)
 
 
@@ -116,7 +125,7 @@ def _with_winner(df: DataFrame, line_col: str, text_field: str, fields: Sequence
     # Staged projections: Catalyst keeps a non-cheap column that is used more
     # than once in its own Project instead of inlining it into every use.
     p = with_parsed(df, line_col)
-    p = p.withColumn("_entries", _dict_entries(F.col(OBJ)))
+    p = p.withColumn("_entries", dict_map(F.col(OBJ)))
     return p.withColumn("_win", winner_col(F.col("_entries"), text_field, fields, letters))
 
 
@@ -144,7 +153,7 @@ def extract_text(df: DataFrame, line_col: str = "line", text_field: str = "text"
 def extract_text_col(obj, text_field: str = "text", fields: Sequence[str] = TEXT_FIELDS,
                      letters: str = PERSIAN_LETTERS) -> tuple[Column, Column]:
     """(text, source_field) columns for an already parsed object column."""
-    win = winner_col(_dict_entries(col_of(obj)), text_field, fields, letters)
+    win = winner_col(dict_map(col_of(obj)), text_field, fields, letters)
     return ustrip(win["value"]), win["name"]
 
 
@@ -183,7 +192,7 @@ def extraction_breakdown(classified: DataFrame) -> DataFrame:
 def profile_fields(df: DataFrame, line_col: str = "line") -> DataFrame:
     """Per record key: how many objects have it and how many with a non-null value."""
     p = with_parsed(df, line_col).where(F.col(OBJ).isNotNull())
-    e = p.select(F.explode(_dict_entries(F.col(OBJ))).alias("e"))
+    e = p.select(F.explode(F.map_entries(dict_map(F.col(OBJ)))).alias("e"))
     return e.groupBy(F.col("e.key").alias("field")).agg(
         F.count(F.lit(1)).alias("n_present"),
         F.count_if(F.schema_of_variant(F.col("e.value")) != "VOID").alias("n_non_null"),

@@ -26,13 +26,16 @@ def decode_ignore(c):
         F.replace(F.make_valid_utf8(x), F.lit("�"), F.lit("")))
 
 
-def read_jsonl_lines(spark: SparkSession, path: str, keep_blank: bool = False) -> DataFrame:
+def read_jsonl_lines(spark: SparkSession, path: str, keep_blank: bool = False,
+                     with_position: bool = True) -> DataFrame:
     """Scan text lines; decode leniently, strip, skip blank lines.
 
     Columns: ``file_path, block_start, line_in_split, line``.  ``line_in_split``
     is the position of the line inside its split (one task reads one split in
     order), so ``(file_path, block_start, line_in_split)`` is the input order.
     A missing path raises Spark's ``PATH_NOT_FOUND`` AnalysisException.
+    ``with_position=False`` skips the per-split origin aggregate (one scan
+    instead of two) for consumers that do not need the input order (counts).
     """
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file_path"),
@@ -40,6 +43,11 @@ def read_jsonl_lines(spark: SparkSession, path: str, keep_blank: bool = False) -
         F.monotonically_increasing_id().alias("_mid"),
         ustrip(decode_ignore(F.col("value"))).alias("line"),
     )
+    if not with_position:
+        out = raw.drop("_mid").withColumn("line_in_split", F.lit(None).cast("bigint"))
+        if not keep_blank:
+            out = out.where(F.col("line") != "")
+        return out.select("file_path", "block_start", "line_in_split", "line")
     # Position inside the split: the id is consecutive within a task, so the
     # smallest id of the split is its origin (one small aggregate per split).
     # Splits are few (data / maxPartitionBytes) and the table is broadcast.
