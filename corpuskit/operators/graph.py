@@ -43,6 +43,17 @@ def _small_star(e: DataFrame) -> DataFrame:
     return nb.unionByName(mins.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
 
 
+def _is_star_forest(e: DataFrame) -> bool:
+    """Converged when the edges form disjoint stars: every leaf ``b`` has one
+    centre ``a`` and no centre is itself a leaf.  Then each star is exactly
+    one component (connectivity is preserved by every round)."""
+    multi = e.groupBy("b").count().where(F.col("count") > 1).limit(1).count()
+    if multi:
+        return False
+    chain = e.select(F.col("a").alias("v")).join(e.select(F.col("b").alias("v")), "v", "left_semi")
+    return chain.limit(1).count() == 0
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
                          vertices: DataFrame | None = None, vertex_col: str = "id",
                          max_rounds: int = 200) -> DataFrame:
@@ -56,10 +67,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
     """
     e = _cut(_undirected(edges, src, dst))
     for _ in range(max_rounds):
-        nxt = _cut(_small_star(_large_star(e)))
-        changed = nxt.exceptAll(e).limit(1).count() + e.exceptAll(nxt).limit(1).count()
-        e = nxt
-        if changed == 0:
+        e = _cut(_small_star(_large_star(e)))
+        if _is_star_forest(e):
             break
     else:
         raise RuntimeError("connected_components did not converge")

@@ -63,3 +63,18 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A sub folder of the shared checkpoint dir for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def spread(df, min_partitions: int | None = None):
+    """Give CPU-heavy per-row work at least one partition per core.
+
+    A table stored as a few large row groups is scanned by a few tasks; when
+    the scan yields fewer partitions than the cluster's default parallelism,
+    rows are spread round-robin first.  Large inputs (many splits) are left
+    as they are, so at scale this adds no shuffle.  Only plans are inspected
+    here (no job runs).
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

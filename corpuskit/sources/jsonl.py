@@ -108,7 +108,8 @@ def documents_lines(docs: DataFrame) -> DataFrame:
 
 
 def documents_as_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    from corpuskit.session import spread
+    return documents_lines(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 __all__ = ["decode_ignore", "read_jsonl_lines", "read_json_table", "documents_lines",
