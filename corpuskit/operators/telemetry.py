@@ -85,6 +85,25 @@ def stage_resource_delta(samples: DataFrame, run_cols=()) -> DataFrame:
         F.round(d("gpu_usage"), 6).alias("gpu_delta"))
 
 
+def span_seconds(df: DataFrame, key_cols, start_col: str, end_col: str, digits: int = 2) -> DataFrame:
+    """Latency per key: seconds from ``start_col`` to ``end_col``, rounded
+    (the ``end - start`` timing of a stage, an answer, a task)."""
+    secs = (F.unix_micros(F.col(end_col).cast("timestamp")) - F.unix_micros(F.col(start_col).cast("timestamp"))) / 1e6
+    keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
+    return df.select(*keys, start_col, end_col, F.round(secs, digits).alias("seconds"))
+
+
+def first_last_delta(samples: DataFrame, key_col: str, order_col: str, tie_col: str, value_cols) -> DataFrame:
+    """Per key: value at the last sample minus value at the first ("after -
+    before"), by ``max_by``/``min_by`` aggregation (map-side combinable)."""
+    vals = [value_cols] if isinstance(value_cols, str) else list(value_cols)
+    order = F.struct(F.col(order_col), F.col(tie_col))
+    aggs = []
+    for v in vals:
+        aggs.append(F.round(F.max_by(F.col(v), order) - F.min_by(F.col(v), order), 6).alias(f"{v}_delta"))
+    return samples.groupBy(key_col).agg(F.count(F.lit(1)).alias("n_samples"), *aggs)
+
+
 def ram_ratio(used, total) -> Column:
     """used / total, NULL when total is 0 (no division error)."""
     u = F.col(used) if isinstance(used, str) else used
@@ -161,5 +180,5 @@ def event_gaps(events: DataFrame, key_col: str, ts_col: str, id_col: str, bucket
 
 
 __all__ = ["parse_log", "stage_events", "stage_durations", "resource_samples", "stage_resource_delta",
-           "ram_ratio", "bytes_to_gb", "with_limits", "limit_breaches", "tumbling_breaches",
+           "span_seconds", "first_last_delta", "ram_ratio", "bytes_to_gb", "with_limits", "limit_breaches", "tumbling_breaches",
            "level_counts", "event_gaps"]

@@ -34,7 +34,24 @@ def q_event_gaps(spark, d):
     return tm.event_gaps(e, "user_id", "ts", "event_id").select("event_id", "user_id", "gap_seconds")
 
 
+def q_stage_durations(spark, d):
+    # Start (order placed) paired with the end of the same task (last shipment).
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("start_ts"))
+    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")) \
+        .agg(F.max("l_shipdate").alias("end_ts"))
+    j = o.join(li, "o_orderkey")
+    return tm.span_seconds(j, "o_orderkey", "start_ts", "end_ts") \
+        .select("o_orderkey", F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss").alias("start_ts"),
+                F.date_format("end_ts", "yyyy-MM-dd HH:mm:ss").alias("end_ts"), "seconds")
+
+
+def q_stage_resource_delta(spark, d):
+    return tm.first_last_delta(samples(spark, d), "user_id", "ts", "event_id", ["cpu_usage", "ram_ratio"])
+
+
 QUERIES = {
+    "stage_durations": q_stage_durations,
+    "stage_resource_delta": q_stage_resource_delta,
     "limit_breaches": q_limit_breaches,
     "tumbling_breaches": q_tumbling_breaches,
     "level_counts": q_level_counts,
@@ -47,6 +64,16 @@ l AS (SELECT *, coalesce(cpu <= 0.5 AND ram <= 0.33 AND gpu <= 0.5, false) AS wi
              greatest(cpu - 0.5, 0.0) * 0.1 AS delay FROM s)"""
 
 SQL = {
+    "stage_durations": """SELECT o.o_orderkey, strftime(o.o_orderdate, '%Y-%m-%d %H:%M:%S') AS start_ts,
+        strftime(l.end_ts, '%Y-%m-%d %H:%M:%S') AS end_ts,
+        round((epoch_us(l.end_ts) - epoch_us(o.o_orderdate)) / 1e6, 2) AS seconds
+        FROM orders o JOIN (SELECT l_orderkey, max(l_shipdate) AS end_ts FROM lineitem GROUP BY 1) l ON l.l_orderkey = o.o_orderkey""",
+    "stage_resource_delta": """WITH s AS (SELECT user_id, ts, event_id, value / 500 AS cpu_usage,
+                   CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 AS ram_ratio FROM events)
+        SELECT user_id, count(*) AS n_samples,
+          round(arg_max(cpu_usage, (ts, event_id)) - arg_min(cpu_usage, (ts, event_id)), 6) AS cpu_usage_delta,
+          round(arg_max(ram_ratio, (ts, event_id)) - arg_min(ram_ratio, (ts, event_id)), 6) AS ram_ratio_delta
+        FROM s GROUP BY user_id""",
     "limit_breaches": f"""WITH {SAMPLES} SELECT event_type, count(*) AS n_samples,
         count(*) FILTER (WHERE NOT within_limits) AS n_breaches, count(*) FILTER (WHERE cpu > 0.5) AS cpu_breaches,
         count(*) FILTER (WHERE ram > 0.33) AS ram_breaches, count(*) FILTER (WHERE gpu > 0.5) AS gpu_breaches,
