@@ -63,6 +63,34 @@ def with_row_index(df: DataFrame, order_cols, name: str = "idx", bucket_cols=Non
         .drop("_rank", "_off", *bnames)
 
 
+# Split tables up to this many rows are broadcast (one row per input split).
+BROADCAST_SPLITS = 2_000_000
+
+
+def with_input_index(df: DataFrame, name: str = "idx", split_cols=("file_path", "block_start")) -> DataFrame:
+    """1-based position in input order for rows of a file scan (after any
+    filtering), with no shuffle of the rows themselves.
+
+    One task reads one split in order, so ``monotonically_increasing_id`` is
+    consecutive inside a split; a small aggregate per split (row count and
+    first id) gives each split's offset by a prefix sum over the splits in
+    ``(file_path, block_start)`` order.  That table has one row per input
+    split; it is checkpointed, its size checked, and broadcast back.
+    """
+    from corpuskit.session import ensure_checkpoint_dir
+    keys = list(split_cols)
+    d = df.withColumn("_mid", F.monotonically_increasing_id())
+    per = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
+    prior = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    offs = per.select(*keys, "_m0", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_off"))
+    ensure_checkpoint_dir(df.sparkSession)
+    offs = offs.checkpoint(eager=True)
+    side = F.broadcast(offs) if offs.count() <= BROADCAST_SPLITS else offs
+    return d.join(side, keys) \
+        .withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_m0") + 1).cast("bigint")) \
+        .drop("_mid", "_m0", "_off")
+
+
 def with_row_index_range(df: DataFrame, order_cols, name: str = "idx",
                          num_partitions: int | None = None) -> DataFrame:
     """Row index for keys without a bounded bucket (any orderable key):
@@ -225,5 +253,5 @@ def head_per_group(df: DataFrame, group_cols, order_cols, k: int = 2, name: str
 
 
 __all__ = ["with_row_index", "take_first", "shuffle_hash", "windowed_shuffle", "micro_batches",
-           "with_row_index_range", "eval_size", "train_eval_split", "split_counts", "epoch_plan", "assign_steps",
+           "with_row_index_range", "with_input_index", "eval_size", "train_eval_split", "split_counts", "epoch_plan", "assign_steps",
            "plan_steps", "progress_marks", "head_per_group"]

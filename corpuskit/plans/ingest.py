@@ -39,18 +39,19 @@ class IngestConfig:
     tokenizer: Callable | None = field(default=None, repr=False)
 
 
-def corpus_examples(lines: DataFrame, order_cols, cfg: IngestConfig = IngestConfig(),
+def corpus_examples(lines: DataFrame, order_cols=None, cfg: IngestConfig = IngestConfig(),
                     vocab: DataFrame | None = None) -> dict[str, DataFrame]:
     """Run the streaming-trainer ingestion over a lines table.
 
-    ``lines`` has a ``line`` column and unique ``order_cols`` giving the input
-    order (e.g. ``read_jsonl_lines``' file/split/line key).  Returns
+    ``lines`` has a ``line`` column; the input order is either given by unique
+    ``order_cols`` or, when ``None``, taken from the file scan itself
+    (``read_jsonl_lines`` output: no shuffle for the index).  Returns
     ``quarantine``, ``accepted`` (text with index, window and batch) and
     ``examples`` DataFrames.
     """
     good, bad = ex.quarantine_malformed(lines, "line")
     acc = ex.extract_text(lines, "line", cfg.text_field, cfg.fields, cfg.letters)
-    acc = od.with_row_index(acc, order_cols, "idx")
+    acc = od.with_input_index(acc, "idx") if order_cols is None else od.with_row_index(acc, order_cols, "idx")
     if cfg.max_samples:
         limit = cfg.max_samples
         if cfg.round_to_buffer:
