@@ -19,7 +19,7 @@ __all__ = [
     "col_of", "ustrip", "char_class", "has_script", "min_stripped_len", "plain_fallback",
     "is_valid_text", "usable_string", "has_ascii_alpha", "script_class", "candidate_ok",
     "contains_any", "tokens", "word_count", "html_escape", "category_title",
-    "render_template", "strip_echo_all", "strip_echo_prefix", "route_prompt", "preview",
+    "render_template", "strip_echo_all", "strip_echo_prefix", "route_prompt", "clean_input", "preview",
     "hash_pick", "fallback_response", "stamp", "percent_text",
 ]
 
@@ -180,6 +180,12 @@ def route_prompt(c, letters: str = PERSIAN_LETTERS, script_prefix: str = ROUTE_P
         .otherwise(F.concat(F.lit(other_prefix), x))
 
 
+def clean_input(c) -> Column:
+    """Stripped user input; empty input becomes NULL (to be filtered)."""
+    x = ustrip(c)
+    return F.when(x != "", x)
+
+
 def preview(c, n: int) -> Column:
     return F.concat(F.substring(col_of(c), 1, n), F.lit("..."))
 

@@ -74,7 +74,9 @@ def spread(df, min_partitions: int | None = None):
     as they are, so at scale this adds no shuffle.  Only plans are inspected
     here (no job runs).
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001  (e.g. a Connect session: leave the plan as is)
+        return df
+    return df.repartition(target) if current < target else df

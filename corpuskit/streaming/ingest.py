@@ -38,6 +38,22 @@ def accepted_count_metric(df: DataFrame, name: str = "ingest") -> DataFrame:
     return df.observe(name, F.count(F.lit(1)).alias("accepted"))
 
 
+def shuffle_batches(buffer: int = 5000, seed: int = 42, batch_size: int = 32,
+                    key_col: str = "file_path") -> Callable[[DataFrame, int], DataFrame]:
+    """Per micro-batch transform: the bounded shuffle buffer of the streaming
+    trainer.  Rows of a micro-batch are numbered in arrival order (file, then
+    position), permuted inside windows of ``buffer`` rows with seed
+    ``seed + batch_id``, and cut into batches of ``batch_size``."""
+    from corpuskit.operators import ordering as od
+
+    def _t(batch: DataFrame, batch_id: int) -> DataFrame:
+        d = batch.withColumn("_pos", F.monotonically_increasing_id())
+        d = od.with_row_index(d, [key_col, "_pos"], "idx").drop("_pos")
+        d = od.windowed_shuffle(d, "idx", "idx", buffer, seed + batch_id)
+        return od.micro_batches(d, batch_size)
+    return _t
+
+
 def ingest_stream(spark: SparkSession, source_dir: str, output_dir: str, checkpoint_dir: str,
                   text_field: str = "text", letters: str = PERSIAN_LETTERS,
                   batch_transform: Callable[[DataFrame, int], DataFrame] | None = None,

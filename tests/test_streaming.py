@@ -59,3 +59,18 @@ def test_monitor_drops_late_rows(spark, tmp_dir):
     got = run()
     # The 10:00 window closed before the late 10:30 row arrived: it keeps 2 samples, 1 breach.
     assert got["2024-01-01 10:00:00"] == (2, 1)
+
+
+def test_stream_with_bounded_shuffle(spark, tmp_dir):
+    from corpuskit.streaming import shuffle_batches
+    src = os.path.join(tmp_dir, "src2")
+    os.makedirs(src)
+    _write(os.path.join(src, "a.jsonl"), [{"text": f"{FA} {i}"} for i in range(23)])
+    out = os.path.join(tmp_dir, "out2")
+    q = ingest_stream(spark, src, out, os.path.join(tmp_dir, "ck2"),
+                      batch_transform=shuffle_batches(buffer=10, batch_size=4))
+    q.awaitTermination()
+    rows = spark.read.parquet(out).collect()
+    assert len(rows) == 23
+    assert sorted(r.shuffled_idx for r in rows) == list(range(1, 24))
+    assert {r.window_id for r in rows} == {0, 1, 2}
