@@ -112,20 +112,29 @@ def with_row_index_range(df: DataFrame, order_cols, name: str = "idx",
 
 
 def take_first(df: DataFrame, n: int, order_cols, buffer: int | None = None,
-               round_to_buffer: bool = False, topk_threshold: int = 100_000) -> DataFrame:
+               round_to_buffer: bool = False, topk_threshold: int = 100_000,
+               row_topk_threshold: int = 10_000) -> DataFrame:
     """First ``n`` rows in ``order_cols`` order (the max_samples stop).
 
     With ``round_to_buffer`` the cut is rounded up to whole shuffle buffers,
     which is what a stop check placed after each buffer flush yields.
-    Small ``n`` uses a top-k (each task keeps ``n`` rows); large ``n`` uses
-    the distributed row index so no single task merges ``n x tasks`` rows.
+    Small ``n`` is a one-pass top-k of whole rows (each task keeps ``n``
+    rows); medium ``n`` a top-k of the keys only plus a semi join (bounded
+    memory for wide rows); large ``n`` uses the distributed row index so no
+    single task merges ``n x tasks`` rows.
     """
     if round_to_buffer:
         if not buffer:
             raise ValueError("round_to_buffer needs buffer")
         n = int(math.ceil(n / buffer) * buffer)
-    if n <= topk_threshold:
+    if n <= row_topk_threshold:
         return df.orderBy(*_cols(order_cols)).limit(n)
+    if n <= topk_threshold:
+        # Top-k over the keys only (each task keeps n small rows), then a
+        # semi join against the broadcast key set (at most n rows).
+        names = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+        keys = df.select(*names).orderBy(*_cols(names)).limit(n)
+        return df.join(F.broadcast(keys), names, "left_semi")
     return with_row_index(df, order_cols, "_take_idx").where(F.col("_take_idx") <= n).drop("_take_idx")
 
 

@@ -84,9 +84,11 @@ def test_train_eval_split_disjoint_complete(spark):
 
 def test_take_first_and_round_to_buffer(spark):
     df = _keys(spark, list(range(50, 0, -1)))
-    assert [r.key for r in od.take_first(df, 7, "key").collect()] == list(range(1, 8))
+    assert sorted(r.key for r in od.take_first(df, 7, "key").collect()) == list(range(1, 8))
     assert od.take_first(df, 7, "key", buffer=5, round_to_buffer=True).count() == 10
-    big = od.take_first(df, 7, "key", topk_threshold=3)
+    mid = od.take_first(df, 7, "key", row_topk_threshold=3)
+    assert sorted(r.key for r in mid.collect()) == list(range(1, 8))
+    big = od.take_first(df, 7, "key", topk_threshold=3, row_topk_threshold=3)
     assert sorted(r.key for r in big.collect()) == list(range(1, 8))
 
 
