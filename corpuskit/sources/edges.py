@@ -13,13 +13,11 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
     (the header count is not used to cut the list).  ``eid`` is the 0-based
     position of the edge in the file, computed without a global window.
     """
-    from corpuskit.operators.ordering import with_row_index
     from corpuskit.sources.jsonl import read_jsonl_lines
-    lines = read_jsonl_lines(spark, path)
+    lines = read_jsonl_lines(spark, path, line_numbers=True)
     parts = F.split(F.col("line"), r"\s+")
-    idx = with_row_index(lines, ["file_path", "block_start", "line_in_split"], "row_no")
-    edges = idx.where(F.col("row_no") > 1).select(
-        (F.col("row_no") - 2).alias("eid"),
+    edges = lines.where(F.col("line_no") > 1).select(
+        (F.col("line_no") - 2).alias("eid"),
         parts.getItem(0).cast("bigint").alias("src"),
         parts.getItem(1).cast("bigint").alias("dst"))
     return edges

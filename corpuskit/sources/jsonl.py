@@ -1,9 +1,8 @@
 """JSON-lines sources.
 
 ``read_jsonl_lines`` is the distributed twin of iterating a file line by line:
-each split is read by one task in file order, so the key
-``(file_path, file_block_start, line_in_split)`` restores the exact input order
-without any global sort.
+each split is read by one task in file order, so split offsets plus the
+position inside the split restore the exact input order without a sort.
 """
 
 from __future__ import annotations
@@ -27,37 +26,28 @@ def decode_ignore(c):
 
 
 def read_jsonl_lines(spark: SparkSession, path: str, keep_blank: bool = False,
-                     with_position: bool = True) -> DataFrame:
+                     line_numbers: bool = False) -> DataFrame:
     """Scan text lines; decode leniently, strip, skip blank lines.
 
-    Columns: ``file_path, block_start, line_in_split, line``.  ``line_in_split``
-    is the position of the line inside its split (one task reads one split in
-    order), so ``(file_path, block_start, line_in_split)`` is the input order.
-    A missing path raises Spark's ``PATH_NOT_FOUND`` AnalysisException.
-    ``with_position=False`` skips the per-split origin aggregate (one scan
-    instead of two) for consumers that do not need the input order (counts).
+    Columns: ``file_path, block_start, line``, plus ``line_no`` (1-based
+    position of the line in the input, blank lines counted, files in path
+    order) with ``line_numbers=True``.  Numbering needs no shuffle of the
+    lines: one task reads one split in order, and per-split offsets come from
+    a small size-checked table (:func:`with_input_index`).  Consumers that do
+    not need the order (counts) skip it and scan once.  A missing path raises
+    Spark's ``PATH_NOT_FOUND`` AnalysisException.
     """
-    raw = spark.read.text(path).select(
+    out = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("_mid"),
         ustrip(decode_ignore(F.col("value"))).alias("line"),
     )
-    if not with_position:
-        out = raw.drop("_mid").withColumn("line_in_split", F.lit(None).cast("bigint"))
-        if not keep_blank:
-            out = out.where(F.col("line") != "")
-        return out.select("file_path", "block_start", "line_in_split", "line")
-    # Position inside the split: the id is consecutive within a task, so the
-    # smallest id of the split is its origin (one small aggregate per split).
-    # Splits are few (data / maxPartitionBytes) and the table is broadcast.
-    firsts = raw.groupBy("file_path", "block_start").agg(F.min("_mid").alias("_first"))
-    out = raw.join(F.broadcast(firsts), ["file_path", "block_start"]) \
-        .withColumn("line_in_split", F.col("_mid") - F.col("_first")) \
-        .drop("_mid", "_first")
+    if line_numbers:
+        from corpuskit.operators.ordering import with_input_index
+        out = with_input_index(out, "line_no")
     if not keep_blank:
         out = out.where(F.col("line") != "")
-    return out.select("file_path", "block_start", "line_in_split", "line")
+    return out
 
 
 def read_json_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None,

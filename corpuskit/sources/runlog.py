@@ -26,7 +26,7 @@ def parse_log(df: DataFrame, value_col: str = "value") -> DataFrame:
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
-    """Read log files as a table; ``line_no`` orders lines inside a file split."""
+    """Read log files as a table with the input ``line_no`` of each line."""
     from corpuskit.sources.jsonl import read_jsonl_lines
-    lines = read_jsonl_lines(spark, path).withColumnRenamed("line", "value")
+    lines = read_jsonl_lines(spark, path, line_numbers=True).withColumnRenamed("line", "value")
     return parse_log(lines)

@@ -54,8 +54,9 @@ def jsonl_path(tmp_path_factory):
 
 
 def test_read_lines_skips_blank_and_keeps_order(spark, jsonl_path):
-    df = read_jsonl_lines(spark, jsonl_path).orderBy("file_path", "block_start", "line_in_split")
+    df = read_jsonl_lines(spark, jsonl_path, line_numbers=True).orderBy("line_no")
     got = [r.line for r in df.collect()]
+    assert [r.line_no for r in df.collect()][:2] == [2, 3]  # the blank first line is counted
     exp = [ln.strip() for ln in LINES if ln.strip()] + ['{"text": "' + FA + '"}']
     assert got == exp
 

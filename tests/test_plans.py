@@ -32,7 +32,7 @@ def test_input_index_follows_file_order(spark, tmp_dir):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")  # many splits per file
     try:
         from corpuskit.operators.extract import extract_text
-        acc = extract_text(read_jsonl_lines(spark, src, with_position=False))
+        acc = extract_text(read_jsonl_lines(spark, src))
         got = [r.text for r in with_input_index(acc).orderBy("idx").collect()]
         idx = sorted(r.idx for r in with_input_index(acc).collect())
     finally:
@@ -44,7 +44,7 @@ def test_corpus_examples_end_to_end(spark, tmp_dir):
     src = os.path.join(tmp_dir, "c")
     exp = _corpus(src)
     cfg = IngestConfig(buffer=16, batch_size=4, max_seq_length=8, vocab_size=50, max_samples=50)
-    out = corpus_examples(read_jsonl_lines(spark, src, with_position=False), None, cfg)
+    out = corpus_examples(read_jsonl_lines(spark, src), None, cfg)
     ex = out["examples"].collect()
     assert len(ex) == 50 and all(len(r.input_ids) == 8 for r in ex)
     assert sorted(r.shuffled_idx for r in ex) == list(range(1, 51))
