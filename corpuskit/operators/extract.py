@@ -183,6 +183,15 @@ def count_valid(df: DataFrame, line_col: str = "line", max_samples: int | None =
     return p.agg(n.cast("bigint").alias("n_valid"))
 
 
+def observe_accepted(df: DataFrame, name: str = "accepted"):
+    """Count rows while another action consumes them (progress without a
+    second pass): returns ``(observed_df, observation)``; read
+    ``observation.get["n_rows"]`` after the action (e.g. the examples write)."""
+    from pyspark.sql import Observation
+    obs = Observation(name)
+    return df.observe(obs, F.count(F.lit(1)).alias("n_rows")), obs
+
+
 def extraction_breakdown(classified: DataFrame) -> DataFrame:
     """Lines per winning field / rejected / malformed."""
     key = F.when(F.col("outcome") == "accepted", F.col("source_field")).otherwise(F.col("outcome"))

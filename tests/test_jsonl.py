@@ -124,3 +124,10 @@ def test_read_json_table_keeps_corrupt_lines(spark, tmp_dir):
     rows = t.orderBy("n").collect()
     assert [r.text for r in rows if r.text] == ["a", "b"]
     assert sum(1 for r in rows if r._corrupt_record is not None) == 1
+
+
+def test_observe_accepted_counts_during_write(spark, jsonl_path, tmp_dir):
+    acc = ex.extract_text(read_jsonl_lines(spark, jsonl_path))
+    observed, obs = ex.observe_accepted(acc)
+    observed.write.mode("overwrite").parquet(os.path.join(tmp_dir, "acc"))
+    assert obs.get["n_rows"] == spark.read.parquet(os.path.join(tmp_dir, "acc")).count()
