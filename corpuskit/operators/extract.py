@@ -78,10 +78,6 @@ def dict_map(obj) -> Column:
     return F.when(F.size(dk) == F.size(keys), m).otherwise(rebuilt)
 
 
-def _entries_of(m: Column) -> Column:
-    return F.map_entries(m)
-
-
 def _field_text(m: Column, name: str) -> Column:
     """``str(data[name])`` as text: string values raw, others as JSON text."""
     return F.try_element_at(m, F.lit(name)).cast("string")
@@ -125,8 +121,8 @@ def _with_winner(df: DataFrame, line_col: str, text_field: str, fields: Sequence
     # Staged projections: Catalyst keeps a non-cheap column that is used more
     # than once in its own Project instead of inlining it into every use.
     p = with_parsed(df, line_col)
-    p = p.withColumn("_entries", dict_map(F.col(OBJ)))
-    return p.withColumn("_win", winner_col(F.col("_entries"), text_field, fields, letters))
+    p = p.withColumn("_dict", dict_map(F.col(OBJ)))
+    return p.withColumn("_win", winner_col(F.col("_dict"), text_field, fields, letters))
 
 
 def extract_text(df: DataFrame, line_col: str = "line", text_field: str = "text",
@@ -165,18 +161,18 @@ def classify_lines(df: DataFrame, line_col: str = "line", text_field: str = "tex
     outcome = F.when(F.col(OBJ).isNull(), malformed_reason(F.col(line_col), F.col(OBJ))) \
         .when(F.col("_win").isNotNull(), F.lit("accepted")).otherwise(F.lit("rejected"))
     return p.withColumn("text", ustrip(F.col("_win.value"))).withColumn("source_field", F.col("_win.name")) \
-        .withColumn("outcome", outcome).drop(OBJ, "_entries", "_win")
+        .withColumn("outcome", outcome).drop(OBJ, "_dict", "_win")
 
 
 def count_valid(df: DataFrame, line_col: str = "line", max_samples: int | None = None,
-                **kw) -> DataFrame:
+                text_field: str = "text", fields: Sequence[str] = TEXT_FIELDS,
+                letters: str = PERSIAN_LETTERS) -> DataFrame:
     """One row ``n_valid``: lines whose text extracts, capped at ``max_samples``.
 
     A single aggregation with map-side partial counts; the cap is applied to
     the global count (exact, same as stopping the count at the cap).
     """
-    p = _with_winner(df, line_col, kw.get("text_field", "text"), kw.get("fields", TEXT_FIELDS),
-                     kw.get("letters", PERSIAN_LETTERS))
+    p = _with_winner(df, line_col, text_field, fields, letters)
     n = F.count_if(F.col("_win").isNotNull())
     if max_samples:
         n = F.least(n, F.lit(max_samples).cast("bigint"))
