@@ -129,9 +129,16 @@ def contains_any(c, terms: Iterable[str]) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, parts), F.lit(False))
 
 
+_SPACES = " " * len(PY_WHITESPACE)
+
+
 def tokens(c) -> Column:
-    """``str.split()``: whitespace-separated tokens, no empty tokens."""
-    return F.filter(F.split(col_of(c), _WS_CLASS + "+"), lambda t: t != "")
+    """``str.split()``: whitespace-separated tokens, no empty tokens.
+
+    Every whitespace character is mapped to a space (``translate``, a code
+    point table), then split on the single space (Java's non-regex fast path)
+    and empty strings removed: about 2x faster than a regex split."""
+    return F.array_remove(F.split(F.translate(col_of(c), PY_WHITESPACE, _SPACES), " "), "")
 
 
 def word_count(c) -> Column:
