@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from bench.check_oracle import TABLES, digest
+from tools.check_oracle import TABLES, digest
 
 SMOKE = "/root/testdata/sf0.001"
 

@@ -1,6 +1,6 @@
 """Physical-plan summary of every registered query: exchanges, broadcasts,
 window group limits, scans and the columns they read.  Usage:
-python bench/plan_report.py [sf_dir] > PLANS.md"""
+python tools/plan_report.py [sf_dir] > PLANS.md"""
 
 from __future__ import annotations
 
