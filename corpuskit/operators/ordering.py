@@ -36,19 +36,21 @@ def with_row_index(df: DataFrame, order_cols, name: str = "idx", bucket_cols=Non
 
     ``order_cols`` must be unique per row.  Rows are grouped in buckets that
     follow the order and have a bounded size: ``floor(key / bucket_width)``
-    for one integral key (unique keys => at most ``bucket_width`` rows per
-    bucket), or the leading order columns for a composite key (e.g. the
-    file/split of :func:`read_jsonl_lines`, bounded by the split size).
+    for one integral, dense key (unique keys => at most ``bucket_width`` rows
+    per bucket), or explicit ``bucket_cols`` whose groups are known to be
+    bounded.  Composite keys without ``bucket_cols`` (and sparse keys, by
+    choice) go through :func:`with_row_index_range`.
     One hash exchange on the bucket feeds both the local rank and the bucket
     sizes (the identical exchange is reused), so the input is computed once;
     the prefix sum runs over one row per bucket.
     """
     keys = _cols(order_cols)
     if bucket_cols is None:
-        if len(keys) == 1:
-            bucket = [F.floor(keys[0] / F.lit(bucket_width)).cast("bigint").alias("_b0")]
-        else:
-            bucket = [k.alias(f"_b{i}") for i, k in enumerate(keys[:-1])]
+        if len(keys) != 1:
+            # A leading column of a composite key may hold a third of all
+            # rows: use sampled range partitioning, which splits hot values.
+            return with_row_index_range(df, order_cols, name)
+        bucket = [F.floor(keys[0] / F.lit(bucket_width)).cast("bigint").alias("_b0")]
     else:
         bucket = [c.alias(f"_b{i}") for i, c in enumerate(_cols(bucket_cols))]
     bnames = [f"_b{i}" for i in range(len(bucket))]
