@@ -36,6 +36,9 @@ class IngestConfig:
     max_seq_length: int = 512
     vocab_size: int = 32_000
     causal_labels: bool = False
+    # Write the accepted corpus once (reliable checkpoint in the shared
+    # checkpoint dir) so indexing, vocabulary and encoding do not re-parse it.
+    materialize: bool = True
     tokenizer: Callable | None = field(default=None, repr=False)
 
 
@@ -51,6 +54,10 @@ def corpus_examples(lines: DataFrame, order_cols=None, cfg: IngestConfig = Inges
     """
     good, bad = ex.quarantine_malformed(lines, "line")
     acc = ex.extract_text(lines, "line", cfg.text_field, cfg.fields, cfg.letters)
+    if cfg.materialize:
+        from corpuskit.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(acc.sparkSession)
+        acc = acc.drop("line").checkpoint(eager=True)
     acc = od.with_input_index(acc, "idx") if order_cols is None else od.with_row_index(acc, order_cols, "idx")
     if cfg.max_samples:
         limit = cfg.max_samples
