@@ -20,7 +20,7 @@ __all__ = [
     "is_valid_text", "usable_string", "has_ascii_alpha", "script_class", "candidate_ok",
     "contains_any", "tokens", "word_count", "html_escape", "category_title",
     "render_template", "strip_echo_all", "strip_echo_prefix", "route_prompt", "clean_input", "preview",
-    "hash_pick", "fallback_response", "stamp", "percent_text",
+    "hash_pick", "fallback_response", "stamp", "thousands_text", "percent_text",
 ]
 
 # ---------------------------------------------------------------------------
@@ -214,6 +214,11 @@ def stamp(ts) -> Column:
     return F.date_format(col_of(ts), "yyyyMMdd_HHmmss")
 
 
+def thousands_text(value) -> Column:
+    """Integer with thousands separators (``{n:,}``)."""
+    return F.format_number(col_of(value), 0)
+
+
 def percent_text(name, value) -> Column:
     """``name: 12.3%`` lines of the metrics file."""
     return F.format_string("%s: %.1f%%", col_of(name), col_of(value))

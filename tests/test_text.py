@@ -93,3 +93,8 @@ def test_percent_and_stamp(spark):
     assert r.l == "m: 28.6%"
     s = spark.sql("SELECT timestamp'2025-09-28 20:44:33' AS ts").select(tx.stamp("ts").alias("s")).first()
     assert s.s == "20250928_204433"
+
+
+def test_thousands_text(spark):
+    r = spark.createDataFrame([(11796480,)], "n long").select(tx.thousands_text("n").alias("t")).first()
+    assert r.t == "11,796,480"
