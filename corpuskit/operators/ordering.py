@@ -69,6 +69,22 @@ def with_row_index(df: DataFrame, order_cols, name: str = "idx", bucket_cols=Non
 BROADCAST_SPLITS = 2_000_000
 
 
+_SHUFFLE_RE = ("Exchange hashpartitioning", "Exchange rangepartitioning", "Exchange RoundRobinPartitioning",
+               "Exchange SinglePartition")
+
+
+def _require_scan_order(df: DataFrame) -> None:
+    """The input index relies on rows still sitting in their scan tasks, in
+    file order: refuse plans that shuffled them."""
+    try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    except Exception:  # noqa: BLE001  (no JVM plan access: trust the caller)
+        return
+    if any(tok in plan for tok in _SHUFFLE_RE):
+        raise ValueError("with_input_index needs rows in scan order; the input was shuffled. "
+                         "Use with_row_index on a unique order key instead.")
+
+
 def with_input_index(df: DataFrame, name: str = "idx", split_cols=("file_path", "block_start")) -> DataFrame:
     """1-based position in input order for rows of a file scan (after any
     filtering), with no shuffle of the rows themselves.
@@ -80,6 +96,7 @@ def with_input_index(df: DataFrame, name: str = "idx", split_cols=("file_path",
     split; it is checkpointed, its size checked, and broadcast back.
     """
     from corpuskit.session import ensure_checkpoint_dir
+    _require_scan_order(df)
     keys = list(split_cols)
     d = df.withColumn("_mid", F.monotonically_increasing_id())
     per = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))

@@ -46,3 +46,10 @@ def test_windowed_shuffle_partitions_by_window(spark):
     df = od.with_row_index(spark.range(100).withColumnRenamed("id", "key"), "key", "idx", bucket_width=16)
     plan = _plan(od.windowed_shuffle(df, "idx", "key", 10))
     assert "hashpartitioning(window_id" in plan
+
+
+def test_input_index_refuses_shuffled_input(spark):
+    import pytest
+    df = spark.range(10).select(F.lit("f").alias("file_path"), F.lit(0).alias("block_start"), "id").repartition(3)
+    with pytest.raises(ValueError):
+        od.with_input_index(df)
