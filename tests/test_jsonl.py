@@ -131,3 +131,10 @@ def test_observe_accepted_counts_during_write(spark, jsonl_path, tmp_dir):
     observed, obs = ex.observe_accepted(acc)
     observed.write.mode("overwrite").parquet(os.path.join(tmp_dir, "acc"))
     assert obs.get["n_rows"] == spark.read.parquet(os.path.join(tmp_dir, "acc")).count()
+
+
+def test_extraction_is_idempotent(spark, jsonl_path):
+    acc = ex.extract_text(read_jsonl_lines(spark, jsonl_path))
+    again = ex.extract_text(acc.select(F.to_json(F.struct("text")).alias("line"), F.col("text").alias("first")))
+    assert again.where(F.col("text") != F.col("first")).count() == 0
+    assert again.count() == acc.count()
