@@ -73,15 +73,16 @@ def read_json_table(spark: SparkSession, path: str, schema: T.StructType | str |
 # Field name given to each derived line, chosen by doc_id modulo 4; the last
 # one is unknown to the probe list, so it exercises the any-string-value step.
 DOC_FIELDS = ("text", "content", "body", "note")
-# Every 17th line is cut in half to make it malformed.
-TRUNCATE_EVERY = 17
+# Every 17th line loses its closing brace, which makes it malformed.
+MALFORMED_EVERY = 17
 
 
 def documents_lines(docs: DataFrame) -> DataFrame:
     """Render a ``documents`` table as JSON lines: ``(line_no, line)``.
 
     Keys in order ``doc_id, lang, source, <field>, n_chars`` with ``<field>``
-    from :data:`DOC_FIELDS` by ``doc_id % 4``; every 17th line truncated.
+    from :data:`DOC_FIELDS` by ``doc_id % 4``; every 17th line misses its
+    closing brace (malformed, whole text kept).
     Derived from the whole table, so the work grows with it.
     """
     field = F.element_at(F.array(*[F.lit(f) for f in DOC_FIELDS]),
@@ -91,10 +92,12 @@ def documents_lines(docs: DataFrame) -> DataFrame:
         F.col("text").alias("__text"), F.col("n_chars")))
     # Rename the text key per row: to_json has static names, so swap the
     # placeholder key in the rendered text (its quoting is fixed).
-    line = F.replace(obj, F.lit('"__text":'), F.concat(F.lit('"'), field, F.lit('":')))
-    line = F.when(F.pmod(F.col("doc_id"), F.lit(TRUNCATE_EVERY)) == 0,
-                  F.substring(line, 1, (F.length(line) / 2).cast("int"))).otherwise(line)
-    return docs.select(F.col("doc_id").alias("line_no"), line.alias("line"))
+    renamed = F.replace(obj, F.lit('"__text":'), F.concat(F.lit('"'), field, F.lit('":')))
+    # Malformed lines keep their whole text: only the closing brace is lost.
+    line = F.when(F.pmod(F.col("doc_id"), F.lit(MALFORMED_EVERY)) == 0,
+                  F.expr("substr(__line, 1, length(__line) - 1)")).otherwise(F.col("__line"))
+    return docs.select("doc_id", renamed.alias("__line")) \
+        .select(F.col("doc_id").alias("line_no"), line.alias("line"))
 
 
 def documents_as_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,4 +106,4 @@ def documents_as_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 __all__ = ["decode_ignore", "read_jsonl_lines", "read_json_table", "documents_lines",
-           "documents_as_jsonl", "DOC_FIELDS", "TRUNCATE_EVERY", "PY_WHITESPACE"]
+           "documents_as_jsonl", "DOC_FIELDS", "MALFORMED_EVERY", "PY_WHITESPACE"]
