@@ -71,7 +71,7 @@ def corpus_examples(lines: DataFrame, order_cols=None, cfg: IngestConfig = Inges
     enc = exm.encode(acc, vocab, "idx", "text", max_tokens=cfg.max_seq_length,
                      vocab_size_bound=cfg.vocab_size, tokenizer=cfg.tokenizer)
     examples = exm.build_examples(enc, cfg.max_seq_length, causal=cfg.causal_labels)
-    meta = acc.select("idx", "window_id", "shuffle_pos", "shuffled_idx", "batch_id")
+    meta = acc.drop("text", "source_field", "n_tokens")
     examples = examples.join(meta, "idx")
     return {"quarantine": bad, "accepted": acc, "examples": examples}
 

@@ -71,7 +71,16 @@ def q_dataset_summary(spark, d):
     return exm.dataset_summary(c, max_seq_length=SEQ, per_device=1, accumulation=32, epochs=1)
 
 
+def q_training_examples(spark, d):
+    """The whole streaming-trainer ingestion over the documents lines."""
+    from corpuskit.plans.ingest import IngestConfig, corpus_examples
+    cfg = IngestConfig(letters=LETTERS, buffer=100, batch_size=32, max_seq_length=SEQ, vocab_size=VOCAB)
+    ex_ = corpus_examples(documents_as_jsonl(spark, d), "line_no", cfg)["examples"]
+    return ex_.select("line_no", "window_id", "shuffle_pos", "batch_id", ids_text("input_ids").alias("input_ids"))
+
+
 QUERIES = {
+    "training_examples": q_training_examples,
     "fit_vocabulary": q_fit_vocabulary,
     "encode_ids": q_encode_ids,
     "pad_truncate": q_pad_truncate,
@@ -100,7 +109,24 @@ NONEMPTY = f"""docs AS (SELECT doc_id, {strip('text')} AS text FROM documents WH
 toks AS (SELECT doc_id, {tokens('text')} AS toks FROM docs)
 SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_tokens FROM toks WHERE len(toks) > 0"""
 
+TRAIN = f"""{EXTRACT_CTE},
+acc AS (SELECT line_no, text, row_number() OVER (ORDER BY line_no) AS idx FROM extracted WHERE text IS NOT NULL),
+ws AS (SELECT line_no, (idx - 1) // 100 AS window_id,
+         row_number() OVER (PARTITION BY (idx - 1) // 100 ORDER BY md5('42:' || CAST(idx AS VARCHAR)), idx) AS shuffle_pos
+       FROM acc),
+toks AS (SELECT line_no, {tokens('text')} AS toks FROM acc),
+tok AS (SELECT line_no, unnest(toks) AS term, generate_subscripts(toks, 1) - 1 AS pos FROM toks),
+vocab AS (SELECT term, row_number() OVER (ORDER BY freq DESC, term) + 1 AS id
+          FROM (SELECT term, count(*) AS freq FROM tok GROUP BY term ORDER BY freq DESC, term LIMIT {VOCAB - 2})),
+enc AS (SELECT t.line_no, list(coalesce(v.id, 1) ORDER BY t.pos) AS ids FROM tok t LEFT JOIN vocab v USING (term)
+        GROUP BY t.line_no)"""
+
 SQL = {
+    "training_examples": f"""WITH {TRAIN}
+        SELECT ws.line_no, ws.window_id, ws.shuffle_pos, (ws.shuffle_pos - 1) // 32 AS batch_id,
+               array_to_string(list_concat(ids[1:{SEQ}], list_transform(range({SEQ} - len(ids[1:{SEQ}])), lambda x: 0)), ' ')
+               AS input_ids
+        FROM ws JOIN enc USING (line_no)""",
     "fit_vocabulary": f"WITH {TOK} SELECT term, id, freq FROM vocab",
     "encode_ids": f"WITH {TOK} SELECT line_no, array_to_string(ids, ' ') AS ids_text, n_tokens FROM enc",
     "pad_truncate": f"WITH {TOK} SELECT line_no, array_to_string(input_ids, ' ') AS input_ids, "
