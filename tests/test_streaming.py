@@ -74,3 +74,26 @@ def test_stream_with_bounded_shuffle(spark, tmp_dir):
     assert len(rows) == 23
     assert sorted(r.shuffled_idx for r in rows) == list(range(1, 24))
     assert {r.window_id for r in rows} == {0, 1, 2}
+
+
+def test_monitor_stream_equals_batch_twin(spark, tmp_dir):
+    from corpuskit.operators.telemetry import tumbling_breaches
+    from corpuskit.queries.telemetry_q import samples
+    d = "/root/testdata/sf0.001"
+    batch = {r.window_start: tuple(r)[1:] for r in tumbling_breaches(samples(spark, d), "ts", "1 hour").collect()}
+    import shutil
+    src = os.path.join(tmp_dir, "events")
+    os.makedirs(src)
+    shutil.copy(f"{d}/events.parquet", src)  # the file source reads a directory
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    ev = spark.readStream.schema(schema).parquet(src)
+    s = ev.select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"),
+                  (F.col("value") / 500).alias("cpu_usage"),
+                  (F.get_json_object("props", "$.k").cast("double") / 100).alias("ram_ratio"),
+                  F.lit(0.0).alias("gpu_usage"))
+    q = monitor_stream(s, "ts", "1 hour", "1 day").writeStream.format("memory").queryName("mon_twin") \
+        .outputMode("complete").option("checkpointLocation", os.path.join(tmp_dir, "twin")) \
+        .trigger(availableNow=True).start()
+    q.awaitTermination()
+    streamed = {r.window_start: tuple(r)[1:] for r in spark.table("mon_twin").collect()}
+    assert streamed == batch
