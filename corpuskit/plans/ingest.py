@@ -64,16 +64,17 @@ def corpus_examples(lines: DataFrame, order_cols=None, cfg: IngestConfig = Inges
         if cfg.round_to_buffer:
             limit = -(-cfg.max_samples // cfg.buffer) * cfg.buffer
         acc = acc.where(F.col("idx") <= limit)
-    acc = od.windowed_shuffle(acc, "idx", "idx", cfg.buffer, cfg.seed, cfg.epoch)
-    acc = od.micro_batches(acc, cfg.batch_size)
+    # Shuffle positions and batches are computed on the narrow key columns;
+    # only the encoding moves the (truncated) texts, once.
+    meta = od.micro_batches(od.windowed_shuffle(acc.drop("text", "source_field"), "idx", "idx",
+                                                cfg.buffer, cfg.seed, cfg.epoch), cfg.batch_size)
     if cfg.tokenizer is None and vocab is None:
         vocab = exm.fit_vocabulary(acc, "text", cfg.vocab_size)
     enc = exm.encode(acc, vocab, "idx", "text", max_tokens=cfg.max_seq_length,
                      vocab_size_bound=cfg.vocab_size, tokenizer=cfg.tokenizer)
-    examples = exm.build_examples(enc, cfg.max_seq_length, causal=cfg.causal_labels)
-    meta = acc.drop("text", "source_field", "n_tokens")
-    examples = examples.join(meta, "idx")
-    return {"quarantine": bad, "accepted": acc, "examples": examples}
+    examples = exm.build_examples(enc, cfg.max_seq_length, causal=cfg.causal_labels).join(meta, "idx")
+    accepted = acc.join(meta, "idx")
+    return {"quarantine": bad, "accepted": accepted, "examples": examples}
 
 
 def batch_ingest(table: DataFrame, key_col: str, text_col: str = "text", max_samples: int | None = None,
