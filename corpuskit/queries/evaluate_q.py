@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions import text as tx
 from corpuskit.operators import evaluate as ev
-from corpuskit.queries.common import LETTERS, contains_any, has_script, hash_pick, table, tokens
+from corpuskit.queries.common import LETTERS, contains_any, has_script, hash_pick, strip, table, tokens
 from corpuskit.queries.text_q import PAIRS_SQL, _pairs
 from corpuskit.sources.suites import PLAIN_TEMPLATES
 
@@ -79,7 +79,38 @@ def q_summary_lines(spark, d):
     return ev.summary_lines(_results(spark, d))
 
 
+def _eval_inputs(spark, d):
+    """Prompts = user turns; candidates = the lines of the following reply
+    (line index as template position), rendered prompt = the user text."""
+    p = _pairs(spark, d)
+    key = (F.col("conv_id") * 1000 + F.col("turn")).alias("pos")
+    prompts = p.select(F.concat(F.lit("conversation_"), F.col("conv_id").cast("string")).alias("category"),
+                       F.col("conv_id").alias("cat_pos"), key, "prompt")
+    cands = p.select(key, F.col("prompt").alias("rendered"),
+                     F.posexplode(F.split("reply", "\n")).alias("template_pos", "output"))
+    return prompts, cands
+
+
+def _evaluation(spark, d):
+    from corpuskit.plans.evaluation import evaluate_candidates
+    prompts, cands = _eval_inputs(spark, d)
+    return evaluate_candidates(prompts, cands, letters=LETTERS, friendly=FRIENDLY_LATIN,
+                               creative=CREATIVE_LATIN, emoji=EMOJI_LATIN)
+
+
+def q_evaluation_results(spark, d):
+    r = _evaluation(spark, d)["results"]
+    return r.select("cat_pos", "pos", F.col("best_template_pos").cast("bigint").alias("best_template_pos"),
+                    "is_fallback", "response")
+
+
+def q_evaluation_metrics(spark, d):
+    return _evaluation(spark, d)["metrics_by_category"].where(F.col("category").isNull()).drop("category")
+
+
 QUERIES = {
+    "evaluation_results": q_evaluation_results,
+    "evaluation_metrics": q_evaluation_metrics,
     "render_prompts": q_render_prompts,
     "fallback_response": q_fallback_response,
     "best_candidate": q_best_candidate,
@@ -93,6 +124,9 @@ QUERIES = {
 }
 
 
+ECHO_RENDERED = "replace(output, rendered, '')"
+
+
 def _sq(s: str) -> str:
     return s.replace("'", "''")
 
@@ -130,7 +164,24 @@ ITEM_SQL = ("'<div class=\"test-item\"><div class=\"prompt ' || CASE WHEN coales
 TITLE_SQL = ("array_to_string(list_transform(string_split(replace(category, '_', ' '), ' '), "
              "lambda w: upper(w[1]) || lower(w[2:])), ' ')")
 
+EVAL_SQL = f"""u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn - 1 AS turn, text FROM conversations WHERE role = 'assistant'),
+p AS (SELECT conv_id AS cat_pos, conv_id * 1000 + turn AS pos, text AS prompt FROM u WHERE (conv_id, turn) IN (SELECT (conv_id, turn) FROM a)),
+lines AS (SELECT u.conv_id * 1000 + u.turn AS pos, u.text AS rendered,
+                 unnest(string_split(a.text, chr(10))) AS output,
+                 generate_subscripts(string_split(a.text, chr(10)), 1) - 1 AS template_pos
+          FROM u JOIN a USING (conv_id, turn)),
+c AS (SELECT pos, template_pos, CASE WHEN rendered IS NULL OR rendered = '' THEN {strip('output')}
+                                     ELSE {strip(ECHO_RENDERED)} END AS output FROM lines),
+ok AS (SELECT * FROM c WHERE coalesce(length(output) > 10, false) AND {has_script('output')}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY length(output) DESC, template_pos) AS r FROM ok),
+res AS (SELECT p.cat_pos, p.pos, b.template_pos AS best_template_pos, b.output IS NULL AS is_fallback,
+               coalesce(b.output, ({FALLBACK_SQL})[{hash_pick('p.pos', 3)} + 1]) AS response
+        FROM p LEFT JOIN (SELECT * FROM ranked WHERE r = 1) b ON b.pos = p.pos)"""
+
 SQL = {
+    "evaluation_results": f"WITH {EVAL_SQL} SELECT * FROM res",
+    "evaluation_metrics": f"WITH {EVAL_SQL} SELECT {_metric_select('response')} FROM res",
     "render_prompts": f"""WITH t AS ({TEMPLATES_SQL})
         SELECT c.conv_id, c.turn, CAST(t.template_pos AS BIGINT) AS template_pos, replace(t.body, '{{prompt}}', c.text) AS rendered
         FROM conversations c, t WHERE c.role = 'user'""",
