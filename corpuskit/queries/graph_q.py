@@ -56,7 +56,52 @@ QUERIES = {
     "subtree_totals": q_subtree_totals,
 }
 
+# Shared CTEs: the edge table (eid by (src, dst) order), components, BFS
+# depths from each component's smallest vertex, parents, climbing cycles.
+GRAPH_CTE = """e0 AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS eid
+       FROM (SELECT DISTINCT 2 * l_partkey AS src, 2 * l_suppkey + 1 AS dst FROM lineitem)),
+sym AS (SELECT src AS u, dst AS v, eid FROM e0 UNION ALL SELECT dst, src, eid FROM e0),
+verts AS (SELECT DISTINCT u AS v FROM sym),
+lp(v, comp) USING KEY (v) AS (
+  SELECT v, v FROM verts
+  UNION
+  SELECT n.v, min(lp.comp) FROM lp JOIN sym n ON n.u = lp.v JOIN recurring.lp cur ON cur.v = n.v
+  GROUP BY n.v HAVING min(lp.comp) < min(cur.comp)),
+dep(v, d) USING KEY (v) AS (
+  SELECT v, 0 FROM lp WHERE v = comp
+  UNION
+  SELECT n.v, min(dep.d + 1) FROM dep JOIN sym n ON n.u = dep.v LEFT JOIN recurring.dep cur ON cur.v = n.v
+  GROUP BY n.v HAVING min(dep.d + 1) < coalesce(min(cur.d), 9223372036854775807)),
+par AS (SELECT c.v, min({'u': s.u, 'eid': s.eid}) AS p FROM dep c JOIN sym s ON s.v = c.v JOIN dep pu ON pu.v = s.u
+        WHERE pu.d = c.d - 1 GROUP BY c.v),
+node AS (SELECT dep.v, dep.d, par.p.u AS parent, par.p.eid AS peid FROM dep LEFT JOIN par USING (v)),
+nontree AS (SELECT * FROM e0 WHERE eid NOT IN (SELECT peid FROM node WHERE peid IS NOT NULL)),
+climb(cycle_id, x, y, xe, xs, xd, ye, ys, yd) AS (
+  SELECT eid, src, dst, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM nontree
+  UNION ALL
+  SELECT c.cycle_id,
+         CASE WHEN a.d >= b.d THEN a.parent ELSE c.x END, CASE WHEN b.d >= a.d THEN b.parent ELSE c.y END,
+         CASE WHEN a.d >= b.d THEN a.peid END, CASE WHEN a.d >= b.d THEN c.x END, CASE WHEN a.d >= b.d THEN a.parent END,
+         CASE WHEN b.d >= a.d THEN b.peid END, CASE WHEN b.d >= a.d THEN c.y END, CASE WHEN b.d >= a.d THEN b.parent END
+  FROM climb c JOIN node a ON a.v = c.x JOIN node b ON b.v = c.y WHERE c.x <> c.y),
+cyc AS (SELECT cycle_id, xe AS eid, xs AS src, xd AS dst FROM climb WHERE xe IS NOT NULL
+        UNION ALL SELECT cycle_id, ye, ys, yd FROM climb WHERE ye IS NOT NULL
+        UNION ALL SELECT eid, eid, src, dst FROM nontree)"""
+
 SQL = {
+    "cycle_edges": f"WITH RECURSIVE {GRAPH_CTE} SELECT cycle_id, eid, src, dst FROM cyc",
+    "contract_graph": f"""WITH RECURSIVE {GRAPH_CTE},
+        vc AS (SELECT v, min(cycle_id) AS cyc FROM (SELECT cycle_id, src AS v FROM cyc UNION ALL SELECT cycle_id, dst FROM cyc)
+               GROUP BY v),
+        ck AS (SELECT verts.v, CASE WHEN vc.cyc IS NOT NULL THEN vc.cyc
+                      ELSE verts.v - (SELECT min(v) FROM verts) + (SELECT coalesce(max(cycle_id) + 1, 0) FROM cyc) END AS ck
+               FROM verts LEFT JOIN vc USING (v)),
+        cid AS (SELECT v, dense_rank() OVER (ORDER BY ck) - 1 AS comp_id FROM ck)
+        SELECT cu.comp_id AS comp_from, cv.comp_id AS comp_to, e.src AS vertex_from, e.dst AS vertex_to
+        FROM e0 e JOIN cid cu ON cu.v = e.src JOIN cid cv ON cv.v = e.dst WHERE cu.comp_id <> cv.comp_id
+        UNION ALL
+        SELECT cv.comp_id, cu.comp_id, e.dst, e.src
+        FROM e0 e JOIN cid cu ON cu.v = e.src JOIN cid cv ON cv.v = e.dst WHERE cu.comp_id <> cv.comp_id""",
     "connected_components": """WITH RECURSIVE e0 AS (SELECT DISTINCT 2 * l_partkey AS a, 2 * l_suppkey + 1 AS b FROM lineitem),
         e AS (SELECT a, b FROM e0 UNION ALL SELECT b, a FROM e0),
         verts AS (SELECT DISTINCT a AS v FROM e),
