@@ -46,12 +46,13 @@ def _small_star(e: DataFrame) -> DataFrame:
 def _is_star_forest(e: DataFrame) -> bool:
     """Converged when the edges form disjoint stars: every leaf ``b`` has one
     centre ``a`` and no centre is itself a leaf.  Then each star is exactly
-    one component (connectivity is preserved by every round)."""
-    multi = e.groupBy("b").count().where(F.col("count") > 1).limit(1).count()
-    if multi:
-        return False
-    chain = e.select(F.col("a").alias("v")).join(e.select(F.col("b").alias("v")), "v", "left_semi")
-    return chain.limit(1).count() == 0
+    one component (connectivity is preserved by every round).  One job: a
+    per-vertex count of its leaf and centre roles."""
+    roles = e.select(F.col("b").alias("v"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")) \
+        .unionByName(e.select(F.col("a").alias("v"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
+    per = roles.groupBy("v").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre"))
+    bad = per.where((F.col("leaf") > 1) | ((F.col("leaf") >= 1) & (F.col("centre") == 1)))
+    return bad.limit(1).count() == 0
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
@@ -95,9 +96,14 @@ def bfs_forest(edges: DataFrame, components: DataFrame, src: str = "src", dst: s
     roots = components.where(F.col("vertex") == F.col("component")).select(
         "vertex", F.lit(0).cast("bigint").alias("depth"),
         F.lit(None).cast("bigint").alias("parent"), F.lit(None).cast("bigint").alias("parent_eid"))
-    visited = _cut(roots)
-    frontier = visited
+    # Levels are written once each; "visited" is their union (no rewrite of
+    # all visited vertices per round).
+    levels = [_cut(roots)]
+    frontier = levels[0]
     for d in range(1, max_rounds):
+        visited = levels[0]
+        for lv in levels[1:]:
+            visited = visited.unionByName(lv)
         cand = sym.join(frontier.select(F.col("vertex").alias("u")), "u") \
             .join(visited.select(F.col("vertex").alias("v")), "v", "left_anti")
         nxt = cand.groupBy("v").agg(F.min(F.struct("u", "eid")).alias("p")).select(
@@ -106,9 +112,12 @@ def bfs_forest(edges: DataFrame, components: DataFrame, src: str = "src", dst: s
         nxt = _cut(nxt)
         if nxt.limit(1).count() == 0:
             break
-        visited = _cut(visited.unionByName(nxt))
+        levels.append(nxt)
         frontier = nxt
-    return visited
+    out = levels[0]
+    for lv in levels[1:]:
+        out = out.unionByName(lv)
+    return out
 
 
 def fundamental_cycles(edges: DataFrame, src: str = "src", dst: str = "dst", eid: str = "eid",
