@@ -59,12 +59,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A sub folder of the shared checkpoint dir for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}"
-
-
 def spread(df, min_partitions: int | None = None):
     """Give CPU-heavy per-row work at least one partition per core.
 

@@ -141,3 +141,10 @@ def test_extraction_is_idempotent(spark, jsonl_path):
     # brace) do not pass the gate a second time once stripped.
     lost = acc.join(again.select(F.col("first").alias("text")), "text", "left_anti").collect()
     assert len(lost) == 2 and all(r.text.startswith("{") for r in lost)
+
+
+def test_column_level_extraction(spark):
+    df = spark.createDataFrame([('{"body": "%s", "n": 1}' % FA,), ('{"n": 2}',)], "line string")
+    text, field = ex.extract_text_col(ex.parse_object(F.col("line")))
+    got = [(r.t, r.f) for r in df.select(text.alias("t"), field.alias("f")).collect()]
+    assert got == [(FA, "body"), (None, None)]

@@ -63,3 +63,8 @@ def test_event_gaps_across_buckets(spark):
     df = spark.createDataFrame(rows, "id long, k long, ts string").selectExpr("id", "k", "CAST(ts AS TIMESTAMP) ts")
     got = {r.id: r.gap_seconds for r in tm.event_gaps(df, "k", "ts", "id").collect()}
     assert got == {1: None, 2: 120.0, 5: 0.0, 3: 259_140.0, 4: None}
+
+
+def test_bytes_to_gb(spark):
+    r = spark.createDataFrame([(3 * 1024 ** 3,)], "b long").select(tm.bytes_to_gb("b").alias("g")).first()
+    assert r.g == 3.0
