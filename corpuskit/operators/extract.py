@@ -55,8 +55,8 @@ def quarantine_malformed(df: DataFrame, line_col: str = "line") -> tuple[DataFra
     """Split lines into (parsed objects, quarantine with ``reason``).
 
     The reference skips malformed lines silently; keeping them as a DataFrame
-    makes the skip auditable at no extra scan (both outputs share one parse
-    when the caller persists or writes them in one job).
+    makes the skip auditable.  Each output parses its lines when consumed;
+    :func:`classify_lines` gives every line with its outcome in one pass.
     """
     p = with_parsed(df, line_col)
     good = p.where(F.col(OBJ).isNotNull())
