@@ -1,10 +1,11 @@
 """Order, limit, windowed shuffle, batching, splits and step planning.
 
-The global position of a row (``with_row_index``) is computed without an
-unpartitioned window: range-partition on the order key, number rows locally,
-and add per-partition offsets from a tiny count table (one row per partition,
-broadcast).  Everything downstream partitions by bounded windows
-(``window_id`` groups hold at most ``buffer`` rows), so no key can be hot.
+The global position of a row is computed without a window over the data:
+rows are numbered locally inside bounded groups (key buckets, input splits or
+range partitions) and shifted by offsets from a small table with one row per
+group.  Everything downstream partitions by bounded windows (``window_id``
+groups hold at most ``buffer`` rows), so no key can be hot.  The only
+unpartitioned windows run over those one-row-per-group tables.
 """
 
 from __future__ import annotations
@@ -40,9 +41,10 @@ def with_row_index(df: DataFrame, order_cols, name: str = "idx", bucket_cols=Non
     per bucket), or explicit ``bucket_cols`` whose groups are known to be
     bounded.  Composite keys without ``bucket_cols`` (and sparse keys, by
     choice) go through :func:`with_row_index_range`.
-    One hash exchange on the bucket feeds both the local rank and the bucket
-    sizes (the identical exchange is reused), so the input is computed once;
-    the prefix sum runs over one row per bucket.
+    The bucket sizes need a count of the (possibly filtered) input before
+    numbering, so the input is evaluated twice (the count side is pruned to
+    the key); materialize an expensive input first when that matters.  The
+    prefix sum runs over one row per bucket.
     """
     keys = _cols(order_cols)
     if bucket_cols is None:
