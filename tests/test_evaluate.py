@@ -101,3 +101,22 @@ def test_collect_by_category(spark):
     df = spark.createDataFrame([("c", 2, "b"), ("c", 1, "a")], "category string, pos int, prompt string")
     r = ev.collect_by_category(df, "category", "pos", ["prompt"]).first()
     assert [x.prompt for x in r["items"]] == ["a", "b"] and r.n_items == 2
+
+
+def test_metrics_file_golden_shares(spark):
+    # 28 answers of our own built to the published counts 28 / 7 / 28 / 8 / 2.
+    base = "این پاسخ درباره موضوع پرسیده شده است و جزئیات بیشتری هم دارد"
+    rows = []
+    for i in range(28):
+        r = base
+        if i < 7:
+            r += " ممنون"
+        if 7 <= i < 15:
+            r += " !"
+        if i in (20, 21):
+            r += " 😂"
+        rows.append((r,))
+    df = spark.createDataFrame(rows, "response string")
+    lines = [r.line for r in ev.metrics_lines(ev.response_metrics(df)).orderBy("line_no").collect()]
+    assert lines[3:] == ["persian_only: 100.0%", "friendly_tone: 25.0%", "helpful_content: 100.0%",
+                         "creative_elements: 28.6%", "emoji_usage: 7.1%"]
