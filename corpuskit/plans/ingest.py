@@ -33,6 +33,8 @@ class IngestConfig:
     batch_size: int = 32
     seed: int = 42
     epoch: int = 0
+    # More than one epoch repeats the data, each epoch shuffled with seed + epoch.
+    epochs: int = 1
     max_seq_length: int = 512
     vocab_size: int = 32_000
     causal_labels: bool = False
@@ -66,8 +68,13 @@ def corpus_examples(lines: DataFrame, order_cols=None, cfg: IngestConfig = Inges
         acc = acc.where(F.col("idx") <= limit)
     # Shuffle positions and batches are computed on the narrow key columns;
     # only the encoding moves the (truncated) texts, once.
-    meta = od.micro_batches(od.windowed_shuffle(acc.drop("text", "source_field"), "idx", "idx",
-                                                cfg.buffer, cfg.seed, cfg.epoch), cfg.batch_size)
+    narrow = acc.drop("text", "source_field")
+    if cfg.epochs > 1:
+        meta = od.micro_batches(od.epoch_plan(narrow, "idx", "idx", cfg.epochs, cfg.buffer, cfg.seed),
+                                cfg.batch_size)
+    else:
+        meta = od.micro_batches(od.windowed_shuffle(narrow, "idx", "idx", cfg.buffer, cfg.seed, cfg.epoch),
+                                cfg.batch_size)
     if cfg.tokenizer is None and vocab is None:
         vocab = exm.fit_vocabulary(acc, "text", cfg.vocab_size)
     enc = exm.encode(acc, vocab, "idx", "text", max_tokens=cfg.max_seq_length,

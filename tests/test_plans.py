@@ -67,3 +67,15 @@ def test_batch_ingest_and_sinks(spark, tmp_dir):
     files = sorted(f for f in os.listdir(os.path.join(tmp_dir, "t")) if f.startswith("part-"))
     text = "".join(open(os.path.join(tmp_dir, "t", f)).read() for f in files)
     assert text == "a\nb\nc\n"
+
+
+def test_corpus_examples_two_epochs(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "c")
+    exp = _corpus(src)
+    cfg = IngestConfig(buffer=16, batch_size=4, max_seq_length=8, vocab_size=50, epochs=2)
+    ex = corpus_examples(read_jsonl_lines(spark, src), None, cfg)["examples"].collect()
+    assert len(ex) == 2 * len(exp)
+    by_epoch = {0: {}, 1: {}}
+    for r in ex:
+        by_epoch[r.epoch][r.idx] = r.shuffle_pos
+    assert set(by_epoch[0]) == set(by_epoch[1]) and by_epoch[0] != by_epoch[1]
