@@ -89,10 +89,11 @@ def bfs_forest(edges: DataFrame, components: DataFrame, src: str = "src", dst: s
     """BFS spanning forest from each component's smallest vertex:
     ``(vertex, depth, parent, parent_eid)``.  A vertex reached from several
     frontier vertices takes the smallest (parent, edge id): deterministic."""
-    sym = edges.where(F.col(src) != F.col(dst)).select(
-        F.col(src).alias("u"), F.col(dst).alias("v"), F.col(eid).alias("eid")) \
+    # Both directions, written once: every round joins against it.
+    sym = _cut(edges.where(F.col(src) != F.col(dst)).select(
+        F.col(src).alias("u"), F.col(dst).alias("v"), F.col(eid).alias("eid"))
         .unionByName(edges.where(F.col(src) != F.col(dst)).select(
-            F.col(dst).alias("u"), F.col(src).alias("v"), F.col(eid).alias("eid")))
+            F.col(dst).alias("u"), F.col(src).alias("v"), F.col(eid).alias("eid"))))
     roots = components.where(F.col("vertex") == F.col("component")).select(
         "vertex", F.lit(0).cast("bigint").alias("depth"),
         F.lit(None).cast("bigint").alias("parent"), F.lit(None).cast("bigint").alias("parent_eid"))
@@ -131,33 +132,37 @@ def fundamental_cycles(edges: DataFrame, src: str = "src", dst: str = "dst", eid
     In a cactus graph these are exactly all its cycles.  Self loops are not
     cycles here.
     """
-    comp = components if components is not None else connected_components(edges, src, dst)
-    forest = bfs_forest(edges, comp, src, dst, eid)
-    tree_eids = forest.where(F.col("parent_eid").isNotNull()).select(F.col("parent_eid").alias(eid))
-    nontree = edges.where(F.col(src) != F.col(dst)).join(tree_eids, eid, "left_anti")
-    closing = nontree.select(F.col(eid).alias("cycle_id"), F.col(eid).alias("eid"),
-                             F.col(src).alias("src"), F.col(dst).alias("dst"))
+    edges = _cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.col(eid).alias("eid")))
+    comp = components if components is not None else connected_components(edges, "src", "dst")
+    forest = bfs_forest(edges, comp, "src", "dst", "eid")
+    tree_eids = forest.where(F.col("parent_eid").isNotNull()).select(F.col("parent_eid").alias("eid"))
+    nontree = edges.where(F.col("src") != F.col("dst")).join(tree_eids, "eid", "left_anti")
+    closing = nontree.select(F.col("eid").alias("cycle_id"), "eid", "src", "dst")
     node = forest.select("vertex", "depth", "parent", "parent_eid")
     na = node.select(F.col("vertex").alias("x"), F.col("depth").alias("dx"),
                      F.col("parent").alias("px"), F.col("parent_eid").alias("ex"))
     nb = node.select(F.col("vertex").alias("y"), F.col("depth").alias("dy"),
                      F.col("parent").alias("py"), F.col("parent_eid").alias("ey"))
-    state = _cut(nontree.select(F.col(eid).alias("cycle_id"), F.col(src).alias("x"), F.col(dst).alias("y")))
+    state = _cut(nontree.select(F.col("eid").alias("cycle_id"), F.col("src").alias("x"), F.col("dst").alias("y")))
     parts = [closing]
+    mx = F.col("dx") >= F.col("dy")
+    my = F.col("dy") >= F.col("dx")
     while state.limit(1).count() > 0:
-        s = state.join(na, "x").join(nb, "y")
-        mx = F.col("dx") >= F.col("dy")
-        my = F.col("dy") >= F.col("dx")
+        # One job per round: the joined state is written once; the emitted
+        # tree edges and the next state are projections of it.
+        s = _cut(state.join(na, "x").join(nb, "y"))
         emit = s.select("cycle_id", F.inline(F.array(
             F.when(mx, F.struct(F.col("ex").alias("eid"), F.col("x").alias("src"), F.col("px").alias("dst"))),
             F.when(my, F.struct(F.col("ey").alias("eid"), F.col("y").alias("src"), F.col("py").alias("dst"))))))
-        parts.append(_cut(emit.where(F.col("eid").isNotNull())))
-        nxt = s.select("cycle_id", F.when(mx, F.col("px")).otherwise(F.col("x")).alias("x"),
-                       F.when(my, F.col("py")).otherwise(F.col("y")).alias("y"))
-        state = _cut(nxt.where(F.col("x") != F.col("y")))
+        parts.append(emit.where(F.col("eid").isNotNull()))
+        state = s.select("cycle_id", F.when(mx, F.col("px")).otherwise(F.col("x")).alias("x"),
+                         F.when(my, F.col("py")).otherwise(F.col("y")).alias("y")) \
+            .where(F.col("x") != F.col("y"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    if (src, dst) != ("src", "dst"):
+        out = out.withColumnRenamed("src", src).withColumnRenamed("dst", dst)
     return out
 
 
