@@ -54,6 +54,26 @@ def shuffle_batches(buffer: int = 5000, seed: int = 42, batch_size: int = 32,
     return _t
 
 
+def examples_batches(vocab: DataFrame, max_seq_length: int = 512, vocab_size_bound: int | None = 32_000,
+                     buffer: int = 5000, seed: int = 42, batch_size: int = 32,
+                     causal: bool = False) -> Callable[[DataFrame, int], DataFrame]:
+    """Per micro-batch transform producing training examples: the batch's
+    accepted texts are shuffled in bounded buffers (:func:`shuffle_batches`)
+    and encoded with a vocabulary fitted beforehand (kept fixed across
+    batches so ids stay stable), then padded/truncated."""
+    from corpuskit.operators import examples as exm
+    shuffle = shuffle_batches(buffer, seed, batch_size)
+
+    def _t(batch: DataFrame, batch_id: int) -> DataFrame:
+        d = shuffle(batch, batch_id)
+        meta = d.drop("text", "line", "source_field")
+        enc = exm.encode(d.select("idx", "text"), vocab, "idx", "text", max_tokens=max_seq_length,
+                         vocab_size_bound=vocab_size_bound)
+        return exm.build_examples(enc, max_seq_length, causal=causal).join(meta, "idx") \
+            .withColumn("stream_batch", F.lit(batch_id))
+    return _t
+
+
 def ingest_stream(spark: SparkSession, source_dir: str, output_dir: str, checkpoint_dir: str,
                   text_field: str = "text", letters: str = PERSIAN_LETTERS,
                   batch_transform: Callable[[DataFrame, int], DataFrame] | None = None,

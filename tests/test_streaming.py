@@ -97,3 +97,21 @@ def test_monitor_stream_equals_batch_twin(spark, tmp_dir):
     q.awaitTermination()
     streamed = {r.window_start: tuple(r)[1:] for r in spark.table("mon_twin").collect()}
     assert streamed == batch
+
+
+def test_stream_training_examples_with_fixed_vocabulary(spark, tmp_dir):
+    from corpuskit.operators.examples import fit_vocabulary
+    from corpuskit.streaming import examples_batches
+    src = os.path.join(tmp_dir, "src3")
+    os.makedirs(src)
+    _write(os.path.join(src, "a.jsonl"), [{"text": f"{FA} {i}"} for i in range(12)])
+    vocab = fit_vocabulary(extract_text(read_jsonl_lines(spark, src)), "text", 40).checkpoint()
+    out = os.path.join(tmp_dir, "out3")
+    ck = os.path.join(tmp_dir, "ck3")
+    t = examples_batches(vocab, max_seq_length=8, vocab_size_bound=40, buffer=5, batch_size=2)
+    ingest_stream(spark, src, out, ck, batch_transform=t).awaitTermination()
+    _write(os.path.join(src, "b.jsonl"), [{"text": f"{FA} x{i}"} for i in range(3)])
+    ingest_stream(spark, src, out, ck, batch_transform=t).awaitTermination()
+    rows = spark.read.parquet(out).collect()
+    assert len(rows) == 15 and all(len(r.input_ids) == 8 for r in rows)
+    assert {r.stream_batch for r in rows} == {0, 1}
