@@ -132,27 +132,41 @@ def with_row_index_range(df: DataFrame, order_cols, name: str = "idx",
         .drop("_mid", "_pid", "_loc", "_off")
 
 
+# A top-k's final merge runs in one task and receives k rows per input
+# partition; above these sizes the distributed row index is used instead.
+TOPK_MERGE_ROWS = 5_000_000
+TOPK_MERGE_KEYS = 50_000_000
+
+
+def _input_partitions(df: DataFrame) -> int:
+    try:
+        return df.rdd.getNumPartitions()  # planning only, no job
+    except Exception:  # noqa: BLE001
+        return _num_partitions(df, None)
+
+
 def take_first(df: DataFrame, n: int, order_cols, buffer: int | None = None,
-               round_to_buffer: bool = False, topk_threshold: int = 100_000,
-               row_topk_threshold: int = 10_000) -> DataFrame:
+               round_to_buffer: bool = False, row_topk_threshold: int = 10_000,
+               topk_threshold: int = 100_000) -> DataFrame:
     """First ``n`` rows in ``order_cols`` order (the max_samples stop).
 
     With ``round_to_buffer`` the cut is rounded up to whole shuffle buffers,
     which is what a stop check placed after each buffer flush yields.
-    Small ``n`` is a one-pass top-k of whole rows (each task keeps ``n``
-    rows); medium ``n`` a top-k of the keys only plus a semi join (bounded
-    memory for wide rows); large ``n`` uses the distributed row index so no
-    single task merges ``n x tasks`` rows.
+    A top-k merges ``n`` rows per input partition in one task, so it is used
+    only while that stays small: whole rows (``n <= row_topk_threshold``),
+    or keys only plus a broadcast semi join (``n <= topk_threshold``).
+    Otherwise the distributed row index selects the rows.
     """
     if round_to_buffer:
         if not buffer:
             raise ValueError("round_to_buffer needs buffer")
         n = int(math.ceil(n / buffer) * buffer)
-    if n <= row_topk_threshold:
+    parts = _input_partitions(df)
+    if n <= row_topk_threshold and n * parts <= TOPK_MERGE_ROWS:
         return df.orderBy(*_cols(order_cols)).limit(n)
-    if n <= topk_threshold:
-        # Top-k over the keys only (each task keeps n small rows), then a
-        # semi join against the broadcast key set (at most n rows).
+    if n <= topk_threshold and n * parts <= TOPK_MERGE_KEYS:
+        # Top-k over the keys only, then a semi join against the broadcast
+        # key set (at most n rows).
         names = [order_cols] if isinstance(order_cols, str) else list(order_cols)
         keys = df.select(*names).orderBy(*_cols(names)).limit(n)
         return df.join(F.broadcast(keys), names, "left_semi")
@@ -197,6 +211,29 @@ def eval_size(n: int, fraction: float = 0.01, cap: int = 5000, threshold: int =
     return int(math.ceil(min(fraction, cap / n) * n))
 
 
+_PREFIX_SPACE = 16 ** 15  # md5 hex prefixes of 15 digits, uniform
+
+
+def smallest_hashes(df: DataFrame, key_col: str, seed: int, k: int, n: int) -> DataFrame:
+    """The ``k`` rows with the smallest md5(seed : key) (ties by key), exactly.
+
+    md5 is uniform, so a prefix threshold expected to keep ~3k rows selects a
+    small candidate set in one filtered pass (widened until it holds k rows);
+    only those candidates meet in the final top-k.  A plain top-k would merge
+    k rows per input partition in one task.
+    """
+    h = shuffle_hash(key_col, seed)
+    d = df.select(F.col(key_col).alias("_ek"), h.alias("_h"))
+    prefix = F.conv(F.substring("_h", 1, 15), 16, 10).cast("decimal(20,0)")
+    frac = min(1.0, 3.0 * k / max(n, 1))
+    while True:
+        limit = min(_PREFIX_SPACE, int(math.ceil(_PREFIX_SPACE * frac)))
+        cand = d.where(prefix < F.lit(limit).cast("decimal(20,0)"))
+        if limit >= _PREFIX_SPACE or cand.count() >= k:
+            return cand.orderBy("_h", "_ek").limit(k)
+        frac *= 2
+
+
 def train_eval_split(df: DataFrame, key_col: str, seed: int = 42, fraction: float = 0.01,
                      cap: int = 5000, threshold: int = 1000, n: int | None = None) -> DataFrame:
     """Tag rows ``train``/``eval``: eval = the ``eval_size`` rows with the
@@ -209,9 +246,7 @@ def train_eval_split(df: DataFrame, key_col: str, seed: int = 42, fraction: floa
     k = eval_size(n, fraction, cap, threshold)
     if k == 0:
         return df.withColumn("split", F.lit("train"))
-    h = shuffle_hash(key_col, seed)
-    ev = df.select(F.col(key_col).alias("_ek"), h.alias("_h")).orderBy("_h", "_ek").limit(k) \
-        .select("_ek", F.lit(True).alias("_is_eval"))
+    ev = smallest_hashes(df, key_col, seed, k, n).select("_ek", F.lit(True).alias("_is_eval"))
     out = df.join(F.broadcast(ev), df[key_col] == ev["_ek"], "left")
     return out.withColumn("split", F.when(F.col("_is_eval"), F.lit("eval")).otherwise(F.lit("train"))) \
         .drop("_ek", "_is_eval")

@@ -115,3 +115,10 @@ def test_head_per_group_uses_group_limit(spark):
     assert sorted((r.category, r.pos) for r in h.collect()) == [("a", 0), ("a", 1), ("b", 1), ("b", 3)]
     plan = h._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_smallest_hashes_widens_until_exact(spark):
+    df = spark.range(500).withColumnRenamed("id", "key")
+    got = sorted(r._ek for r in od.smallest_hashes(df, "key", 7, 50, n=10 ** 9).collect())
+    exp = sorted(sorted(range(500), key=lambda k: (hashlib.md5(f"7:{k}".encode()).hexdigest(), k))[:50])
+    assert got == exp
