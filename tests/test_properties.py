@@ -53,3 +53,25 @@ def test_write_run_metadata(spark, tmp_dir):
     write_run_metadata(spark, {"total_steps": 6250, "final_loss": 1.25, "training_duration": "1:00:00"}, p)
     m = json.loads(spark.read.text(p).first().value)
     assert m["total_steps"] == 6250 and "completed_at" in m
+
+
+FA_LONG = "امروز در کتابخانه یک کتاب تازه درباره تاریخ خواندم"
+LAT_LONG = "plain latin words without any script letters " * 3
+KEYS = st.sampled_from(["text", "content", "body", "note", "zzz", "a", "document", "main_text"])
+VALUES = st.one_of(
+    st.sampled_from([FA_LONG, " " + FA_LONG + " ", LAT_LONG, "  {" + LAT_LONG, "http " + LAT_LONG, "short", ""]),
+    st.integers(-10, 10 ** 6), st.booleans(), st.none(),
+    st.lists(st.sampled_from([FA_LONG, "x", 1]), max_size=3))
+OBJECTS = st.lists(st.dictionaries(KEYS, VALUES, max_size=5), min_size=1, max_size=25)
+
+
+@settings(max_examples=12, deadline=None)
+@given(OBJECTS)
+def test_extraction_matches_python_on_random_objects(spark, objs):
+    from corpuskit.operators import extract as ex
+    from tests.oracle import extract
+    lines = [json.dumps(o, ensure_ascii=False) for o in objs]
+    df = spark.createDataFrame([(i, ln) for i, ln in enumerate(lines)], "id long, line string")
+    got = {r.id: (r.text, r.source_field) for r in ex.classify_lines(df).collect()}
+    for i, o in enumerate(objs):
+        assert got[i] == extract(o), lines[i]
