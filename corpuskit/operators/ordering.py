@@ -32,7 +32,7 @@ def _num_partitions(df: DataFrame, n: int | None) -> int:
 
 
 def with_row_index(df: DataFrame, order_cols, name: str = "idx", bucket_cols=None,
-                   bucket_width: int = 1 << 16) -> DataFrame:
+                   bucket_width: int = 1 << 16, materialize: bool = False) -> DataFrame:
     """Add the 1-based position of each row in ``order_cols`` order.
 
     ``order_cols`` must be unique per row.  Rows are grouped in buckets that
@@ -43,9 +43,15 @@ def with_row_index(df: DataFrame, order_cols, name: str = "idx", bucket_cols=Non
     choice) go through :func:`with_row_index_range`.
     The bucket sizes need a count of the (possibly filtered) input before
     numbering, so the input is evaluated twice (the count side is pruned to
-    the key); materialize an expensive input first when that matters.  The
+    the key); ``materialize=True`` writes an expensive input once first.  The
     prefix sum runs over one row per bucket.
     """
+    if materialize:
+        # Compute an expensive input once (reliable checkpoint in the shared
+        # checkpoint dir) instead of once for the counts and once for the rows.
+        from corpuskit.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     keys = _cols(order_cols)
     if bucket_cols is None:
         if len(keys) != 1:
