@@ -33,7 +33,8 @@ def test_stream_equals_batch_and_resumes(spark, tmp_dir):
     streamed = sorted(r.text for r in spark.read.parquet(out).collect())
     batch = sorted(r.text for r in extract_text(read_jsonl_lines(spark, src)).collect())
     assert streamed == batch and len(streamed) == 3
-    assert q.lastProgress is not None
+    progress = [p for p in q.recentProgress if p.get("observedMetrics")]
+    assert progress and progress[-1]["observedMetrics"]["ingest"]["accepted"] == 1
 
 
 def test_monitor_drops_late_rows(spark, tmp_dir):
