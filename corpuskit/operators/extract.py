@@ -116,6 +116,17 @@ def winner_col(obj, text_field: str = "text", fields: Sequence[str] = TEXT_FIELD
     return F.coalesce(*probes)
 
 
+def accepted_flag(obj, text_field: str = "text", fields: Sequence[str] = TEXT_FIELDS,
+                  letters: str = PERSIAN_LETTERS) -> Column:
+    """True when some candidate passes the gate: the same precedence as
+    :func:`winner_col` without building the winning text (for counts)."""
+    m = col_of(obj)
+    checks = [is_valid_text(ustrip(_field_text(m, name)), letters) for name in _probe_names(text_field, fields)]
+    checks.append(F.exists(F.map_entries(m), lambda e: is_valid_text(e["value"].cast("string"), letters)
+                           & (F.schema_of_variant(e["value"]) == "STRING")))
+    return F.coalesce(*[F.when(c, F.lit(True)) for c in checks], F.lit(False))
+
+
 def _with_winner(df: DataFrame, line_col: str, text_field: str, fields: Sequence[str],
                  letters: str) -> DataFrame:
     # Staged projections: Catalyst keeps a non-cheap column that is used more
@@ -172,8 +183,8 @@ def count_valid(df: DataFrame, line_col: str = "line", max_samples: int | None =
     A single aggregation with map-side partial counts; the cap is applied to
     the global count (exact, same as stopping the count at the cap).
     """
-    p = _with_winner(df, line_col, text_field, fields, letters)
-    n = F.count_if(F.col("_win").isNotNull())
+    p = with_parsed(df, line_col).withColumn("_dict", dict_map(F.col(OBJ)))
+    n = F.count_if(accepted_flag(F.col("_dict"), text_field, fields, letters))
     if max_samples:
         n = F.least(n, F.lit(max_samples).cast("bigint"))
     return p.agg(n.cast("bigint").alias("n_valid"))
