@@ -120,3 +120,11 @@ def test_metrics_file_golden_shares(spark):
     lines = [r.line for r in ev.metrics_lines(ev.response_metrics(df)).orderBy("line_no").collect()]
     assert lines[3:] == ["persian_only: 100.0%", "friendly_tone: 25.0%", "helpful_content: 100.0%",
                          "creative_elements: 28.6%", "emoji_usage: 7.1%"]
+
+
+def test_personality_templates_take_system_text(spark):
+    from corpuskit.sources.suites import PERSONALITY_TEMPLATES
+    p = spark.createDataFrame([("پرسش {system}",)], "prompt string")
+    r = ev.render_prompts(p, "prompt", PERSONALITY_TEMPLATES, system="SYS").orderBy("template_pos").collect()
+    assert "SYS" in r[0].rendered and "پرسش {system}" in r[0].rendered  # prompt inserted last, verbatim
+    assert "{prompt}" not in r[3].rendered and r[3].rendered.startswith("<|system|>\nSYS")
