@@ -2,6 +2,6 @@
 per-batch output and resume, and a watermarked resource monitor."""
 
 from corpuskit.streaming.ingest import (  # noqa: F401
-    accepted_count_metric, examples_batches, ingest_stream, shuffle_batches, stream_jsonl,
+    accepted_count_metric, examples_batches, ingest_stream, resume_point, shuffle_batches, stream_jsonl,
 )
 from corpuskit.streaming.monitor import monitor_stream  # noqa: F401

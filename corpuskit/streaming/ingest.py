@@ -21,6 +21,18 @@ from corpuskit.operators.extract import extract_text
 from corpuskit.sources.jsonl import decode_ignore
 
 
+def resume_point(spark: SparkSession, checkpoint_dir: str) -> int | None:
+    """Last committed micro-batch id under a streaming checkpoint, or None when
+    the query has never committed (works on any Hadoop file system)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(checkpoint_dir.rstrip("/") + "/commits")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    ids = [int(st.getPath().getName()) for st in fs.listStatus(path) if st.getPath().getName().isdigit()]
+    return max(ids) if ids else None
+
+
 def stream_jsonl(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming lines ``(file_path, line)`` (decoded leniently, stripped,
     non-blank) of the files appearing under ``path``."""

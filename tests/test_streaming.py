@@ -22,10 +22,12 @@ def test_stream_equals_batch_and_resumes(spark, tmp_dir):
     out = os.path.join(tmp_dir, "out")
     ck = os.path.join(tmp_dir, "ck")
     _write(os.path.join(src, "a.jsonl"), [{"text": FA + " 1"}, "{bad", {"body": FA + " 2"}])
+    from corpuskit.streaming import resume_point
+    assert resume_point(spark, ck) is None
     q = ingest_stream(spark, src, out, ck)
     q.awaitTermination()
     first = spark.read.parquet(out).count()
-    assert first == 2
+    assert first == 2 and resume_point(spark, ck) == 0
     # Second run: only the new file is read; batch outputs are idempotent per batch id.
     _write(os.path.join(src, "b.jsonl"), [{"content": FA + " 3"}, {"x": 1}])
     q = ingest_stream(spark, src, out, ck)
