@@ -43,7 +43,8 @@ def best_candidate(candidates: DataFrame, key_cols: Sequence[str] | str, output_
                    prompts: DataFrame | None = None) -> DataFrame:
     """Per prompt: the longest candidate (gate: longer than 10 code points and
     a script letter), the first template winning ties; when none passes, a
-    fallback answer picked by md5 of ``fallback_key`` (or the first key).
+    fallback answer picked by md5 of ``fallback_key`` (the prompt text, as the
+    reference hashes the prompt; default the first key).
 
     Output: keys, ``best_template_pos`` (NULL for fallback), ``response``,
     ``is_fallback``.  With ``prompts`` the keys come from that table (left
@@ -55,8 +56,11 @@ def best_candidate(candidates: DataFrame, key_cols: Sequence[str] | str, output_
     cand = F.when(ok, F.struct(F.length(out).alias("len"), (-F.col(pos_col)).alias("neg_pos"),
                                out.alias("output")))
     best = candidates.groupBy(*keys).agg(F.max(cand).alias("_best"))
+    extra = [fallback_key] if fallback_key and fallback_key not in keys else []
     if prompts is not None:
-        best = prompts.select(*keys).join(best, keys, "left")
+        best = prompts.select(*keys, *extra).join(best, keys, "left")
+    elif extra:
+        raise ValueError("a fallback_key outside the keys needs the prompts table")
     fk = F.col(fallback_key or keys[0])
     if fallback is None or len(fallback) == 0:
         fb = F.lit(None).cast("string")

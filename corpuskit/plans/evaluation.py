@@ -19,8 +19,8 @@ def evaluate_candidates(prompts: DataFrame, candidates: DataFrame, letters: str
     """
     c = candidates.withColumn("output", tx.strip_echo_all("output", "rendered"))
     best = ev.best_candidate(c, "pos", "output", "template_pos", letters=letters, gate=gate,
-                             fallback=fallback, prompts=prompts.select("pos"))
-    results = prompts.join(best, "pos").select("category", "cat_pos", "pos", "prompt", "response",
+                             fallback=fallback, fallback_key="prompt", prompts=prompts.select("pos", "prompt"))
+    results = prompts.join(best.drop("prompt"), "pos").select("category", "cat_pos", "pos", "prompt", "response",
                                                "best_template_pos", "is_fallback")
     metrics = ev.response_metrics(results, "response", letters=letters, **lex)
     return {

@@ -176,7 +176,7 @@ c AS (SELECT pos, template_pos, CASE WHEN rendered IS NULL OR rendered = '' THEN
 ok AS (SELECT * FROM c WHERE coalesce(length(output) > 10, false) AND {has_script('output')}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY length(output) DESC, template_pos) AS r FROM ok),
 res AS (SELECT p.cat_pos, p.pos, b.template_pos AS best_template_pos, b.output IS NULL AS is_fallback,
-               coalesce(b.output, ({FALLBACK_SQL})[{hash_pick('p.pos', 3)} + 1]) AS response
+               coalesce(b.output, ({FALLBACK_SQL})[{hash_pick('p.prompt', 3)} + 1]) AS response
         FROM p LEFT JOIN (SELECT * FROM ranked WHERE r = 1) b ON b.pos = p.pos)"""
 
 SQL = {
