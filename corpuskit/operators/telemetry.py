@@ -44,7 +44,9 @@ def stage_durations(parsed: DataFrame, run_cols=()) -> DataFrame:
     wall seconds.  Each start is paired with the next event of the same stage
     (``lead`` in a window per run and stage)."""
     ev = stage_events(parsed)
-    w = Window.partitionBy(*run_cols, "stage").orderBy("ts", "kind")
+    # At equal timestamps a start sorts before the end it opens.
+    rank = F.when(F.col("kind") == "start", 0).otherwise(1)
+    w = Window.partitionBy(*run_cols, "stage").orderBy("ts", rank)
     ev = ev.withColumn("_next_kind", F.lead("kind").over(w)) \
         .withColumn("_next_ts", F.lead("ts").over(w)) \
         .withColumn("_next_secs", F.lead("reported_seconds").over(w))

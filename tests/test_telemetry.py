@@ -37,6 +37,14 @@ def test_stage_durations(log_df):
     assert got == {"loading": ("completed", 2.15, 2.15), "tuning": ("failed", 1.5, 1.5)}
 
 
+def test_stage_end_at_same_millisecond(spark):
+    from corpuskit.sources.runlog import parse_log
+    rows = ["2025-01-05 10:00:00,000 - INFO - [m] - Starting quick...",
+            "2025-01-05 10:00:00,000 - INFO - [m] - ✅ Completed quick in 0.00s"]
+    got = tm.stage_durations(parse_log(spark.createDataFrame([(r,) for r in rows], "value string"))).collect()
+    assert [(r.stage, r.status, r.wall_seconds) for r in got] == [("quick", "completed", 0.0)]
+
+
 def test_resources_and_delta(log_df):
     s = tm.resource_samples(log_df)
     rows = {r.phase: r for r in s.collect()}
