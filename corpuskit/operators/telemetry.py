@@ -169,10 +169,11 @@ def event_gaps(events: DataFrame, key_col: str, ts_col: str, id_col: str, bucket
     timestamp of the key's previous non-empty bucket from a small per-bucket
     table (one row per key and bucket).
     """
-    d = events.withColumn("_bk", F.date_trunc(bucket, F.col(ts_col)))
+    b = events.withColumn("_bk", F.date_trunc(bucket, F.col(ts_col)))
     w = Window.partitionBy(key_col, "_bk").orderBy(ts_col, id_col)
-    d = d.withColumn("_prev", F.lag(ts_col).over(w))
-    last = d.groupBy(key_col, "_bk").agg(F.max(ts_col).alias("_last"))
+    d = b.withColumn("_prev", F.lag(ts_col).over(w))
+    # Per (key, bucket) last timestamp straight from the input (partial max).
+    last = b.groupBy(key_col, "_bk").agg(F.max(ts_col).alias("_last"))
     wk = Window.partitionBy(key_col).orderBy("_bk")
     last = last.select(key_col, "_bk", F.lag("_last").over(wk).alias("_prev_bucket_last"))
     d = d.join(last, [key_col, "_bk"])
