@@ -53,3 +53,21 @@ def test_input_index_refuses_shuffled_input(spark):
     df = spark.range(10).select(F.lit("f").alias("file_path"), F.lit(0).alias("block_start"), "id").repartition(3)
     with pytest.raises(ValueError):
         od.with_input_index(df)
+
+
+def test_aggregations_combine_before_the_shuffle(spark):
+    from corpuskit.operators import evaluate as ev
+    docs = spark.createDataFrame([(i, "a b c " * 3) for i in range(50)], "key long, text string")
+    plan = _plan(exm.fit_vocabulary(docs, "text", 10))
+    assert re.search(r"partial_count", plan), plan
+    cands = spark.createDataFrame([(i % 3, i, "سلام" * 5) for i in range(30)], "pid long, template_pos int, output string")
+    plan = _plan(ev.best_candidate(cands, "pid"))
+    assert re.search(r"partial_max", plan), plan
+
+
+def test_head_per_group_limits_before_shuffle(spark):
+    df = spark.createDataFrame([("a", i) for i in range(100)], "category string, pos int")
+    plan = _plan(od.head_per_group(df, "category", "pos", 2))
+    # The partial group limit sits below the exchange.
+    below = plan.split("Exchange hashpartitioning(category")[1]
+    assert "WindowGroupLimit" in below
