@@ -79,7 +79,16 @@ def q_training_examples(spark, d):
     return ex_.select("line_no", "window_id", "shuffle_pos", "batch_id", ids_text("input_ids").alias("input_ids"))
 
 
+def q_batch_examples(spark, d):
+    """The batch-trainer path end to end: truthy texts, stripped, encoded,
+    padded, empty ones dropped, then the seeded train/eval split."""
+    from corpuskit.plans.ingest import batch_ingest
+    b = batch_ingest(table(spark, d, "documents"), "doc_id", max_seq_length=SEQ, vocab_size=VOCAB)
+    return b.select("doc_id", "split", ids_text("input_ids").alias("input_ids"))
+
+
 QUERIES = {
+    "batch_examples": q_batch_examples,
     "training_examples": q_training_examples,
     "fit_vocabulary": q_fit_vocabulary,
     "encode_ids": q_encode_ids,
@@ -121,7 +130,23 @@ vocab AS (SELECT term, row_number() OVER (ORDER BY freq DESC, term) + 1 AS id
 enc AS (SELECT t.line_no, list(coalesce(v.id, 1) ORDER BY t.pos) AS ids FROM tok t LEFT JOIN vocab v USING (term)
         GROUP BY t.line_no)"""
 
+BATCH = f"""docs AS (SELECT doc_id, {strip('text')} AS text FROM documents WHERE text IS NOT NULL AND text <> ''),
+toks AS (SELECT doc_id, {tokens('text')} AS toks FROM docs),
+tok AS (SELECT doc_id, unnest(toks) AS term, generate_subscripts(toks, 1) - 1 AS pos FROM toks),
+vocab AS (SELECT term, row_number() OVER (ORDER BY freq DESC, term) + 1 AS id
+          FROM (SELECT term, count(*) AS freq FROM tok GROUP BY term ORDER BY freq DESC, term LIMIT {VOCAB - 2})),
+enc AS (SELECT t.doc_id, list(coalesce(v.id, 1) ORDER BY t.pos) AS ids FROM tok t LEFT JOIN vocab v USING (term)
+        GROUP BY t.doc_id),
+n AS (SELECT count(*) AS n FROM enc),
+k AS (SELECT CASE WHEN n <= 1000 THEN 0 ELSE CAST(ceil(least(0.01, 5000.0 / n) * n) AS BIGINT) END AS k FROM n),
+ranked AS (SELECT doc_id, ids, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS r FROM enc)"""
+
 SQL = {
+    "batch_examples": f"""WITH {BATCH}
+        SELECT doc_id, CASE WHEN r <= (SELECT k FROM k) THEN 'eval' ELSE 'train' END AS split,
+               array_to_string(list_concat(ids[1:{SEQ}], list_transform(range({SEQ} - len(ids[1:{SEQ}])), lambda x: 0)), ' ')
+               AS input_ids
+        FROM ranked""",
     "training_examples": f"""WITH {TRAIN}
         SELECT ws.line_no, ws.window_id, ws.shuffle_pos, (ws.shuffle_pos - 1) // 32 AS batch_id,
                array_to_string(list_concat(ids[1:{SEQ}], list_transform(range({SEQ} - len(ids[1:{SEQ}])), lambda x: 0)), ' ')
