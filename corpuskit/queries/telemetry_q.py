@@ -9,14 +9,35 @@ from corpuskit.operators import telemetry as tm
 from corpuskit.queries.common import table
 
 
-def samples(spark, d):
-    e = table(spark, d, "events")
+def samples_of(e):
+    """Events read as resource samples (works on batch and streaming frames)."""
     return e.select("event_id", "event_type", "user_id", F.col("ts").cast("timestamp").alias("ts"),
                     (F.col("value") / 500).alias("cpu_usage"),
                     (F.get_json_object("props", "$.k").cast("double") / 100).alias("ram_ratio"),
                     F.lit(0.0).alias("gpu_usage"))
 
 
+def samples(spark, d):
+    return samples_of(table(spark, d, "events"))
+
+
+def q_stream_monitor(spark, d):
+    """The Structured Streaming monitor over the events file (file source,
+    availableNow), collected in a memory sink; equals its batch twin."""
+    import uuid
+    from corpuskit.session import ensure_checkpoint_dir
+    from corpuskit.streaming.monitor import monitor_stream
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")
+    name = "stream_monitor_" + uuid.uuid4().hex[:12]
+    ck = ensure_checkpoint_dir(spark).rstrip("/") + "/" + name
+    q = monitor_stream(samples_of(stream), "ts", "1 hour", "1 day").writeStream.format("memory") \
+        .queryName(name).outputMode("complete").option("checkpointLocation", ck) \
+        .trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
 def q_limit_breaches(spark, d):
     return tm.limit_breaches(samples(spark, d), by="event_type")
 
@@ -50,6 +71,7 @@ def q_stage_resource_delta(spark, d):
 
 
 QUERIES = {
+    "stream_monitor": q_stream_monitor,
     "stage_durations": q_stage_durations,
     "stage_resource_delta": q_stage_resource_delta,
     "limit_breaches": q_limit_breaches,
@@ -86,3 +108,5 @@ SQL = {
         round((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1e6, 6) AS gap_seconds
         FROM events""",
 }
+# The stream's final windows equal the batch twin's.
+SQL["stream_monitor"] = SQL["tumbling_breaches"]
