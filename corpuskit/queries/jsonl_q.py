@@ -31,7 +31,26 @@ def q_profile_fields(spark, d):
     return ex.profile_fields(documents_as_jsonl(spark, d))
 
 
+def q_stream_extract(spark, d):
+    """Incremental extraction: the documents' JSON lines are written once as
+    text files, then read by a file stream (availableNow) through the same
+    parse/extract/gate operators into a memory sink."""
+    import uuid
+    from corpuskit.session import ensure_checkpoint_dir
+    from corpuskit.streaming.ingest import stream_jsonl
+    name = "stream_extract_" + uuid.uuid4().hex[:12]
+    base = ensure_checkpoint_dir(spark).rstrip("/") + "/" + name
+    documents_as_jsonl(spark, d).select("line").write.text(base + "/src")
+    acc = ex.extract_text(stream_jsonl(spark, base + "/src"), letters=LETTERS)
+    out = acc.select(F.get_json_object("line", "$.doc_id").cast("bigint").alias("line_no"), "source_field", "text")
+    q = out.writeStream.format("memory").queryName(name).option("checkpointLocation", base + "/ck") \
+        .trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
 QUERIES = {
+    "stream_extract": q_stream_extract,
     "jsonl_quarantine": q_jsonl_quarantine,
     "extract_text": q_extract_text,
     "count_valid": q_count_valid,
@@ -40,6 +59,7 @@ QUERIES = {
 }
 
 SQL = {
+    "stream_extract": f"WITH {EXTRACT_CTE} SELECT line_no, source_field, text FROM extracted WHERE text IS NOT NULL",
     "jsonl_quarantine": "SELECT doc_id AS line_no, 'malformed' AS reason FROM documents WHERE doc_id % 17 = 0",
     "extract_text": f"WITH {EXTRACT_CTE} SELECT line_no, source_field, text FROM extracted WHERE text IS NOT NULL",
     "count_valid": f"WITH {EXTRACT_CTE} SELECT count(text) AS n_valid FROM extracted",
