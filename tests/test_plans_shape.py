@@ -71,3 +71,14 @@ def test_head_per_group_limits_before_shuffle(spark):
     # The partial group limit sits below the exchange.
     below = plan.split("Exchange hashpartitioning(category")[1]
     assert "WindowGroupLimit" in below
+
+
+def test_row_index_single_partition_exchanges_carry_no_data_columns(spark):
+    df = spark.createDataFrame([(i, "payload-%d" % i) for i in range(300)], "key long, payload string")
+    r = od.with_row_index(df, "key", "idx", bucket_width=16)
+    r.write.format("noop").mode("overwrite").save()
+    text = spark._jvm.PythonSQLUtils.explainString(r._jdf.queryExecution(), "formatted")
+    blocks = re.findall(r"\(\d+\) Exchange\s*\nInput \[\d+\]: \[([^\]]*)\]\nArguments: SinglePartition", text)
+    assert blocks, text
+    # Only the per-bucket table (bucket id, size) is gathered in one partition.
+    assert all("payload" not in b and "key" not in b for b in blocks), blocks
