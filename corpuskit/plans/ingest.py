@@ -54,7 +54,7 @@ def corpus_examples(lines: DataFrame, order_cols=None, cfg: IngestConfig = Inges
     ``quarantine``, ``accepted`` (text with index, window and batch) and
     ``examples`` DataFrames.
     """
-    good, bad = ex.quarantine_malformed(lines, "line")
+    _, bad = ex.quarantine_malformed(lines, "line")
     acc = ex.extract_text(lines, "line", cfg.text_field, cfg.fields, cfg.letters)
     if cfg.materialize:
         from corpuskit.session import ensure_checkpoint_dir
