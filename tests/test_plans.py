@@ -79,3 +79,16 @@ def test_corpus_examples_two_epochs(spark, tmp_dir):
     for r in ex:
         by_epoch[r.epoch][r.idx] = r.shuffle_pos
     assert set(by_epoch[0]) == set(by_epoch[1]) and by_epoch[0] != by_epoch[1]
+
+
+def test_report_body_written_in_order(spark, tmp_dir):
+    from corpuskit.operators import evaluate as ev
+    res = spark.createDataFrame([("b_cat", 1, 0, "p2", "r2 <b>"), ("a_cat", 0, 1, "p1", "r1"), ("a_cat", 0, 0, "p0", "r0")],
+                                "category string, cat_pos int, pos int, prompt string, response string")
+    out = os.path.join(tmp_dir, "report")
+    write_ordered_text(ev.report_rows(res), out, ["cat_pos", "pos"], text_col="fragment", num_partitions=2)
+    files = sorted(f for f in os.listdir(out) if f.startswith("part-"))
+    text = "".join(open(os.path.join(out, f), encoding="utf-8").read() for f in files)
+    heads = [ln for ln in text.split("\n") if ln.startswith("<h2>")]
+    assert heads == ["<h2>📂 A Cat</h2>", "<h2>📂 B Cat</h2>"]
+    assert text.index("p0") < text.index("p1") < text.index("p2") and "r2 &lt;b&gt;" in text
