@@ -128,3 +128,12 @@ def test_personality_templates_take_system_text(spark):
     r = ev.render_prompts(p, "prompt", PERSONALITY_TEMPLATES, system="SYS").orderBy("template_pos").collect()
     assert "SYS" in r[0].rendered and "پرسش {system}" in r[0].rendered  # prompt inserted last, verbatim
     assert "{prompt}" not in r[3].rendered and r[3].rendered.startswith("<|system|>\nSYS")
+
+
+def test_plain_variant_through_the_plan(spark):
+    prompts = spark.createDataFrame([("c", 0, 0, "q"), ("c", 0, 1, "r")], "category string, cat_pos int, pos int, prompt string")
+    cands = spark.createDataFrame([(0, 0, "x", "short"), (0, 1, "x", "a longer english answer"), (1, 0, "x", "")],
+                                  "pos int, template_pos int, rendered string, output string")
+    out = evaluate_candidates(prompts, cands, gate=False, fallback=[tx.PLAIN_FALLBACK])
+    got = {r.pos: r.response for r in out["results"].collect()}
+    assert got == {0: "a longer english answer", 1: tx.PLAIN_FALLBACK}
