@@ -11,8 +11,8 @@ from corpuskit.operators import extract as ex
 from corpuskit.queries.common import EXTRACT_CTE, LETTERS, strip, table, tokens
 from corpuskit.sources.jsonl import documents_as_jsonl
 
-VOCAB = 1000
-SEQ = 64
+VOCAB = 32_000  # library default vocabulary size
+SEQ = 512  # the reference trainer's max_seq_length
 
 
 def corpus(spark, d):
