@@ -9,7 +9,7 @@ from corpuskit.operators import ordering as od
 from corpuskit.queries.common import EXTRACT_CTE, LETTERS, table
 from corpuskit.sources.jsonl import documents_as_jsonl
 
-BUFFER = 100
+BUFFER = 100  # small enough that the sf0.01 corpus spans several shuffle buffers
 BATCH = 32
 SEED = 42
 
