@@ -86,7 +86,7 @@ def corpus_examples(lines: DataFrame, order_cols=None, cfg: IngestConfig = Inges
 
 def batch_ingest(table: DataFrame, key_col: str, text_col: str = "text", max_samples: int | None = None,
                  max_seq_length: int = 512, vocab_size: int = 32_000, seed: int = 42,
-                 vocab: DataFrame | None = None) -> DataFrame:
+                 vocab: DataFrame | None = None, materialize: bool = True) -> DataFrame:
     """Batch-trainer path: first ``max_samples`` rows (by key), truthy string
     texts stripped, encoded, padded, labels = ids, empty ones dropped, then
     the seeded train/eval split (``split`` column)."""
@@ -99,4 +99,10 @@ def batch_ingest(table: DataFrame, key_col: str, text_col: str = "text", max_sam
     enc = exm.nonempty_examples(exm.encode(t, vocab, key_col, "text", max_tokens=max_seq_length,
                                            vocab_size_bound=vocab_size))
     ex_ = exm.build_examples(enc, max_seq_length)
+    if materialize:
+        # The split counts and ranks the examples before tagging them: write
+        # them once instead of encoding three times.
+        from corpuskit.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(ex_.sparkSession)
+        ex_ = ex_.checkpoint(eager=True)
     return od.train_eval_split(ex_, key_col, seed)
