@@ -12,9 +12,15 @@ from corpuskit.session import ensure_checkpoint_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches to Python are bounded by bytes, not only by rows: texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once into the shared folder of ``spark.checkpoint.dir`` and
     read it back: cuts the lineage and survives lost executors."""

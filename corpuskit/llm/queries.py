@@ -6,8 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuskit.llm import secrets, simhash
-from corpuskit.llm.common import table
+from corpuskit.llm import bpe, decontam, quality, secrets, simhash
+from corpuskit.llm.common import fold, table
 
 
 def op1_secret_scan(spark, sf_dir):
@@ -46,6 +46,19 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN x USING (rid)"""
 
 
+def op3_byte_bpe(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark, sf_dir):
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_decontamination(spark, sf_dir):
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash(spark, sf_dir):
     out = simhash.near_groups(table(spark, sf_dir, "documents"), k=3)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -53,6 +66,9 @@ def op10_simhash(spark, sf_dir):
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op7_quality": op7_quality,
+    "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
 }
 SQL = {"op1_secret_scan": OP1_SQL}

@@ -136,16 +136,31 @@ def components(edges: DataFrame) -> DataFrame:
         .unionByName(e.select(F.col("a").alias("vertex"), F.col("a").alias("component"))).distinct()
 
 
+def _named(fps: DataFrame, hot: int) -> DataFrame:
+    """Per fingerprint: ``(fp, first)``, the first row ``(no id, doc_id, more)`` of its component."""
+    words = written(fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *[c for c in fps.columns if c != "fp"])).alias("least")), "simhash-distinct")
+    comp = components(links(words.select("fp"), hot))
+    named = written(words.join(comp, words["fp"] == comp["vertex"], "left")
+                    .select("fp", F.coalesce("component", "fp").alias("c"), "least"), "simhash-named")
+    # Written before joins: one row per fingerprint, so AQE may split a hot one.
+    return written(named.join(named.groupBy("c").agg(F.min("least").alias("first")), "c").select("fp", "first"), "simhash-first")
+
+
 def near_groups(documents: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, hot: int = HOT) -> DataFrame:
     """``(doc_id, fp, component_id)``: one row per input row; the component's
     id is the smallest ``doc_id`` that chains of links reach."""
     fps = written(fingerprints(documents, key, text, k), "simhash-fp")
-    words = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    comp = components(links(words.select("fp"), hot))
-    named = words.join(comp, words["fp"] == comp["vertex"], "left") \
-        .select("fp", F.coalesce("component", "fp").alias("c"), "least")
-    named = written(named, "simhash-named")
-    ids = named.groupBy("c").agg(F.min("least").alias("component_id"))
-    # Written before the join back: one row per fingerprint, so AQE may split a hot one.
-    names = written(named.join(ids, "c").select("fp", "component_id"), "simhash-ids")
-    return fps.join(names, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(_named(fps, hot), "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
+
+
+def keep_first(documents: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, hot: int = HOT) -> DataFrame:
+    """``documents`` with one row of each group: the one with the smallest id
+    (of equal ids, the smallest text hash; of repeated rows, any one)."""
+    mark = documents.withColumn("_mark", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    fps = fingerprints(mark.withColumn("_id", F.struct(F.col(key).alias("doc_id"), "_mark")), "_id", text, k)
+    fps = written(fps.select("doc_id.doc_id", "doc_id._mark", "fp"), "simhash-fp")
+    first = written(_named(fps, hot).select("first").distinct().select(F.col("first.doc_id").alias("_key"), F.col("first._mark").alias("_m")), "simhash-kept")
+    kept = mark.join(first, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_mark") == F.col("_m")), "left_semi")
+    if not fps.groupBy("doc_id", "_mark").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([key, "_mark"])
+    return kept.select(*documents.columns)
