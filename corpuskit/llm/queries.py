@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuskit.llm import bpe, decontam, quality, secrets, sharding, simhash, topk
+from corpuskit.llm import bpe, decontam, quality, secrets, sharding, simhash, topk, toxicity
 from corpuskit.llm.common import fold, table
 
 
@@ -61,6 +61,11 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM p QUALIFY rank <= 5"""
 
 
+def op6_toxicity(spark, sf_dir):
+    scored = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_quality(spark, sf_dir):
     scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -84,6 +89,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_topk": op5_topk,
+    "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
