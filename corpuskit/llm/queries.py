@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuskit.llm import bpe, decontam, quality, secrets, sharding, simhash, topk, toxicity
+from corpuskit.llm import bpe, decontam, licenses, quality, secrets, sharding, simhash, topk, toxicity
 from corpuskit.llm.common import fold, table
 
 
@@ -50,6 +50,16 @@ def op3_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark, sf_dir):
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("matches", lambda m: m["base"])
+    starts = F.transform(base, lambda m: m["start"])
+    labels = lambda m: F.concat_ws(",", F.array_sort(F.array_distinct(F.transform(m, lambda x: x["label"]))))
+    return found.select("doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"),
+                        F.array_max(starts).alias("last_word"), labels(base).alias("base_labels"), labels(F.col("matches")).alias("labels"),
+                        F.coalesce(F.array_max(F.transform("matches", lambda m: m["share"])), F.lit(0.0)).alias("score"))
+
+
 def op5_topk(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5, component=lambda x: F.floor(256 * x))
 
@@ -88,6 +98,7 @@ def op10_simhash(spark, sf_dir):
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_license_scan": op4_license_scan,
     "op5_topk": op5_topk,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
