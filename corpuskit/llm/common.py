@@ -30,6 +30,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def fold(doc_id: str | Column) -> Column:
     """crc32 of the id as text, modulo 3 (NULL id: 0, a training fold without labels)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

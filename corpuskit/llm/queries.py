@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuskit.llm import bpe, decontam, licenses, quality, secrets, sharding, simhash, topk, toxicity
+from corpuskit.llm import bpe, decontam, licenses, quality, secrets, sharding, simhash, suffix_dedup, topk, toxicity
 from corpuskit.llm.common import fold, table
 
 
@@ -46,6 +46,10 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN x USING (rid)"""
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op3_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -97,6 +101,7 @@ def op10_simhash(spark, sf_dir):
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_license_scan": op4_license_scan,
     "op5_topk": op5_topk,

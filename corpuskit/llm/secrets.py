@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import text_slices, written
+from corpuskit.llm.common import fresh, text_slices, written
 
 SPANS = "array<struct<kind:string,rule:string,start:int,end:int>>"
 
@@ -156,14 +156,17 @@ def redact(documents: DataFrame, key: str = "doc_id", text: str = "text", rules=
     """``documents`` with every found secret masked and ``n_chars`` (where there
     is one) corrected; no row goes.  Texts without findings aren't touched."""
     found, _ = scan_versions(documents.select(key, text), [key], rules, text)
-    hits = written(found.where(F.size("spans") > 0).select("blob_id", F.col("spans").alias("_spans")).dropDuplicates(["blob_id"]), "secret-redact")
+    blob, spans = fresh(documents, "_blob"), fresh(documents, "_spans")
+    hits = written(found.where(F.size("spans") > 0).select(F.col("blob_id").alias(blob), F.col("spans").alias(spans)).dropDuplicates([blob]), "secret-redact")
 
     @F.pandas_udf("string")
-    def masked(texts, spans):
-        return texts.combine(spans, lambda t, s: t if t is None or s is None or len(s) == 0 else redact_text(t, s))
-
-    out = documents.withColumn("_blob", blob_id(text)).join(hits.withColumnRenamed("blob_id", "_blob"), "_blob", "left")
-    out = out.withColumn(text, F.when(F.col("_spans").isNotNull(), masked(text, "_spans")).otherwise(F.col(text)))
-    if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length(text).cast("bigint")).otherwise(F.col("n_chars")))
+    def masked(texts, found):
+        return texts.combine(found, lambda t, s: t if t is None or s is None or len(s) == 0 else redact_text(t, s))
+
+    out = documents.withColumn(blob, blob_id(text)).join(hits, blob, "left")
+    new = F.when(F.col(spans).isNotNull(), masked(text, spans)).otherwise(F.col(text))
+    count = F.when(F.col(spans).isNotNull(), F.length(text).cast("bigint")).otherwise(F.col("n_chars")) if "n_chars" in documents.columns else None
+    out = out.withColumn(text, new)
+    if count is not None:
+        out = out.withColumn("n_chars", count)
     return out.select(*documents.columns)

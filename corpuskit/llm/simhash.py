@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import text_slices, texts_of, written
+from corpuskit.llm.common import fresh, text_slices, texts_of, written
 
 SEGMENTS = ((0, 21), (21, 22), (43, 21))  # (first bit, width): the ring
 HOT = 64
@@ -156,11 +156,12 @@ def near_groups(documents: DataFrame, key: str = "doc_id", text: str = "text", k
 def keep_first(documents: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, hot: int = HOT) -> DataFrame:
     """``documents`` with one row of each group: the one with the smallest id
     (of equal ids, the smallest text hash; of repeated rows, any one)."""
-    mark = documents.withColumn("_mark", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    fps = fingerprints(mark.withColumn("_id", F.struct(F.col(key).alias("doc_id"), "_mark")), "_id", text, k)
-    fps = written(fps.select("doc_id.doc_id", "doc_id._mark", "fp"), "simhash-fp")
-    first = written(_named(fps, hot).select("first").distinct().select(F.col("first.doc_id").alias("_key"), F.col("first._mark").alias("_m")), "simhash-kept")
-    kept = mark.join(first, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_mark") == F.col("_m")), "left_semi")
-    if not fps.groupBy("doc_id", "_mark").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([key, "_mark"])
+    m, at = fresh(documents, "_mark"), fresh(documents, "_at")
+    mark = documents.withColumn(m, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    fps = fingerprints(mark.select(F.struct(F.col(key).alias("doc_id"), F.col(m).alias("mark")).alias("id"), F.col(text).alias("text")), "id", "text", k)
+    fps = written(fps.select("doc_id.doc_id", "doc_id.mark", "fp"), "simhash-fp")
+    first = written(_named(fps, hot).select("first").distinct().select(F.col("first.doc_id").alias(at), F.col("first.mark").alias(f"{m}_of")), "simhash-kept")
+    kept = mark.join(first, F.col(key).eqNullSafe(F.col(at)) & (F.col(m) == F.col(f"{m}_of")), "left_semi")
+    if not fps.groupBy("doc_id", "mark").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([key, m])
     return kept.select(*documents.columns)
