@@ -61,7 +61,7 @@ def _matrix(table: pa.Table):
     """{dim: (ids, rows)} of packed rows."""
     out = {}
     for i, x, d in zip(*(table.column(c).to_pylist() for c in ("ids", "data", "dim"))):
-        out.setdefault(d, []).append((np.frombuffer(i, np.int64), np.frombuffer(x, np.float64).reshape(-1, d)))
+        out.setdefault(d, []).append((np.frombuffer(i, np.int64), np.frombuffer(x, np.float64).reshape(len(i) // 8, d)))
     return {d: (np.concatenate([a for a, _ in p]), np.concatenate([b for _, b in p])) for d, p in out.items()}
 
 
