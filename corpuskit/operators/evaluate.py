@@ -21,6 +21,9 @@ METRICS_TITLE = "شاخص‌های شخصیت مدل فارسی"
 RULE = "=" * 50
 PROMPT_LABEL = "پرسش:"
 RESPONSE_LABEL = "پاسخ:"
+PLAIN_PROMPT_LABEL = "Prompt:"
+PLAIN_RESPONSE_LABEL = "Response:"
+SUMMARY_TITLE = "Persian Language Model Evaluation Summary"
 
 
 def render_prompts(prompts: DataFrame, prompt_col: str = "prompt",
@@ -96,15 +99,18 @@ def response_metrics(df: DataFrame, response_col: str = "response", by: str | No
                      **lex) -> DataFrame:
     """Share (%) of responses meeting each predicate; empty input gives NULL.
 
-    With ``by`` the result has one row per group plus the overall row
-    (``by`` NULL) from a single rollup aggregation.
+    With ``by`` the result has one row per group (NULL is a group) plus the
+    overall row, told apart by ``is_total``.  The predicates are counted once per
+    group; the overall row adds the counts up.
     """
     preds = metric_columns(response_col, **lex)
-    aggs = [F.count(F.lit(1)).alias("n_responses")] + [
-        F.round(F.avg(p.cast("double")) * 100, 6).alias(n) for n, p in preds.items()]
+    hits = [F.count(F.lit(1)).alias("n_responses")] + [F.count_if(p).alias(n) for n, p in preds.items()]
+    shares = [F.round(F.try_divide(F.col(n), F.col("n_responses")) * 100, 6).alias(n) for n in preds]
     if by is None:
-        return df.agg(*aggs)
-    return df.rollup(by).agg(*aggs)
+        return df.agg(*hits).select("n_responses", *shares)
+    rolled = df.groupBy(by).agg(*hits).rollup(by).agg(
+        (F.grouping(by) == 1).alias("is_total"), *[F.sum(n).alias(n) for n in ("n_responses", *preds)])
+    return rolled.select(by, "is_total", "n_responses", *shares)
 
 
 def _line(n: int, text: Column) -> Column:
@@ -144,18 +150,23 @@ def collect_by_category(df: DataFrame, category_col: str, pos_col: str, cols: Se
 
 
 def report_rows(results: DataFrame, category_col: str = "category", cat_pos_col: str = "cat_pos",
-                pos_col: str = "pos", prompt_col: str = "prompt", response_col: str = "response") -> DataFrame:
+                pos_col: str = "pos", prompt_col: str = "prompt", response_col: str = "response",
+                plain: bool = False) -> DataFrame:
     """Report body as ordered fragments ``(cat_pos, pos, fragment)``: one
     heading per category (``pos`` = -1) and one block per item with the
-    prompt's script class and escaped texts.  Write with
+    prompt's script class and escaped texts.  ``plain``: the other report, with
+    English labels and the response's own script class.  Write with
     ``sortWithinPartitions`` + ``write.text`` after a range partition."""
+    ask, answer = (PLAIN_PROMPT_LABEL, PLAIN_RESPONSE_LABEL) if plain else (PROMPT_LABEL, RESPONSE_LABEL)
+    answer_class = tx.script_class(response_col) if plain else F.lit("persian")
     heads = results.groupBy(cat_pos_col, category_col).agg(F.count(F.lit(1)).alias("_n")) \
         .select(F.col(cat_pos_col).alias("cat_pos"), F.lit(-1).cast("bigint").alias("pos"),
                 F.concat(F.lit("<h2>📂 "), tx.category_title(category_col), F.lit("</h2>")).alias("fragment"))
+    # The fragments of a report item.
     item = F.concat(
         F.lit('<div class="test-item"><div class="prompt '), tx.script_class(prompt_col),
-        F.lit(f'">🗨️ <strong>{PROMPT_LABEL}</strong> '), tx.html_escape(prompt_col),
-        F.lit(f'</div><div class="response persian">🤖 <strong>{RESPONSE_LABEL}</strong>\n'),
+        F.lit(f'">🗨️ <strong>{ask}</strong> '), tx.html_escape(prompt_col),
+        F.lit('</div><div class="response '), answer_class, F.lit(f'">🤖 <strong>{answer}</strong>\n'),
         tx.html_escape(response_col), F.lit("</div></div>"))
     items = results.select(F.col(cat_pos_col).alias("cat_pos"), F.col(pos_col).cast("bigint").alias("pos"),
                            item.alias("fragment"))
@@ -164,18 +175,24 @@ def report_rows(results: DataFrame, category_col: str = "category", cat_pos_col:
 
 def summary_lines(results: DataFrame, category_col: str = "category", cat_pos_col: str = "cat_pos",
                   pos_col: str = "pos", prompt_col: str = "prompt", response_col: str = "response") -> DataFrame:
-    """Text summary as ``(cat_pos, pos, line_no, line)``: per category a
-    ``CATEGORY:`` line and rule, per item PROMPT/RESPONSE lines and a rule."""
-    heads = results.groupBy(cat_pos_col, category_col).agg(F.count(F.lit(1)).alias("_n")).select(
-        F.col(cat_pos_col).alias("cat_pos"), F.lit(-1).cast("bigint").alias("pos"),
-        F.inline(F.array(_line(0, F.concat(F.lit("CATEGORY: "), F.upper(category_col))),
-                         _line(1, F.lit("-" * 30)))))
+    """Text summary as ``(cat_pos, pos, line_no, line)``: title, rule and a blank
+    line (``cat_pos`` = -1), per category a ``CATEGORY:`` line and rule
+    (``pos`` = -1), per item PROMPT/RESPONSE lines and a rule, and a blank line
+    after the category (``pos`` = its last one + 1)."""
+    spark = results.sparkSession
+    title = spark.range(1).select(F.lit(-1).cast("bigint").alias("cat_pos"), F.lit(-1).cast("bigint").alias("pos"), F.inline(F.array(
+        _line(0, F.lit(SUMMARY_TITLE)), _line(1, F.lit(RULE)), _line(2, F.lit("")))))
+    last = (F.max(pos_col).cast("bigint") + 1).alias("_end")
+    ends = results.groupBy(cat_pos_col, category_col).agg(last).select(F.col(cat_pos_col).cast("bigint").alias("cat_pos"), category_col, "_end")
+    heads = ends.select("cat_pos", F.lit(-1).cast("bigint").alias("pos"), F.inline(F.array(
+        _line(0, F.concat(F.lit("CATEGORY: "), F.upper(category_col))), _line(1, F.lit("-" * 30)))))
+    tails = ends.select("cat_pos", F.col("_end").alias("pos"), F.inline(F.array(_line(0, F.lit("")))))
     items = results.select(
-        F.col(cat_pos_col).alias("cat_pos"), F.col(pos_col).cast("bigint").alias("pos"),
+        F.col(cat_pos_col).cast("bigint").alias("cat_pos"), F.col(pos_col).cast("bigint").alias("pos"),
         F.inline(F.array(_line(0, F.concat(F.lit("PROMPT: "), F.col(prompt_col))),
                          _line(1, F.concat(F.lit("RESPONSE: "), F.col(response_col))),
                          _line(2, F.lit("-" * 20)))))
-    return heads.unionByName(items)
+    return title.unionByName(heads).unionByName(items).unionByName(tails)
 
 
 __all__ = ["render_prompts", "best_candidate", "metric_columns", "response_metrics", "metrics_long",

@@ -205,6 +205,15 @@ def extraction_breakdown(classified: DataFrame) -> DataFrame:
     return classified.groupBy(key.alias("bucket")).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
+def sample_preview(df: DataFrame, order_col: str, line_col: str = "line", text_field: str = "text", n: int = 200) -> DataFrame:
+    """One row: the keys of the first record (by ``order_col``) and the start of
+    its ``text_field`` (NULL without that field)."""
+    p = with_parsed(df, line_col).where(F.col(OBJ).isNotNull()).withColumn("_dict", dict_map(F.col(OBJ)))
+    text = F.try_variant_get(F.element_at("_dict", text_field), "$", "string")
+    first = F.min_by(F.struct(F.map_keys("_dict").alias("keys"), F.concat(F.substring(text, 1, n), F.lit("...")).alias("preview")), order_col)
+    return p.agg(first.alias("f")).select("f.keys", "f.preview")
+
+
 def profile_fields(df: DataFrame, line_col: str = "line") -> DataFrame:
     """Per record key: how many objects have it and how many with a non-null value."""
     p = with_parsed(df, line_col).where(F.col(OBJ).isNotNull())

@@ -10,10 +10,12 @@ plans stay small.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.operators.ordering import with_row_index
+from corpuskit.operators.ordering import with_row_index_range
 from corpuskit.session import ensure_checkpoint_dir
 
 
@@ -31,13 +33,14 @@ def _undirected(edges: DataFrame, src: str, dst: str) -> DataFrame:
 def _large_star(e: DataFrame) -> DataFrame:
     sym = e.select(F.col("a").alias("u"), F.col("b").alias("v")) \
         .unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    mins = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # Written: AQE's skew rule splits a hub only if the other side isn't an aggregate.
+    mins = _cut(sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     return sym.join(mins, "u").where(F.col("v") > F.col("u")) \
         .select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    mins = e.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
+    mins = _cut(e.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m")))
     nb = e.join(mins, e["b"] == mins["u"]).select(F.col("m").alias("a"), F.col("a").alias("b")) \
         .where(F.col("a") != F.col("b"))
     return nb.unionByName(mins.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
@@ -56,26 +59,25 @@ def _is_star_forest(e: DataFrame) -> bool:
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
-                         vertices: DataFrame | None = None, vertex_col: str = "id",
-                         max_rounds: int = 200) -> DataFrame:
+                         vertices: DataFrame | None = None, vertex_col: str = "id") -> DataFrame:
     """``(vertex, component)`` with the component labelled by its smallest vertex.
 
     Alternating large-star / small-star rounds (Kiveris et al., "Connected
     Components in MapReduce and Beyond", 2014) turn every component into a
     star around its minimum in O(log^2 n) rounds; every step is a groupBy
-    (map-side min) and an equi-join on the vertex, so a hub vertex is split by
-    AQE's skew-join handling.  Isolated vertices come from ``vertices``.
+    (map-side min, written) and an equi-join on the vertex, so a hub vertex is
+    split by AQE's skew-join handling.  A vertex that only has self loops is a
+    component; isolated vertices come from ``vertices``.
     """
     e = _cut(_undirected(edges, src, dst))
-    for _ in range(max_rounds):
+    while True:
         e = _cut(_small_star(_large_star(e)))
         if _is_star_forest(e):
             break
-    else:
-        raise RuntimeError("connected_components did not converge")
     labels = e.select(F.col("b").alias("vertex"), F.col("a").alias("component")) \
         .unionByName(e.select(F.col("a").alias("vertex"), F.col("a").alias("component")))
-    labels = labels.groupBy("vertex").agg(F.min("component").alias("component"))
+    loops = edges.where(F.col(src) == F.col(dst)).select(F.col(src).alias("vertex"), F.col(src).alias("component"))
+    labels = labels.unionByName(loops).groupBy("vertex").agg(F.min("component").alias("component"))
     if vertices is not None:
         vs = vertices.select(F.col(vertex_col).alias("vertex"))
         labels = vs.join(labels, "vertex", "left") \
@@ -85,7 +87,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
 
 
 def bfs_forest(edges: DataFrame, components: DataFrame, src: str = "src", dst: str = "dst",
-               eid: str = "eid", max_rounds: int = 100_000) -> DataFrame:
+               eid: str = "eid") -> DataFrame:
     """BFS spanning forest from each component's smallest vertex:
     ``(vertex, depth, parent, parent_eid)``.  A vertex reached from several
     frontier vertices takes the smallest (parent, edge id): deterministic."""
@@ -101,7 +103,7 @@ def bfs_forest(edges: DataFrame, components: DataFrame, src: str = "src", dst: s
     # all visited vertices per round).
     levels = [_cut(roots)]
     frontier = levels[0]
-    for d in range(1, max_rounds):
+    for d in count(1):  # until a level is empty
         visited = levels[0]
         for lv in levels[1:]:
             visited = visited.unionByName(lv)
@@ -174,15 +176,10 @@ def component_ids(vertices: DataFrame, cycle_edges: DataFrame, vertex_col: str =
     on_cycle = cycle_edges.select("cycle_id", F.explode(F.array("src", "dst")).alias("vertex")) \
         .groupBy("vertex").agg(F.min("cycle_id").alias("cycle_id"))
     v = vertices.select(F.col(vertex_col).alias("vertex")).distinct().join(on_cycle, "vertex", "left")
-    # One integral ordering key: cycle ids first, then the other vertices
-    # shifted past the largest cycle id (two scalar aggregates).
-    shift = cycle_edges.agg(F.coalesce(F.max("cycle_id") + 1, F.lit(0)).alias("s")).first()["s"]
-    vmin = vertices.agg(F.min(vertex_col).alias("m")).first()["m"] or 0
-    v = v.withColumn("_ck", F.when(F.col("cycle_id").isNotNull(), F.col("cycle_id"))
-                     .otherwise(F.col("vertex") - F.lit(vmin) + F.lit(shift)))
-    keys = v.select("_ck").distinct()
-    dense = with_row_index(keys, "_ck", "_cid").select("_ck", (F.col("_cid") - 1).alias("comp_id"))
-    return v.join(dense, "_ck").select("vertex", "comp_id", F.col("cycle_id").isNotNull().alias("on_cycle"))
+    v = v.withColumn("_free", F.col("cycle_id").isNull()).withColumn("_ck", F.coalesce("cycle_id", "vertex"))
+    keys = v.select("_free", "_ck").distinct()
+    dense = with_row_index_range(keys, ["_free", "_ck"], "_cid").select("_free", "_ck", (F.col("_cid") - 1).alias("comp_id"))
+    return v.join(dense, ["_free", "_ck"]).select("vertex", "comp_id", (~F.col("_free")).alias("on_cycle"))
 
 
 def contract_graph(edges: DataFrame, comp: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -198,13 +195,13 @@ def contract_graph(edges: DataFrame, comp: DataFrame, src: str = "src", dst: str
     return fwd.unionByName(rev)
 
 
-def subtree_totals(tree: DataFrame, child: str = "child", parent: str = "parent",
-                   max_depth: int = 100_000) -> DataFrame:
+def subtree_totals(tree: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
     """Per vertex, the number of descendants (sum over children of child + 1).
 
     Depths come from a top-down level loop from the roots; totals are then
     aggregated bottom-up one level per round (``groupBy(parent).sum``, map-side
-    combined, so a vertex with a huge fan-out is not a hot spot).
+    combined, so a vertex with a huge fan-out is not a hot spot).  Vertices that
+    no root reaches (a parent cycle) raise a ValueError.
     """
     t = tree.select(F.col(child).alias("c"), F.col(parent).alias("p")).where(F.col("p").isNotNull())
     nodes = t.select(F.col("c").alias("v")).unionByName(t.select(F.col("p").alias("v"))).distinct()
@@ -212,13 +209,15 @@ def subtree_totals(tree: DataFrame, child: str = "child", parent: str = "parent"
     level = _cut(roots.select("v", F.lit(0).cast("bigint").alias("depth")))
     levels = [level]
     frontier = level
-    for d in range(1, max_depth):
+    for d in count(1):  # until a level is empty
         nxt = _cut(t.join(frontier.select(F.col("v").alias("p")), "p")
                    .select(F.col("c").alias("v"), F.lit(d).cast("bigint").alias("depth")))
         if nxt.limit(1).count() == 0:
             break
         levels.append(nxt)
         frontier = nxt
+    if sum(lv.count() for lv in levels) < nodes.count():
+        raise ValueError("the parent links hold a cycle")
     total = None
     # Bottom-up: totals of level d feed their parents at level d-1.
     for d in range(len(levels) - 1, -1, -1):

@@ -11,10 +11,11 @@ unpartitioned windows run over those one-row-per-group tables.
 from __future__ import annotations
 
 import math
-from typing import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _LOW33 = (1 << 33) - 1
 
@@ -54,7 +55,7 @@ def with_row_index(df: DataFrame, order_cols, name: str = "idx", bucket_cols=Non
         df = df.checkpoint(eager=True)
     keys = _cols(order_cols)
     if bucket_cols is None:
-        if len(keys) != 1:
+        if len(keys) != 1 or not isinstance(df.select(keys[0]).schema[0].dataType, T.IntegralType):
             # A leading column of a composite key may hold a third of all
             # rows: use sampled range partitioning, which splits hot values.
             return with_row_index_range(df, order_cols, name)
@@ -68,9 +69,12 @@ def with_row_index(df: DataFrame, order_cols, name: str = "idx", bucket_cols=Non
     # Prefix sum over one row per bucket (a small table).
     prior = Window.orderBy(*bnames).rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes.select(*bnames, F.coalesce(F.sum("_bsize").over(prior), F.lit(0)).alias("_off"))
-    return r.join(offs, bnames) \
+    # NULL keys are a bucket of their own (first): matched null-safely.
+    offs = offs.select(*[F.col(b).alias(f"{b}_o") for b in bnames], "_off")
+    same = reduce(Column.__and__, [F.col(b).eqNullSafe(F.col(f"{b}_o")) for b in bnames])
+    return r.join(offs, same) \
         .withColumn(name, (F.col("_off") + F.col("_rank")).cast("bigint")) \
-        .drop("_rank", "_off", *bnames)
+        .drop("_rank", "_off", *bnames, *[f"{b}_o" for b in bnames])
 
 
 # Split tables up to this many rows are broadcast (one row per input split).
@@ -98,36 +102,44 @@ def with_input_index(df: DataFrame, name: str = "idx", split_cols=("file_path",
     filtering), with no shuffle of the rows themselves.
 
     One task reads one split in order, so ``monotonically_increasing_id`` is
-    consecutive inside a split; a small aggregate per split (row count and
-    first id) gives each split's offset by a prefix sum over the splits in
-    ``(file_path, block_start)`` order.  That table has one row per input
-    split; it is checkpointed, its size checked, and broadcast back.
+    consecutive inside a split.  Rows and ids are written once (reliable
+    checkpoint), because a second scan may cut other splits; row counts and
+    first ids per split come from that copy, and give each split's offset by a
+    prefix sum over the splits in ``(file_path, block_start)`` order.  The scan
+    order is checked on the plan before the write; a row without an offset
+    raises.
     """
     from corpuskit.session import ensure_checkpoint_dir
     _require_scan_order(df)
+    ensure_checkpoint_dir(df.sparkSession)
     keys = list(split_cols)
-    d = df.withColumn("_mid", F.monotonically_increasing_id())
+    d = df.withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
     per = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     prior = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    offs = per.select(*keys, "_m0", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_off"))
-    ensure_checkpoint_dir(df.sparkSession)
-    offs = offs.checkpoint(eager=True)
+    offs = per.select(*keys, "_m0", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_off")).checkpoint(eager=True)
     side = F.broadcast(offs) if offs.count() <= BROADCAST_SPLITS else offs
-    return d.join(side, keys) \
-        .withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_m0") + 1).cast("bigint")) \
+    pos = F.col("_off") + F.col("_mid") - F.col("_m0") + 1
+    return d.join(side, keys, "left") \
+        .withColumn(name, F.when(pos.isNotNull(), pos).otherwise(F.raise_error(F.lit("a row's input split has no offset"))).cast("bigint")) \
         .drop("_mid", "_m0", "_off")
 
 
 def with_row_index_range(df: DataFrame, order_cols, name: str = "idx",
                          num_partitions: int | None = None) -> DataFrame:
-    """Row index for keys without a bounded bucket (any orderable key):
-    range partition (sampled bounds), local sort, ``monotonically_increasing_id``
-    (partition index in the high bits) and per-partition offsets from a
-    count table of ``num_partitions`` rows, broadcast back."""
+    """Row index for any orderable key: range partition (sampled bounds), local
+    sort, ``monotonically_increasing_id`` (partition index in the high bits) and
+    per-partition offsets from a count table, one row per partition.
+
+    The sorted rows are written once (reliable checkpoint) and both sides read
+    that copy: a second range exchange would sample other bounds, and its counts
+    wouldn't fit the rows.  NULL keys come first; ties take consecutive places.
+    """
+    from corpuskit.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     n = _num_partitions(df, num_partitions)
     keys = _cols(order_cols)
     r = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys) \
-        .withColumn("_mid", F.monotonically_increasing_id())
+        .withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
     r = r.withColumn("_pid", F.shiftright("_mid", 33)) \
         .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit(_LOW33)))
     counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
@@ -138,50 +150,26 @@ def with_row_index_range(df: DataFrame, order_cols, name: str = "idx",
         .drop("_mid", "_pid", "_loc", "_off")
 
 
-# A top-k's final merge runs in one task and receives k rows per input
-# partition; above these sizes the distributed row index is used instead.
-TOPK_MERGE_ROWS = 5_000_000
-TOPK_MERGE_KEYS = 50_000_000
-
-
-def _input_partitions(df: DataFrame) -> int:
-    try:
-        return df.rdd.getNumPartitions()  # planning only, no job
-    except Exception:  # noqa: BLE001
-        return _num_partitions(df, None)
-
-
 def take_first(df: DataFrame, n: int, order_cols, buffer: int | None = None,
-               round_to_buffer: bool = False, row_topk_threshold: int = 10_000,
-               topk_threshold: int = 100_000) -> DataFrame:
+               round_to_buffer: bool = False) -> DataFrame:
     """First ``n`` rows in ``order_cols`` order (the max_samples stop).
 
     With ``round_to_buffer`` the cut is rounded up to whole shuffle buffers,
-    which is what a stop check placed after each buffer flush yields.
-    A top-k merges ``n`` rows per input partition in one task, so it is used
-    only while that stays small: whole rows (``n <= row_topk_threshold``),
-    or keys only plus a broadcast semi join (``n <= topk_threshold``).
-    Otherwise the distributed row index selects the rows.
+    which is what a stop check placed after each buffer flush yields.  One path
+    for every ``n``: the range row index selects the rows, so exactly
+    ``min(n, rows)`` rows come back, NULL keys first; which of several rows tied
+    at the cut are taken isn't defined.
     """
     if round_to_buffer:
         if not buffer:
             raise ValueError("round_to_buffer needs buffer")
         n = int(math.ceil(n / buffer) * buffer)
-    parts = _input_partitions(df)
-    if n <= row_topk_threshold and n * parts <= TOPK_MERGE_ROWS:
-        return df.orderBy(*_cols(order_cols)).limit(n)
-    if n <= topk_threshold and n * parts <= TOPK_MERGE_KEYS:
-        # Top-k over the keys only, then a semi join against the broadcast
-        # key set (at most n rows).
-        names = [order_cols] if isinstance(order_cols, str) else list(order_cols)
-        keys = df.select(*names).orderBy(*_cols(names)).limit(n)
-        return df.join(F.broadcast(keys), names, "left_semi")
-    return with_row_index(df, order_cols, "_take_idx").where(F.col("_take_idx") <= n).drop("_take_idx")
+    return with_row_index_range(df, order_cols, "_take_idx").where(F.col("_take_idx") <= n).drop("_take_idx")
 
 
 def shuffle_hash(key, seed) -> Column:
     """Portable per-row shuffle hash: md5 of ``'<seed>:<key>'``."""
-    k = F.col(key) if isinstance(key, str) else key
+    k = F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit(""))
     s = F.lit(str(seed)) if isinstance(seed, int) else seed.cast("string")
     return F.md5(F.concat(s, F.lit(":"), k.cast("string")))
 
@@ -245,15 +233,18 @@ def train_eval_split(df: DataFrame, key_col: str, seed: int = 42, fraction: floa
     """Tag rows ``train``/``eval``: eval = the ``eval_size`` rows with the
     smallest md5(seed : key) (ties by key); disjoint and complete.
 
-    The eval set is a bounded top-k (<= ``cap`` rows), broadcast back.
+    Rows that share a key are one unit and fall on the same side, so the sizes
+    count distinct keys (NULL is a key); every row comes back once.  The eval
+    set is a bounded top-k (<= ``cap`` keys), broadcast back.
     """
+    keys = df.select(key_col).distinct()
     if n is None:
-        n = df.count()
+        n = keys.count()
     k = eval_size(n, fraction, cap, threshold)
     if k == 0:
         return df.withColumn("split", F.lit("train"))
-    ev = smallest_hashes(df, key_col, seed, k, n).select("_ek", F.lit(True).alias("_is_eval"))
-    out = df.join(F.broadcast(ev), df[key_col] == ev["_ek"], "left")
+    ev = smallest_hashes(keys, key_col, seed, k, n).select("_ek", F.lit(True).alias("_is_eval"))
+    out = df.join(F.broadcast(ev), df[key_col].eqNullSafe(ev["_ek"]), "left")
     return out.withColumn("split", F.when(F.col("_is_eval"), F.lit("eval")).otherwise(F.lit("train"))) \
         .drop("_ek", "_is_eval")
 

@@ -39,22 +39,22 @@ def stage_events(parsed: DataFrame) -> DataFrame:
         .where(F.col("kind").isNotNull())
 
 
-def stage_durations(parsed: DataFrame, run_cols=()) -> DataFrame:
-    """One row per stage run: start/end time, status, reported seconds and
-    wall seconds.  Each start is paired with the next event of the same stage
-    (``lead`` in a window per run and stage)."""
+def stage_durations(parsed: DataFrame, run_cols=(), order_col: str = "line_no") -> DataFrame:
+    """One row per stage run: start/end time, status, reported seconds and wall
+    seconds.  Each start is paired, in line order, with the next event of the
+    same stage if that is an end; a start without one is ``unfinished`` (no end,
+    no seconds)."""
     ev = stage_events(parsed)
-    # At equal timestamps a start sorts before the end it opens.
-    rank = F.when(F.col("kind") == "start", 0).otherwise(1)
-    w = Window.partitionBy(*run_cols, "stage").orderBy("ts", rank)
+    w = Window.partitionBy(*run_cols, "stage").orderBy(order_col)
     ev = ev.withColumn("_next_kind", F.lead("kind").over(w)) \
         .withColumn("_next_ts", F.lead("ts").over(w)) \
         .withColumn("_next_secs", F.lead("reported_seconds").over(w))
-    starts = ev.where((F.col("kind") == "start") & F.col("_next_kind").isin("completed", "failed"))
+    done = F.coalesce(F.col("_next_kind").isin("completed", "failed"), F.lit(False))
     wall = (F.unix_micros(F.col("_next_ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6
-    return starts.select(*run_cols, "stage", F.col("ts").alias("start_ts"), F.col("_next_ts").alias("end_ts"),
-                         F.col("_next_kind").alias("status"), F.col("_next_secs").alias("reported_seconds"),
-                         F.round(wall, 3).alias("wall_seconds"))
+    return ev.where(F.col("kind") == "start").select(
+        *run_cols, "stage", F.col(order_col).alias("start_line"), F.col("ts").alias("start_ts"), F.when(done, F.col("_next_ts")).alias("end_ts"),
+        F.when(done, F.col("_next_kind")).otherwise(F.lit("unfinished")).alias("status"),
+        F.when(done, F.col("_next_secs")).alias("reported_seconds"), F.when(done, F.round(wall, 3)).alias("wall_seconds"))
 
 
 def resource_samples(parsed: DataFrame) -> DataFrame:
@@ -76,15 +76,17 @@ def resource_samples(parsed: DataFrame) -> DataFrame:
         x(7).cast("double").alias("gpu_memory_gb"))
 
 
-def stage_resource_delta(samples: DataFrame, run_cols=()) -> DataFrame:
-    """After minus before per stage (conditional aggregation, no join)."""
-    def d(c: str) -> Column:
-        return F.max(F.when(F.col("phase") == "After", F.col(c))) - F.max(F.when(F.col("phase") == "Before", F.col(c)))
-    return samples.where(F.col("phase").isNotNull()).groupBy(*run_cols, "stage").agg(
-        F.round(d("cpu_usage"), 6).alias("cpu_delta"),
-        F.round(d("ram_usage_gb"), 6).alias("ram_gb_delta"),
-        F.round(d("ram_ratio"), 6).alias("ram_ratio_delta"),
-        F.round(d("gpu_usage"), 6).alias("gpu_delta"))
+def stage_resource_delta(samples: DataFrame, run_cols=(), order_col: str = "line_no") -> DataFrame:
+    """After minus before per run of a stage: each Before sample is paired with
+    the next sample of its stage, in line order, if that is an After."""
+    w = Window.partitionBy(*run_cols, "stage").orderBy(order_col)
+    fields = ("cpu_usage", "ram_usage_gb", "ram_ratio", "gpu_usage")
+    s = samples.where(F.col("phase").isNotNull())
+    s = s.select("*", F.lead("phase").over(w).alias("_next"), *[F.lead(c).over(w).alias(f"_{c}") for c in fields])
+    names = ("cpu_delta", "ram_gb_delta", "ram_ratio_delta", "gpu_delta")
+    return s.where((F.col("phase") == "Before") & (F.col("_next") == "After")).select(
+        *run_cols, "stage", F.col(order_col).alias("before_line"),
+        *[F.round(F.col(f"_{c}") - F.col(c), 6).alias(n) for c, n in zip(fields, names)])
 
 
 def span_seconds(df: DataFrame, key_cols, start_col: str, end_col: str, digits: int = 2) -> DataFrame:
@@ -176,7 +178,8 @@ def event_gaps(events: DataFrame, key_col: str, ts_col: str, id_col: str, bucket
     last = b.groupBy(key_col, "_bk").agg(F.max(ts_col).alias("_last"))
     wk = Window.partitionBy(key_col).orderBy("_bk")
     last = last.select(key_col, "_bk", F.lag("_last").over(wk).alias("_prev_bucket_last"))
-    d = d.join(last, [key_col, "_bk"])
+    last = last.select(F.col(key_col).alias("_k"), F.col("_bk").alias("_b"), "_prev_bucket_last")
+    d = d.join(last, F.col(key_col).eqNullSafe(F.col("_k")) & F.col("_bk").eqNullSafe(F.col("_b"))).drop("_k", "_b")
     prev = F.coalesce(F.col("_prev"), F.col("_prev_bucket_last"))
     gap = (F.unix_micros(F.col(ts_col).cast("timestamp")) - F.unix_micros(prev.cast("timestamp"))) / 1e6
     return d.withColumn("gap_seconds", F.round(gap, 6)).drop("_bk", "_prev", "_prev_bucket_last")

@@ -5,7 +5,8 @@
 windowed shuffle -> micro-batches -> ids -> fixed-length examples.
 ``batch_ingest`` is the batch-trainer path: JSON table -> first n -> usable
 strings -> ids -> examples -> non-empty -> train/eval split.
-Both are lazy DataFrames; nothing passes through the driver.
+Both run jobs while they are built (checkpoints, the row index, the vocabulary);
+the driver only gets counts and the frequency histogram's cut.
 """
 
 from __future__ import annotations
@@ -56,11 +57,15 @@ def corpus_examples(lines: DataFrame, order_cols=None, cfg: IngestConfig = Inges
     """
     _, bad = ex.quarantine_malformed(lines, "line")
     acc = ex.extract_text(lines, "line", cfg.text_field, cfg.fields, cfg.letters)
-    if cfg.materialize:
-        from corpuskit.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(acc.sparkSession)
-        acc = acc.drop("line").checkpoint(eager=True)
-    acc = od.with_input_index(acc, "idx") if order_cols is None else od.with_row_index(acc, order_cols, "idx")
+    acc = acc.drop("line")
+    if order_cols is None:
+        acc = od.with_input_index(acc, "idx")  # checks the scan order, then writes one copy
+    else:
+        if cfg.materialize:
+            from corpuskit.session import ensure_checkpoint_dir
+            ensure_checkpoint_dir(acc.sparkSession)
+            acc = acc.checkpoint(eager=True)
+        acc = od.with_row_index(acc, order_cols, "idx")
     if cfg.max_samples:
         limit = cfg.max_samples
         if cfg.round_to_buffer:
@@ -77,28 +82,30 @@ def corpus_examples(lines: DataFrame, order_cols=None, cfg: IngestConfig = Inges
                                 cfg.batch_size)
     if cfg.tokenizer is None and vocab is None:
         vocab = exm.fit_vocabulary(acc, "text", cfg.vocab_size)
-    enc = exm.encode(acc, vocab, "idx", "text", max_tokens=cfg.max_seq_length,
-                     vocab_size_bound=cfg.vocab_size, tokenizer=cfg.tokenizer)
-    examples = exm.build_examples(enc, cfg.max_seq_length, causal=cfg.causal_labels).join(meta, "idx")
+    enc = exm.encode(acc, vocab, "idx", "text", max_tokens=cfg.max_seq_length, tokenizer=cfg.tokenizer)
+    # Rows the tokenizer fails on are counted (observed as ``encoding``) and dropped.
+    examples = exm.build_examples(exm.encoded_ok(enc), cfg.max_seq_length, causal=cfg.causal_labels).join(meta, "idx")
     accepted = acc.join(meta, "idx")
     return {"quarantine": bad, "accepted": accepted, "examples": examples}
 
 
 def batch_ingest(table: DataFrame, key_col: str, text_col: str = "text", max_samples: int | None = None,
                  max_seq_length: int = 512, vocab_size: int = 32_000, seed: int = 42,
-                 vocab: DataFrame | None = None, materialize: bool = True) -> DataFrame:
+                 vocab: DataFrame | None = None, materialize: bool = True,
+                 tokenizer: Callable | None = None) -> DataFrame:
     """Batch-trainer path: first ``max_samples`` rows (by key), truthy string
-    texts stripped, encoded, padded, labels = ids, empty ones dropped, then
-    the seeded train/eval split (``split`` column)."""
+    texts stripped, encoded (by ``tokenizer`` if given; failing rows are counted
+    and dropped), padded, labels = ids, empty ones dropped (padding counts, so a
+    text without tokens stays as an all-pad row), then the seeded train/eval
+    split (``split`` column)."""
     t = table
     if max_samples:
         t = od.take_first(t, max_samples, key_col)
     t = t.where(usable_string(text_col)).select(key_col, ustrip(text_col).alias("text"))
-    if vocab is None:
+    if vocab is None and tokenizer is None:
         vocab = exm.fit_vocabulary(t, "text", vocab_size)
-    enc = exm.nonempty_examples(exm.encode(t, vocab, key_col, "text", max_tokens=max_seq_length,
-                                           vocab_size_bound=vocab_size))
-    ex_ = exm.build_examples(enc, max_seq_length)
+    enc = exm.encoded_ok(exm.encode(t, vocab, key_col, "text", max_tokens=max_seq_length, tokenizer=tokenizer))
+    ex_ = exm.nonempty_examples(exm.build_examples(enc, max_seq_length))
     if materialize:
         # The split counts and ranks the examples before tagging them: write
         # them once instead of encoding three times.

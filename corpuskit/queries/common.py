@@ -46,11 +46,11 @@ def hash_pick(x: str, n: int) -> str:
 
 
 # Documents rendered as JSON lines (see corpuskit.sources.jsonl.documents_lines):
-# field by doc_id % 4, every 17th line malformed.
+# field by doc_id % 4; where asked for, every 17th line is malformed.
 DOC_FIELD_SQL = "(['text','content','body','note'])[(doc_id % 4) + 1]"
 
-EXTRACT_CTE = f"""
-docs_ok AS (SELECT *, {DOC_FIELD_SQL} AS f FROM documents WHERE doc_id % 17 <> 0),
+_EXTRACT = f"""
+docs_ok AS (SELECT *, {DOC_FIELD_SQL} AS f FROM documents <where>),
 extracted AS (
   SELECT doc_id AS line_no,
     CASE WHEN f <> 'note' AND {valid(strip('text'))} THEN {strip('text')}
@@ -59,3 +59,5 @@ extracted AS (
          WHEN {valid('text')} THEN f END AS source_field
   FROM docs_ok)
 """
+EXTRACT_CTE = _EXTRACT.replace("<where>", "")
+EXTRACT_PARSED_CTE = _EXTRACT.replace("<where>", "WHERE doc_id % 17 <> 0")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from corpuskit.functions import text as tx
 from corpuskit.operators import evaluate as ev
 from corpuskit.queries.common import LETTERS, contains_any, has_script, hash_pick, strip, table, tokens
-from corpuskit.queries.text_q import PAIRS_SQL, _pairs
 from corpuskit.sources.suites import PLAIN_TEMPLATES
 
 # Lexicons of the Latin profile (the driver tables hold no Persian text).
@@ -26,11 +25,18 @@ def _answers(spark, d):
     return _conv(spark, d).where(F.col("role") == "assistant")
 
 
+def _turns(spark, d):
+    """Every user turn with the assistant turn after it (NULL where there is none)."""
+    c = _conv(spark, d)
+    replies = c.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    return c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt")).join(replies, ["conv_id", "turn"], "left")
+
+
 def _results(spark, d):
-    p = _pairs(spark, d)
-    return p.select(F.concat(F.lit("conversation_"), F.col("conv_id").cast("string")).alias("category"),
-                    F.col("conv_id").alias("cat_pos"), F.col("turn").alias("pos"),
-                    "prompt", F.col("reply").alias("response"))
+    return _turns(spark, d).select(
+        F.concat(F.lit("conversation_"), F.col("conv_id").cast("string")).alias("category"),
+        F.col("conv_id").alias("cat_pos"), F.col("turn").alias("pos"),
+        "prompt", F.coalesce("reply", tx.fallback_response("prompt")).alias("response"))
 
 
 def q_render_prompts(spark, d):
@@ -71,6 +77,10 @@ def q_report_rows(spark, d):
     return ev.report_rows(_results(spark, d))
 
 
+def q_report_rows_plain(spark, d):
+    return ev.report_rows(_results(spark, d), plain=True)
+
+
 def q_metrics_lines(spark, d):
     return ev.metrics_lines(ev.response_metrics(_answers(spark, d), "text", **LEX))
 
@@ -82,8 +92,8 @@ def q_summary_lines(spark, d):
 def _eval_inputs(spark, d):
     """Prompts = user turns; candidates = the lines of the following reply
     (line index as template position), rendered prompt = the user text."""
-    p = _pairs(spark, d)
-    key = (F.col("conv_id") * 1000 + F.col("turn")).alias("pos")
+    p = _turns(spark, d)
+    key = (F.col("conv_id") * (1 << 32) + F.col("turn")).alias("pos")
     prompts = p.select(F.concat(F.lit("conversation_"), F.col("conv_id").cast("string")).alias("category"),
                        F.col("conv_id").alias("cat_pos"), key, "prompt")
     cands = p.select(key, F.col("prompt").alias("rendered"),
@@ -105,7 +115,7 @@ def q_evaluation_results(spark, d):
 
 
 def q_evaluation_metrics(spark, d):
-    return _evaluation(spark, d)["metrics_by_category"].where(F.col("category").isNull()).drop("category")
+    return _evaluation(spark, d)["metrics_by_category"].where("is_total").drop("category", "is_total")
 
 
 QUERIES = {
@@ -119,6 +129,7 @@ QUERIES = {
     "response_stats": q_response_stats,
     "collect_by_category": q_collect_by_category,
     "report_rows": q_report_rows,
+    "report_rows_plain": q_report_rows_plain,
     "metrics_lines": q_metrics_lines,
     "summary_lines": q_summary_lines,
 }
@@ -147,9 +158,10 @@ def _metric_select(x: str) -> str:
 TEMPLATES_SQL = " UNION ALL ".join(
     f"SELECT {i} AS template_pos, '{_sq(b)}' AS body" for i, b in enumerate(PLAIN_TEMPLATES.values()))
 FALLBACK_SQL = "[" + ", ".join(f"'{_sq(t)}'" for t in tx.FALLBACK_RESPONSES) + "]"
-RESULTS_SQL = f"""{PAIRS_SQL},
-results AS (SELECT 'conversation_' || CAST(conv_id AS VARCHAR) AS category, conv_id AS cat_pos, turn AS pos,
-                   prompt, reply AS response FROM pairs)"""
+RESULTS_SQL = f"""results AS (SELECT 'conversation_' || CAST(u.conv_id AS VARCHAR) AS category, u.conv_id AS cat_pos, u.turn AS pos,
+                   u.text AS prompt, coalesce(a.text, ({FALLBACK_SQL})[{hash_pick('u.text', 3)} + 1]) AS response
+  FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user')"""
 
 
 def _esc(x: str) -> str:
@@ -157,17 +169,29 @@ def _esc(x: str) -> str:
             f"'\"', '&quot;'), '''', '&#x27;')")
 
 
-ITEM_SQL = ("'<div class=\"test-item\"><div class=\"prompt ' || CASE WHEN coalesce(regexp_matches(prompt, '[A-Za-z]'), false) "
-            "THEN 'english' ELSE 'persian' END || '\">🗨️ <strong>" + ev.PROMPT_LABEL + "</strong> ' || " + _esc("prompt")
-            + " || '</div><div class=\"response persian\">🤖 <strong>" + ev.RESPONSE_LABEL + "</strong>' || chr(10) || "
-            + _esc("response") + " || '</div></div>'")
+def _class(x: str) -> str:
+    return f"CASE WHEN coalesce(regexp_matches({x}, '[A-Za-z]'), false) THEN 'english' ELSE 'persian' END"
+
+
+def _item(ask: str, answer: str, answer_class: str) -> str:
+    return ("'<div class=\"test-item\"><div class=\"prompt ' || " + _class("prompt") + " || '\">🗨️ <strong>" + ask + "</strong> ' || "
+            + _esc("prompt") + " || '</div><div class=\"response ' || " + answer_class + " || '\">🤖 <strong>" + answer
+            + "</strong>' || chr(10) || " + _esc("response") + " || '</div></div>'")
+
+
+def _report(item: str) -> str:
+    return f"""WITH {RESULTS_SQL}
+        SELECT DISTINCT cat_pos, -1::BIGINT AS pos, '<h2>📂 ' || {TITLE_SQL} || '</h2>' AS fragment FROM results
+        UNION ALL SELECT cat_pos, pos, {item} FROM results"""
+
+
 TITLE_SQL = ("array_to_string(list_transform(string_split(replace(category, '_', ' '), ' '), "
              "lambda w: upper(w[1]) || lower(w[2:])), ' ')")
 
 EVAL_SQL = f"""u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
 a AS (SELECT conv_id, turn - 1 AS turn, text FROM conversations WHERE role = 'assistant'),
-p AS (SELECT conv_id AS cat_pos, conv_id * 1000 + turn AS pos, text AS prompt FROM u WHERE (conv_id, turn) IN (SELECT (conv_id, turn) FROM a)),
-lines AS (SELECT u.conv_id * 1000 + u.turn AS pos, u.text AS rendered,
+p AS (SELECT conv_id AS cat_pos, conv_id * 4294967296 + turn AS pos, text AS prompt FROM u),
+lines AS (SELECT u.conv_id * 4294967296 + u.turn AS pos, u.text AS rendered,
                  unnest(string_split(a.text, chr(10))) AS output,
                  generate_subscripts(string_split(a.text, chr(10)), 1) - 1 AS template_pos
           FROM u JOIN a USING (conv_id, turn)),
@@ -196,15 +220,14 @@ SQL = {
                b.output IS NULL AS is_fallback
         FROM p LEFT JOIN (SELECT * FROM ranked WHERE r = 1) b ON b.conv_id = p.conv_id""",
     "response_metrics": f"SELECT {_metric_select('text')} FROM conversations WHERE role = 'assistant'",
-    "response_metrics_by_role": f"SELECT role, {_metric_select('text')} FROM conversations GROUP BY ROLLUP (role)",
+    "response_metrics_by_role": f"SELECT role, grouping(role) = 1 AS is_total, {_metric_select('text')} FROM conversations GROUP BY ROLLUP (role)",
     "response_stats": "SELECT role, count(*) AS n_responses, CAST(min(length(text)) AS BIGINT) AS min_chars, "
                       "round(avg(length(text)), 6) AS avg_chars, CAST(max(length(text)) AS BIGINT) AS max_chars "
                       "FROM conversations GROUP BY role",
     "collect_by_category": "SELECT conv_id, count(*) AS n_items, string_agg(role, ',' ORDER BY turn) AS roles "
                            "FROM conversations GROUP BY conv_id",
-    "report_rows": f"""WITH {RESULTS_SQL}
-        SELECT DISTINCT cat_pos, -1::BIGINT AS pos, '<h2>📂 ' || {TITLE_SQL} || '</h2>' AS fragment FROM results
-        UNION ALL SELECT cat_pos, pos, {ITEM_SQL} FROM results""",
+    "report_rows": _report(_item(ev.PROMPT_LABEL, ev.RESPONSE_LABEL, "'persian'")),
+    "report_rows_plain": _report(_item(ev.PLAIN_PROMPT_LABEL, ev.PLAIN_RESPONSE_LABEL, _class("response"))),
     "metrics_lines": f"""WITH m AS (SELECT {_metric_select('text')} FROM conversations WHERE role = 'assistant'),
         l AS (SELECT 0 AS p, 'persian_only' AS n, persian_only AS v FROM m UNION ALL SELECT 1, 'friendly_tone', friendly_tone FROM m
               UNION ALL SELECT 2, 'helpful_content', helpful_content FROM m UNION ALL SELECT 3, 'creative_elements', creative_elements FROM m
@@ -212,7 +235,9 @@ SQL = {
         SELECT 0::BIGINT AS line_no, '{ev.METRICS_TITLE}' AS line UNION ALL SELECT 1, '{ev.RULE}' UNION ALL SELECT 2, ''
         UNION ALL SELECT CAST(p + 3 AS BIGINT), printf('%s: %.1f%%', n, v) FROM l""",
     "summary_lines": f"""WITH {RESULTS_SQL}
-        SELECT DISTINCT cat_pos, -1::BIGINT AS pos, 0::BIGINT AS line_no, 'CATEGORY: ' || upper(category) AS line FROM results
+        SELECT -1::BIGINT AS cat_pos, -1::BIGINT AS pos, 0::BIGINT AS line_no, '{ev.SUMMARY_TITLE}' AS line UNION ALL SELECT -1, -1, 1, '{ev.RULE}'
+        UNION ALL SELECT -1, -1, 2, '' UNION ALL SELECT cat_pos, max(pos) + 1, 0, '' FROM results GROUP BY cat_pos
+        UNION ALL SELECT DISTINCT cat_pos, -1, 0, 'CATEGORY: ' || upper(category) FROM results
         UNION ALL SELECT DISTINCT cat_pos, -1, 1, '{'-' * 30}' FROM results
         UNION ALL SELECT cat_pos, pos, 0, 'PROMPT: ' || prompt FROM results
         UNION ALL SELECT cat_pos, pos, 1, 'RESPONSE: ' || response FROM results

@@ -25,7 +25,7 @@ def vocab(spark, d):
 
 def encoded(spark, d, max_tokens=None):
     return exm.encode(corpus(spark, d), vocab(spark, d), "line_no", "text",
-                      max_tokens=max_tokens, vocab_size_bound=VOCAB)
+                      max_tokens=max_tokens)
 
 
 def q_fit_vocabulary(spark, d):
@@ -58,17 +58,17 @@ def q_token_stats(spark, d):
 
 
 def q_nonempty_examples(spark, d):
-    # Batch variant: truthy strings, stripped, tokenized; empty ones dropped.
+    # Batch variant: truthy strings, stripped, tokenized, padded; only examples of length 0 go.
     docs = table(spark, d, "documents").where(tx.usable_string("text")) \
         .select("doc_id", tx.ustrip("text").alias("text"))
     v = exm.fit_vocabulary(docs, "text", VOCAB)
-    e = exm.encode(docs, v, "doc_id", "text", max_tokens=SEQ, vocab_size_bound=VOCAB)
-    return exm.nonempty_examples(e).select("doc_id", "n_tokens")
+    e = exm.encode(docs, v, "doc_id", "text", max_tokens=SEQ)
+    return exm.nonempty_examples(exm.build_examples(e, SEQ)).select("doc_id", "n_tokens")
 
 
 def q_dataset_summary(spark, d):
     c = ex.count_valid(documents_as_jsonl(spark, d), letters=LETTERS)
-    return exm.dataset_summary(c, max_seq_length=SEQ, per_device=1, accumulation=32, epochs=1)
+    return exm.dataset_summary(c, max_seq_length=SEQ, per_device=1, accumulation=32, epochs=1, max_samples=700)
 
 
 def q_training_examples(spark, d):
@@ -116,7 +116,7 @@ ex AS (SELECT line_no, n_tokens,
 
 NONEMPTY = f"""docs AS (SELECT doc_id, {strip('text')} AS text FROM documents WHERE text IS NOT NULL AND text <> ''),
 toks AS (SELECT doc_id, {tokens('text')} AS toks FROM docs)
-SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_tokens FROM toks WHERE len(toks) > 0"""
+SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_tokens FROM toks"""
 
 TRAIN = f"""{EXTRACT_CTE},
 acc AS (SELECT line_no, text, row_number() OVER (ORDER BY line_no) AS idx FROM extracted WHERE text IS NOT NULL),
@@ -136,7 +136,7 @@ tok AS (SELECT doc_id, unnest(toks) AS term, generate_subscripts(toks, 1) - 1 AS
 vocab AS (SELECT term, row_number() OVER (ORDER BY freq DESC, term) + 1 AS id
           FROM (SELECT term, count(*) AS freq FROM tok GROUP BY term ORDER BY freq DESC, term LIMIT {VOCAB - 2})),
 enc AS (SELECT t.doc_id, list(coalesce(v.id, 1) ORDER BY t.pos) AS ids FROM tok t LEFT JOIN vocab v USING (term)
-        GROUP BY t.doc_id),
+        GROUP BY t.doc_id UNION ALL SELECT doc_id, [] FROM toks WHERE len(toks) = 0),
 n AS (SELECT count(*) AS n FROM enc),
 k AS (SELECT CASE WHEN n <= 1000 THEN 0 ELSE CAST(ceil(least(0.01, 5000.0 / n) * n) AS BIGINT) END AS k FROM n),
 ranked AS (SELECT doc_id, ids, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS r FROM enc)"""
@@ -165,7 +165,7 @@ SQL = {
         round(avg({SEQ} - least(n_tokens, {SEQ})) / {SEQ}, 6) AS padding_share,
         CAST(max(n_tokens) AS BIGINT) AS max_tokens FROM ex""",
     "nonempty_examples": f"WITH {NONEMPTY}",
-    "dataset_summary": f"""WITH {EXTRACT_CTE}, c AS (SELECT count(text) AS n FROM extracted)
+    "dataset_summary": f"""WITH {EXTRACT_CTE}, c AS (SELECT least(count(text), 700) AS n FROM extracted)
         SELECT n AS n_samples, {SEQ}::BIGINT AS max_seq_length, 32::BIGINT AS effective_batch,
                1::BIGINT AS epochs, round(n * 1 / 32, 6) AS total_steps FROM c""",
 }

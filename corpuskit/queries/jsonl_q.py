@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpuskit.operators import extract as ex
-from corpuskit.queries.common import DOC_FIELD_SQL, EXTRACT_CTE, LETTERS
-from corpuskit.sources.jsonl import documents_as_jsonl
+from corpuskit.queries.common import DOC_FIELD_SQL, EXTRACT_CTE, EXTRACT_PARSED_CTE, LETTERS
+from corpuskit.session import ensure_checkpoint_dir
+from corpuskit.sources.jsonl import documents_as_jsonl, read_jsonl_lines
+from corpuskit.streaming.ingest import ingest_stream, shuffle_batches
 
 
 def q_jsonl_quarantine(spark, d):
-    _, bad = ex.quarantine_malformed(documents_as_jsonl(spark, d))
+    _, bad = ex.quarantine_malformed(documents_as_jsonl(spark, d, malformed=True))
     return bad.select("line_no", "reason")
 
 
@@ -24,48 +28,74 @@ def q_count_valid(spark, d):
 
 
 def q_extraction_breakdown(spark, d):
-    return ex.extraction_breakdown(ex.classify_lines(documents_as_jsonl(spark, d), letters=LETTERS))
+    return ex.extraction_breakdown(ex.classify_lines(documents_as_jsonl(spark, d, malformed=True), letters=LETTERS))
 
 
 def q_profile_fields(spark, d):
-    return ex.profile_fields(documents_as_jsonl(spark, d))
+    return ex.profile_fields(documents_as_jsonl(spark, d, malformed=True))
 
 
-def q_stream_extract(spark, d):
-    """Incremental extraction: the documents' JSON lines are written once as
-    text files, then read by a file stream (availableNow) through the same
-    parse/extract/gate operators into a memory sink."""
-    import uuid
-    from corpuskit.session import ensure_checkpoint_dir
-    from corpuskit.streaming.ingest import stream_jsonl
-    name = "stream_extract_" + uuid.uuid4().hex[:12]
-    base = ensure_checkpoint_dir(spark).rstrip("/") + "/" + name
-    documents_as_jsonl(spark, d).select("line").write.text(base + "/src")
-    acc = ex.extract_text(stream_jsonl(spark, base + "/src"), letters=LETTERS)
-    out = acc.select(F.get_json_object("line", "$.doc_id").cast("bigint").alias("line_no"), "source_field", "text")
-    q = out.writeStream.format("memory").queryName(name).option("checkpointLocation", base + "/ck") \
-        .trigger(availableNow=True).start()
+def q_sample_preview(spark, d):
+    out = ex.sample_preview(documents_as_jsonl(spark, d), "line_no")
+    return out.select(F.concat_ws(",", "keys").alias("keys"), "preview")
+
+
+def _streamed(spark, d, name, transform=None):
+    """The documents' JSON lines written as text files in id order, then read by
+    the incremental ingestion (availableNow) into Parquet files."""
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/{name}_" + uuid.uuid4().hex[:12]
+    documents_as_jsonl(spark, d).orderBy("line_no").select("line").write.text(base + "/src")
+    q = ingest_stream(spark, base + "/src", base + "/out", base + "/ck", letters=LETTERS, batch_transform=transform)
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(base + "/out").withColumn("line_no", F.get_json_object("line", "$.doc_id").cast("bigint"))
+
+
+def q_stream_extract(spark, d):
+    return _streamed(spark, d, "stream_extract").select("line_no", "source_field", "text")
+
+
+def q_stream_shuffle(spark, d):
+    """Each micro-batch shuffled inside bounded buffers of 100 rows, in batches of 32."""
+    out = _streamed(spark, d, "stream_shuffle", shuffle_batches(buffer=100, seed=42, batch_size=32))
+    return out.select("line_no", "idx", "window_id", "shuffle_pos", "pos_in_batch")
+
+
+def q_jsonl_line_numbers(spark, d):
+    """Lines of text files numbered in input order, without a shuffle of the lines."""
+    base = ensure_checkpoint_dir(spark).rstrip("/") + "/line_numbers_" + uuid.uuid4().hex[:12]
+    documents_as_jsonl(spark, d).orderBy("line_no").select("line").write.text(base)
+    lines = read_jsonl_lines(spark, base, line_numbers=True)
+    return lines.select(F.get_json_object("line", "$.doc_id").cast("bigint").alias("doc_id"), "line_no")
 
 
 QUERIES = {
     "stream_extract": q_stream_extract,
+    "stream_shuffle": q_stream_shuffle,
+    "jsonl_line_numbers": q_jsonl_line_numbers,
     "jsonl_quarantine": q_jsonl_quarantine,
     "extract_text": q_extract_text,
     "count_valid": q_count_valid,
     "extraction_breakdown": q_extraction_breakdown,
     "profile_fields": q_profile_fields,
+    "sample_preview": q_sample_preview,
 }
 
 SQL = {
     "stream_extract": f"WITH {EXTRACT_CTE} SELECT line_no, source_field, text FROM extracted WHERE text IS NOT NULL",
+    "stream_shuffle": f"""WITH {EXTRACT_CTE},
+        acc AS (SELECT line_no, row_number() OVER (ORDER BY line_no) AS idx FROM extracted WHERE text IS NOT NULL),
+        ws AS (SELECT *, (idx - 1) // 100 AS window_id, row_number() OVER (PARTITION BY (idx - 1) // 100
+          ORDER BY md5('42:' || CAST(idx AS VARCHAR)), idx) AS shuffle_pos FROM acc)
+        SELECT line_no, idx, window_id, shuffle_pos, (shuffle_pos - 1) % 32 + 1 AS pos_in_batch FROM ws""",
+    "jsonl_line_numbers": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS line_no FROM documents",
     "jsonl_quarantine": "SELECT doc_id AS line_no, 'malformed' AS reason FROM documents WHERE doc_id % 17 = 0",
     "extract_text": f"WITH {EXTRACT_CTE} SELECT line_no, source_field, text FROM extracted WHERE text IS NOT NULL",
     "count_valid": f"WITH {EXTRACT_CTE} SELECT count(text) AS n_valid FROM extracted",
-    "extraction_breakdown": f"""WITH {EXTRACT_CTE}
+    "extraction_breakdown": f"""WITH {EXTRACT_PARSED_CTE}
       SELECT coalesce(source_field, 'rejected') AS bucket, count(*) AS n_lines FROM extracted GROUP BY 1
       UNION ALL SELECT 'malformed', count(*) FROM documents WHERE doc_id % 17 = 0 HAVING count(*) > 0""",
+    "sample_preview": f"""SELECT 'doc_id,lang,source,' || {DOC_FIELD_SQL} || ',n_chars' AS keys,
+        CASE WHEN doc_id % 4 = 0 THEN substr(text, 1, 200) || '...' END AS preview FROM documents ORDER BY doc_id LIMIT 1""",
     "profile_fields": f"""WITH ok AS (SELECT *, {DOC_FIELD_SQL} AS f FROM documents WHERE doc_id % 17 <> 0)
       SELECT 'doc_id' AS field, count(doc_id) AS n_present, count(doc_id) AS n_non_null, 0::BIGINT AS n_string FROM ok
       UNION ALL SELECT 'lang', count(lang), count(lang), count(lang) FROM ok HAVING count(lang) > 0

@@ -76,8 +76,17 @@ def q_head_per_group(spark, d):
     return od.head_per_group(docs, "source", "doc_id", 2).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def q_row_index_range(spark, d):
+    """A composite key with payload columns, and a leading key that is NULL for many rows."""
+    li = table(spark, d, "lineitem").select(
+        F.expr("nullif(l_suppkey, l_suppkey - l_suppkey % 3)").alias("supp"), "l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate")
+    out = od.with_row_index_range(li, ["supp", "l_orderkey", "l_linenumber"], "idx")
+    return out.select("l_orderkey", "l_linenumber", "idx")
+
+
 QUERIES = {
     "row_index": q_row_index,
+    "row_index_range": q_row_index_range,
     "take_first": q_take_first,
     "windowed_shuffle": q_windowed_shuffle,
     "micro_batches": q_micro_batches,
@@ -105,6 +114,8 @@ split AS (SELECT o_orderkey, CASE WHEN r <= (SELECT k FROM k) THEN 'eval' ELSE '
 
 SQL = {
     "row_index": f"WITH {ACC} SELECT line_no, idx FROM acc",
+    "row_index_range": """SELECT l_orderkey, l_linenumber, row_number() OVER (
+        ORDER BY nullif(l_suppkey, l_suppkey - l_suppkey % 3) NULLS FIRST, l_orderkey, l_linenumber) AS idx FROM lineitem""",
     "take_first": f"WITH {ACC} SELECT line_no FROM acc WHERE idx <= 500",
     "windowed_shuffle": f"WITH {ACC} SELECT line_no, window_id, shuffle_pos, window_id * {BUFFER} + shuffle_pos AS shuffled_idx FROM ws",
     "micro_batches": f"WITH {ACC} SELECT line_no, window_id, (shuffle_pos - 1) // {BATCH} AS batch_id, "

@@ -17,12 +17,13 @@ from corpuskit.functions.text import PY_WHITESPACE, col_of, ustrip
 def decode_ignore(c):
     """UTF-8 decode with ``errors='ignore'``: drop invalid byte sequences.
 
-    Valid rows pass untouched; only invalid ones are repaired (invalid bytes
-    become U+FFFD, which is then removed).
+    Valid rows pass untouched; only invalid ones are repaired: invalid bytes
+    become U+FFFD, which is then removed, while U+FFFD of the input is kept (set
+    aside as a pair of noncharacters meanwhile).
     """
-    x = col_of(c)
-    return F.when(F.is_valid_utf8(x), x).otherwise(
-        F.replace(F.make_valid_utf8(x), F.lit("�"), F.lit("")))
+    x, own, aside = col_of(c), F.lit("\ufffd"), F.lit("\ufdd0\ufdd1")
+    repaired = F.replace(F.make_valid_utf8(F.replace(x, own, aside)), own, F.lit(""))
+    return F.when(F.is_valid_utf8(x), x).otherwise(F.replace(repaired, aside, own))
 
 
 def read_jsonl_lines(spark: SparkSession, path: str, keep_blank: bool = False,
@@ -77,12 +78,12 @@ DOC_FIELDS = ("text", "content", "body", "note")
 MALFORMED_EVERY = 17
 
 
-def documents_lines(docs: DataFrame) -> DataFrame:
+def documents_lines(docs: DataFrame, malformed: bool = True) -> DataFrame:
     """Render a ``documents`` table as JSON lines: ``(line_no, line)``.
 
     Keys in order ``doc_id, lang, source, <field>, n_chars`` with ``<field>``
-    from :data:`DOC_FIELDS` by ``doc_id % 4``; every 17th line misses its
-    closing brace (malformed, whole text kept).
+    from :data:`DOC_FIELDS` by ``doc_id % 4``; with ``malformed`` every 17th
+    line misses its closing brace (whole text kept).
     Derived from the whole table, so the work grows with it.
     """
     field = F.element_at(F.array(*[F.lit(f) for f in DOC_FIELDS]),
@@ -94,15 +95,14 @@ def documents_lines(docs: DataFrame) -> DataFrame:
     # placeholder key in the rendered text (its quoting is fixed).
     renamed = F.replace(obj, F.lit('"__text":'), F.concat(F.lit('"'), field, F.lit('":')))
     # Malformed lines keep their whole text: only the closing brace is lost.
-    line = F.when(F.pmod(F.col("doc_id"), F.lit(MALFORMED_EVERY)) == 0,
+    line = F.when(F.lit(malformed) & (F.pmod(F.col("doc_id"), F.lit(MALFORMED_EVERY)) == 0),
                   F.expr("substr(__line, 1, length(__line) - 1)")).otherwise(F.col("__line"))
     return docs.select("doc_id", renamed.alias("__line")) \
         .select(F.col("doc_id").alias("line_no"), line.alias("line"))
 
 
-def documents_as_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corpuskit.session import spread
-    return documents_lines(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+def documents_as_jsonl(spark: SparkSession, sf_dir: str, malformed: bool = False) -> DataFrame:
+    return documents_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), malformed)
 
 
 __all__ = ["decode_ignore", "read_jsonl_lines", "read_json_table", "documents_lines",

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpuskit.functions.text import PERSIAN_LETTERS, ustrip
 from corpuskit.operators.extract import extract_text
+from corpuskit.session import ensure_checkpoint_dir
 from corpuskit.sources.jsonl import decode_ignore
 
 
@@ -59,14 +60,15 @@ def shuffle_batches(buffer: int = 5000, seed: int = 42, batch_size: int = 32,
     from corpuskit.operators import ordering as od
 
     def _t(batch: DataFrame, batch_id: int) -> DataFrame:
-        d = batch.withColumn("_pos", F.monotonically_increasing_id())
-        d = od.with_row_index(d, [key_col, "_pos"], "idx").drop("_pos")
+        # Arrival positions are written once: the index sorts by them.
+        d = batch.withColumn("_pos", F.monotonically_increasing_id()).checkpoint(eager=True)
+        d = od.with_row_index_range(d, [key_col, "_pos"], "idx").drop("_pos")
         d = od.windowed_shuffle(d, "idx", "idx", buffer, seed + batch_id)
         return od.micro_batches(d, batch_size)
     return _t
 
 
-def examples_batches(vocab: DataFrame, max_seq_length: int = 512, vocab_size_bound: int | None = 32_000,
+def examples_batches(vocab: DataFrame, max_seq_length: int = 512,
                      buffer: int = 5000, seed: int = 42, batch_size: int = 32,
                      causal: bool = False) -> Callable[[DataFrame, int], DataFrame]:
     """Per micro-batch transform producing training examples: the batch's
@@ -79,8 +81,7 @@ def examples_batches(vocab: DataFrame, max_seq_length: int = 512, vocab_size_bou
     def _t(batch: DataFrame, batch_id: int) -> DataFrame:
         d = shuffle(batch, batch_id)
         meta = d.drop("text", "line", "source_field")
-        enc = exm.encode(d.select("idx", "text"), vocab, "idx", "text", max_tokens=max_seq_length,
-                         vocab_size_bound=vocab_size_bound)
+        enc = exm.encode(d.select("idx", "text"), vocab, "idx", "text", max_tokens=max_seq_length)
         return exm.build_examples(enc, max_seq_length, causal=causal).join(meta, "idx") \
             .withColumn("stream_batch", F.lit(batch_id))
     return _t
@@ -93,12 +94,17 @@ def ingest_stream(spark: SparkSession, source_dir: str, output_dir: str, checkpo
     """Start the incremental extraction: lines -> objects -> text gate ->
     (optional per-batch transform, e.g. windowed shuffle + examples) ->
     Parquet under ``output_dir/batch_id=N`` (idempotent overwrite)."""
+    ensure_checkpoint_dir(spark)
     lines = stream_jsonl(spark, source_dir, max_files_per_trigger)
     acc = accepted_count_metric(extract_text(lines, "line", text_field, letters=letters))
 
     def _write(batch: DataFrame, batch_id: int) -> None:
-        out = batch_transform(batch, batch_id) if batch_transform else batch
-        out.write.mode("overwrite").parquet(f"{output_dir.rstrip('/')}/batch_id={batch_id}")
+        batch = batch.persist()  # a transform may use it more than once; lost blocks are recomputed
+        try:
+            out = batch_transform(batch, batch_id) if batch_transform else batch
+            out.write.mode("overwrite").parquet(f"{output_dir.rstrip('/')}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     w = acc.writeStream.foreachBatch(_write).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

@@ -3,7 +3,6 @@ import pytest
 from corpuskit.functions import text as tx
 from corpuskit.operators import evaluate as ev
 from corpuskit.plans.evaluation import evaluate_candidates
-from tests.oracle import LETTERS
 
 FA11 = "سلامسلامسل"  # 10 code points
 FA12 = "سلامسلامسلا"  # 11 code points
@@ -45,19 +44,7 @@ def test_echo_removal_in_plan(spark):
     assert lines[0] == ev.METRICS_TITLE and lines[3].startswith("persian_only: ")
 
 
-def _py_metrics(responses):
-    n = len(responses)
-    f = lambda p: sum(1 for r in responses if p(r)) / n * 100
-    return {
-        "persian_only": f(lambda r: any(ch in r for ch in LETTERS)),
-        "friendly_tone": f(lambda r: any(w in r for w in tx.FRIENDLY_WORDS)),
-        "helpful_content": f(lambda r: len(r.split()) > 10),
-        "creative_elements": f(lambda r: any(w in r for w in tx.CREATIVE_MARKS)),
-        "emoji_usage": f(lambda r: any(w in r for w in tx.EMOJI_MARKS)),
-    }
-
-
-def test_response_metrics_match_python(spark):
+def test_response_metrics_shares(spark):
     responses = [
         "سلام! امروز هوا خوب است",
         " ".join(["کلمه"] * 10),
@@ -70,7 +57,8 @@ def test_response_metrics_match_python(spark):
     ]
     df = spark.createDataFrame([(r,) for r in responses], "response string")
     got = ev.response_metrics(df).first().asDict()
-    for k, v in _py_metrics(responses).items():
+    want = {"persian_only": 75.0, "friendly_tone": 50.0, "helpful_content": 12.5, "creative_elements": 25.0, "emoji_usage": 37.5}
+    for k, v in want.items():
         assert got[k] == pytest.approx(v, abs=1e-6), k
     assert got["n_responses"] == len(responses)
     empty = ev.response_metrics(df.limit(0)).first()
@@ -78,9 +66,9 @@ def test_response_metrics_match_python(spark):
 
 
 def test_metrics_by_group_rollup(spark):
-    df = spark.createDataFrame([("a", "سلام"), ("a", "hi"), ("b", "hello")], "category string, response string")
-    got = {r.category: r.persian_only for r in ev.response_metrics(df, by="category").collect()}
-    assert got == {"a": 50.0, "b": 0.0, None: pytest.approx(100 / 3, abs=1e-6)}
+    df = spark.createDataFrame([("a", "سلام"), ("a", "hi"), ("b", "hello"), (None, "hey")], "category string, response string")
+    got = {(r.category, r.is_total): r.persian_only for r in ev.response_metrics(df, by="category").collect()}
+    assert got == {("a", False): 50.0, ("b", False): 0.0, (None, False): 0.0, (None, True): 25.0}
 
 
 def test_render_prompts_and_summary(spark):
@@ -90,8 +78,10 @@ def test_render_prompts_and_summary(spark):
     assert r[1].rendered == "User: q {system}\nAssistant:"
     res = spark.createDataFrame([("basic_talk", 0, 0, "p", "r")],
                                 "category string, cat_pos int, pos int, prompt string, response string")
-    lines = [x.line for x in ev.summary_lines(res).orderBy("pos", "line_no").collect()]
-    assert lines == ["CATEGORY: BASIC_TALK", "-" * 30, "PROMPT: p", "RESPONSE: r", "-" * 20]
+    lines = [x.line for x in ev.summary_lines(res).orderBy("cat_pos", "pos", "line_no").collect()]
+    assert lines == [ev.SUMMARY_TITLE, "=" * 50, "", "CATEGORY: BASIC_TALK", "-" * 30, "PROMPT: p", "RESPONSE: r", "-" * 20, ""]
+    plain = ev.report_rows(res, plain=True).orderBy("pos").collect()[1].fragment
+    assert 'class="response english"' in plain and "<strong>Response:</strong>" in plain
     frag = ev.report_rows(res).orderBy("pos").collect()
     assert frag[0].fragment == "<h2>📂 Basic Talk</h2>"
     assert 'class="prompt english"' in frag[1].fragment

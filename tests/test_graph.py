@@ -104,3 +104,24 @@ def test_read_edges_reads_all_lines(spark, tmp_dir):
         f.write("4 3\n1 2\n2 3\n3 4\n")
     got = sorted((r.eid, r.src, r.dst) for r in read_edges(spark, p).collect())
     assert got == [(0, 1, 2), (1, 2, 3), (2, 3, 4)]
+
+
+def test_vertices_with_only_self_loops_and_deep_paths_are_whole(spark):
+    comp = gr.connected_components(_edges_df(spark, [(1, 2), (5, 5)]), "src", "dst")
+    assert {r.vertex: r.component for r in comp.collect()} == {1: 1, 2: 1, 5: 5}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(14)], "child long, parent long")
+    assert {r.vertex: r.descendants for r in gr.subtree_totals(chain).collect()} == {i: i for i in range(15)}
+
+
+def test_parent_cycles_raise(spark):
+    import pytest
+    with pytest.raises(ValueError):
+        gr.subtree_totals(spark.createDataFrame([(1, 2), (2, 1), (3, 4)], "child long, parent long"))
+
+
+def test_component_ids_of_wide_ids(spark):
+    top = 9 * 10 ** 18
+    vertices = spark.createDataFrame([(-top,), (top,), (3,), (4,), (5,)], "vertex long")
+    cycle = spark.createDataFrame([(7, 3, 4), (7, 4, 3)], "cycle_id long, src long, dst long")
+    got = {r.vertex: (r.comp_id, r.on_cycle) for r in gr.component_ids(vertices, cycle).collect()}
+    assert got == {3: (0, True), 4: (0, True), -top: (1, False), 5: (2, False), top: (3, False)}

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-import __spark_entry__ as E
+from corpuskit.queries import all_queries, all_sql
 from tools.check_oracle import TABLES, digest
 
 SMOKE = "/root/testdata/sf0.001"
@@ -18,7 +18,7 @@ def con():
 
 
 def test_queries_match_oracle(spark, con):
-    qs, sql = E.queries(), E.oracle_sql()
+    qs, sql = all_queries(), all_sql()
     bad = []
     for name, text in sql.items():
         sdf = qs[name](spark, SMOKE)

@@ -2,6 +2,7 @@ import hashlib
 import math
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpuskit.operators import ordering as od
@@ -86,10 +87,45 @@ def test_take_first_and_round_to_buffer(spark):
     df = _keys(spark, list(range(50, 0, -1)))
     assert sorted(r.key for r in od.take_first(df, 7, "key").collect()) == list(range(1, 8))
     assert od.take_first(df, 7, "key", buffer=5, round_to_buffer=True).count() == 10
-    mid = od.take_first(df, 7, "key", row_topk_threshold=3)
-    assert sorted(r.key for r in mid.collect()) == list(range(1, 8))
-    big = od.take_first(df, 7, "key", topk_threshold=3, row_topk_threshold=3)
-    assert sorted(r.key for r in big.collect()) == list(range(1, 8))
+    odd = spark.createDataFrame([("b",), (None,), ("a",), ("a",), ("a",)], "key string")
+    assert [sorted(str(r.key) for r in od.take_first(odd, n, "key").collect()) for n in (1, 2, 3, 5, 9)] == [
+        ["None"], ["None", "a"], ["None", "a", "a"], ["None", "a", "a", "a", "b"], ["None", "a", "a", "a", "b"]]
+
+
+def test_range_index_is_the_position_with_payload_and_many_rows(spark):
+    n = 400_000
+    df = spark.range(n).select((F.xxhash64("id") % 1000).alias("a"), F.col("id").alias("b"), F.sha2(F.col("id").cast("string"), 256).alias("payload"), F.rand(3).alias("more"))
+    got = od.with_row_index_range(df, ["a", "b"], "idx", num_partitions=13)
+    want = got.withColumn("pos", F.row_number().over(Window.orderBy("a", "b")))
+    r = want.agg(F.count("*").alias("n"), F.count_if(F.col("idx") != F.col("pos")).alias("wrong")).first()
+    assert (r.n, r.wrong) == (n, 0)
+
+
+def test_null_and_duplicate_keys(spark):
+    df = _keys(spark, [5, None, 3])
+    assert {r.key: r.idx for r in od.with_row_index(df, "key").collect()} == {None: 1, 3: 2, 5: 3}
+    twice = spark.range(3000).select((F.col("id") % 1500).alias("key"))
+    split = od.train_eval_split(twice, "key").collect()
+    assert len(split) == 3000 and len({(r.key, r.split) for r in split}) == 1500
+    assert sum(r.split == "eval" for r in split) == 2 * od.eval_size(1500)
+
+
+def test_input_index_refuses_shuffled_rows_and_survives_other_splits(spark, tmp_dir):
+    from corpuskit.plans import IngestConfig, corpus_examples
+    from corpuskit.sources import read_jsonl_lines
+    spark.range(1000).select(F.format_string("line %04d of a file with words", "id").alias("value")).coalesce(1).write.text(tmp_dir + "/in")
+    lines = read_jsonl_lines(spark, tmp_dir + "/in")
+    with pytest.raises(ValueError):
+        corpus_examples(lines.repartition(5), None, IngestConfig(letters="l"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        numbered = od.with_input_index(lines, "idx")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")  # a second scan would cut other splits
+        got = sorted((r.idx, int(r.line[5:9])) for r in numbered.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(i + 1, i) for i in range(1000)]
 
 
 def test_assign_steps_and_plan(spark):

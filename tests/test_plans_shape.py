@@ -22,7 +22,7 @@ def _shuffles(plan):
 def test_encode_regroups_without_a_second_shuffle(spark):
     docs = spark.createDataFrame([(i, "a b c d " * (i % 5)) for i in range(200)], "key long, text string")
     vocab = spark.createDataFrame([("a", 2), ("b", 3)], "term string, id int")
-    enc = exm.encode(docs, vocab, "key", "text", vocab_size_bound=2)
+    enc = exm.encode(docs, vocab, "key", "text")
     plan = _plan(enc)
     # One exchange: the hash partitioning of the texts on their key.
     assert _shuffles(plan) == 1, plan
@@ -57,8 +57,8 @@ def test_input_index_refuses_shuffled_input(spark):
 
 def test_aggregations_combine_before_the_shuffle(spark):
     from corpuskit.operators import evaluate as ev
-    docs = spark.createDataFrame([(i, "a b c " * 3) for i in range(50)], "key long, text string")
-    plan = _plan(exm.fit_vocabulary(docs, "text", 10))
+    docs = spark.createDataFrame([(i % 5, "a b c " * 3) for i in range(50)], "key long, text string")
+    plan = _plan(ev.response_metrics(docs, "text", by="key"))
     assert re.search(r"partial_count", plan), plan
     cands = spark.createDataFrame([(i % 3, i, "سلام" * 5) for i in range(30)], "pid long, template_pos int, output string")
     plan = _plan(ev.best_candidate(cands, "pid"))

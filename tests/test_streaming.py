@@ -111,7 +111,7 @@ def test_stream_training_examples_with_fixed_vocabulary(spark, tmp_dir):
     vocab = fit_vocabulary(extract_text(read_jsonl_lines(spark, src)), "text", 40).checkpoint()
     out = os.path.join(tmp_dir, "out3")
     ck = os.path.join(tmp_dir, "ck3")
-    t = examples_batches(vocab, max_seq_length=8, vocab_size_bound=40, buffer=5, batch_size=2)
+    t = examples_batches(vocab, max_seq_length=8, buffer=5, batch_size=2)
     ingest_stream(spark, src, out, ck, batch_transform=t).awaitTermination()
     _write(os.path.join(src, "b.jsonl"), [{"text": f"{FA} x{i}"} for i in range(3)])
     ingest_stream(spark, src, out, ck, batch_transform=t).awaitTermination()

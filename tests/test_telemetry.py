@@ -37,12 +37,24 @@ def test_stage_durations(log_df):
     assert got == {"loading": ("completed", 2.15, 2.15), "tuning": ("failed", 1.5, 1.5)}
 
 
-def test_stage_end_at_same_millisecond(spark):
+def _parsed(spark, lines):
     from corpuskit.sources.runlog import parse_log
-    rows = ["2025-01-05 10:00:00,000 - INFO - [m] - Starting quick...",
-            "2025-01-05 10:00:00,000 - INFO - [m] - ✅ Completed quick in 0.00s"]
-    got = tm.stage_durations(parse_log(spark.createDataFrame([(r,) for r in rows], "value string"))).collect()
-    assert [(r.stage, r.status, r.wall_seconds) for r in got] == [("quick", "completed", 0.0)]
+    return parse_log(spark.createDataFrame(list(enumerate(lines)), "line_no int, value string"))
+
+
+def test_stages_are_paired_in_line_order_and_unfinished_ones_stay(spark):
+    at = "2025-01-05 10:00:00,000 - INFO - [m] - "
+    lines = [at + "Starting quick...", at + "✅ Completed quick in 0.00s", at + "Starting quick...", at + "Starting slow...", at + "✅ Completed quick in 0.20s"]
+    got = tm.stage_durations(_parsed(spark, lines)).orderBy("start_line").collect()
+    assert [(r.stage, r.start_line, r.status, r.reported_seconds) for r in got] == [
+        ("quick", 0, "completed", 0.0), ("quick", 2, "completed", 0.2), ("slow", 3, "unfinished", None)]
+
+
+def test_resource_deltas_are_per_run(spark):
+    res = "2025-01-05 10:00:00,000 - INFO - [m] - %s load Resources - CPU: %s%%, RAM: 4.0/16.0 GB (25.0%%), GPU: 0.0%% (0.0/8.0 GB)"
+    lines = [res % x for x in (("Before", "10.0"), ("After", "20.0"), ("Before", "80.0"), ("After", "20.0"), ("Before", "1.0"))]
+    got = tm.stage_resource_delta(tm.resource_samples(_parsed(spark, lines))).orderBy("before_line").collect()
+    assert [(r.before_line, r.cpu_delta) for r in got] == [(0, 0.1), (2, -0.6)]
 
 
 def test_resources_and_delta(log_df):
