@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuskit.functions.text import LATIN_ACCENT_LETTERS, PY_WHITESPACE
+from corpuskit.session import spread
+from corpuskit.sources.jsonl import documents_lines
 
 LETTERS = LATIN_ACCENT_LETTERS
 
@@ -13,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents_as_jsonl(spark: SparkSession, sf_dir: str, malformed: bool = False) -> DataFrame:
+    """``documents`` as JSON lines, rows of a one-file table spread over the cores."""
+    return documents_lines(spread(table(spark, sf_dir, "documents")), malformed)
+
+
 # --- DuckDB fragments mirroring corpuskit.functions.text -------------------
 WS = "(" + " || ".join(f"chr({ord(c)})" for c in PY_WHITESPACE) + ")"
 WS_RE = "'[' || " + WS + " || ']+'"

@@ -8,8 +8,7 @@ from corpuskit.functions import text as tx
 from corpuskit.functions.tokens import ids_text
 from corpuskit.operators import examples as exm
 from corpuskit.operators import extract as ex
-from corpuskit.queries.common import EXTRACT_CTE, LETTERS, strip, table, tokens
-from corpuskit.sources.jsonl import documents_as_jsonl
+from corpuskit.queries.common import EXTRACT_CTE, LETTERS, documents_as_jsonl, strip, table, tokens
 
 VOCAB = 32_000  # library default vocabulary size
 SEQ = 512  # the reference trainer's max_seq_length

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpuskit.operators import extract as ex
-from corpuskit.queries.common import DOC_FIELD_SQL, EXTRACT_CTE, EXTRACT_PARSED_CTE, LETTERS
+from corpuskit.queries.common import DOC_FIELD_SQL, EXTRACT_CTE, EXTRACT_PARSED_CTE, LETTERS, documents_as_jsonl
 from corpuskit.session import ensure_checkpoint_dir
-from corpuskit.sources.jsonl import documents_as_jsonl, read_jsonl_lines
+from corpuskit.sources.jsonl import read_jsonl_lines
 from corpuskit.streaming.ingest import ingest_stream, shuffle_batches
 
 

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.operators import extract as ex
 from corpuskit.operators import ordering as od
-from corpuskit.queries.common import EXTRACT_CTE, LETTERS, table
-from corpuskit.sources.jsonl import documents_as_jsonl
+from corpuskit.queries.common import EXTRACT_CTE, LETTERS, documents_as_jsonl, table
 
 BUFFER = 100  # small enough that the sf0.01 corpus spans several shuffle buffers
 BATCH = 32

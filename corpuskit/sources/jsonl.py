@@ -101,9 +101,4 @@ def documents_lines(docs: DataFrame, malformed: bool = True) -> DataFrame:
         .select(F.col("doc_id").alias("line_no"), line.alias("line"))
 
 
-def documents_as_jsonl(spark: SparkSession, sf_dir: str, malformed: bool = False) -> DataFrame:
-    return documents_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), malformed)
-
-
-__all__ = ["decode_ignore", "read_jsonl_lines", "read_json_table", "documents_lines",
-           "documents_as_jsonl", "DOC_FIELDS", "MALFORMED_EVERY", "PY_WHITESPACE"]
+__all__ = ["decode_ignore", "read_jsonl_lines", "read_json_table", "documents_lines", "DOC_FIELDS", "MALFORMED_EVERY", "PY_WHITESPACE"]

@@ -19,14 +19,11 @@ def _shuffles(plan):
     return len(re.findall(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition|RoundRobin)", plan))
 
 
-def test_encode_regroups_without_a_second_shuffle(spark):
+def test_encode_looks_up_small_vocabularies_in_place(spark):
     docs = spark.createDataFrame([(i, "a b c d " * (i % 5)) for i in range(200)], "key long, text string")
     vocab = spark.createDataFrame([("a", 2), ("b", 3)], "term string, id int")
-    enc = exm.encode(docs, vocab, "key", "text")
-    plan = _plan(enc)
-    # One exchange: the hash partitioning of the texts on their key.
-    assert _shuffles(plan) == 1, plan
-    assert "BroadcastHashJoin" in plan
+    plan = _plan(exm.encode(docs, vocab, "key", "text"))
+    assert _shuffles(plan) == 0 and "Join" not in plan, plan
 
 
 def test_input_index_does_not_shuffle_rows(spark, tmp_dir):
