@@ -32,7 +32,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import text_slices, written
+from corpuskit.session import ensure_checkpoint_dir
+from corpuskit.llm.common import text_slices
 
 BLOCK = 24 << 20
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -176,10 +177,13 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", path:
     key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     raw = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")) \
         .mapInArrow(_blocks(shares), f"block string, share int, keys array<{kind}>, payload binary, sizes binary, more binary")
-    raw = written(raw, "bpe-blocks")
+    # Written in buckets of the block, so that positions needn't be shuffled to meet their ids.
+    name = f"bpe_blocks_{uuid.uuid4().hex}"
+    raw.write.bucketBy(shares, "block").option("path", f"{ensure_checkpoint_dir(spark)}/{name}").saveAsTable(name)
+    raw = spark.table(name)
     words = raw.where("share >= 0").select("block", "share", "payload", "sizes", "more").repartition(shares, "share") \
         .mapInArrow(_encode_words(path), "block string, ids binary, lens binary, places binary")
-    back = words.groupBy("block").agg(F.collect_list(F.struct("ids", "lens", "places")).alias("words"))
+    back = words.repartition(shares, "block").groupBy("block").agg(F.collect_list(F.struct("ids", "lens", "places")).alias("words"))
     blocks = raw.where("share = -1").select("block", "keys", "payload", "sizes").join(back, "block", "left")
     return blocks.mapInArrow(_reassemble(make, tuple(fields), (key_type, *fields.values())), f"doc_id {kind}, {ddl}")
 
