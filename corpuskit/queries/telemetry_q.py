@@ -3,10 +3,15 @@ cpu = value / 500, ram ratio = props.k / 100, gpu = 0."""
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpuskit.operators import telemetry as tm
 from corpuskit.queries.common import table
+from corpuskit.session import ensure_checkpoint_dir
+from corpuskit.streaming.monitor import monitor_stream
 
 
 def samples_of(e):
@@ -24,9 +29,6 @@ def samples(spark, d):
 def q_stream_monitor(spark, d):
     """The Structured Streaming monitor over the events file (file source,
     availableNow); equals its batch twin."""
-    import uuid
-    from corpuskit.session import ensure_checkpoint_dir
-    from corpuskit.streaming.monitor import monitor_stream
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")
     name = "stream_monitor_" + uuid.uuid4().hex[:12]
@@ -39,6 +41,23 @@ def q_stream_monitor(spark, d):
     return spark.read.parquet(f"{ck}/out")
 
 
+def q_stream_late_rows(spark, d):
+    """The monitor in append mode over three files, one a micro-batch.  A batch
+    drops rows that the watermark of the batch before last had closed, so rows of
+    the third file whose window the first file's watermark passed come too late."""
+    base = ensure_checkpoint_dir(spark).rstrip("/") + "/stream_late_" + uuid.uuid4().hex[:12]
+    events = table(spark, d, "events")
+    for k in (0, 1, 2):
+        events.where(F.col("event_id") % 3 == k).coalesce(1).write.parquet(f"{base}/src/part={k}")
+        time.sleep(1.1)  # files are read in the order of their times
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/src/part=*")
+    out = monitor_stream(samples_of(stream), "ts", "1 hour", "1 day")
+    q = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck") \
+        .outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("avg_cpu")  # a mean over batches may differ in its last digit
+
+
 def q_limit_breaches(spark, d):
     return tm.limit_breaches(samples(spark, d), by="event_type")
 
@@ -113,6 +132,7 @@ def q_stage_resource_delta(spark, d):
 
 QUERIES = {
     "stream_monitor": q_stream_monitor,
+    "stream_late_rows": q_stream_late_rows,
     "order_latency": q_order_latency,
     "sample_deltas": q_sample_deltas,
     "parse_log": q_parse_log,
@@ -178,3 +198,10 @@ SQL = {
 }
 # The stream's final windows equal the batch twin's.
 SQL["stream_monitor"] = SQL["tumbling_breaches"]
+# Append mode: windows that the last watermark closes, without the third file's late rows.
+SQL["stream_late_rows"] = f"""WITH {SAMPLES},
+        w AS (SELECT max(ts) FILTER (event_id % 3 = 0) - INTERVAL 1 day AS first, max(ts) - INTERVAL 1 day AS last FROM events),
+        k AS (SELECT l.*, time_bucket(INTERVAL 1 hour, l.ts) AS h FROM l)
+        SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n_samples, round(max(cpu), 6) AS max_cpu,
+        count(*) FILTER (WHERE NOT within_limits) AS n_breaches FROM k, w
+        WHERE h + INTERVAL 1 hour <= last AND (event_id % 3 < 2 OR h + INTERVAL 1 hour > first) GROUP BY 1"""

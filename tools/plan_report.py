@@ -11,7 +11,7 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from corpuskit.session import build_session  # noqa: E402
-import __spark_entry__ as E  # noqa: E402
+from corpuskit.queries import all_queries  # noqa: E402
 
 SKIP = {"connected_components", "cycle_edges", "contract_graph", "subtree_totals"}  # iterative: eager rounds
 
@@ -21,7 +21,7 @@ def main():
     spark = build_session("local[8]", 8)
     print("| query | shuffle exchanges | broadcasts | window group limit | scans (columns read) |")
     print("|---|---|---|---|---|")
-    for name, fn in E.queries().items():
+    for name, fn in all_queries().items():
         if name in SKIP:
             continue
         df = fn(spark, sf)
