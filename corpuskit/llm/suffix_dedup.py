@@ -27,9 +27,13 @@ previous-smaller pointer names the suffix whose prefix it extends, which moves
 to a higher group next to its old one.  Then, from the smallest suffix on, the
 pointers' chains emit each group in order.  Both phases are linear.
 
-Anchors with more than ``CROWD`` different first contexts are not put into one
-task: their windows are exploded and compared by 128-bit hashes, which is
-exact for the same purpose and spreads over tasks.
+Before that, an anchor's windows are halved by their distance from it: those of
+a half share a core of 66 bytes or more, and contexts whose core nobody else
+has can't hold an equal window.  Anchors with more than ``CROWD`` different
+first contexts (a common line in many surroundings) are never put into one
+task: their halves are dealt by core as anchors of their own, and halved again
+while a core is still crowded; equal halves fall together at each step, and a
+core of LENGTH bytes is a window, so this ends after seven steps.
 
 Null texts are empty; texts shorter than LENGTH lose nothing; rows that share
 an id are one document: none is earlier than the other at equal places.
@@ -37,8 +41,6 @@ an id are one document: none is earlier than the other at equal places.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -220,15 +222,39 @@ def _occurrences(known):
 
 
 def _contexts(batches):
-    """(h, doc, place, bytes) of the places wanted from each text."""
+    """(h, crowd, doc, place, bytes) of the places wanted from each text."""
     for b in text_slices(batches):
         out = []
         for doc, wanted, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b)):
             for w in wanted:
                 s, n = w["place"] >> 32, (w["place"] >> 18) & 127
-                out.append((w["h"], w["crowd"], doc, w["place"], t[s:s + n + LENGTH - 1]))
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else ((),) * 5, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()))],
-                              names=["h", "crowd", "doc", "place", "data"])
+                out.append((w["h"], w["crowd"], 0, LENGTH - GRAM, doc, w["place"], t[s:s + n + LENGTH - 1]))
+        kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else ((),) * 7, kinds)], names=["h", "crowd", "near", "far", "doc", "place", "data"])
+
+
+def halves(near: int, far: int, place: int, data: bytes):
+    """A context's windows that start ``near`` to ``far`` bytes before its
+    anchor, halved by that distance: (core, near, far, place, bytes) of each half
+    that has windows; the core is what all windows of such a half hold."""
+    start, lo, n, mark = place >> 32, (place >> 25) & 127, (place >> 18) & 127, place & 0x3FFFF
+    mid = (near + far + 1) // 2
+    for a, b in ((near, mid - 1), (mid, far)) if near < far else ((near, far),):
+        first, last = min(b, lo), max(a, lo - n + 1)
+        if first >= last:
+            at = lo - first
+            m = first - last + 1
+            yield xxhash.xxh64_intdigest(data[lo - a:lo - b + LENGTH], a << 8 | b) - (1 << 63), a, b, _place(start + at, first, m, mark), data[at:at + m - 1 + LENGTH]
+
+
+def _halved(batches):
+    """(h, near, far, ctx, doc, place, bytes) of the halves of crowded contexts; ``h`` is their core's hash."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    for b in batches:
+        out = [(h, a, z, xxhash.xxh64_intdigest(part, (p >> 25) & 127) - (1 << 63), doc, p, part)
+               for near, far, doc, place, data in zip(*(b.column(c).to_pylist() for c in ("near", "far", "doc", "place", "data")))
+               for h, a, z, p, part in halves(near, far, place, data)]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else ((),) * 7, kinds)], names=["h", "near", "far", "ctx", "doc", "place", "data"])
 
 
 def late_windows(contexts: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int]]:
@@ -266,28 +292,42 @@ def _suffix_blocks(batches):
         got = late_windows(block)
         doc, start, mark = (np.array(x, np.int64) for x in (zip(*got) if got else ((), (), ())))
         return pa.record_batch([pa.array(doc), pa.array(_place(start, 0, 1, mark))], names=["doc", "place"])
-    block, size, last = [], 0, None
+
+    def partners(anchor):
+        """Halves of an anchor's contexts whose core another context has."""
+        cores = {}
+        for near, far, doc, place, data in anchor:
+            for core, _, _, p, part in halves(near, far, place, data):
+                cores.setdefault(core, []).append((doc, p, (p >> 18) & 127, part))
+        return [c for own in cores.values() if len(own) > 1 for c in own]
+    block, size, anchor, last = [], 0, [], None
     for b in batches:
-        for h, doc, place, data in zip(*(c.to_pylist() for c in b.columns)):
-            if size >= BLOCK and h != last:
-                yield flush(block)
-                block, size = [], 0
-            block.append((doc, place, (place >> 18) & 127, data))
-            size += len(data)
-            last = h
+        for h, *row in zip(*(c.to_pylist() for c in b.columns)):
+            if h != last:
+                more, anchor, last = partners(anchor), [], h
+                block += more
+                size += sum(len(c[3]) for c in more)
+                if size >= BLOCK:
+                    yield flush(block)
+                    block, size = [], 0
+            anchor.append(row)
+    block += partners(anchor)
     if block:
         yield flush(block)
 
 
-def _exploded(batches):
-    """(k1, k2, doc, place) of every window of crowded anchors' contexts."""
-    for b in batches:
-        out = []
-        for doc, place, data in zip(*(c.to_pylist() for c in b.columns)):
-            for j in range((place >> 18) & 127):
-                k = hashlib.blake2b(data[j:j + LENGTH], digest_size=16).digest()
-                out.append((int.from_bytes(k[:8], "little", signed=True), int.from_bytes(k[8:], "little", signed=True), doc, _place((place >> 32) + j, 0, 1, place & 0x3FFFF)))
-        yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((),) * 4)], names=["k1", "k2", "doc", "place"])
+def _crowds(level: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One halving of crowded anchors' contexts: (late places, contexts of cores
+    with some partners, contexts of cores still crowded)."""
+    rows = written(level.mapInArrow(_halved, "h bigint, near int, far int, ctx bigint, doc bigint, place bigint, data binary"), "suffix-halves")
+    firsts = written(rows.groupBy("h", "ctx").agg(F.min(F.struct("doc", "place")).alias("f"), F.count("*").alias("n")), "suffix-half-firsts")
+    # A core with a single context that occurs once holds nothing.
+    shared = firsts.groupBy("h").agg(F.count("*").alias("contexts"), F.max("n").alias("most")).where("contexts > 1 OR most > 1").drop("most")
+    both = rows.join(written(firsts.join(shared, "h").drop("n"), "suffix-half-shared"), ["h", "ctx"])
+    late = both.where("doc > f.doc OR shiftright(place, 32) > shiftright(f.place, 32)").select("doc", "place")
+    own = both.where("contexts > 1 AND doc = f.doc AND place = f.place").dropDuplicates(["h", "ctx"])
+    own = written(own.select("h", "near", "far", "doc", "place", "data", (F.col("contexts") > CROWD).alias("crowd")), "suffix-half-contexts")
+    return late, own.where("NOT crowd").drop("crowd"), own.where("crowd").drop("crowd")
 
 
 def repeated_places(docs: DataFrame) -> DataFrame:
@@ -308,16 +348,16 @@ def repeated_places(docs: DataFrame) -> DataFrame:
     several = firsts.groupBy("h").count().where("count > 1").select("h", (F.col("count") > CROWD).alias("crowd"))
     wanted = firsts.join(written(several, "suffix-several"), "h") \
         .groupBy("doc", F.col("place").bitwiseAND(F.lit(0x3FFFF)).alias("mark")).agg(F.collect_list(F.struct("h", "crowd", "place")).alias("wanted"))
-    contexts = docs.join(wanted, ["doc", "mark"]).select("doc", "wanted", "text").mapInArrow(_contexts, "h bigint, crowd boolean, doc bigint, place bigint, data binary")
+    contexts = docs.join(wanted, ["doc", "mark"]).select("doc", "wanted", "text") \
+        .mapInArrow(_contexts, "h bigint, crowd boolean, near int, far int, doc bigint, place bigint, data binary")
     contexts = written(contexts, "suffix-contexts")
+    late, small, level = found.where("late").select("doc", "place"), contexts.where("NOT crowd").drop("crowd"), contexts.where("crowd").drop("crowd")
+    while not level.isEmpty():
+        more, few, level = _crowds(level)
+        late, small = late.unionByName(more), small.unionByName(few)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = contexts.where("NOT crowd").select("h", "doc", "place", "data").repartition(parts, "h").sortWithinPartitions("h")
-    by_array = sorted_.mapInArrow(_suffix_blocks, "doc bigint, place bigint")
-    windows = contexts.where("crowd").select("doc", "place", "data").mapInArrow(_exploded, "k1 bigint, k2 bigint, doc bigint, place bigint")
-    earliest = windows.groupBy("k1", "k2").agg(F.min(F.struct("doc", "place")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
-    earliest = written(earliest, "suffix-earliest")  # one row per window, so AQE may split a hot one
-    by_hash = windows.join(earliest, ["k1", "k2"]).where("doc > f.doc OR shiftright(place, 32) > shiftright(f.place, 32)").select("doc", "place")
-    return found.where("late").select("doc", "place").unionByName(by_array).unionByName(by_hash)
+    sorted_ = small.select("h", "near", "far", "doc", "place", "data").repartition(parts, "h").sortWithinPartitions("h")
+    return late.unionByName(sorted_.mapInArrow(_suffix_blocks, "doc bigint, place bigint"))
 
 
 def merged(places) -> list[tuple[int, int]]:
