@@ -166,10 +166,11 @@ def suffix_array(s: bytes) -> list[int]:
         k += 1
 
 
-# A place in one long: first window's start (31 bits), anchor's distance from it
-# and number of windows (7 each), hash of the text (18), which tells rows of one id apart.
-def _place(start, lo, n, mark):
-    return (start << 32) | (lo << 25) | (n << 18) | mark
+# A place in one long: first window's start, anchor's distance from it and number
+# of windows (7 bits each).  Beside it stands ``mark``, a 64-bit hash of the whole
+# text, which tells rows of one id apart.
+def _place(start, lo, n):
+    return (start << 14) | (lo << 7) | n
 
 
 def _each_anchor(batches, table, own=None):
@@ -195,7 +196,7 @@ def _counts(batches):
 
 
 def _occurrences(known):
-    """(h, ctx, doc, place, late) of repeated anchors; ``late``: the slice has
+    """(h, ctx, doc, mark, place, late) of repeated anchors; ``late``: the slice has
     the same context at an earlier place, so a hot one is a row per slice."""
     def run(batches):
         table, got, keep = _table(), [], None if known is None else known.value
@@ -208,61 +209,66 @@ def _occurrences(known):
                 digest = xxhash.xxh64_intdigest
                 ctx = np.array([digest(piece[s:s + m + LENGTH - 1], k) for s, k, m in zip(f.tolist(), (a - f).tolist(), n.tolist())], np.uint64)
                 doc, mark = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                got.append((h, ctx.view(np.int64), np.full(len(h), doc), _place(f + lo, a - f, n, mark)))
+                got.append((h, ctx.view(np.int64), np.full(len(h), doc), np.full(len(h), mark), _place(f + lo, a - f, n)))
             elif got:
-                h, ctx, doc, place = map(np.concatenate, zip(*got))
+                h, ctx, doc, mark, place = map(np.concatenate, zip(*got))
                 got = []
                 order = np.lexsort((place, doc, ctx, h))
-                h, ctx, doc, place = h[order], ctx[order], doc[order], place[order]
+                h, ctx, doc, mark, place = h[order], ctx[order], doc[order], mark[order], place[order]
                 new = np.concatenate(([True], (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])))
                 first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.zeros(0, np.int64)
-                late = (doc > doc[first]) | (place >> 32 > place[first] >> 32)
-                yield pa.record_batch([pa.array(c) for c in (h, ctx, doc, place, late)], names=["h", "ctx", "doc", "place", "late"])
+                late = (doc > doc[first]) | (place >> 14 > place[first] >> 14)
+                yield pa.record_batch([pa.array(c) for c in (h, ctx, doc, mark, place, late)], names=["h", "ctx", "doc", "mark", "place", "late"])
     return run
 
 
 def _contexts(batches):
-    """(h, crowd, doc, place, bytes) of the places wanted from each text."""
+    """(h, crowd, doc, mark, place, bytes) of the places wanted from each text;
+    of equal rows side by side, from the first."""
+    last = None
     for b in text_slices(batches):
         out = []
-        for doc, wanted, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b)):
+        for doc, mark, wanted, t in zip(*(b.column(c).to_pylist() for c in range(3)), texts_of(b)):
+            if (doc, mark) == last:
+                continue
+            last = doc, mark
             for w in wanted:
-                s, n = w["place"] >> 32, (w["place"] >> 18) & 127
-                out.append((w["h"], w["crowd"], 0, LENGTH - GRAM, doc, w["place"], t[s:s + n + LENGTH - 1]))
-        kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else ((),) * 7, kinds)], names=["h", "crowd", "near", "far", "doc", "place", "data"])
+                s, n = w["place"] >> 14, w["place"] & 127
+                out.append((w["h"], w["crowd"], 0, LENGTH - GRAM, doc, mark, w["place"], t[s:s + n + LENGTH - 1]))
+        kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else ((),) * 8, kinds)], names=["h", "crowd", "near", "far", "doc", "mark", "place", "data"])
 
 
 def halves(near: int, far: int, place: int, data: bytes):
     """A context's windows that start ``near`` to ``far`` bytes before its
     anchor, halved by that distance: (core, near, far, place, bytes) of each half
     that has windows; the core is what all windows of such a half hold."""
-    start, lo, n, mark = place >> 32, (place >> 25) & 127, (place >> 18) & 127, place & 0x3FFFF
+    start, lo, n = place >> 14, (place >> 7) & 127, place & 127
     mid = (near + far + 1) // 2
     for a, b in ((near, mid - 1), (mid, far)) if near < far else ((near, far),):
         first, last = min(b, lo), max(a, lo - n + 1)
         if first >= last:
             at = lo - first
             m = first - last + 1
-            yield xxhash.xxh64_intdigest(data[lo - a:lo - b + LENGTH], a << 8 | b) - (1 << 63), a, b, _place(start + at, first, m, mark), data[at:at + m - 1 + LENGTH]
+            yield xxhash.xxh64_intdigest(data[lo - a:lo - b + LENGTH], a << 8 | b) - (1 << 63), a, b, _place(start + at, first, m), data[at:at + m - 1 + LENGTH]
 
 
 def _halved(batches):
-    """(h, near, far, ctx, doc, place, bytes) of the halves of crowded contexts; ``h`` is their core's hash."""
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    """(h, near, far, ctx, doc, mark, place, bytes) of the halves of crowded contexts; ``h`` is their core's hash."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
     for b in batches:
-        out = [(h, a, z, xxhash.xxh64_intdigest(part, (p >> 25) & 127) - (1 << 63), doc, p, part)
-               for near, far, doc, place, data in zip(*(b.column(c).to_pylist() for c in ("near", "far", "doc", "place", "data")))
+        out = [(h, a, z, xxhash.xxh64_intdigest(part, (p >> 7) & 127) - (1 << 63), doc, mark, p, part)
+               for near, far, doc, mark, place, data in zip(*(b.column(c).to_pylist() for c in ("near", "far", "doc", "mark", "place", "data")))
                for h, a, z, p, part in halves(near, far, place, data)]
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else ((),) * 7, kinds)], names=["h", "near", "far", "ctx", "doc", "place", "data"])
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else ((),) * 8, kinds)], names=["h", "near", "far", "ctx", "doc", "mark", "place", "data"])
 
 
-def late_windows(contexts: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int]]:
-    """(doc, place) of windows of ``contexts`` (doc, place, windows, bytes) that
-    have an equal one earlier, by one suffix array over all of them."""
-    data, owner, starts = b"".join(c[3] for c in contexts), [], []
+def late_windows(contexts: list[tuple[int, int, int, int, bytes]]) -> list[tuple[int, int, int]]:
+    """(doc, start, mark) of windows of ``contexts`` (doc, mark, place, windows, bytes)
+    that have an equal one earlier, by one suffix array over all of them."""
+    data, owner, starts = b"".join(c[4] for c in contexts), [], []
     at = 0
-    for k, (_, _, n, c) in enumerate(contexts):
+    for k, (_, _, _, n, c) in enumerate(contexts):
         starts.append(at)
         owner += [k] * n + [-1] * (len(c) - n)
         at += len(c)
@@ -280,8 +286,8 @@ def late_windows(contexts: list[tuple[int, int, int, bytes]]) -> list[tuple[int,
         if w != last:
             close()
             run, last = [], w
-        doc, place, _, _ = contexts[k]
-        run.append((doc, (place >> 32) + p - starts[k], place & 0x3FFFF))
+        doc, mark, place, _, _ = contexts[k]
+        run.append((doc, (place >> 14) + p - starts[k], mark))
     close()
     return out
 
@@ -291,14 +297,14 @@ def _suffix_blocks(batches):
     def flush(block):
         got = late_windows(block)
         doc, start, mark = (np.array(x, np.int64) for x in (zip(*got) if got else ((), (), ())))
-        return pa.record_batch([pa.array(doc), pa.array(_place(start, 0, 1, mark))], names=["doc", "place"])
+        return pa.record_batch([pa.array(doc), pa.array(mark), pa.array(_place(start, 0, 1))], names=["doc", "mark", "place"])
 
     def partners(anchor):
         """Halves of an anchor's contexts whose core another context has."""
         cores = {}
-        for near, far, doc, place, data in anchor:
+        for near, far, doc, mark, place, data in anchor:
             for core, _, _, p, part in halves(near, far, place, data):
-                cores.setdefault(core, []).append((doc, p, (p >> 18) & 127, part))
+                cores.setdefault(core, []).append((doc, mark, p, p & 127, part))
         return [c for own in cores.values() if len(own) > 1 for c in own]
     block, size, anchor, last = [], 0, [], None
     for b in batches:
@@ -306,7 +312,7 @@ def _suffix_blocks(batches):
             if h != last:
                 more, anchor, last = partners(anchor), [], h
                 block += more
-                size += sum(len(c[3]) for c in more)
+                size += sum(len(c[4]) for c in more)
                 if size >= BLOCK:
                     yield flush(block)
                     block, size = [], 0
@@ -319,19 +325,19 @@ def _suffix_blocks(batches):
 def _crowds(level: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One halving of crowded anchors' contexts: (late places, contexts of cores
     with some partners, contexts of cores still crowded)."""
-    rows = written(level.mapInArrow(_halved, "h bigint, near int, far int, ctx bigint, doc bigint, place bigint, data binary"), "suffix-halves")
-    firsts = written(rows.groupBy("h", "ctx").agg(F.min(F.struct("doc", "place")).alias("f"), F.count("*").alias("n")), "suffix-half-firsts")
+    rows = written(level.mapInArrow(_halved, "h bigint, near int, far int, ctx bigint, doc bigint, mark bigint, place bigint, data binary"), "suffix-halves")
+    firsts = written(rows.groupBy("h", "ctx").agg(F.min(F.struct("doc", "place", "mark")).alias("f"), F.count("*").alias("n")), "suffix-half-firsts")
     # A core with a single context that occurs once holds nothing.
     shared = firsts.groupBy("h").agg(F.count("*").alias("contexts"), F.max("n").alias("most")).where("contexts > 1 OR most > 1").drop("most")
     both = rows.join(written(firsts.join(shared, "h").drop("n"), "suffix-half-shared"), ["h", "ctx"])
-    late = both.where("doc > f.doc OR shiftright(place, 32) > shiftright(f.place, 32)").select("doc", "place")
-    own = both.where("contexts > 1 AND doc = f.doc AND place = f.place").dropDuplicates(["h", "ctx"])
-    own = written(own.select("h", "near", "far", "doc", "place", "data", (F.col("contexts") > CROWD).alias("crowd")), "suffix-half-contexts")
+    late = both.where("doc > f.doc OR shiftright(place, 14) > shiftright(f.place, 14)").select("doc", "mark", "place")
+    own = both.where("contexts > 1 AND doc = f.doc AND place = f.place AND mark = f.mark").dropDuplicates(["h", "ctx"])
+    own = written(own.select("h", "near", "far", "doc", "mark", "place", "data", (F.col("contexts") > CROWD).alias("crowd")), "suffix-half-contexts")
     return late, own.where("NOT crowd").drop("crowd"), own.where("crowd").drop("crowd")
 
 
 def repeated_places(docs: DataFrame) -> DataFrame:
-    """``(doc, place)`` of runs of windows that have an equal one earlier, of rows ``(doc, mark, text)``."""
+    """``(doc, mark, place)`` of runs of windows that have an equal one earlier, of rows ``(doc, mark, text)``."""
     spark = docs.sparkSession
     counts = docs.select("text").mapInArrow(_counts, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     known = written(counts.where("n > 1").select("h"), "suffix-known")
@@ -340,31 +346,31 @@ def repeated_places(docs: DataFrame) -> DataFrame:
         shared = None
     else:
         shared = spark.sparkContext.broadcast(np.sort(known.toArrow().column("h").to_numpy()))
-    found = docs.select("doc", "mark", "text").mapInArrow(_occurrences(shared), "h bigint, ctx bigint, doc bigint, place bigint, late boolean")
+    found = docs.select("doc", "mark", "text").mapInArrow(_occurrences(shared), "h bigint, ctx bigint, doc bigint, mark bigint, place bigint, late boolean")
     found = found.selectExpr("*", "min(struct(doc, place)) OVER (PARTITION BY h, ctx, IF(late, doc, NULL), IF(late, place, NULL)) AS first")
-    found = written(found.selectExpr("h", "ctx", "doc", "place", "late OR doc > first.doc OR shiftright(place, 32) > shiftright(first.place, 32) AS late"), "suffix-places")
-    firsts = found.where("NOT late").groupBy("h", "ctx").agg(F.min(F.struct("doc", "place")).alias("p")).select("h", "p.doc", "p.place")
+    found = written(found.selectExpr("h", "ctx", "doc", "mark", "place", "late OR doc > first.doc OR shiftright(place, 14) > shiftright(first.place, 14) AS late"), "suffix-places")
+    firsts = found.where("NOT late").groupBy("h", "ctx").agg(F.min(F.struct("doc", "place", "mark")).alias("p")).select("h", "p.doc", "p.mark", "p.place")
     firsts = written(firsts, "suffix-firsts")
     several = firsts.groupBy("h").count().where("count > 1").select("h", (F.col("count") > CROWD).alias("crowd"))
     wanted = firsts.join(written(several, "suffix-several"), "h") \
-        .groupBy("doc", F.col("place").bitwiseAND(F.lit(0x3FFFF)).alias("mark")).agg(F.collect_list(F.struct("h", "crowd", "place")).alias("wanted"))
-    contexts = docs.join(wanted, ["doc", "mark"]).select("doc", "wanted", "text") \
-        .mapInArrow(_contexts, "h bigint, crowd boolean, near int, far int, doc bigint, place bigint, data binary")
+        .groupBy("doc", "mark").agg(F.collect_list(F.struct("h", "crowd", "place")).alias("wanted"))
+    contexts = docs.join(wanted, ["doc", "mark"]).select("doc", "mark", "wanted", "text") \
+        .mapInArrow(_contexts, "h bigint, crowd boolean, near int, far int, doc bigint, mark bigint, place bigint, data binary")
     contexts = written(contexts, "suffix-contexts")
-    late, small, level = found.where("late").select("doc", "place"), contexts.where("NOT crowd").drop("crowd"), contexts.where("crowd").drop("crowd")
+    late, small, level = found.where("late").select("doc", "mark", "place"), contexts.where("NOT crowd").drop("crowd"), contexts.where("crowd").drop("crowd")
     while not level.isEmpty():
         more, few, level = _crowds(level)
         late, small = late.unionByName(more), small.unionByName(few)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = small.select("h", "near", "far", "doc", "place", "data").repartition(parts, "h").sortWithinPartitions("h")
-    return late.unionByName(sorted_.mapInArrow(_suffix_blocks, "doc bigint, place bigint"))
+    sorted_ = small.select("h", "near", "far", "doc", "mark", "place", "data").repartition(parts, "h").sortWithinPartitions("h")
+    return late.unionByName(sorted_.mapInArrow(_suffix_blocks, "doc bigint, mark bigint, place bigint"))
 
 
 def merged(places) -> list[tuple[int, int]]:
     """Maximal (start, end) byte runs that the places' windows cover."""
     p = np.sort(np.asarray(places, np.int64))
-    lo = p >> 32
-    hi = np.maximum.accumulate(lo + ((p >> 18) & 127) + LENGTH - 1) if len(p) else lo
+    lo = p >> 14
+    hi = np.maximum.accumulate(lo + (p & 127) + LENGTH - 1) if len(p) else lo
     new = np.concatenate(([True], lo[1:] > hi[:-1])) if len(p) else np.zeros(0, bool)
     at = np.flatnonzero(new)
     return list(zip(lo[at].tolist(), hi[np.append(at[1:] - 1, len(p) - 1)].tolist())) if len(p) else []
@@ -375,8 +381,8 @@ def deduplicate(documents: DataFrame, key: str = "doc_id", text: str = "text") -
     bytes that stay, in order."""
     none = -(1 << 63)
     docs = documents.select(F.coalesce(F.col(key).cast("bigint"), F.lit(none)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")) \
-        .select("doc", F.shiftrightunsigned(F.xxhash64("text"), 46).alias("mark"), "text")
-    runs = repeated_places(docs).groupBy("doc", F.col("place").bitwiseAND(F.lit(0x3FFFF)).alias("mark")).agg(F.collect_list("place").alias("places"))
+        .select("doc", F.xxhash64("text").alias("mark"), "text")
+    runs = repeated_places(docs).groupBy("doc", "mark").agg(F.collect_set("place").alias("places"))  # equal rows have equal places
 
     def cut(batches):
         for b in text_slices(batches):

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+import xxhash
 
 from corpuskit.llm import suffix_dedup as sd
 
@@ -67,6 +68,20 @@ def test_rows_of_one_id_are_one_document(spark):
     assert result(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("own", [1, None])
+def test_texts_of_one_id_whose_hashes_share_18_bits(spark, own):
+    rng = random.Random(11)
+    passage, with_it, without = prose(rng, 150), {}, {}
+    mark = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) >> 46
+    while not with_it.keys() & without.keys():  # two texts whose hashes agree in their upper 18 bits
+        t, u = prose(rng, 200) + passage, prose(rng, 400)
+        with_it[mark(t)], without[mark(u)] = t, u
+    h = (with_it.keys() & without.keys()).pop()
+    rows = [(-1 if own else None, passage), (own, with_it[h]), (own, without[h])]
+    want = brute(rows)
+    assert any(w[2] for w in want) and result(spark, rows) == want
+
+
 def test_unknown_anchors_path(spark, monkeypatch):
     monkeypatch.setattr(sd, "KNOWN", -1)  # without the broadcast
     rng = random.Random(5)
