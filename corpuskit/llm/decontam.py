@@ -1,26 +1,32 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH, edit verification.
-
-Texts and items are sequences of lower-case words.  Windows as long as an item
-(in words) are embedded by the CGK random walk (Chakraborty, Goldenberg and
-Koucky 2016): at step j the current word is written out and a random function
-of (j, word) decides whether to advance, so that edit distance becomes Hamming
-distance of the outputs.  Tables that each sample a few output positions, over
-several walks, are repeated until windows at the word budget collide in one of
-them with the target recall.  Colliding windows are verified exactly: an item
-leaks if some substring of the window's surroundings is within ``1 -
-similarity`` edits per character of the item's normalised text.
-
-Which windows are embedded follows from the q-gram lemma: a window within d
-word edits of an n-word item shares at least n - 1 - 2 d of its word pairs.
-That filter loses no window; it needs only the items' words and pairs.
+"""Benchmark decontamination: piece lemma over characters, edit verification.
+
+Texts and items are normalised to lower-case words with one space between.  An
+item leaks if some substring of the text is within ``1 - similarity`` edits per
+character of the item's normalised text.  Candidates are found in characters
+too, so that no leak is lost before it is verified:
+
+1. An item of n characters is cut into n // q pieces of q characters.  One edit
+   breaks one piece at most, so a substring within d edits holds n // q - d of
+   them; q is the largest that leaves a positive number.
+2. The whole pieces lie on at most d + 1 neighbouring diagonals (place in the
+   text less place in the item), as only insertions and deletions, d at most,
+   lead from one to another.  So the pieces that a text holds are counted per
+   item and bin of diagonals, and bins that together cover d + 1 diagonals and
+   hold enough pieces are candidates.  Pieces are looked up by hash; a
+   collision only adds a candidate.
+   Every way to cut the item (from its first, second ... q-th character on) must
+   hold; each loses nothing.
+3. Candidates' surroundings are verified exactly by Myers' bit-parallel edit
+   distance over the whole item, many candidates side by side.
 
 Everything about a text happens in its own task: no shuffle, no join, no row
 is collected.  The items are broadcast in passes of at most ``items_per_pass``
 items, whatever the size of the benchmark.
 
-NULL and empty texts leak nothing.  Items with fewer than ``min_words`` words
-(NULL texts too) take no part.  Equal items are all reported; repeated rows
-give repeated results; an empty table gives an empty result.
+NULL and empty texts leak nothing; items without words (NULL texts too) take no
+part.  Short items and scripts without spaces go the same way as all others.
+Equal items are all reported; repeated rows give repeated results; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +43,10 @@ from pyspark.sql import functions as F
 from corpuskit.llm.common import text_slices
 
 WORD = re.compile(r"[^\W_]+")
-SEEN_BITS = 22
+SLOT_BITS = 18
+LONGEST_PIECE = 8
+STRETCH, BINS = 1 << 13, 1 << 21  # characters looked through at once, and their bins over all items
+ABREAST, CLASSES = 4096, 64  # candidates verified at once, kinds of characters they tell apart
 
 
 def words_of(text: str | None) -> list[str]:
@@ -57,118 +66,205 @@ def substring_distance(item: str, text: str) -> int:
     return int(row.min())
 
 
-class Walks:
-    """Random functions of ``repeats`` CGK walks and the positions each table samples."""
-
-    def __init__(self, longest: int, recall: float = 0.99, agreement: float = 0.35, bits: int = 2, walks: int = 7, seed: int = 42):
-        rng = np.random.default_rng(seed)
-        self.tables = math.ceil(math.log(1 - recall) / math.log(1 - agreement ** bits))
-        self.repeats, self.bits, self.per = walks, bits, -(-self.tables // walks)
-        self.steps = 2 * longest
-        self.a = rng.integers(1, 1 << 63, (walks, self.steps), np.int64).astype(np.uint64) | np.uint64(1)
-        self.at = rng.random((walks, self.per, bits))
-
-    def embed(self, words: np.ndarray) -> np.ndarray:
-        """Outputs (walk, step) of one window's word ids, walks side by side; -1 beyond its end."""
-        n, steps = len(words), 2 * len(words)
-        padded = np.append(words, -1)
-        mixed = (padded.astype(np.uint64) + np.uint64(2)) * np.uint64(0x9E3779B97F4A7C15)
-        where, out = np.zeros(self.repeats, np.int64), np.empty((self.repeats, steps), np.int64)
-        for j in range(steps):
-            out[:, j] = padded[where]
-            where = np.minimum(where + ((mixed[where] * self.a[:, j]) >> np.uint64(63)).astype(np.int64), n)
-        return out
+def substring_distance(item: str, text: str) -> int:
+    """Least edit distance between ``item`` and any substring of ``text``."""
+    if item in text:
+        return 0
+    t = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    at = np.arange(len(t) + 1)
+    row = np.zeros(len(t) + 1, np.int64)
+    for i, c in enumerate(np.frombuffer(item.encode("utf-32-le"), np.uint32).tolist(), 1):
+        new = np.minimum(row + 1, np.concatenate(([i], row[:-1] + (t != c))))
+        row = np.minimum.accumulate(new - at) + at  # insertions
+    return int(row.min())
+
+
+def masks(item: str) -> dict[str, int]:
+    """Places of each character as bits."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(item):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
 
-    def keys(self, words: np.ndarray) -> np.ndarray:
-        """(table, bits) sampled outputs of one window."""
-        out = self.embed(words)
-        at = (self.at * out.shape[1]).astype(np.int64)
-        return out[np.arange(self.repeats)[:, None, None], at].reshape(-1, self.bits)
+
+def distances(item: str, text: str, anchored: bool = False):
+    """Least edit distance of ``item`` and a substring of ``text`` that ends (``anchored``:
+    and the prefix that ends) at each place (Myers 1999, Hyyro 2003)."""
+    places, far, first = masks(item), len(item), int(anchored)
+    every, top = (1 << far) - 1, 1 << (far - 1)
+    up, down = every, 0
+    for c in text:
+        eq = places.get(c, 0)
+        x = (((eq & up) + up) ^ up) | eq
+        h_up, h_down = down | (every & ~(x | up)), up & x
+        far += (h_up & top > 0) - (h_down & top > 0)
+        h_up, x = h_up << 1 | first, eq | down
+        up, down = (h_down << 1 | ~(x | h_up)) & every, h_up & x & every
+        yield far
 
 
 class Index:
-    """The items of one pass."""
+    """The items of one pass.  ``budget`` and ``min_words`` bound nothing: every item with a word takes part."""
 
-    def __init__(self, items, similarity: float, budget: float, min_words: int, **walks):
-        self.vocab, self.items = {}, []
+    def __init__(self, items, similarity: float, budget: float | None = None, min_words: int | None = None):
+        own = []
         for item_id, text in items:
-            ws = words_of(text)
-            if len(ws) >= min_words:
-                ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws])
-                n, norm = len(ws), " ".join(ws)
-                d = int(budget * n)
-                self.items.append((item_id, ids, norm, max(1, n - 1 - 2 * d), d, int(round((1 - similarity) * len(norm), 9))))
-        self.base, self.least = len(self.vocab) + 1, np.array([x[3] for x in self.items], np.int64)
-        self.walks = Walks(max((len(x[1]) for x in self.items), default=1), **walks)
-        pairs = [(int(a) * self.base + int(b), k, o) for k, x in enumerate(self.items) for o, (a, b) in enumerate(zip(x[1][:-1], x[1][1:]))]
-        pairs = np.array(sorted(pairs), np.int64).reshape(-1, 3)
-        self.pair, self.owner, self.offset = pairs.T
-        self.seen = np.zeros(1 << SEEN_BITS, bool)
-        self.seen[self._slot(self.pair)] = True
-        self.keys = [self.walks.keys(x[1]) for x in self.items]
+            norm = " ".join(words_of(text))
+            if norm:
+                n, d = len(norm), int(round((1 - similarity) * len(norm), 9))
+                if d >= n:
+                    raise ValueError("similarity must be over 0")
+                q = next((q for q in range(LONGEST_PIECE, 0, -1) if n // q - d >= max(1, n // 20)), 1)
+                shift = max(0, math.ceil(math.log2((d + 1) / 4)))
+                own.append((q, -(-d >> shift) + 1, shift, item_id, norm, d))
+        own.sort(key=lambda x: x[:2])  # items with equal pieces and numbers of bins stand together
+        self.items = [x[3:] for x in own]
+        self.bins, self.shift = (np.array([x[k] for x in own], np.int64) for k in (1, 2))
+        self.n, self.most = (np.array(x, np.int64) for x in ([len(x[4]) for x in own], [x[5] for x in own]))
+        q = np.array([x[0] for x in own], np.int64)
+        self.kinds = []
+        for k in np.unique(q).tolist():
+            lo, hi = np.searchsorted(q, k), np.searchsorted(q, k, "right")
+            phases = []
+            for r in range(k):
+                rows = np.array([(i, o) for i in range(lo, hi) for o in range(r, len(own[i][4]) - k + 1, k)], np.int64).reshape(-1, 2)
+                slot = np.concatenate([self._slots(self._codes(own[i][4]), k)[r::k] for i in range(lo, hi)])
+                owner, offset = rows[np.argsort(slot, kind="stable")].T
+                count = np.bincount(slot, minlength=1 << SLOT_BITS)
+                phases.append((count, np.cumsum(count) - count, owner - lo, self.n[owner] - offset, self.shift[owner], (self.n[lo:hi] - r) // k - self.most[lo:hi]))
+            self.kinds.append((k, lo, hi, phases))
+        self.span = int((self.n + self.most).max()) if own else 0
+        self.stretch = max(4 * self.span, min(STRETCH, int(BINS / (1.0 / (1 << self.shift)).sum()))) if own else 0
+
+    @staticmethod
+    def _codes(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
     @staticmethod
-    def _slot(pair):
-        return ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SEEN_BITS)).astype(np.int64)
-
-    def windows(self, ids: np.ndarray):
-        """(item, start) of windows with enough of the item's word pairs."""
-        both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-        pair = ids[both] * self.base + ids[both + 1]
-        likely = self.seen[self._slot(pair)]
-        both, pair = both[likely], pair[likely]
-        lo, hi = np.searchsorted(self.pair, pair), np.searchsorted(self.pair, pair, "right")
-        if not (hi > lo).any():
-            return
-        n = hi - lo
-        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        where, owner, offset = np.repeat(both, n), self.owner[at], self.offset[at]
-        enough = np.bincount(owner, minlength=len(self.least))[owner] >= self.least[owner]
-        if not enough.any():
-            return
-        where, owner, offset = where[enough], owner[enough], offset[enough]
-        order = np.lexsort((where, owner))
-        where, owner, offset = where[order], owner[order], offset[order]
-        for part in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(owner)) + 1):
-            k = int(owner[part[0]])
-            _, own, _, least, d, _ = self.items[k]
-            p, o, first = where[part], offset[part], np.flatnonzero(np.diff(where[part], prepend=-1))
-            # From a window's first shared pair on, enough places of the text lie within its longest span ...
-            at, span = p[first], len(own) + d
-            ends = np.searchsorted(p, at + span, "right")
-            enough = np.flatnonzero(np.searchsorted(at, at + span, "right") - np.arange(len(at)) >= least)
-            starts = set()
-            for i in enough.tolist():
-                # ... and as many of the item's own pairs.
-                if len(set(o[first[i]:ends[i]].tolist())) >= least:
-                    starts.update((at[i] - o[first[i]:first[i + 1] if i + 1 < len(first) else None]).tolist())
-            for s in sorted({max(0, x) for x in starts}):
-                yield k, s
-
-    def collides(self, k: int, window: np.ndarray) -> bool:
-        n = len(self.items[k][1])
-        if len(window) < n:
-            window = np.concatenate([window, np.full(n - len(window), -1)])
-        return bool((self.walks.keys(window) == self.keys[k]).all(1).any())
+    def _slots(codes: np.ndarray, q: int) -> np.ndarray:
+        """Slot of each piece of ``q`` characters."""
+        n = max(0, len(codes) - q + 1)
+        h = np.zeros(n, np.uint64)
+        for j in range(q):
+            h = (h + codes[j:j + n] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+        return (h * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def candidates(self, text: str):
+        """(item, start, end) of stretches of ``text`` that hold all substrings within the item's edits."""
+        codes, size = self._codes(text), len(text)
+        for q, lo, hi, phases in self.kinds:
+            bins, s = self.bins[lo:hi], self.shift[lo:hi]
+            wide = ((size + self.n[lo:hi]) >> s) + 1 + bins
+            base = np.cumsum(wide) - wide
+            cut = np.flatnonzero(np.diff(bins, prepend=-1)).tolist()  # equal numbers of bins
+            ends = [*cut[1:], hi - lo]
+            found = None
+            every = self._slots(codes, q)
+            for count, begin, owner, back, shift, least in phases:
+                at = np.flatnonzero(count[every])
+                slot = every[at]
+                n = count[slot]
+                row = np.repeat(begin[slot] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                held = np.bincount(((np.repeat(at, n) + back[row]) >> shift[row]) + base[owner[row]], minlength=int(wide.sum()))
+                total = np.concatenate(([0], np.cumsum(held)))
+                if found is None:
+                    found = []
+                    for a, b in zip(cut, ends):
+                        first, last, m = int(base[a]), int(base[b - 1] + wide[b - 1]), int(bins[a])
+                        found.append(np.flatnonzero(total[first + m:last + 1] - total[first:last + 1 - m] >= np.repeat(least[a:b], wide[a:b])[:last + 1 - m - first]) + first)
+                else:
+                    for x, a in enumerate(cut):
+                        f = found[x]
+                        found[x] = f[total[f + int(bins[a])] - total[f] >= least[np.searchsorted(base, f, "right") - 1]]
+                if not any(map(len, found)):
+                    break
+            for a, enough in zip(cut, found):
+                m = int(bins[a])
+                if not len(enough):
+                    continue
+                item = np.searchsorted(base, enough, "right") - 1
+                new = np.flatnonzero((np.diff(enough, prepend=-2) > m) | (np.diff(item, prepend=-1) != 0))
+                for i, j in zip(new.tolist(), np.append(new[1:], len(enough)).tolist()):
+                    k = int(item[i])
+                    own, d = int(self.n[lo + k]), int(self.most[lo + k])
+                    start = ((int(enough[i]) - int(base[k])) << int(s[k])) - own
+                    end = ((int(enough[j - 1]) - int(base[k]) + m) << int(s[k])) - own
+                    if end + own + d > 0 and start - d < size:
+                        yield lo + k, max(0, start - d), min(size, end + own + d)
+
+    def _near(self, codes: np.ndarray, item: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which stretches of ``codes`` hold a substring within the item's edits, as
+        ``distances`` but for many at once, 64 bits at a time.  Characters fall into
+        CLASSES, so some that don't are among them."""
+        low, one, top = np.full(len(item), 1 << 40, np.int64), np.uint64(1), np.uint64(63)
+        limbs = (self.n[item] + 63) // 64
+        order = np.lexsort((start - end, limbs))
+        for own in np.split(order, np.flatnonzero(np.diff(limbs[order])) + 1):
+            for part in (own[i:i + ABREAST] for i in range(0, len(own), ABREAST)):  # the longest first
+                m, k, at, size = int(limbs[part[0]]), item[part], start[part], (end - start)[part]
+                used, row = np.unique(k, return_inverse=True)
+                places = np.zeros((len(used), CLASSES, m), np.uint64)
+                for x, i in enumerate(used.tolist()):
+                    c, o = self._codes(self.items[i][1]) % np.uint64(CLASSES), np.arange(self.n[i])
+                    np.bitwise_or.at(places[x], (c.astype(np.int64), o >> 6), one << (o & 63).astype(np.uint64))
+                places, row = places.reshape(-1, m).T.copy(), row * CLASSES
+                up, down = np.full((m, len(part)), ~np.uint64(0)), np.zeros((m, len(part)), np.uint64)
+                far, last = self.n[k].copy(), ((self.n[k] - 1) & 63).astype(np.uint64)
+                least = far.copy()
+                active = np.searchsorted(-size, -np.arange(int(size[0])), "left").tolist()
+                for j, a in enumerate(active):
+                    cell = row[:a] + codes[at[:a] + j]
+                    h_up = h_down = np.uint64(0)
+                    for limb in range(m):
+                        eq, u, d = places[limb][cell], up[limb, :a], down[limb, :a]
+                        x_v = eq | d
+                        eq |= h_down
+                        x = (((eq & u) + u) ^ u) | eq
+                        p, q = d | ~(x | u), u & x
+                        if limb == m - 1:
+                            far[:a] += ((p >> last[:a]) & one).astype(np.int64) - ((q >> last[:a]) & one).astype(np.int64)
+                        out = p >> top, q >> top
+                        p, q = p << one | h_up, q << one | h_down
+                        up[limb, :a], down[limb, :a] = q | ~(x_v | p), p & x_v
+                        h_up, h_down = out
+                    np.minimum(least[:a], far[:a], out=least[:a])
+                low[part] = least
+        return low <= self.most[item]
+
+    def leaks_of(self, texts) -> list[list[tuple]]:
+        """``leaks`` of each text; their candidates are looked at together."""
+        parts, found, size = [], [], 0
+        for i, text in enumerate(texts):
+            text = " ".join(words_of(text)) if self.items else ""
+            for lo in range(0, max(1, len(text) - self.span) if text else 0, max(1, self.stretch - self.span)):
+                part = text[lo:lo + self.stretch]
+                found += [(len(parts), size, k, start, end) for k, start, end in self.candidates(part)]
+                parts.append((i, text, lo, part))
+                size += len(part)
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        if found:
+            codes = (self._codes("".join(x[3] for x in parts)) % np.uint64(CLASSES)).astype(np.int64)
+            _, base, item, first, last = np.array(found, np.int64).T
+            for x in np.flatnonzero(self._near(codes, item, base + first, base + last)).tolist():
+                at, _, k, start, end = found[x]
+                i, text, lo, part = parts[at]
+                norm, most = self.items[k][1:]
+                got, stop = min(((far, j) for j, far in enumerate(distances(norm, part[start:end]), start + 1)), default=(most + 1, 0))
+                if got > most or got > best.get((i, k), (got,))[0]:
+                    continue
+                back = part[max(0, stop - len(norm) - got):stop][::-1]
+                place = lo + stop - next(j for j, far in enumerate(distances(norm[::-1], back, True), 1) if far == got)
+                mine = got, place, text.count(" ", 0, place)
+                best[i, k] = min(best.get((i, k), mine), mine)
+        out: list[list[tuple]] = [[] for _ in texts]
+        for (i, k), (got, _, word) in sorted(best.items()):
+            out[i].append((self.items[k][0], word, got))
+        return out
 
     def leaks(self, text: str | None):
-        """(item id, first word, distance) of each leaking item: its nearest, then first, window."""
-        if not text or not self.items:
-            return []
-        words, get, best, tried = words_of(text), self.vocab.get, {}, {}
-        ids = np.fromiter([get(w, 0) for w in words], np.int64, len(words))
-        for k, s in self.windows(ids):
-            item_id, own, norm, _, d, most = self.items[k]
-            if best.get(k, (1,))[0] == 0 or s < tried.get(k, -1):
-                continue
-            if not self.collides(k, ids[s:s + len(own)]):
-                continue
-            lo = max(0, s - d)
-            got = substring_distance(norm, " ".join(words[lo:s + len(own) + 2 * d]))
-            tried[k] = s + d  # windows that start up to d words on lie in the same surroundings
-            if got <= most and (k not in best or got < best[k][0]):
-                best[k] = (got, s)
-        return [(self.items[k][0], s, got) for k, (got, s) in sorted(best.items())]
+        """(item id, first word, distance) of each leaking item: its nearest, then first, substring."""
+        return self.leaks_of([text])[0]
 
 
 def _passes(benchmark: DataFrame, item: str, text: str, items_per_pass: int):
@@ -181,26 +277,26 @@ def _passes(benchmark: DataFrame, item: str, text: str, items_per_pass: int):
         yield [(r.i, r.t) for r in own.orderBy("i", "t").toLocalIterator()]
 
 
-def _index(benchmark, item, text, items_per_pass, similarity, budget, min_words, **walks):
+def _index(benchmark, item, text, items_per_pass, similarity):
     for rows in _passes(benchmark, item, text, items_per_pass):
-        yield Index(rows, similarity, budget, min_words, **walks)
+        yield Index(rows, similarity)
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-          similarity: float = 0.8, budget: float = 0.35, min_words: int = 5, items_per_pass: int = 20_000, **walks) -> DataFrame:
+          similarity: float = 0.8, items_per_pass: int = 20_000) -> DataFrame:
     """``(doc_id, item_id, start_word, distance, similarity)``: each leaking item of each row."""
     kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((documents, key), (benchmark, item)))
     spark, parts = documents.sparkSession, []
-    for index in _index(benchmark, item, item_text, items_per_pass, similarity, budget, min_words, **walks):
+    for index in _index(benchmark, item, item_text, items_per_pass, similarity):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
             own = shared.value
-            size = {x[0]: len(x[2]) for x in own.items}
+            size = {x[0]: len(x[1]) for x in own.items}
             for b in text_slices(batches):
                 at, found = [], []
-                for i, t in enumerate(b.column(1).to_pylist()):
-                    for x in own.leaks(t):
+                for i, leaking in enumerate(own.leaks_of(b.column(1).to_pylist())):
+                    for x in leaking:
                         at.append(i)
                         found.append(x)
                 ids, starts, far = zip(*found) if found else ((), (), ())
@@ -214,15 +310,16 @@ def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
-          similarity: float = 0.8, budget: float = 0.35, min_words: int = 5, items_per_pass: int = 20_000, **walks) -> DataFrame:
+          similarity: float = 0.8, items_per_pass: int = 20_000) -> DataFrame:
     """The rows of ``documents`` without a leaking item, in place (no shuffle)."""
-    for index in _index(benchmark, item, item_text, items_per_pass, similarity, budget, min_words, **walks):
+    for index in _index(benchmark, item, item_text, items_per_pass, similarity):
         shared = documents.sparkSession.sparkContext.broadcast(index)
 
         @F.pandas_udf("boolean")
         def clear(texts, shared=shared):
             import pandas as pd
-            return pd.Series([not shared.value.leaks(t) for t in texts], dtype=bool)
+            slices = text_slices([pa.record_batch([pa.array(texts, pa.string())], names=["text"])])
+            return pd.Series([not x for b in slices for x in shared.value.leaks_of(b.column(0).to_pylist())], dtype=bool)
 
         documents = documents.where(clear(F.col(text)))
     return documents

@@ -86,3 +86,36 @@ def test_edge_cases(spark):
     assert sorted(str(r.doc_id) for r in decontam.clean(docs, bench).collect()) == ["1", "2", "4", "5"]
     assert decontam.leaks(docs.limit(0), bench).count() == 0 and decontam.leaks(docs, bench.limit(0)).count() == 0
     assert decontam.clean(docs, bench.limit(0)).count() == 7
+
+
+def noisy(rng, text, share):
+    """Single letters replaced, lost or added all over the text."""
+    out = []
+    for c in text:
+        kind = rng.randrange(3) if c != " " and rng.random() < share else 3
+        out.append("" if kind == 0 else rng.choice("xyz") if kind == 1 else c + rng.choice("xyz") if kind == 2 else c)
+    return "".join(out)
+
+
+def test_letter_noise_up_to_the_budget_loses_no_leak():
+    rng = random.Random(8)
+    items = [(k, prose(rng, n)) for k, n in enumerate([1, 2, 3, 4, 10, 10, 20, 30])]
+    items += [(20, "天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏"), (21, "ab cd")]
+    index = decontam.Index(items, 0.8)
+    leaked = 0
+    for r in range(60):
+        k, item = items[r % len(items)]
+        text = " ".join(decontam.words_of(f"{prose(rng, 20)} {noisy(rng, item, rng.uniform(0, 0.25))} {prose(rng, 10)}"))
+        want = {i: d for i, x in items for d in [distance(x, text)] if d <= int(round(0.2 * len(x), 9))}
+        assert {i: d for i, _, d in index.leaks(text)} == want
+        leaked += k in want
+    assert leaked > 40
+
+
+def test_one_letter_wrong_in_eleven_of_thirty_words():
+    rng = random.Random(4)
+    words = prose(rng, 30).split()
+    for k in range(1, 22, 2):
+        words[k] = "q" + words[k]
+    item = " ".join(w.lstrip("q") for w in words)
+    assert [(i, d) for i, _, d in decontam.Index([(7, item)], 0.8).leaks("Before it, " + " ".join(words))] == [(7, 11)]
