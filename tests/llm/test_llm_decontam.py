@@ -119,3 +119,10 @@ def test_one_letter_wrong_in_eleven_of_thirty_words():
         words[k] = "q" + words[k]
     item = " ".join(w.lstrip("q") for w in words)
     assert [(i, d) for i, _, d in decontam.Index([(7, item)], 0.8).leaks("Before it, " + " ".join(words))] == [(7, 11)]
+
+
+def test_short_and_unspaced_items_are_found(spark):
+    docs = spark.createDataFrame([(1, "said: Forty two!", 1, 0.5), (2, "他說天地玄黃宇宙洪荒日月盈昃等", 1, 0.5), (3, "nothing here", 1, 0.5)], DOCS)
+    bench = spark.createDataFrame([(1, "forty two", "d"), (2, "天地玄黃宇宙洪荒日月盈昃", "d")], ITEMS)
+    assert {(r.doc_id, r.item_id, r.start_word) for r in decontam.leaks(docs, bench).collect()} == {(1, 1, 1), (2, 2, 0)}
+    assert [r.doc_id for r in decontam.clean(docs, bench).collect()] == [3]
