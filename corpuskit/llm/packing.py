@@ -28,6 +28,8 @@ that clash with result columns (in any case) raise.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,9 +41,10 @@ from pyspark.sql import types as T
 from corpuskit.llm.common import text_slices, written
 
 KNOWN_WORDS, KNOWN_BYTES = 1 << 19, 32 << 20
+JOINED = 1024  # words per call of the tokenizer
 K1, B = 1.2, 0.75
 RESULT = ("start", "length", "ids", "doc_tokens", "sequence_id", "offset", "bm25")
-_SPACE = r"[ \n\t\r]+"  # white space that the tokenizer drops and never reads across
+_LETTERS = "a-zß-öø-ÿ"
 
 
 class Words:
@@ -52,32 +55,56 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.dtype = dtype
+        # Where case and a space before a mark make no difference, fewer words are distinct.
+        same = lambda *texts: len({tuple(e.ids) for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)}) == 1
+        letters = "".join(map(chr, range(97, 123)))
+        self.folds = same(letters.upper(), letters) and all(same(f"a{m}{n}", f"a {m}{n}") for m in ".,;:!?" for n in (" b", "b", "."))
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for w, i in vocabulary.items() if suffix and w.endswith(suffix)]] = True
         self.forget()
 
     def forget(self):
-        self.place, self.bytes = {}, 0
-        self.ids, self.ends = [np.zeros(0, self.dtype)], [np.zeros(1, np.int64)]
+        self.known, self.ids, self.ends = pa.array([], pa.string()), np.zeros(0, self.dtype), np.zeros(1, np.int64)
+
+    def _alone(self, words: list[str]):
+        for lo in range(0, len(words), JOINED):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(words[lo:lo + JOINED], add_special_tokens=False)]
+            yield np.array([i for ids in got for i in ids], self.dtype), np.fromiter(map(len, got), np.int64, len(got))
+
+    def _joined(self, words: list[str]):
+        """Ids of words of letters, many given as one text: an id that ends a word ends one of them."""
+        for lo in range(0, len(words), JOINED):
+            own = words[lo:lo + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, self.dtype)
+            last = np.flatnonzero(self.ends_word[ids])
+            if len(last) == len(own):
+                yield ids, np.diff(last, prepend=-1)
+            else:
+                yield from self._alone(own)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and how many belong to each."""
-        if len(self.place) > KNOWN_WORDS or self.bytes > KNOWN_BYTES:
+        if len(self.known) > KNOWN_WORDS or self.known.nbytes > KNOWN_BYTES:
             self.forget()
-        parts = pc.split_pattern_regex(texts, pattern=_SPACE)
+        if self.folds:
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), pattern=f"([{_LETTERS}])([.,;:!?])", replacement=r"\1 \2")
+        parts = pc.ascii_split_whitespace(texts)  # white space that the tokenizer drops and never reads across
         words = pc.list_flatten(parts).dictionary_encode()
-        names = words.dictionary.to_pylist()
-        new = [w for w in names if w not in self.place]
-        if new:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            lens = np.fromiter(map(len, got), np.int64, len(got))
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-            self.bytes += sum(map(len, new))
-            self.ids = [np.concatenate([*self.ids, np.array([i for ids in got for i in ids], self.dtype)])]
-            self.ends = [np.concatenate([*self.ends, self.ends[-1][-1] + np.cumsum(lens)])]
-        ids, ends = self.ids[0], self.ends[0]
-        at = np.fromiter((self.place[w] for w in names), np.int64, len(names))[words.indices.to_numpy()]
-        lens = ends[at + 1] - ends[at]
+        at = pc.index_in(words.dictionary, value_set=self.known)
+        new = words.dictionary.filter(at.is_null())
+        letters = pc.match_substring_regex(new, pattern=f"^[{_LETTERS}]+$")
+        new = [new.filter(letters), new.filter(pc.invert(letters))]
+        for own, read in zip(new, (self._joined, self._alone)):
+            got = list(read(own.to_pylist()))
+            self.ids = np.concatenate([self.ids, *(ids for ids, _ in got)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate([np.zeros(0, np.int64), *(lens for _, lens in got)]))])
+        self.known = pa.concat_arrays([self.known, *new])
+        at = pc.index_in(words.dictionary, value_set=self.known).to_numpy()[words.indices.to_numpy()]
+        lens = self.ends[at + 1] - self.ends[at]
         stop = np.cumsum(lens)
-        out = ids[np.repeat(ends[at] - stop + lens, lens) + np.arange(stop[-1] if len(stop) else 0)]
+        out = self.ids[np.repeat(self.ends[at] - stop + lens, lens) + np.arange(stop[-1] if len(stop) else 0)]
         per_text = np.concatenate(([0], stop))[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
         return out, np.diff(per_text)
 
@@ -89,7 +116,7 @@ def tokenized(documents: DataFrame, tokenizer: str, end_id: int, dtype, keep, te
     def run(batches):
         words = Words(tokenizer, dtype)
         for b in batches:
-            for part in text_slices([b]):
+            for part in text_slices([b], rows=1 << 13):
                 m = part.num_columns - 1
                 ids, lens = words.encode(pc.fill_null(part.column(m), ""))
                 ends = np.cumsum(lens)
