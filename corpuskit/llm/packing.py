@@ -10,7 +10,7 @@ window to its last place, and its remainder stays in the index as an unused
 unit.  The last sequence of a shard, which no unit is left to fill, is cut into
 powers of two, so nothing is padded at all.
 
-Plan: texts are tokenized where they are scanned, words that a task has seen
+Plan: texts are tokenized where they are scanned, words that a worker has seen
 before only once, and the ids are written once (two bytes each where the
 vocabulary allows).  One pass over that copy counts every token's documents and
 the mean length over all documents (at most a vocabulary of counts, so
@@ -29,6 +29,8 @@ that clash with result columns (in any case) raise.
 from __future__ import annotations
 
 import json
+import sys
+import types
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ from pyspark.sql import types as T
 
 from corpuskit.llm.common import text_slices, written
 
-KNOWN_WORDS, KNOWN_BYTES = 1 << 19, 32 << 20
+KNOWN_WORDS, KNOWN_BYTES = 1 << 20, 32 << 20  # remembered by a worker; beyond, it starts anew
 JOINED = 1024  # words per call of the tokenizer
 K1, B = 1.2, 0.75
 RESULT = ("start", "length", "ids", "doc_tokens", "sequence_id", "offset", "bm25")
@@ -93,15 +95,18 @@ class Words:
         parts = pc.ascii_split_whitespace(texts)  # white space that the tokenizer drops and never reads across
         words = pc.list_flatten(parts).dictionary_encode()
         at = pc.index_in(words.dictionary, value_set=self.known)
-        new = words.dictionary.filter(at.is_null())
+        unknown = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+        new = words.dictionary.take(pa.array(unknown))
         letters = pc.match_substring_regex(new, pattern=f"^[{_LETTERS}]+$")
         new = [new.filter(letters), new.filter(pc.invert(letters))]
+        at = at.fill_null(0).to_numpy().astype(np.int64)
+        at[unknown[np.argsort(~letters.to_numpy(zero_copy_only=False), kind="stable")]] = len(self.known) + np.arange(len(unknown))
         for own, read in zip(new, (self._joined, self._alone)):
             got = list(read(own.to_pylist()))
             self.ids = np.concatenate([self.ids, *(ids for ids, _ in got)])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate([np.zeros(0, np.int64), *(lens for _, lens in got)]))])
         self.known = pa.concat_arrays([self.known, *new])
-        at = pc.index_in(words.dictionary, value_set=self.known).to_numpy()[words.indices.to_numpy()]
+        at = at[words.indices.to_numpy()]
         lens = self.ends[at + 1] - self.ends[at]
         stop = np.cumsum(lens)
         out = self.ids[np.repeat(self.ends[at] - stop + lens, lens) + np.arange(stop[-1] if len(stop) else 0)]
@@ -114,7 +119,9 @@ def tokenized(documents: DataFrame, tokenizer: str, end_id: int, dtype, keep, te
     schema = T.StructType([*documents.select(*keep).schema.fields, T.StructField("_ids", T.BinaryType()), T.StructField("_n", T.LongType())])
 
     def run(batches):
-        words = Words(tokenizer, dtype)
+        # A Python worker that runs several tasks remembers the words of all of them.
+        held = sys.modules.setdefault("corpuskit_packing_words", types.ModuleType("corpuskit_packing_words")).__dict__
+        words = held.get((tokenizer, dtype.str)) or held.setdefault((tokenizer, dtype.str), Words(tokenizer, dtype))
         for b in batches:
             for part in text_slices([b], rows=1 << 13):
                 m = part.num_columns - 1
@@ -230,7 +237,7 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int, keep=("doc_id",), te
     shared = documents.sparkSession.sparkContext.broadcast(statistics(tokens, dtype))
     fields = [T.StructField(c, t) for c, t in zip(RESULT, (T.LongType(), T.LongType(), T.BinaryType(), *[T.LongType()] * 3, T.DoubleType()))]
     schema = T.StructType([*tokens.select(*keep).schema.fields, *fields])
-    types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
 
     def run(batches):
         n, mean, df = shared.value
@@ -256,7 +263,7 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int, keep=("doc_id",), te
             keys = pa.Table.from_batches([r for r, _ in rows]).take(pa.array(at)).combine_chunks()
             for lo in range(0, len(out), 1024):
                 part = list(zip(*out[lo:lo + 1024]))
-                yield pa.record_batch([*(c.chunk(0) for c in keys.slice(lo, 1024).columns), *map(pa.array, part, types)], names=schema.names)
+                yield pa.record_batch([*(c.chunk(0) for c in keys.slice(lo, 1024).columns), *map(pa.array, part, kinds)], names=schema.names)
 
         rows, held = [], 0
         for b in batches:
