@@ -13,6 +13,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuskit.operators.segments import ROWS_PER_BUCKET, range_bucket, with_position
 from corpuskit.functions import text as tx
 from corpuskit.sources.suites import PLAIN_TEMPLATES
 
@@ -144,11 +145,25 @@ def response_stats(df: DataFrame, response_col: str = "response", by: str | None
 def collect_by_category(df: DataFrame, category_col: str, pos_col: str, cols: Sequence[str]) -> DataFrame:
     """Nest ordered items per category: ``items`` = array of structs sorted by
     ``pos_col``.  Meant for report-sized groups (a suite category, one
-    conversation); for open-ended groups keep the flat table."""
+    conversation); for open-ended groups there is :func:`collect_chunks`."""
     items = F.array_sort(F.collect_list(F.struct(F.col(pos_col), *[F.col(c) for c in cols])))
     return df.groupBy(category_col).agg(items.alias("items"), F.count(F.lit(1)).alias("n_items"))
 
 
+def collect_chunks(df: DataFrame, category_col: str, pos_col: str, cols: Sequence[str], size: int = 1000,
+                   bucket_rows: int = ROWS_PER_BUCKET) -> DataFrame:
+    """The nested lists of :func:`collect_by_category` in rows of at most ``size``
+    items: ``(category, chunk, items, n_items)``, chunks 0, 1, ... in order.  No
+    category is ever one row or one task: positions come from a segmented count
+    over buckets of ``pos_col`` (a number, date or timestamp, unique per category),
+    and the lists are gathered by (category, chunk)."""
+    placed = with_position(df.select(category_col, pos_col, *[c for c in cols if c not in (category_col, pos_col)]),
+                           [category_col], pos_col, range_bucket(df, pos_col, bucket_rows), "_place")
+    items = F.array_sort(F.collect_list(F.struct(F.col(pos_col), *[F.col(c) for c in cols])))
+    chunk = F.floor((F.col("_place") - 1) / size).cast("bigint").alias("chunk")
+    return placed.groupBy(category_col, chunk).agg(items.alias("items"), F.count(F.lit(1)).alias("n_items"))
+
+
 def report_rows(results: DataFrame, category_col: str = "category", cat_pos_col: str = "cat_pos",
                 pos_col: str = "pos", prompt_col: str = "prompt", response_col: str = "response",
                 plain: bool = False) -> DataFrame:
@@ -196,5 +211,5 @@ def summary_lines(results: DataFrame, category_col: str = "category", cat_pos_co
 
 
 __all__ = ["render_prompts", "best_candidate", "metric_columns", "response_metrics", "metrics_long",
-           "metrics_lines", "response_stats", "collect_by_category", "report_rows", "summary_lines",
+           "metrics_lines", "response_stats", "collect_by_category", "collect_chunks", "report_rows", "summary_lines",
            "METRIC_NAMES", "METRICS_TITLE"]

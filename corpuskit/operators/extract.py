@@ -180,14 +180,21 @@ def count_valid(df: DataFrame, line_col: str = "line", max_samples: int | None =
                 letters: str = PERSIAN_LETTERS) -> DataFrame:
     """One row ``n_valid``: lines whose text extracts, capped at ``max_samples``.
 
-    A single aggregation with map-side partial counts; the cap is applied to
-    the global count (exact, same as stopping the count at the cap).
+    A single aggregation with map-side partial counts.  With a cap, a scan of
+    files (a ``file_path`` column, as ``read_jsonl_lines`` gives it) is counted in
+    growing waves of files and stops at the cap; any other input is counted whole
+    and the cap applied to the count.
     """
-    p = with_parsed(df, line_col).withColumn("_dict", dict_map(F.col(OBJ)))
-    n = F.count_if(accepted_flag(F.col("_dict"), text_field, fields, letters))
-    if max_samples:
-        n = F.least(n, F.lit(max_samples).cast("bigint"))
-    return p.agg(n.cast("bigint").alias("n_valid"))
+    def counted(rows: DataFrame) -> DataFrame:
+        p = with_parsed(rows, line_col).withColumn("_dict", dict_map(F.col(OBJ)))
+        return p.agg(F.count_if(accepted_flag(F.col("_dict"), text_field, fields, letters)).cast("bigint").alias("n_valid"))
+
+    if max_samples and "file_path" in df.columns and df.inputFiles():
+        from corpuskit.operators.prefix import first_count
+        n = first_count(df, max_samples, lambda rows: counted(rows).first().n_valid)
+        return df.sparkSession.range(1).select(F.lit(n).cast("bigint").alias("n_valid"))
+    out = counted(df)
+    return out.select(F.least("n_valid", F.lit(max_samples).cast("bigint")).alias("n_valid")) if max_samples else out
 
 
 def observe_accepted(df: DataFrame, name: str = "accepted"):

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuskit.functions.permute import permuted, shuffle_key
+
 _LOW33 = (1 << 33) - 1
 
 
@@ -150,20 +152,33 @@ def with_row_index_range(df: DataFrame, order_cols, name: str = "idx",
         .drop("_mid", "_pid", "_loc", "_off")
 
 
-def take_first(df: DataFrame, n: int, order_cols, buffer: int | None = None,
-               round_to_buffer: bool = False) -> DataFrame:
-    """First ``n`` rows in ``order_cols`` order (the max_samples stop).
+# First-n cuts up to this many rows go by a top-n per task, merged; larger ones by the range index.
+TOP_ROWS = 10_000
+
+
+def take_first(df: DataFrame, n: int, order_cols=None, buffer: int | None = None,
+               round_to_buffer: bool = False, accept=None) -> DataFrame:
+    """First ``n`` rows in ``order_cols`` order (the max_samples stop), or in
+    input order without ``order_cols``: then ``df`` is a scan of files (with
+    ``file_path`` and ``block_start``), which is read only as far as needed
+    (:func:`corpuskit.operators.prefix.first_rows`), and ``accept`` filters it.
 
     With ``round_to_buffer`` the cut is rounded up to whole shuffle buffers,
-    which is what a stop check placed after each buffer flush yields.  One path
-    for every ``n``: the range row index selects the rows, so exactly
+    which is what a stop check placed after each buffer flush yields.  Exactly
     ``min(n, rows)`` rows come back, NULL keys first; which of several rows tied
-    at the cut are taken isn't defined.
+    at the cut are taken isn't defined.  Up to ``TOP_ROWS`` rows every task keeps
+    its first ``n`` and nothing else is moved; beyond that the range row index
+    selects the rows.
     """
     if round_to_buffer:
         if not buffer:
             raise ValueError("round_to_buffer needs buffer")
         n = int(math.ceil(n / buffer) * buffer)
+    if order_cols is None:
+        from corpuskit.operators.prefix import first_rows
+        return first_rows(df, n, accept, "_take_idx").drop("_take_idx")
+    if n <= TOP_ROWS:
+        return df.orderBy(*_cols(order_cols)).limit(n)
     return with_row_index_range(df, order_cols, "_take_idx").where(F.col("_take_idx") <= n).drop("_take_idx")
 
 
@@ -174,22 +189,48 @@ def shuffle_hash(key, seed) -> Column:
     return F.md5(F.concat(s, F.lit(":"), k.cast("string")))
 
 
-def windowed_shuffle(df: DataFrame, idx_col: str, key_col: str, buffer: int = 5000,
-                     seed: int = 42, epoch: int = 0) -> DataFrame:
+def _total(df: DataFrame, idx_col: str, n: int | None) -> int:
+    """Rows of a 1-based dense index: its largest value (one aggregate, unless given)."""
+    return n if n is not None else df.agg(F.max(idx_col)).first()[0] or 0
+
+
+def shuffle_position(pos, window, buffer: int, n: int, seed, inverse: bool = False) -> Column:
+    """Where the row at 1-based ``pos`` of buffer ``window`` goes (``inverse``:
+    which ``pos`` comes there), of ``n`` rows in all: a keyed permutation of the
+    buffer, or of the last, partial one.  An expression: nothing is sorted."""
+    key, x = shuffle_key(seed, window), pos - 1
+    rest, whole = n % buffer, n // buffer
+    full = permuted(x, buffer, key, inverse) if whole else F.lit(0)
+    if not rest:
+        return (full + 1).cast("bigint")
+    return (F.when(window < whole, full).otherwise(permuted(x, rest, key, inverse)) + 1).cast("bigint")
+
+
+def windowed_shuffle(df: DataFrame, idx_col: str, key_col: str | None = None, buffer: int = 5000,
+                     seed: int = 42, epoch: int = 0, n: int | None = None) -> DataFrame:
     """Permute rows inside consecutive buffers of ``buffer`` rows.
 
     ``window_id = (idx - 1) div buffer`` (the last partial buffer included);
-    inside a window rows are ordered by md5(seed+epoch : key), key.  Adds
-    ``window_id``, ``shuffle_pos`` (1-based in the window) and ``shuffled_idx``
-    (global position after shuffling).  Windows hold <= buffer rows.
+    inside a window every row takes the position that a permutation keyed by
+    seed + epoch and window gives its own (:func:`shuffle_position`): no shuffle
+    of the rows.  ``idx`` is dense and 1-based, ``n`` its largest value (counted
+    if not given); ``key_col`` isn't read any more.  Adds ``window_id``,
+    ``shuffle_pos`` (1-based in the window) and ``shuffled_idx`` (global position
+    after shuffling).
     """
-    wid = F.floor((F.col(idx_col) - 1) / buffer).cast("bigint")
-    d = df.withColumn("window_id", wid)
-    w = Window.partitionBy("window_id").orderBy(shuffle_hash(key_col, seed + epoch), F.col(key_col))
-    d = d.withColumn("shuffle_pos", F.row_number().over(w).cast("bigint"))
+    n = _total(df, idx_col, n)
+    d = df.withColumn("window_id", F.floor((F.col(idx_col) - 1) / buffer).cast("bigint"))
+    d = d.withColumn("shuffle_pos", shuffle_position(F.col(idx_col) - F.col("window_id") * buffer, F.col("window_id"), buffer, n, seed + epoch))
     return d.withColumn("shuffled_idx", F.col("window_id") * buffer + F.col("shuffle_pos"))
 
 
+def source_index(shuffled_idx, buffer: int, n: int, seed: int = 42, epoch: int = 0) -> Column:
+    """The ``idx`` of the row that :func:`windowed_shuffle` puts at ``shuffled_idx``."""
+    s = F.col(shuffled_idx) if isinstance(shuffled_idx, str) else shuffled_idx
+    window = F.floor((s - 1) / buffer).cast("bigint")
+    return window * buffer + shuffle_position(s - window * buffer, window, buffer, n, seed + epoch, inverse=True)
+
+
 def micro_batches(df: DataFrame, batch_size: int = 32, pos_col: str = "shuffle_pos") -> DataFrame:
     """Consecutive batches inside each window (restarting per window)."""
     b = F.floor((F.col(pos_col) - 1) / batch_size).cast("bigint")
@@ -253,15 +294,13 @@ def split_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def epoch_plan(df: DataFrame, idx_col: str, key_col: str, epochs: int, buffer: int = 5000,
-               seed: int = 42) -> DataFrame:
-    """Repeat the data once per epoch, each epoch shuffled with seed + epoch."""
+def epoch_plan(df: DataFrame, idx_col: str, key_col: str | None = None, epochs: int = 1, buffer: int = 5000,
+               seed: int = 42, n: int | None = None) -> DataFrame:
+    """Repeat the data once per epoch, each epoch shuffled with seed + epoch, in place as :func:`windowed_shuffle`."""
+    n = _total(df, idx_col, n)
     e = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    wid = F.floor((F.col(idx_col) - 1) / buffer).cast("bigint")
-    e = e.withColumn("window_id", wid)
-    w = Window.partitionBy("epoch", "window_id").orderBy(
-        shuffle_hash(key_col, F.lit(seed) + F.col("epoch")), F.col(key_col))
-    return e.withColumn("shuffle_pos", F.row_number().over(w).cast("bigint"))
+    e = e.withColumn("window_id", F.floor((F.col(idx_col) - 1) / buffer).cast("bigint"))
+    return e.withColumn("shuffle_pos", shuffle_position(F.col(idx_col) - F.col("window_id") * buffer, F.col("window_id"), buffer, n, F.lit(seed) + F.col("epoch")))
 
 
 def assign_steps(df: DataFrame, pos_col: str, per_device: int = 1, accumulation: int = 16,
@@ -314,6 +353,6 @@ def head_per_group(df: DataFrame, group_cols, order_cols, k: int = 2, name: str
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
-__all__ = ["with_row_index", "take_first", "shuffle_hash", "windowed_shuffle", "micro_batches",
+__all__ = ["with_row_index", "take_first", "shuffle_hash", "shuffle_position", "windowed_shuffle", "source_index", "micro_batches",
            "with_row_index_range", "with_input_index", "eval_size", "train_eval_split", "split_counts", "epoch_plan", "assign_steps",
            "plan_steps", "progress_marks", "head_per_group"]

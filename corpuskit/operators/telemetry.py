@@ -8,9 +8,10 @@ aggregations.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuskit.operators.segments import ROWS_PER_BUCKET, order_bucket, range_bucket, with_neighbour
 from corpuskit.sources.runlog import parse_log  # noqa: F401  (re-export)
 
 # Message layouts of the stage and resource log lines.
@@ -39,16 +40,15 @@ def stage_events(parsed: DataFrame) -> DataFrame:
         .where(F.col("kind").isNotNull())
 
 
-def stage_durations(parsed: DataFrame, run_cols=(), order_col: str = "line_no") -> DataFrame:
+def stage_durations(parsed: DataFrame, run_cols=(), order_col: str = "line_no", bucket_rows: int = ROWS_PER_BUCKET) -> DataFrame:
     """One row per stage run: start/end time, status, reported seconds and wall
     seconds.  Each start is paired, in line order, with the next event of the
     same stage if that is an end; a start without one is ``unfinished`` (no end,
-    no seconds)."""
+    no seconds).  A stage's lines are spread over buckets of the line order, so
+    one that holds most lines isn't one task."""
     ev = stage_events(parsed)
-    w = Window.partitionBy(*run_cols, "stage").orderBy(order_col)
-    ev = ev.withColumn("_next_kind", F.lead("kind").over(w)) \
-        .withColumn("_next_ts", F.lead("ts").over(w)) \
-        .withColumn("_next_secs", F.lead("reported_seconds").over(w))
+    ev = with_neighbour(ev, [*run_cols, "stage"], order_col, ["kind", "ts", "reported_seconds"], order_bucket(ev, order_col, bucket_rows))
+    ev = ev.select("*", F.col("_next.kind").alias("_next_kind"), F.col("_next.ts").alias("_next_ts"), F.col("_next.reported_seconds").alias("_next_secs"))
     done = F.coalesce(F.col("_next_kind").isin("completed", "failed"), F.lit(False))
     wall = (F.unix_micros(F.col("_next_ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6
     return ev.where(F.col("kind") == "start").select(
@@ -76,13 +76,14 @@ def resource_samples(parsed: DataFrame) -> DataFrame:
         x(7).cast("double").alias("gpu_memory_gb"))
 
 
-def stage_resource_delta(samples: DataFrame, run_cols=(), order_col: str = "line_no") -> DataFrame:
+def stage_resource_delta(samples: DataFrame, run_cols=(), order_col: str = "line_no", bucket_rows: int = ROWS_PER_BUCKET) -> DataFrame:
     """After minus before per run of a stage: each Before sample is paired with
-    the next sample of its stage, in line order, if that is an After."""
-    w = Window.partitionBy(*run_cols, "stage").orderBy(order_col)
+    the next sample of its stage, in line order, if that is an After.  Lines are
+    spread over buckets as in :func:`stage_durations`."""
     fields = ("cpu_usage", "ram_usage_gb", "ram_ratio", "gpu_usage")
     s = samples.where(F.col("phase").isNotNull())
-    s = s.select("*", F.lead("phase").over(w).alias("_next"), *[F.lead(c).over(w).alias(f"_{c}") for c in fields])
+    s = with_neighbour(s, [*run_cols, "stage"], order_col, ["phase", *fields], order_bucket(s, order_col, bucket_rows), "_row")
+    s = s.select("*", F.col("_row.phase").alias("_next"), *[F.col(f"_row.{c}").alias(f"_{c}") for c in fields])
     names = ("cpu_delta", "ram_gb_delta", "ram_ratio_delta", "gpu_delta")
     return s.where((F.col("phase") == "Before") & (F.col("_next") == "After")).select(
         *run_cols, "stage", F.col(order_col).alias("before_line"),
@@ -163,26 +164,19 @@ def level_counts(parsed: DataFrame, level_col: str = "level") -> DataFrame:
     return parsed.groupBy(level_col).agg(F.count(F.lit(1)).alias("n_messages"))
 
 
-def event_gaps(events: DataFrame, key_col: str, ts_col: str, id_col: str, bucket: str = "day") -> DataFrame:
+def event_gaps(events: DataFrame, key_col: str, ts_col: str, id_col: str, bucket: Column | None = None) -> DataFrame:
     """Seconds since the previous event of the same key (NULL for the first).
 
-    Skew-safe ``lag``: windows are partitioned by (key, time bucket), so a hot
-    key is spread over its buckets; the first event of a bucket takes the last
-    timestamp of the key's previous non-empty bucket from a small per-bucket
-    table (one row per key and bucket).
+    ``lag`` as a segmented scan: windows are partitioned by (key, bucket of the
+    time), so a hot key is spread over its buckets; the first event of a bucket
+    takes the last one of the key's previous bucket from a carry table.  Buckets
+    hold about equally many events of all keys (quantiles of the time), whatever
+    the times' distribution; ``bucket`` may give others that follow the time.
     """
-    b = events.withColumn("_bk", F.date_trunc(bucket, F.col(ts_col)))
-    w = Window.partitionBy(key_col, "_bk").orderBy(ts_col, id_col)
-    d = b.withColumn("_prev", F.lag(ts_col).over(w))
-    # Per (key, bucket) last timestamp straight from the input (partial max).
-    last = b.groupBy(key_col, "_bk").agg(F.max(ts_col).alias("_last"))
-    wk = Window.partitionBy(key_col).orderBy("_bk")
-    last = last.select(key_col, "_bk", F.lag("_last").over(wk).alias("_prev_bucket_last"))
-    last = last.select(F.col(key_col).alias("_k"), F.col("_bk").alias("_b"), "_prev_bucket_last")
-    d = d.join(last, F.col(key_col).eqNullSafe(F.col("_k")) & F.col("_bk").eqNullSafe(F.col("_b"))).drop("_k", "_b")
-    prev = F.coalesce(F.col("_prev"), F.col("_prev_bucket_last"))
-    gap = (F.unix_micros(F.col(ts_col).cast("timestamp")) - F.unix_micros(prev.cast("timestamp"))) / 1e6
-    return d.withColumn("gap_seconds", F.round(gap, 6)).drop("_bk", "_prev", "_prev_bucket_last")
+    b = range_bucket(events, ts_col) if bucket is None else bucket
+    d = with_neighbour(events, [key_col], [ts_col, id_col], [F.col(ts_col).alias("ts")], b, "_prev", back=True)
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    return d.withColumn("gap_seconds", F.round((micros(F.col(ts_col)) - micros(F.col("_prev.ts"))) / 1e6, 6)).drop("_prev")
 
 
 __all__ = ["parse_log", "stage_events", "stage_durations", "resource_samples", "stage_resource_delta",

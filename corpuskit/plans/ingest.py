@@ -21,6 +21,7 @@ from corpuskit.functions.text import PERSIAN_LETTERS, TEXT_FIELDS, usable_string
 from corpuskit.operators import examples as exm
 from corpuskit.operators import extract as ex
 from corpuskit.operators import ordering as od
+from corpuskit.operators.prefix import first_rows
 
 
 @dataclass
@@ -56,9 +57,14 @@ def corpus_examples(lines: DataFrame, order_cols=None, cfg: IngestConfig = Inges
     ``examples`` DataFrames.
     """
     _, bad = ex.quarantine_malformed(lines, "line")
-    acc = ex.extract_text(lines, "line", cfg.text_field, cfg.fields, cfg.letters)
-    acc = acc.drop("line")
-    if order_cols is None:
+    accept = lambda rows: ex.extract_text(rows, "line", cfg.text_field, cfg.fields, cfg.letters).drop("line")
+    limit = cfg.max_samples
+    if limit and cfg.round_to_buffer:
+        limit = -(-limit // cfg.buffer) * cfg.buffer
+    acc = accept(lines)
+    if order_cols is None and limit:
+        acc = first_rows(lines, limit, accept)  # later files are not read
+    elif order_cols is None:
         acc = od.with_input_index(acc, "idx")  # checks the scan order, then writes one copy
     else:
         if cfg.materialize:
@@ -66,10 +72,7 @@ def corpus_examples(lines: DataFrame, order_cols=None, cfg: IngestConfig = Inges
             ensure_checkpoint_dir(acc.sparkSession)
             acc = acc.checkpoint(eager=True)
         acc = od.with_row_index(acc, order_cols, "idx")
-    if cfg.max_samples:
-        limit = cfg.max_samples
-        if cfg.round_to_buffer:
-            limit = -(-cfg.max_samples // cfg.buffer) * cfg.buffer
+    if limit:
         acc = acc.where(F.col("idx") <= limit)
     # Shuffle positions and batches are computed on the narrow key columns;
     # only the encoding moves the (truncated) texts, once.

@@ -52,6 +52,19 @@ def hash_pick(x: str, n: int) -> str:
     return f"(('0x' || substr(md5(CAST({x} AS VARCHAR)), 1, 8))::BIGINT % {n})"
 
 
+def shuffled_positions(rows: str, seed: int, buffer: int, epoch: str = "0", idx: str = "idx") -> str:
+    """SELECT over the rows of table ``rows`` (a dense 1-based ``idx``) with ``window_id`` and ``shuffle_pos``: the
+    keyed permutation of each buffer, rounds and cycle walking as list reductions."""
+    mixed = lambda digit: f"((({digit} + key + (r + 1) * 40503) % 2147483647) * (({digit} + key + (r + 1) * 40503) % 2147483647) % 2147483647 * 48271 + r) % 2147483647"
+    rounds = lambda x, s: (f"list_reduce(range(6), lambda {s}, r: CASE WHEN r % 2 = 0 THEN (({s} // b + {mixed(f'({s} % b)')}) % a) * b + {s} % b "
+                           f"ELSE ({s} // b) * b + ({s} % b + {mixed(f'({s} // b)')}) % b END, {x})")
+    return f"""SELECT * EXCLUDE (m, a, b, key), 1 + list_reduce(range(a * b - m), lambda s, i: CASE WHEN s < m THEN s ELSE {rounds('s', 'u')} END,
+        {rounds(f'({idx} - 1 - window_id * {buffer})', 't')}) AS shuffle_pos
+      FROM (SELECT *, CAST(ceil(m / a) AS BIGINT) AS b FROM (SELECT *, CAST(ceil(sqrt(m)) AS BIGINT) AS a FROM (
+        SELECT *, ({idx} - 1) // {buffer} AS window_id, least({buffer}, (SELECT count(*) FROM {rows}) - ({idx} - 1) // {buffer} * {buffer}) AS m,
+          (({seed} + {epoch}) * 1000003 + (({idx} - 1) // {buffer}) * 7368787) % 2147483647 AS key FROM {rows})))"""
+
+
 # Documents rendered as JSON lines (see corpuskit.sources.jsonl.documents_lines):
 # field by doc_id % 4; where asked for, every 17th line is malformed.
 DOC_FIELD_SQL = "(['text','content','body','note'])[(doc_id % 4) + 1]"

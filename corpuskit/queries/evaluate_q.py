@@ -73,6 +73,14 @@ def q_collect_by_category(spark, d):
     return g.select("conv_id", "n_items", F.array_join(F.transform("items", lambda x: x["role"]), ",").alias("roles"))
 
 
+def q_collect_chunks(spark, d):
+    """Items of each order status in rows of 500, whatever the status's size."""
+    o = table(spark, d, "orders").select("o_orderstatus", "o_orderkey")
+    g = ev.collect_chunks(o, "o_orderstatus", "o_orderkey", [], 500, bucket_rows=2000)
+    keys = F.transform("items", lambda x: x["o_orderkey"].cast("string"))
+    return g.select("o_orderstatus", "chunk", "n_items", F.array_join(keys, ",").alias("keys"))
+
+
 def q_report_rows(spark, d):
     return ev.report_rows(_results(spark, d))
 
@@ -128,6 +136,7 @@ QUERIES = {
     "response_metrics_by_role": q_response_metrics_by_role,
     "response_stats": q_response_stats,
     "collect_by_category": q_collect_by_category,
+    "collect_chunks": q_collect_chunks,
     "report_rows": q_report_rows,
     "report_rows_plain": q_report_rows_plain,
     "metrics_lines": q_metrics_lines,
@@ -226,6 +235,9 @@ SQL = {
                       "FROM conversations GROUP BY role",
     "collect_by_category": "SELECT conv_id, count(*) AS n_items, string_agg(role, ',' ORDER BY turn) AS roles "
                            "FROM conversations GROUP BY conv_id",
+    "collect_chunks": """WITH p AS (SELECT o_orderstatus, o_orderkey, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 500 AS chunk
+          FROM orders)
+        SELECT o_orderstatus, chunk, count(*) AS n_items, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS keys FROM p GROUP BY ALL""",
     "report_rows": _report(_item(ev.PROMPT_LABEL, ev.RESPONSE_LABEL, "'persian'")),
     "report_rows_plain": _report(_item(ev.PLAIN_PROMPT_LABEL, ev.PLAIN_RESPONSE_LABEL, _class("response"))),
     "metrics_lines": f"""WITH m AS (SELECT {_metric_select('text')} FROM conversations WHERE role = 'assistant'),

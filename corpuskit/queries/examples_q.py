@@ -8,7 +8,8 @@ from corpuskit.functions import text as tx
 from corpuskit.functions.tokens import ids_text
 from corpuskit.operators import examples as exm
 from corpuskit.operators import extract as ex
-from corpuskit.queries.common import EXTRACT_CTE, LETTERS, documents_as_jsonl, strip, table, tokens
+from corpuskit.queries.common import EXTRACT_CTE, LETTERS, documents_as_jsonl, shuffled_positions, strip, table, tokens
+from corpuskit.sources.jsonl import read_jsonl_lines
 
 VOCAB = 32_000  # library default vocabulary size
 SEQ = 512  # the reference trainer's max_seq_length
@@ -78,6 +79,15 @@ def q_training_examples(spark, d):
     return ex_.select("line_no", "window_id", "shuffle_pos", "batch_id", ids_text("input_ids").alias("input_ids"))
 
 
+def q_training_examples_capped(spark, d):
+    """The same from text files with ``max_samples``: only as many files are read as hold 330 accepted lines."""
+    from corpuskit.plans.ingest import IngestConfig, corpus_examples
+    from corpuskit.queries.jsonl_q import _written_lines
+    cfg = IngestConfig(letters=LETTERS, buffer=100, batch_size=32, max_seq_length=SEQ, vocab_size=VOCAB, max_samples=330)
+    ex_ = corpus_examples(read_jsonl_lines(spark, _written_lines(spark, d, "capped", files=10)), None, cfg)["examples"]
+    return ex_.select("idx", "window_id", "shuffle_pos", "batch_id", ids_text("input_ids").alias("input_ids"))
+
+
 def q_batch_examples(spark, d):
     """The batch-trainer path end to end: truthy texts, stripped, encoded,
     padded, empty ones dropped, then the seeded train/eval split."""
@@ -89,6 +99,7 @@ def q_batch_examples(spark, d):
 QUERIES = {
     "batch_examples": q_batch_examples,
     "training_examples": q_training_examples,
+    "training_examples_capped": q_training_examples_capped,
     "fit_vocabulary": q_fit_vocabulary,
     "encode_ids": q_encode_ids,
     "pad_truncate": q_pad_truncate,
@@ -118,10 +129,8 @@ toks AS (SELECT doc_id, {tokens('text')} AS toks FROM docs)
 SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_tokens FROM toks"""
 
 TRAIN = f"""{EXTRACT_CTE},
-acc AS (SELECT line_no, text, row_number() OVER (ORDER BY line_no) AS idx FROM extracted WHERE text IS NOT NULL),
-ws AS (SELECT line_no, (idx - 1) // 100 AS window_id,
-         row_number() OVER (PARTITION BY (idx - 1) // 100 ORDER BY md5('42:' || CAST(idx AS VARCHAR)), idx) AS shuffle_pos
-       FROM acc),
+acc AS (SELECT line_no, text, row_number() OVER (ORDER BY line_no) AS idx FROM extracted WHERE text IS NOT NULL QUALIFY idx <= <most>),
+ws AS ({shuffled_positions('acc', 42, 100)}),
 toks AS (SELECT line_no, {tokens('text')} AS toks FROM acc),
 tok AS (SELECT line_no, unnest(toks) AS term, generate_subscripts(toks, 1) - 1 AS pos FROM toks),
 vocab AS (SELECT term, row_number() OVER (ORDER BY freq DESC, term) + 1 AS id
@@ -146,7 +155,12 @@ SQL = {
                array_to_string(list_concat(ids[1:{SEQ}], list_transform(range({SEQ} - len(ids[1:{SEQ}])), lambda x: 0)), ' ')
                AS input_ids
         FROM ranked""",
-    "training_examples": f"""WITH {TRAIN}
+    "training_examples_capped": f"""WITH {TRAIN.replace('<most>', '330')}
+        SELECT ws.idx, ws.window_id, ws.shuffle_pos, (ws.shuffle_pos - 1) // 32 AS batch_id,
+               array_to_string(list_concat(ids[1:{SEQ}], list_transform(range({SEQ} - len(ids[1:{SEQ}])), lambda x: 0)), ' ')
+               AS input_ids
+        FROM ws JOIN enc USING (line_no)""",
+    "training_examples": f"""WITH {TRAIN.replace('<most>', str(1 << 60))}
         SELECT ws.line_no, ws.window_id, ws.shuffle_pos, (ws.shuffle_pos - 1) // 32 AS batch_id,
                array_to_string(list_concat(ids[1:{SEQ}], list_transform(range({SEQ} - len(ids[1:{SEQ}])), lambda x: 0)), ' ')
                AS input_ids

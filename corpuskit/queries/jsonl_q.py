@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpuskit.operators import extract as ex
-from corpuskit.queries.common import DOC_FIELD_SQL, EXTRACT_CTE, EXTRACT_PARSED_CTE, LETTERS, documents_as_jsonl
+from corpuskit.operators.prefix import first_rows
+from corpuskit.queries.common import DOC_FIELD_SQL, EXTRACT_CTE, EXTRACT_PARSED_CTE, LETTERS, documents_as_jsonl, shuffled_positions
 from corpuskit.session import ensure_checkpoint_dir
 from corpuskit.sources.jsonl import read_jsonl_lines
 from corpuskit.streaming.ingest import ingest_stream, shuffle_batches
@@ -60,11 +61,31 @@ def q_stream_shuffle(spark, d):
     return out.select("line_no", "idx", "window_id", "shuffle_pos", "pos_in_batch")
 
 
+def _written_lines(spark, d, name, malformed=False, files=None):
+    """The documents' JSON lines as text files in id order; the folder they are in."""
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/{name}_" + uuid.uuid4().hex[:12]
+    lines = documents_as_jsonl(spark, d, malformed)
+    lines = lines.repartitionByRange(files, "line_no").sortWithinPartitions("line_no") if files else lines.orderBy("line_no")
+    lines.select("line").write.text(base)
+    return base
+
+
+def q_take_first_files(spark, d):
+    """The first 300 accepted lines of ten files: a prefix scan that leaves the other files unread."""
+    lines = read_jsonl_lines(spark, _written_lines(spark, d, "prefix", True, 10))
+    accept = lambda rows: ex.extract_text(rows, letters=LETTERS)
+    out = first_rows(lines, 300, accept)
+    return out.select(F.get_json_object("line", "$.doc_id").cast("bigint").alias("line_no"), "idx", "source_field", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def q_count_valid_capped(spark, d):
+    """The count pass with a limit over ten files, stopped once it is reached."""
+    return ex.count_valid(read_jsonl_lines(spark, _written_lines(spark, d, "prefix", True, 10)), max_samples=500, letters=LETTERS)
+
+
 def q_jsonl_line_numbers(spark, d):
     """Lines of text files numbered in input order, without a shuffle of the lines."""
-    base = ensure_checkpoint_dir(spark).rstrip("/") + "/line_numbers_" + uuid.uuid4().hex[:12]
-    documents_as_jsonl(spark, d).orderBy("line_no").select("line").write.text(base)
-    lines = read_jsonl_lines(spark, base, line_numbers=True)
+    lines = read_jsonl_lines(spark, _written_lines(spark, d, "line_numbers"), line_numbers=True)
     return lines.select(F.get_json_object("line", "$.doc_id").cast("bigint").alias("doc_id"), "line_no")
 
 
@@ -72,6 +93,8 @@ QUERIES = {
     "stream_extract": q_stream_extract,
     "stream_shuffle": q_stream_shuffle,
     "jsonl_line_numbers": q_jsonl_line_numbers,
+    "take_first_files": q_take_first_files,
+    "count_valid_capped": q_count_valid_capped,
     "jsonl_quarantine": q_jsonl_quarantine,
     "extract_text": q_extract_text,
     "count_valid": q_count_valid,
@@ -84,10 +107,12 @@ SQL = {
     "stream_extract": f"WITH {EXTRACT_CTE} SELECT line_no, source_field, text FROM extracted WHERE text IS NOT NULL",
     "stream_shuffle": f"""WITH {EXTRACT_CTE},
         acc AS (SELECT line_no, row_number() OVER (ORDER BY line_no) AS idx FROM extracted WHERE text IS NOT NULL),
-        ws AS (SELECT *, (idx - 1) // 100 AS window_id, row_number() OVER (PARTITION BY (idx - 1) // 100
-          ORDER BY md5('42:' || CAST(idx AS VARCHAR)), idx) AS shuffle_pos FROM acc)
+        ws AS ({shuffled_positions('acc', 42, 100)})
         SELECT line_no, idx, window_id, shuffle_pos, (shuffle_pos - 1) % 32 + 1 AS pos_in_batch FROM ws""",
     "jsonl_line_numbers": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS line_no FROM documents",
+    "take_first_files": f"""WITH {EXTRACT_PARSED_CTE}, a AS (SELECT line_no, row_number() OVER (ORDER BY line_no) AS idx, source_field, length(text) AS n_chars
+          FROM extracted WHERE text IS NOT NULL) SELECT * FROM a WHERE idx <= 300""",
+    "count_valid_capped": f"WITH {EXTRACT_PARSED_CTE} SELECT least(500, count(text)) AS n_valid FROM extracted",
     "jsonl_quarantine": "SELECT doc_id AS line_no, 'malformed' AS reason FROM documents WHERE doc_id % 17 = 0",
     "extract_text": f"WITH {EXTRACT_CTE} SELECT line_no, source_field, text FROM extracted WHERE text IS NOT NULL",
     "count_valid": f"WITH {EXTRACT_CTE} SELECT count(text) AS n_valid FROM extracted",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.operators import extract as ex
 from corpuskit.operators import ordering as od
-from corpuskit.queries.common import EXTRACT_CTE, LETTERS, documents_as_jsonl, table
+from corpuskit.queries.common import EXTRACT_CTE, LETTERS, documents_as_jsonl, shuffled_positions, table
 
 BUFFER = 100  # small enough that the sf0.01 corpus spans several shuffle buffers
 BATCH = 32
@@ -37,6 +37,13 @@ def q_windowed_shuffle(spark, d):
     return shuffled(spark, d).select("line_no", "window_id", "shuffle_pos", "shuffled_idx")
 
 
+def q_shuffle_source(spark, d):
+    """For each place after the shuffle, the place before: the permutation backwards."""
+    acc = accepted(spark, d)
+    n = acc.count()
+    return acc.select(F.col("idx").alias("shuffled_idx"), od.source_index("idx", BUFFER, n, SEED).alias("idx"))
+
+
 def q_micro_batches(spark, d):
     return od.micro_batches(shuffled(spark, d), BATCH).select("line_no", "window_id", "batch_id", "pos_in_batch")
 
@@ -88,6 +95,7 @@ QUERIES = {
     "row_index_range": q_row_index_range,
     "take_first": q_take_first,
     "windowed_shuffle": q_windowed_shuffle,
+    "shuffle_source": q_shuffle_source,
     "micro_batches": q_micro_batches,
     "train_eval_split": q_train_eval_split,
     "split_counts": q_split_counts,
@@ -100,10 +108,7 @@ QUERIES = {
 
 ACC = f"""{EXTRACT_CTE},
 acc AS (SELECT line_no, row_number() OVER (ORDER BY line_no) AS idx FROM extracted WHERE text IS NOT NULL),
-ws AS (SELECT line_no, idx, (idx - 1) // {BUFFER} AS window_id,
-         row_number() OVER (PARTITION BY (idx - 1) // {BUFFER}
-                            ORDER BY md5('{SEED}:' || CAST(line_no AS VARCHAR)), line_no) AS shuffle_pos
-       FROM acc)"""
+ws AS ({shuffled_positions('acc', SEED, BUFFER)})"""
 
 SPLIT = """n AS (SELECT count(*) AS n FROM orders),
 k AS (SELECT CASE WHEN n <= 1000 THEN 0 ELSE CAST(ceil(least(0.01, 5000.0 / n) * n) AS BIGINT) END AS k FROM n),
@@ -117,15 +122,13 @@ SQL = {
         ORDER BY nullif(l_suppkey, l_suppkey - l_suppkey % 3) NULLS FIRST, l_orderkey, l_linenumber) AS idx FROM lineitem""",
     "take_first": f"WITH {ACC} SELECT line_no FROM acc WHERE idx <= 500",
     "windowed_shuffle": f"WITH {ACC} SELECT line_no, window_id, shuffle_pos, window_id * {BUFFER} + shuffle_pos AS shuffled_idx FROM ws",
+    "shuffle_source": f"WITH {ACC} SELECT window_id * {BUFFER} + shuffle_pos AS shuffled_idx, idx FROM ws",
     "micro_batches": f"WITH {ACC} SELECT line_no, window_id, (shuffle_pos - 1) // {BATCH} AS batch_id, "
                      f"(shuffle_pos - 1) % {BATCH} + 1 AS pos_in_batch FROM ws",
     "train_eval_split": f"WITH {SPLIT} SELECT o_orderkey, split FROM split",
     "split_counts": f"WITH {SPLIT} SELECT split, count(*) AS n_rows FROM split GROUP BY split",
-    "epoch_plan": f"""WITH {ACC}, ep AS (SELECT unnest([0, 1]) AS epoch)
-      SELECT CAST(epoch AS INTEGER) AS epoch, line_no, (idx - 1) // {BUFFER} AS window_id,
-             row_number() OVER (PARTITION BY epoch, (idx - 1) // {BUFFER}
-               ORDER BY md5(CAST({SEED} + epoch AS VARCHAR) || ':' || CAST(line_no AS VARCHAR)), line_no) AS shuffle_pos
-      FROM acc, ep""",
+    "epoch_plan": f"""WITH {ACC}, e1 AS ({shuffled_positions('acc', SEED, BUFFER, '1')})
+      SELECT 0 AS epoch, line_no, window_id, shuffle_pos FROM ws UNION ALL SELECT 1, line_no, window_id, shuffle_pos FROM e1""",
     "assign_steps": f"""WITH {ACC}, s AS (SELECT line_no, window_id * {BUFFER} + shuffle_pos AS p FROM ws)
       SELECT line_no, (p - 1) // 16 AS step FROM s WHERE p <= ((SELECT count(*) FROM s) // 16) * 16""",
     "plan_steps": f"""WITH {EXTRACT_CTE}, c AS (SELECT count(text) AS n FROM extracted)

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import os
 
 import pytest
 from pyspark.sql import Window
@@ -29,16 +30,57 @@ def test_row_index_composite_and_range_variant(spark):
     assert a == exp and b == exp
 
 
+def _permuted(x, size, key):
+    """The keyed permutation of 0 .. size-1 on plain numbers."""
+    a = math.ceil(math.sqrt(size))
+    b = -(-size // a)
+    while True:
+        high, low = divmod(x, b)
+        for r in range(6):
+            t = ((low if r % 2 == 0 else high) + key + (r + 1) * 40503) % 2147483647
+            f = (t * t % 2147483647 * 48271 + r) % 2147483647
+            high, low = ((high + f) % a, low) if r % 2 == 0 else (high, (low + f) % b)
+        x = high * b + low
+        if x < size:
+            return x
+
+
 def _shuffle(keys, buffer, seed=42):
     out = {}
-    for w in range(math.ceil(len(keys) / buffer)):
-        win = keys[w * buffer:(w + 1) * buffer]
-        order = sorted(win, key=lambda k: (hashlib.md5(f"{seed}:{k}".encode()).hexdigest(), k))
-        for p, k in enumerate(order):
-            out[k] = (w, p + 1)
+    for i, k in enumerate(keys):
+        w = i // buffer
+        size = min(buffer, len(keys) - w * buffer)
+        out[k] = (w, 1 + _permuted(i - w * buffer, size, (seed * 1000003 + w * 7368787) % 2147483647))
     return out
 
 
+@pytest.mark.parametrize("buffer", [*range(1, 21), 37, 5000, 10_007])
+def test_shuffle_is_a_bijection_of_every_buffer_and_can_be_undone(spark, buffer):
+    """Whole buffers and the last, partial one; other seeds and windows give other orders."""
+    n = 2 * buffer + buffer // 3
+    df = spark.range(1, n + 1).withColumnRenamed("id", "idx")
+    s = od.windowed_shuffle(df, "idx", buffer=buffer, seed=7, epoch=3)
+    rows = s.select("idx", "window_id", "shuffled_idx", od.source_index("shuffled_idx", buffer, n, 7, 3).alias("back")).collect()
+    assert sorted(r.shuffled_idx for r in rows) == list(range(1, n + 1))
+    assert all(r.back == r.idx and (r.shuffled_idx - 1) // buffer == r.window_id == (r.idx - 1) // buffer for r in rows)
+    if buffer > 30:
+        moved = sum(r.shuffled_idx != r.idx for r in rows)
+        assert moved > 0.9 * n
+        again = {r.idx: r.shuffled_idx for r in od.windowed_shuffle(df, "idx", buffer=buffer, seed=8, epoch=3).collect()}
+        assert sum(again[r.idx] == r.shuffled_idx for r in rows) < 0.1 * n + 5
+        first, second = ([r.shuffled_idx % buffer for r in sorted(rows, key=lambda r: r.idx) if r.window_id == w] for w in (0, 1))
+        assert sum(a == b for a, b in zip(first, second)) < 0.1 * buffer + 5
+        # No run of the input survives: neighbours stay neighbours about as often as by chance.
+        assert sum(abs(a - b) == 1 for a, b in zip(first, first[1:])) < 0.05 * buffer + 5
+
+
+def test_shuffled_places_of_a_row_are_near_uniform(spark):
+    """One row over 4,000 windows lands in each of 20 places about equally often."""
+    s = od.windowed_shuffle(spark.range(1, 80_001).withColumnRenamed("id", "idx"), "idx", buffer=20)
+    got = {r.shuffle_pos: r["count"] for r in s.where("idx % 20 = 7").groupBy("shuffle_pos").count().collect()}
+    assert len(got) == 20 and max(abs(n - 200) for n in got.values()) < 75
+
+
 @pytest.mark.parametrize("n", [0, 3, 5, 10, 11])
 def test_windowed_shuffle_sizes(spark, n):
     buffer = 5
@@ -92,6 +134,52 @@ def test_take_first_and_round_to_buffer(spark):
         ["None"], ["None", "a"], ["None", "a", "a"], ["None", "a", "a", "a", "b"], ["None", "a", "a", "a", "b"]]
 
 
+def _numbered_files(spark, folder, files=10, lines=40):
+    for f in range(files):
+        with open(os.path.join(folder, f"part {f:02d}.jsonl"), "w") as out:
+            for i in range(lines):
+                k = f * lines + i
+                out.write('{"text": "' + ("word " * 30 + str(k)) + '"}\n' if k % 4 else "broken {\n")
+    from corpuskit.sources import read_jsonl_lines
+    return read_jsonl_lines(spark, folder)
+
+
+def test_prefix_scan_leaves_later_files_unread(spark, tmp_dir):
+    from corpuskit.operators import extract as ex
+    from corpuskit.operators.prefix import first_rows
+    from corpuskit.plans import IngestConfig, corpus_examples
+    lines = _numbered_files(spark, tmp_dir)
+    accept = lambda rows: ex.extract_text(rows, letters="x")
+    every = [k for k in range(400) if k % 4]
+    for f in range(3, 10):  # the scan knows them, reading one would fail
+        os.remove(os.path.join(tmp_dir, f"part {f:02d}.jsonl"))
+    for n in (0, 1, 29, 30, 31, 60):
+        got = first_rows(lines, n, accept)
+        assert sorted((r.idx, int(r.text.split()[-1])) for r in got.collect()) == [(i + 1, k) for i, k in enumerate(every[:n])]
+        assert ex.count_valid(lines, max_samples=n or None, letters="x").first().n_valid == n if n else True
+    assert sorted(int(r.text.split()[-1]) for r in od.take_first(lines, 45, accept=accept).collect()) == every[:45]
+    cfg = IngestConfig(letters="x", max_samples=50, buffer=20, max_seq_length=8, vocab_size=50)
+    ex_ = corpus_examples(lines, None, cfg)
+    assert sorted(r.idx for r in ex_["examples"].collect()) == list(range(1, 51))
+    assert sorted((r.idx, int(r.text.split()[-1])) for r in ex_["accepted"].collect()) == [(i + 1, k) for i, k in enumerate(every[:50])]
+    with pytest.raises(Exception, match="FAILED_READ_FILE|does not exist|FileNotFound"):
+        first_rows(lines, 200, accept).collect()
+
+
+def test_prefix_scan_equals_the_whole_scan(spark, tmp_dir):
+    from corpuskit.operators import extract as ex
+    from corpuskit.operators.prefix import first_rows
+    lines = _numbered_files(spark, tmp_dir, files=7, lines=23)
+    accept = lambda rows: ex.extract_text(rows, letters="x")
+    whole = sorted((r.idx, r.text) for r in od.with_input_index(accept(lines)).collect())
+    for n in (5, 50, len(whole), 10_000):
+        assert sorted((r.idx, r.text) for r in first_rows(lines, n, accept).collect()) == whole[:n]
+        assert ex.count_valid(lines, max_samples=n, letters="x").first().n_valid == min(n, len(whole))
+    assert ex.count_valid(lines.select("line"), max_samples=9, letters="x").first().n_valid == 9
+    none = lambda rows: rows.where("false")
+    assert first_rows(lines, 5, none).count() == 0
+
+
 def test_range_index_is_the_position_with_payload_and_many_rows(spark):
     n = 400_000
     df = spark.range(n).select((F.xxhash64("id") % 1000).alias("a"), F.col("id").alias("b"), F.sha2(F.col("id").cast("string"), 256).alias("payload"), F.rand(3).alias("more"))

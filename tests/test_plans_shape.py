@@ -39,10 +39,16 @@ def test_input_index_does_not_shuffle_rows(spark, tmp_dir):
     assert "BroadcastExchange" in plan
 
 
-def test_windowed_shuffle_partitions_by_window(spark):
-    df = od.with_row_index(spark.range(100).withColumnRenamed("id", "key"), "key", "idx", bucket_width=16)
-    plan = _plan(od.windowed_shuffle(df, "idx", "key", 10))
-    assert "hashpartitioning(window_id" in plan
+def test_shuffles_and_epochs_move_no_rows(spark):
+    df = spark.range(1, 105).withColumnRenamed("id", "idx")
+    for out in (od.windowed_shuffle(df, "idx", None, 10), od.epoch_plan(df, "idx", None, 3, 10)):
+        plan = _plan(od.micro_batches(out, 4))
+        assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan, plan
+
+
+def test_small_first_n_moves_only_its_rows(spark):
+    plan = _plan(od.take_first(spark.range(1000).withColumnRenamed("id", "key"), 7, "key"))
+    assert "TakeOrderedAndProject" in plan and _shuffles(plan) == 0, plan
 
 
 def test_input_index_refuses_shuffled_input(spark):
