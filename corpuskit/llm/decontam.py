@@ -58,8 +58,8 @@ SEPARATORS = r"[^\p{L}\p{N}]+"
 SHORT, MIDDLE, SURE, TYPICAL = 32, 64, 100, 128  # characters of an item: lossless pieces, denser probes, one hit is enough; bytes
 STEPS, STRIDE, REGION = 24, 6, 16
 BITMAP = 22
-BLOCK, PROBES = 1 << 21, 1 << 17  # bytes searched together, and walked together
-SHIFT = 5  # diagonals in a bin, as a power of two, at least
+BLOCK, PROBES = 1 << 23, 1 << 17  # bytes searched together, and walked together
+SHIFT, RUN = 5, 4  # diagonals in a bin, as a power of two, at least; bins verified together at most
 ABREAST, CLASSES = 4096, 64  # candidates verified at once, kinds of characters they tell apart
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -232,7 +232,10 @@ class Index:
         item, bin_ = group >> bin_bits, group & ((1 << bin_bits) - 1)
         ok = count >= self.least[item]
         item, bin_ = item[ok], bin_[ok]
-        new = np.flatnonzero((np.diff(item, prepend=-1) != 0) | (np.diff(bin_, prepend=-9) > 2))
+        new = (np.diff(item, prepend=-1) != 0) | (np.diff(bin_, prepend=-9) > 2)
+        place = np.arange(len(new))
+        place -= np.maximum.accumulate(np.where(new, place, 0))
+        new = np.flatnonzero(place % RUN == 0)  # a run of bins is verified in parts of about the same length
         last = np.append(new[1:], len(item))[:len(new)] - 1
         item, shift = item[new], self.shift[item[new]]
         return item, (bin_[new] << shift) - zero, ((bin_[last] + 2) << shift) - zero
@@ -247,7 +250,7 @@ class Index:
         size = len(data)
         ends = np.cumsum(pc.binary_length(texts).to_numpy())
         begins = np.concatenate(([0], ends[:-1]))
-        char = np.concatenate(([0], np.cumsum((text[:size] & 0xC0) != 0x80)))  # characters before each byte
+        char = np.concatenate(([0], np.cumsum((text[:size] & 0xC0) != 0x80, dtype=np.int32)))  # characters before each byte
         first_char = np.append(char[begins], len(codes)) if len(begins) else np.zeros(1, np.int64)
         item, start, end = self.windows(text, size)
         n, d = self.n[item], self.most[item]
@@ -348,7 +351,7 @@ class Index:
 
     def _verify(self, rows, offsets, texts: pa.Array, best: dict, whole):
         doc, item, first, last, codes, first_char = self.candidates(texts)
-        classes = (codes % CLASSES).astype(np.int64)
+        classes = (codes % CLASSES).astype(np.uint8)
         for x in np.flatnonzero(self._near(classes, item, first, last)).tolist() if len(item) else ():
             d, k, own = int(doc[x]), int(item[x]), int(first_char[doc[x]])
             norm, most = self.items[k][1], int(self.most[k])
@@ -388,7 +391,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
         def run(batches, shared=shared):
             own, ids_type = Index.of(shared.value), to_arrow_type(item_type)
-            for b in text_slices(batches):
+            for b in text_slices(batches, 1 << 13):
                 found = own.found(b.column(1))
                 at, k, starts, far = zip(*found) if found else ((),) * 4
                 yield pa.record_batch([b.column(0).take(pa.array(at, pa.int64())), pa.array([own.items[i][0] for i in k], ids_type),
@@ -409,7 +412,7 @@ def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", item:
 
         def run(batches, shared=shared):
             own = Index.of(shared.value)
-            for b in text_slices(batches):
+            for b in text_slices(batches, 1 << 13):
                 clear = np.ones(b.num_rows, bool)
                 clear[[x[0] for x in own.found(b.column(b.num_columns - 1))]] = False
                 yield pa.record_batch(b.columns[:-1], names=schema.names).filter(pa.array(clear))
