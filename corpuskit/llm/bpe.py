@@ -31,6 +31,7 @@ import public_tokenizers
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpuskit.session import ensure_checkpoint_dir
 from corpuskit.llm.common import text_slices
@@ -163,6 +164,14 @@ def digests_of(path: str = PATH):
     return make
 
 
+def ids_and_decoded(path: str = PATH):
+    """Finish: number of the ids, the ids, and the hash of the bytes that they decode to."""
+    def make():
+        digest = digests_of(path)()
+        return lambda ids: (len(ids), ids.astype(np.int32), digest(ids)[2])
+    return make
+
+
 IDS = (ids_of, {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}, "n_tokens bigint, ids array<int>")
 DIGESTS = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
@@ -174,7 +183,7 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", path:
     make, fields, ddl = finish or IDS
     shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = documents.schema[key].dataType.simpleString()
-    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    key_type = to_arrow_type(documents.schema[key].dataType)
     raw = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")) \
         .mapInArrow(_blocks(shares), f"block string, share int, keys array<{kind}>, payload binary, sizes binary, more binary")
     # Written in buckets of the block, so that positions needn't be shuffled to meet their ids.
@@ -185,6 +194,7 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", path:
         .mapInArrow(_encode_words(path), "block string, ids binary, lens binary, places binary")
     back = words.repartition(shares, "block").groupBy("block").agg(F.collect_list(F.struct("ids", "lens", "places")).alias("words"))
     blocks = raw.where("share = -1").select("block", "keys", "payload", "sizes").join(back, "block", "left")
+    spark.sql(f"DROP TABLE {name}")  # from the catalog only: the files are outside its warehouse
     return blocks.mapInArrow(_reassemble(make, tuple(fields), (key_type, *fields.values())), f"doc_id {kind}, {ddl}")
 
 
@@ -193,6 +203,12 @@ def round_trip(documents: DataFrame, key: str = "doc_id", text: str = "text", pa
     return encode(documents, key, text, path, (digests_of(path), DIGESTS, "n_tokens bigint, ids_sha256 string, decoded_sha256 string"))
 
 
+def encode_and_decode(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str = PATH) -> DataFrame:
+    """``(doc_id, n_tokens, ids, decoded_sha256)`` for every row: the ids and the hash of what they decode to."""
+    fields = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded_sha256": pa.string()}
+    return encode(documents, key, text, path, (ids_and_decoded(path), fields, "n_tokens bigint, ids array<int>, decoded_sha256 string"))
+
+
 def decode(encoded: DataFrame, path: str = PATH, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """``(doc_id, text)`` of rows with ids: ids joined with the token-byte table
     (one row per rank).  An id without a row gives NULL; NULL ids give NULL."""

@@ -46,3 +46,13 @@ def test_decode_of_unknown_ids_and_empty_table(spark):
     df = spark.createDataFrame([(1, [72, 10_000_000]), (2, None), (3, [])], "doc_id long, ids array<int>")
     assert {r.doc_id: r.text for r in bpe.decode(df).collect()} == {1: None, 2: None, 3: ""}
     assert bpe.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_any_key_type_and_no_table_left(spark):
+    for kind, value in (("smallint", 3), ("string", "k"), ("date", None)):
+        df = spark.createDataFrame([(value, "some words, more words")], f"name {kind}, text string")
+        got = bpe.encode_and_decode(df, key="name")
+        assert got.dtypes[0] == ("doc_id", kind)
+        row = got.first()
+        assert row.doc_id == value and row.n_tokens == len(row.ids) and row.decoded_sha256 == hashlib.sha256(b"some words, more words").hexdigest()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("bpe_blocks")]

@@ -1,3 +1,5 @@
+import hashlib
+
 import duckdb
 
 import __spark_entry__ as entry
@@ -9,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_queries_are_registered():
     names = entry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "SimHash near-dedup", "benchmark decontamination", "secret scans", "byte-level BPE"]
 
 
@@ -37,8 +39,8 @@ def test_pipeline_against_its_stages_by_hand(spark):
     want = {}
     for i in clean:
         text = secrets.redact_text(rows[i], secrets.scan_text(rows[i], secrets.RULES))
-        want[i] = [x for w in split(text) for x in encode(w.encode())]
-    got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, SF).collect()}
+        want[i] = [x for w in split(text) for x in encode(w.encode())], hashlib.sha256(text.encode()).hexdigest()
+    got = {r.doc_id: (r.ids, r.decoded_sha256) for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == want and len(clean) < len(first) < len(good) < len(rows)
 
 
@@ -55,11 +57,11 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark):
 def test_sql_oracles_match(spark):
     from corpuskit.llm import queries
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     for name, sql in queries.SQL.items():
         got = queries.QUERIES[name](spark, SF)
         rel = con.execute(sql)
         cols = [c[0] for c in rel.description]
         assert sorted(got.columns) == sorted(cols)
-        assert sorted(map(tuple, got.select(*cols).collect())) == sorted(rel.fetchall()), name
+        assert sorted(map(tuple, got.select(*cols).collect()), key=str) == sorted(rel.fetchall(), key=str), name
