@@ -31,8 +31,9 @@ def secret_scans(spark, docs, sf_dir):
 
 
 def byte_bpe(spark, docs, sf_dir):
-    """Documents as token ids: ``(doc_id, n_tokens, ids)``."""
-    return bpe.encode(docs)
+    """Documents as token ids, decoded again: ``(doc_id, n_tokens, ids, decoded_sha256)``;
+    the hash is that of the bytes the ids decode to, which are the text's own."""
+    return bpe.encode_and_decode(docs)
 
 
 STAGES = [
