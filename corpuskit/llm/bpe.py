@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corpuskit.session import ensure_checkpoint_dir
-from corpuskit.llm.common import text_slices
+from corpuskit.llm.common import released, text_slices
 
 BLOCK = 24 << 20
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -185,17 +185,17 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", path:
     kind = documents.schema[key].dataType.simpleString()
     key_type = to_arrow_type(documents.schema[key].dataType)
     raw = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")) \
-        .mapInArrow(_blocks(shares), f"block string, share int, keys array<{kind}>, payload binary, sizes binary, more binary")
+        .mapInArrow(released(_blocks(shares)), f"block string, share int, keys array<{kind}>, payload binary, sizes binary, more binary")
     # Written in buckets of the block, so that positions needn't be shuffled to meet their ids.
     name = f"bpe_blocks_{uuid.uuid4().hex}"
     raw.write.bucketBy(shares, "block").option("path", f"{ensure_checkpoint_dir(spark)}/{name}").saveAsTable(name)
     raw = spark.table(name)
     words = raw.where("share >= 0").select("block", "share", "payload", "sizes", "more").repartition(shares, "share") \
-        .mapInArrow(_encode_words(path), "block string, ids binary, lens binary, places binary")
+        .mapInArrow(released(_encode_words(path)), "block string, ids binary, lens binary, places binary")
     back = words.repartition(shares, "block").groupBy("block").agg(F.collect_list(F.struct("ids", "lens", "places")).alias("words"))
     blocks = raw.where("share = -1").select("block", "keys", "payload", "sizes").join(back, "block", "left")
     spark.sql(f"DROP TABLE {name}")  # from the catalog only: the files are outside its warehouse
-    return blocks.mapInArrow(_reassemble(make, tuple(fields), (key_type, *fields.values())), f"doc_id {kind}, {ddl}")
+    return blocks.mapInArrow(released(_reassemble(make, tuple(fields), (key_type, *fields.values()))), f"doc_id {kind}, {ddl}")
 
 
 def round_trip(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str = PATH) -> DataFrame:
@@ -220,4 +220,4 @@ def decode(encoded: DataFrame, path: str = PATH, key: str = "doc_id", ids: str =
             texts = [None if x is None or any(i not in table for i in x) else b"".join(map(table.__getitem__, x)).decode("utf-8", "replace")
                      for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
-    return encoded.select(F.col(key).alias("doc_id"), F.col(ids).alias("_ids")).mapInArrow(run, f"doc_id {kind}, text string")
+    return encoded.select(F.col(key).alias("doc_id"), F.col(ids).alias("_ids")).mapInArrow(released(run), f"doc_id {kind}, text string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import pyarrow as pa
@@ -54,6 +55,21 @@ def clean_labels(labels: DataFrame, label: str) -> DataFrame:
         .where(F.col("label") == F.col("_hi")).drop("_hi")
 
 
+def released(run):
+    """``run`` for mapInArrow; what a task has freed goes back to the system when
+    it ends, as Python workers stay for the stages after it."""
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+    return tidy
+
+
 def text_slices(batches, rows: int = 512, size: int = 8 << 20):
     """Slices of Arrow batches with at most ``rows`` rows and, but for a single
     longer row, ``size`` text bytes; the text is the last column.  Bounds the

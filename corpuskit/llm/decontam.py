@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from corpuskit.llm.common import text_slices, written
+from corpuskit.llm.common import released, text_slices, written
 
 SEPARATORS = r"[^\p{L}\p{N}]+"
 SHORT, MIDDLE, SURE, TYPICAL = 32, 64, 100, 128  # characters of an item: lossless pieces, denser probes, one hit is enough; bytes
@@ -391,14 +391,13 @@ def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
         def run(batches, shared=shared):
             own, ids_type = Index.of(shared.value), to_arrow_type(item_type)
-            for b in text_slices(batches, 1 << 13):
+            for b in text_slices(batches, 1 << 13, 4 << 20):
                 found = own.found(b.column(1))
                 at, k, starts, far = zip(*found) if found else ((),) * 4
                 yield pa.record_batch([b.column(0).take(pa.array(at, pa.int64())), pa.array([own.items[i][0] for i in k], ids_type),
                                        pa.array(starts, pa.int64()), pa.array(far, pa.int64()), pa.array([1 - f / int(own.n[i]) for i, f in zip(k, far)], pa.float64())],
                                       names=["doc_id", "item_id", "start_word", "distance", "similarity"])
-        found = documents.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("_text")).mapInArrow(
-            run, f"doc_id {kind}, item_id {item_type.simpleString()}, start_word bigint, distance bigint, similarity double")
+        found = documents.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("_text")).mapInArrow(released(run), f"doc_id {kind}, item_id {item_type.simpleString()}, start_word bigint, distance bigint, similarity double")
         parts.append(written(found, "leaks") if passes > 1 else found)
     return reduce(DataFrame.unionByName, parts)
 
@@ -412,11 +411,11 @@ def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", item:
 
         def run(batches, shared=shared):
             own = Index.of(shared.value)
-            for b in text_slices(batches, 1 << 13):
+            for b in text_slices(batches, 1 << 13, 4 << 20):
                 clear = np.ones(b.num_rows, bool)
                 clear[[x[0] for x in own.found(b.column(b.num_columns - 1))]] = False
                 yield pa.record_batch(b.columns[:-1], names=schema.names).filter(pa.array(clear))
-        documents = documents.select("*", F.col(text).cast("string").alias("_decontam_text")).mapInArrow(run, schema)
+        documents = documents.select("*", F.col(text).cast("string").alias("_decontam_text")).mapInArrow(released(run), schema)
         if passes > 1:
             documents = written(documents, "clean")
     return documents

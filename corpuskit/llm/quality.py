@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import clean_labels, text_slices, texts_of, written
+from corpuskit.llm.common import clean_labels, released, text_slices, texts_of, written
 
 UPPER = bytes(range(65, 91))
 DIGITS = b"0123456789"
@@ -54,7 +54,7 @@ def document_statistics(documents: DataFrame, key: str = "doc_id", text: str = "
         for b in text_slices(batches):
             yield pa.record_batch([b.column(0), pa.array([statistics(t) for t in texts_of(b)], pa.list_(pa.float64()))], names=["doc_id", "stats"])
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, f"doc_id {kind}, stats array<double>")
+    return documents.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")).mapInArrow(released(run), f"doc_id {kind}, stats array<double>")
 
 
 def moments(labelled: DataFrame, d: int) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
@@ -68,7 +68,7 @@ def moments(labelled: DataFrame, d: int) -> dict[int, tuple[float, np.ndarray, n
                 sums[int(c)] = sums.get(int(c), 0) + z.T @ z
         for c, s in sums.items():
             yield pa.record_batch([pa.array([c] * s.size, pa.int32()), pa.array(range(s.size), pa.int32()), pa.array(s.ravel())], names=["label", "at", "v"])
-    rows = labelled.select("label", "stats").mapInArrow(run, "label int, at int, v double").groupBy("label", "at").agg(F.sum("v").alias("v")).collect()
+    rows = labelled.select("label", "stats").mapInArrow(released(run), "label int, at int, v double").groupBy("label", "at").agg(F.sum("v").alias("v")).collect()
     out = {}
     for c in {r.label for r in rows}:
         s = np.zeros((d + 1) ** 2)
@@ -119,7 +119,7 @@ def score(stats: DataFrame, model: Discriminant) -> DataFrame:
             x = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
             yield pa.record_batch([b.column(0), pa.array(model.scores(x))], names=["doc_id", "score"])
     kind = stats.schema["doc_id"].dataType.simpleString()
-    return stats.select("doc_id", "stats").mapInArrow(run, f"doc_id {kind}, score double")
+    return stats.select("doc_id", "stats").mapInArrow(released(run), f"doc_id {kind}, score double")
 
 
 def classify(documents: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text") -> DataFrame:

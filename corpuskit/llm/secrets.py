@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import fresh, text_slices, written
+from corpuskit.llm.common import fresh, released, text_slices, written
 
 SPANS = "array<struct<kind:string,rule:string,start:int,end:int>>"
 
@@ -111,7 +111,7 @@ def scan_unseen(versions: DataFrame, keys: list[str], rules=RULES, text: str = "
     a, b = src.alias("a"), reps.alias("b")
     unseen = a.join(b, F.col("a._key").eqNullSafe(F.col("b._key")) & (F.col("a.blob_id") == F.col("b.blob_id"))) \
         .select("b.blob_id", "b.todo", "a._text")
-    return unseen.mapInArrow(_scanner(tuple(rules)), f"blob_id string, todo array<string>, spans {SPANS}")
+    return unseen.mapInArrow(released(_scanner(tuple(rules))), f"blob_id string, todo array<string>, spans {SPANS}")
 
 
 def scan_versions(versions: DataFrame, keys: list[str], rules=RULES, text: str = "text",

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import fresh, text_slices, texts_of, written
+from corpuskit.llm.common import fresh, released, text_slices, texts_of, written
 
 SEGMENTS = ((0, 21), (21, 22), (43, 21))  # (first bit, width): the ring
 HOT = 64
@@ -70,7 +70,7 @@ def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text",
             fps = np.array([fingerprint(t, k) for t in texts_of(b)], np.uint64).view(np.int64)
             yield pa.record_batch([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return documents.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")).mapInArrow(released(run), f"doc_id {kind}, fp bigint")
 
 
 def _mask(lo: int, width: int) -> int:
