@@ -10,12 +10,14 @@ plans stay small.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.operators.ordering import with_row_index_range
+from corpuskit.operators.segments import with_neighbour
 from corpuskit.session import ensure_checkpoint_dir
 
 
@@ -117,36 +119,18 @@ def bfs_forest(edges: DataFrame, components: DataFrame, src: str = "src", dst: s
             break
         levels.append(nxt)
         frontier = nxt
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    return out
-
+        if len(levels) == 16:  # the plan stays bounded, however deep the forest
+            levels = [_cut(reduce(DataFrame.unionByName, levels))]
+    return reduce(DataFrame.unionByName, levels)
 
-def fundamental_cycles(edges: DataFrame, src: str = "src", dst: str = "dst", eid: str = "eid",
-                       components: DataFrame | None = None) -> DataFrame:
-    """Edges of the fundamental cycle closed by every non-tree edge:
-    ``(cycle_id, eid, src, dst)`` with ``cycle_id`` = the closing edge's id.
 
-    The closing edge's endpoints climb the BFS forest (deeper one first, both
-    when level) until they meet; each climb step emits one tree edge.  Rounds
-    are bounded by the forest depth; rows emitted equal the cycle lengths.
-    In a cactus graph these are exactly all its cycles.  Self loops are not
-    cycles here.
-    """
-    edges = _cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.col(eid).alias("eid")))
-    comp = components if components is not None else connected_components(edges, "src", "dst")
-    forest = bfs_forest(edges, comp, "src", "dst", "eid")
-    tree_eids = forest.where(F.col("parent_eid").isNotNull()).select(F.col("parent_eid").alias("eid"))
-    nontree = edges.where(F.col("src") != F.col("dst")).join(tree_eids, "eid", "left_anti")
-    closing = nontree.select(F.col("eid").alias("cycle_id"), "eid", "src", "dst")
-    node = forest.select("vertex", "depth", "parent", "parent_eid")
+def _climbed(ends: DataFrame, node: DataFrame) -> list[DataFrame]:
+    """Tree edges from both endpoints up to where they meet: the deeper one climbs first, both when level."""
     na = node.select(F.col("vertex").alias("x"), F.col("depth").alias("dx"),
                      F.col("parent").alias("px"), F.col("parent_eid").alias("ex"))
     nb = node.select(F.col("vertex").alias("y"), F.col("depth").alias("dy"),
                      F.col("parent").alias("py"), F.col("parent_eid").alias("ey"))
-    state = _cut(nontree.select(F.col("eid").alias("cycle_id"), F.col("src").alias("x"), F.col("dst").alias("y")))
-    parts = [closing]
+    parts, state = [], ends
     mx = F.col("dx") >= F.col("dy")
     my = F.col("dy") >= F.col("dx")
     while state.limit(1).count() > 0:
@@ -160,6 +144,72 @@ def fundamental_cycles(edges: DataFrame, src: str = "src", dst: str = "dst", eid
         state = s.select("cycle_id", F.when(mx, F.col("px")).otherwise(F.col("x")).alias("x"),
                          F.when(my, F.col("py")).otherwise(F.col("y")).alias("y")) \
             .where(F.col("x") != F.col("y"))
+    return parts
+
+
+def _lifted(ends: DataFrame, node: DataFrame, depth: int) -> list[DataFrame]:
+    """The same edges by binary lifting.  Table k holds every vertex's 2^k-th
+    ancestor, made from table k-1 by one self join.  Endpoints are brought level,
+    then lifted together while their ancestors differ, largest step first; each
+    lift is a path segment of 2^k edges, and segments are halved down to edges."""
+    tops = [_cut(node.where(F.col("parent").isNotNull()).select(F.col("vertex").alias("v"), F.col("parent").alias("up")))]
+    while 2 ** len(tops) <= depth:
+        half = tops[-1]
+        tops.append(_cut(half.join(half.select(F.col("v").alias("up"), F.col("up").alias("_far")), "up").select("v", F.col("_far").alias("up"))))
+    deep = node.select(F.col("vertex").alias("x"), F.col("depth").alias("dx"))
+    state = ends.join(deep, "x").join(deep.select(F.col("x").alias("y"), F.col("dx").alias("dy")), "y")
+    # x is the deeper end.
+    lower = F.col("dx") < F.col("dy")
+    state = _cut(state.select("cycle_id", F.when(lower, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(lower, F.col("x")).otherwise(F.col("y")).alias("y"),
+                              F.abs(F.col("dx") - F.col("dy")).alias("gap")))
+    segments: list[list[DataFrame]] = [[] for _ in tops]
+    up = lambda k, c: tops[k].select(F.col("v").alias(c), F.col("up").alias(f"{c}_up"))
+    segment = lambda s, c: s.select("cycle_id", F.col(c).alias("v"))
+    for k in range(len(tops) - 1, -1, -1):
+        lifts = F.col("gap") >= 2 ** k
+        s = _cut(state.join(up(k, "x"), "x", "left"))
+        segments[k].append(segment(s.where(lifts), "x"))
+        state = s.select("cycle_id", F.when(lifts, F.col("x_up")).otherwise(F.col("x")).alias("x"), "y",
+                         F.when(lifts, F.col("gap") - 2 ** k).otherwise(F.col("gap")).alias("gap"))
+    state = state.where(F.col("x") != F.col("y"))
+    for k in range(len(tops) - 1, -1, -1):
+        s = _cut(state.join(up(k, "x"), "x", "left").join(up(k, "y"), "y", "left"))
+        lifts = F.coalesce(F.col("x_up") != F.col("y_up"), F.lit(False))
+        segments[k] += [segment(s.where(lifts), c) for c in "xy"]
+        state = s.select("cycle_id", *[F.when(lifts, F.col(f"{c}_up")).otherwise(F.col(c)).alias(c) for c in "xy"])
+    segments[0] += [segment(state, c) for c in "xy"]  # their parent is where they meet
+    long = None
+    for k in range(len(tops) - 1, -1, -1):
+        for own in segments[k]:
+            long = own if long is None else long.unionByName(own)
+        if k:
+            long = _cut(long)
+            long = long.unionByName(long.join(tops[k - 1], "v").select("cycle_id", F.col("up").alias("v")))
+    edges = _cut(long).join(node.withColumnRenamed("vertex", "v"), "v")
+    return [edges.select("cycle_id", F.col("parent_eid").alias("eid"), F.col("v").alias("src"), F.col("parent").alias("dst"))]
+
+
+def fundamental_cycles(edges: DataFrame, src: str = "src", dst: str = "dst", eid: str = "eid",
+                       components: DataFrame | None = None, levels: int = 12) -> DataFrame:
+    """Edges of the fundamental cycle closed by every non-tree edge:
+    ``(cycle_id, eid, src, dst)`` with ``cycle_id`` = the closing edge's id.
+
+    The closing edge's endpoints climb the BFS forest until they meet; the tree
+    edges they pass are the cycle's.  In a forest of up to ``levels`` levels they
+    climb edge by edge; in a deeper one by binary lifting, in rounds logarithmic
+    in the depth (:func:`_lifted`).  Rows emitted equal the cycle lengths.  In a
+    cactus graph these are exactly all its cycles.  Self loops are not cycles here.
+    """
+    edges = _cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.col(eid).alias("eid")))
+    comp = components if components is not None else connected_components(edges, "src", "dst")
+    forest = bfs_forest(edges, comp, "src", "dst", "eid")
+    tree_eids = forest.where(F.col("parent_eid").isNotNull()).select(F.col("parent_eid").alias("eid"))
+    nontree = edges.where(F.col("src") != F.col("dst")).join(tree_eids, "eid", "left_anti")
+    closing = nontree.select(F.col("eid").alias("cycle_id"), "eid", "src", "dst")
+    node = _cut(forest.select("vertex", "depth", "parent", "parent_eid"))
+    ends = _cut(nontree.select(F.col("eid").alias("cycle_id"), F.col("src").alias("x"), F.col("dst").alias("y")))
+    depth = node.agg(F.max("depth")).first()[0] or 0
+    parts = [closing, *(_climbed(ends, node) if depth <= levels else _lifted(ends, node, depth))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -195,45 +245,74 @@ def contract_graph(edges: DataFrame, comp: DataFrame, src: str = "src", dst: str
     return fwd.unionByName(rev)
 
 
-def subtree_totals(tree: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+def subtree_totals(tree: DataFrame, child: str = "child", parent: str = "parent", levels: int = 8) -> DataFrame:
     """Per vertex, the number of descendants (sum over children of child + 1).
 
-    Depths come from a top-down level loop from the roots; totals are then
-    aggregated bottom-up one level per round (``groupBy(parent).sum``, map-side
-    combined, so a vertex with a huge fan-out is not a hot spot).  Vertices that
-    no root reaches (a parent cycle) raise a ValueError.
+    A tree of up to ``levels`` levels is summed level by level (``groupBy(parent)``,
+    map-side combined, so a vertex with a huge fan-out is not a hot spot); a deeper
+    one over its Euler tour, in rounds logarithmic in the number of vertices
+    (:func:`_tour_totals`).  Repeated rows count once; rows without a parent are
+    left out.  A vertex with two parents, and vertices that no root reaches (a
+    parent cycle), raise a ValueError.
     """
-    t = tree.select(F.col(child).alias("c"), F.col(parent).alias("p")).where(F.col("p").isNotNull())
+    t = _cut(tree.select(F.col(child).alias("c"), F.col(parent).alias("p")).where(F.col("p").isNotNull()).distinct())
+    if t.groupBy("c").count().where("count > 1").limit(1).count():
+        raise ValueError("a vertex has two parents")
     nodes = t.select(F.col("c").alias("v")).unionByName(t.select(F.col("p").alias("v"))).distinct()
     roots = nodes.join(t.select(F.col("c").alias("v")), "v", "left_anti")
-    level = _cut(roots.select("v", F.lit(0).cast("bigint").alias("depth")))
-    levels = [level]
-    frontier = level
-    for d in count(1):  # until a level is empty
-        nxt = _cut(t.join(frontier.select(F.col("v").alias("p")), "p")
-                   .select(F.col("c").alias("v"), F.lit(d).cast("bigint").alias("depth")))
-        if nxt.limit(1).count() == 0:
+    layers = [_cut(roots)]
+    while len(layers) <= levels:
+        down = _cut(t.join(layers[-1].select(F.col("v").alias("p")), "p").select(F.col("c").alias("v")))
+        if down.limit(1).count() == 0:
+            return _layer_totals(t, layers, nodes.count())
+        layers.append(down)
+    return _tour_totals(t, layers[0])
+
+
+def _layer_totals(t: DataFrame, layers: list[DataFrame], n: int) -> DataFrame:
+    """Totals of one layer feed their parents in the layer above."""
+    if sum(layer.count() for layer in layers) < n:
+        raise ValueError("the parent links hold a cycle")
+    done = [layers[-1].select("v", F.lit(0).cast("bigint").alias("total"))]
+    for layer in reversed(layers[:-1]):
+        up = t.join(done[-1].withColumnRenamed("v", "c"), "c").groupBy(F.col("p").alias("v")).agg(F.sum(F.col("total") + 1).alias("sub"))
+        done.append(_cut(layer.join(up, "v", "left").select("v", F.coalesce("sub", F.lit(0)).cast("bigint").alias("total"))))
+    return reduce(DataFrame.unionByName, done).select(F.col("v").alias("vertex"), F.col("total").alias("descendants"))
+
+
+def _tour_totals(t: DataFrame, roots: DataFrame) -> DataFrame:
+    """Descendants from an Euler tour, ranked by pointer jumping.
+
+    Every edge is an arc down and an arc up.  Down to c goes on to c's first child,
+    or up from c; up from c goes on to c's next sibling, or up from the parent,
+    or ends at a root.  An arc's rank, the number of down arcs from it to the
+    tour's end, comes from doubling its pointer: each round adds what the arc at
+    the pointer has gathered and takes over its pointer.  The arcs down to c and
+    up from c then differ by c and its descendants.  Siblings are ordered by a
+    hash, whose leading bits are buckets: no parent's children are one task.
+    """
+    h = F.xxhash64("c")
+    sib = with_neighbour(t.withColumn("_h", h), ["p"], ["_h", "c"], ["c"], F.shiftright(h, 48), "_sib")
+    first = t.groupBy(F.col("p").alias("c")).agg(F.min_by("c", F.struct(h, "c")).alias("first"))
+    ends = roots.select(F.col("v").alias("p"), F.lit(True).alias("_root"))
+    arcs = sib.join(first, "c", "left").join(ends, "p", "left")
+    to = lambda v, d: F.struct(v.alias("v"), F.lit(d).alias("d"))
+    down = F.when(F.col("first").isNotNull(), to(F.col("first"), 0)).otherwise(to(F.col("c"), 1))
+    up = F.when(F.col("_sib").isNotNull(), to(F.col("_sib.c"), 0)).when(F.col("_root").isNull(), to(F.col("p"), 1))
+    state = _cut(arcs.select("p", F.inline(F.array(
+        F.struct(F.col("c").alias("v"), F.lit(0).alias("d"), down.alias("to"), F.lit(1).cast("bigint").alias("rank")),
+        F.struct(F.col("c").alias("v"), F.lit(1).alias("d"), up.alias("to"), F.lit(0).cast("bigint").alias("rank"))))))
+    for _ in range(state.count().bit_length() + 1):
+        if state.where(F.col("to").isNotNull()).limit(1).count() == 0:
             break
-        levels.append(nxt)
-        frontier = nxt
-    if sum(lv.count() for lv in levels) < nodes.count():
+        ahead = state.select(F.col("v").alias("_v"), F.col("d").alias("_d"), F.col("to").alias("_to"), F.col("rank").alias("_rank"))
+        state = _cut(state.join(ahead, (F.col("to.v") == F.col("_v")) & (F.col("to.d") == F.col("_d")), "left").select(
+            "p", "v", "d", F.col("_to").alias("to"), (F.col("rank") + F.coalesce("_rank", F.lit(0))).alias("rank")))
+    else:
         raise ValueError("the parent links hold a cycle")
-    total = None
-    # Bottom-up: totals of level d feed their parents at level d-1.
-    for d in range(len(levels) - 1, -1, -1):
-        lv = levels[d].select("v")
-        if total is None:
-            cur = lv.select("v", F.lit(0).cast("bigint").alias("total"))
-        else:
-            up = t.join(total.select(F.col("v").alias("c"), "total"), "c") \
-                .groupBy(F.col("p").alias("v")).agg(F.sum(F.col("total") + 1).alias("sub"))
-            cur = lv.join(up, "v", "left").select("v", F.coalesce("sub", F.lit(0)).cast("bigint").alias("total"))
-        total = _cut(cur)
-        levels[d] = total
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    return out.select(F.col("v").alias("vertex"), F.col("total").alias("descendants"))
+    own = _cut(state.groupBy("v").agg(F.first("p").alias("p"), (F.sum(F.when(F.col("d") == 0, F.col("rank")).otherwise(-F.col("rank"))) - 1).alias("total")))
+    top = roots.join(own.groupBy(F.col("p").alias("v")).agg(F.sum(F.col("total") + 1).alias("total")), "v")
+    return own.select("v", "total").unionByName(top).select(F.col("v").alias("vertex"), F.col("total").cast("bigint").alias("descendants"))
 
 
 __all__ = ["connected_components", "bfs_forest", "fundamental_cycles", "component_ids",

@@ -11,10 +11,12 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
 
     The header line (``N M``) is skipped; every edge line present is read
     (the header count is not used to cut the list).  ``eid`` is the 0-based
-    position of the edge in the file, computed without a global window.
+    position of the edge among the edges of the file (blank lines don't count),
+    computed without a global window.
     """
+    from corpuskit.operators.ordering import with_input_index
     from corpuskit.sources.jsonl import read_jsonl_lines
-    lines = read_jsonl_lines(spark, path, line_numbers=True)
+    lines = with_input_index(read_jsonl_lines(spark, path), "line_no")
     parts = F.split(F.col("line"), r"\s+")
     edges = lines.where(F.col("line_no") > 1).select(
         (F.col("line_no") - 2).alias("eid"),

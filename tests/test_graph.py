@@ -1,6 +1,7 @@
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpuskit.operators import graph as gr
@@ -101,7 +102,7 @@ def test_subtree_totals(spark):
 def test_read_edges_reads_all_lines(spark, tmp_dir):
     p = os.path.join(tmp_dir, "g.txt")
     with open(p, "w") as f:
-        f.write("4 3\n1 2\n2 3\n3 4\n")
+        f.write("4 3\n1 2\n\n2 3\n  \n3 4\n")
     got = sorted((r.eid, r.src, r.dst) for r in read_edges(spark, p).collect())
     assert got == [(0, 1, 2), (1, 2, 3), (2, 3, 4)]
 
@@ -125,3 +126,66 @@ def test_component_ids_of_wide_ids(spark):
     cycle = spark.createDataFrame([(7, 3, 4), (7, 4, 3)], "cycle_id long, src long, dst long")
     got = {r.vertex: (r.comp_id, r.on_cycle) for r in gr.component_ids(vertices, cycle).collect()}
     assert got == {3: (0, True), 4: (0, True), -top: (1, False), 5: (2, False), top: (3, False)}
+
+
+def _totals(rows):
+    below = {}
+    for c, p in {r for r in rows if r[1] is not None}:
+        below.setdefault(p, []).append(c)
+    out = {}
+
+    def walk(v):
+        stack = [(v, False)]
+        while stack:
+            u, done = stack.pop()
+            if done:
+                out[u] = sum(out[w] + 1 for w in below.get(u, ()))
+            else:
+                stack.append((u, True))
+                stack += [(w, False) for w in below.get(u, ())]
+    for v in {*below} - {c for own in below.values() for c in own}:
+        walk(v)
+    return out
+
+
+def _random_tree(rng, n, depth_bias):
+    """Names as vertices; a hot parent, long chains, several roots, repeated rows."""
+    rows = [(f"v{i}", f"v{max(0, i - 1 - int(rng.random() ** depth_bias * i))}") for i in range(1, n)]
+    rows += [(f"h{i}", "v3") for i in range(n // 3)] + [("s2", "s1"), ("s3", "s2"), ("s1", None)]
+    return rows + rows[:5]
+
+
+def test_euler_tour_totals_equal_levels_and_brute_force(spark):
+    import random
+    for seed, bias in ((1, 8), (2, 1)):
+        rows = _random_tree(random.Random(seed), 60, bias)
+        df = spark.createDataFrame(rows, "child string, parent string")
+        for levels in (0, 10**6):
+            assert {r.vertex: r.descendants for r in gr.subtree_totals(df, levels=levels).collect()} == _totals(rows)
+
+
+def test_a_path_of_ten_thousand_takes_few_rounds(spark, monkeypatch):
+    n, cuts, cut = 10_000, [], gr._cut
+    monkeypatch.setattr(gr, "_cut", lambda df: cuts.append(1) or cut(df))
+    df = spark.range(1, n).select(F.col("id").alias("child"), (F.col("id") - 1).alias("parent"))
+    got = gr.subtree_totals(df).agg(F.count("*").alias("n"), F.count_if(F.col("descendants") != n - 1 - F.col("vertex")).alias("wrong")).first()
+    assert (got.n, got.wrong) == (n, 0) and len(cuts) < 40
+
+
+@pytest.mark.parametrize("levels", [0, 8])
+def test_parent_cycles_and_two_parents_raise(spark, levels):
+    for rows in ([(1, 2), (2, 3), (3, 1)], [(1, 0), (2, 0), (5, 6), (6, 5)], [(1, 0), (1, 2)]):
+        with pytest.raises(ValueError):
+            gr.subtree_totals(spark.createDataFrame(rows, "child long, parent long"), levels=levels).collect()
+
+
+def test_lifted_cycles_equal_climbed_ones(spark):
+    import random
+    rng = random.Random(4)
+    pairs = {(i, i + 1) for i in range(1, 40)} | {tuple(sorted(rng.sample(range(1, 45), 2))) for _ in range(14)} | {(50, 51), (51, 52), (50, 52)}
+    edges = spark.createDataFrame([(e, a, b) for e, (a, b) in enumerate(sorted(pairs))], "eid long, src long, dst long")
+    comp = gr.connected_components(edges).checkpoint()
+    rows = lambda levels: sorted(map(tuple, gr.fundamental_cycles(edges, components=comp, levels=levels).select("cycle_id", "eid", "src", "dst").collect()))
+    assert rows(0) == rows(10**6)
+    vertices, parts = {x for p in pairs for x in p}, comp.select("component").distinct().count()
+    assert len({r[0] for r in rows(0)}) == len(pairs) - len(vertices) + parts  # one cycle per edge beyond a forest
