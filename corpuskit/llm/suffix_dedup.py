@@ -27,9 +27,10 @@ previous-smaller pointer names the suffix whose prefix it extends, which moves
 to a higher group next to its old one.  Then, from the smallest suffix on, the
 pointers' chains emit each group in order.  Both phases are linear.
 
-Before that, an anchor's windows are halved by their distance from it: those of
-a half share a core of 66 bytes or more, and contexts whose core nobody else
-has can't hold an equal window.  Anchors with more than ``CROWD`` different
+Before that, an anchor's windows are halved ``HALVINGS`` times by their distance
+from it: those of a quarter share a core of 83 bytes or more, contexts whose core
+nobody else has can't hold an equal window, and equal quarters are repeated as a
+whole.  Anchors with more than ``CROWD`` different
 first contexts (a common line in many surroundings) are never put into one
 task: their halves are dealt by core as anchors of their own, and halved again
 while a core is still crowded; equal halves fall together at each step, and a
@@ -51,6 +52,7 @@ from corpuskit.llm.common import text_slices, texts_of, written
 
 LENGTH, GRAM = 100, 32
 CROWD = 256
+HALVINGS = 2  # of an anchor's windows before a suffix array reads what is left
 BLOCK = 1 << 15  # bytes of contexts in one suffix array, or one anchor's
 PIECE = 1 << 22
 KNOWN = 4 << 20  # anchors (8 bytes each) that are broadcast to save shuffling, at most
@@ -292,34 +294,66 @@ def late_windows(contexts: list[tuple[int, int, int, int, bytes]]) -> list[tuple
     return out
 
 
+def partners(contexts):
+    """What of one anchor's ``contexts`` (near, far, doc, mark, place, bytes) needs
+    a suffix array, and what is late already: (contexts, late places).
+
+    The windows are halved HALVINGS times as those of crowded anchors are.  Halves
+    whose core no other half has hold no equal window; a half equal to an earlier
+    one is late as a whole."""
+    late, groups = [], [contexts]
+    for _ in range(HALVINGS):
+        cores: dict[int, list] = {}
+        for own in groups:
+            for near, far, doc, mark, place, data in own:
+                for core, a, z, p, part in halves(near, far, place, data):
+                    cores.setdefault(core, []).append((a, z, doc, mark, p, part))
+        groups = []
+        for own in cores.values():
+            if len(own) == 1:
+                continue
+            first: dict[tuple, tuple] = {}
+            for _, _, doc, _, p, part in own:
+                same, at = ((p >> 7) & 127, part), (doc, p >> 14)
+                if same not in first or at < first[same]:
+                    first[same] = at
+            kept = []
+            for c in own:
+                _, _, doc, mark, p, part = c
+                low = first[(p >> 7) & 127, part]
+                if doc > low[0] or p >> 14 > low[1]:
+                    late.append((doc, mark, p))
+                else:
+                    kept.append(c)
+            if len(first) > 1:
+                groups.append(kept)
+    return [(doc, mark, p, p & 127, part) for own in groups for _, _, doc, mark, p, part in own], late
+
+
 def _suffix_blocks(batches):
     """Late windows, block after block; rows come sorted by anchor, and a block holds whole anchors."""
-    def flush(block):
+    def flush(block, late):
         got = late_windows(block)
         doc, start, mark = (np.array(x, np.int64) for x in (zip(*got) if got else ((), (), ())))
-        return pa.record_batch([pa.array(doc), pa.array(mark), pa.array(_place(start, 0, 1))], names=["doc", "mark", "place"])
-
-    def partners(anchor):
-        """Halves of an anchor's contexts whose core another context has."""
-        cores = {}
-        for near, far, doc, mark, place, data in anchor:
-            for core, _, _, p, part in halves(near, far, place, data):
-                cores.setdefault(core, []).append((doc, mark, p, p & 127, part))
-        return [c for own in cores.values() if len(own) > 1 for c in own]
-    block, size, anchor, last = [], 0, [], None
+        docs, marks, places = (np.array(x, np.int64) for x in (zip(*late) if late else ((), (), ())))
+        return pa.record_batch([pa.array(np.concatenate(c)) for c in ((doc, docs), (mark, marks), (_place(start, 0, 1), places))], names=["doc", "mark", "place"])
+
+    block, late, size, anchor, last = [], [], 0, [], None
     for b in batches:
         for h, *row in zip(*(c.to_pylist() for c in b.columns)):
             if h != last:
-                more, anchor, last = partners(anchor), [], h
+                more, whole = partners(anchor)
+                anchor, last = [], h
                 block += more
+                late += whole
                 size += sum(len(c[4]) for c in more)
-                if size >= BLOCK:
-                    yield flush(block)
-                    block, size = [], 0
+                if size >= BLOCK or len(late) >= BLOCK:
+                    yield flush(block, late)
+                    block, late, size = [], [], 0
             anchor.append(row)
-    block += partners(anchor)
-    if block:
-        yield flush(block)
+    more, whole = partners(anchor)
+    if block or late or more or whole:
+        yield flush(block + more, late + whole)
 
 
 def _crowds(level: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
