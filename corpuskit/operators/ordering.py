@@ -34,6 +34,10 @@ def _num_partitions(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+# One-row-per-bucket tables up to this size meet in one window.
+MOST_BUCKETS = 1 << 20
+
+
 def with_row_index(df: DataFrame, order_cols, name: str = "idx", bucket_cols=None,
                    bucket_width: int = 1 << 16, materialize: bool = False) -> DataFrame:
     """Add the 1-based position of each row in ``order_cols`` order.
@@ -47,7 +51,8 @@ def with_row_index(df: DataFrame, order_cols, name: str = "idx", bucket_cols=Non
     The bucket sizes need a count of the (possibly filtered) input before
     numbering, so the input is evaluated twice (the count side is pruned to
     the key); ``materialize=True`` writes an expensive input once first.  The
-    prefix sum runs over one row per bucket.
+    prefix sum runs over one row per bucket; a key whose range spans more than
+    ``MOST_BUCKETS`` buckets (sparse or hashed ids) goes by range partitions.
     """
     if materialize:
         # Compute an expensive input once (reliable checkpoint in the shared
@@ -61,6 +66,9 @@ def with_row_index(df: DataFrame, order_cols, name: str = "idx", bucket_cols=Non
             # A leading column of a composite key may hold a third of all
             # rows: use sampled range partitioning, which splits hot values.
             return with_row_index_range(df, order_cols, name)
+        low, high = df.agg(F.min(keys[0]), F.max(keys[0])).first()
+        if low is not None and (high - low) // bucket_width >= MOST_BUCKETS:
+            return with_row_index_range(df, order_cols, name)
         bucket = [F.floor(keys[0] / F.lit(bucket_width)).cast("bigint").alias("_b0")]
     else:
         bucket = [c.alias(f"_b{i}") for i, c in enumerate(_cols(bucket_cols))]

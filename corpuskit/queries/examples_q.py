@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpuskit.functions import text as tx
@@ -9,6 +11,10 @@ from corpuskit.functions.tokens import ids_text
 from corpuskit.operators import examples as exm
 from corpuskit.operators import extract as ex
 from corpuskit.queries.common import EXTRACT_CTE, LETTERS, documents_as_jsonl, shuffled_positions, strip, table, tokens
+from corpuskit.functions.tokens import pad_to_multiple
+from corpuskit.operators.ordering import train_eval_split
+from corpuskit.session import ensure_checkpoint_dir
+from corpuskit.sinks import write_examples
 from corpuskit.sources.jsonl import read_jsonl_lines
 
 VOCAB = 32_000  # library default vocabulary size
@@ -88,6 +94,29 @@ def q_training_examples_capped(spark, d):
     return ex_.select("idx", "window_id", "shuffle_pos", "batch_id", ids_text("input_ids").alias("input_ids"))
 
 
+def _fussy(texts):
+    """A tokenizer that counts letters of words and fails on a text with a question mark."""
+    if any("?" in t for t in texts):
+        raise ValueError("question")
+    return [[len(w) for w in t.split()] for t in texts]
+
+
+def q_tolerant_encoding(spark, d):
+    """A tokenizer hook that fails on some texts: failures stay as rows with their error."""
+    turns = table(spark, d, "conversations").where(F.col("text").isNotNull())
+    turns = turns.select(F.concat_ws(":", "conv_id", "turn").alias("key"), F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit("?"))).otherwise(F.col("text")).alias("text"))
+    return exm.encode_with(turns, "key", "text", _fussy).select("key", "n_tokens", "error")
+
+
+def q_written_examples(spark, d):
+    """Examples written by split and read back: rows, split folders and padded lengths."""
+    base = ensure_checkpoint_dir(spark).rstrip("/") + "/examples_" + uuid.uuid4().hex[:12]
+    docs = table(spark, d, "orders").select("o_orderkey", F.lit(13).alias("n"))
+    write_examples(train_eval_split(docs, "o_orderkey", 42), base)
+    back = spark.read.parquet(base)
+    return back.groupBy("split").agg(F.count("*").alias("n_rows"), F.max(pad_to_multiple("n", 8)).alias("padded"))
+
+
 def q_batch_examples(spark, d):
     """The batch-trainer path end to end: truthy texts, stripped, encoded,
     padded, empty ones dropped, then the seeded train/eval split."""
@@ -99,6 +128,8 @@ def q_batch_examples(spark, d):
 QUERIES = {
     "batch_examples": q_batch_examples,
     "training_examples": q_training_examples,
+    "tolerant_encoding": q_tolerant_encoding,
+    "written_examples": q_written_examples,
     "training_examples_capped": q_training_examples_capped,
     "fit_vocabulary": q_fit_vocabulary,
     "encode_ids": q_encode_ids,
@@ -155,6 +186,11 @@ SQL = {
                array_to_string(list_concat(ids[1:{SEQ}], list_transform(range({SEQ} - len(ids[1:{SEQ}])), lambda x: 0)), ' ')
                AS input_ids
         FROM ranked""",
+    "tolerant_encoding": f"""SELECT concat_ws(':', conv_id, turn) AS key, CASE WHEN t NOT LIKE '%?%' THEN CAST(len({tokens('t')}) AS BIGINT) END AS n_tokens,
+        CASE WHEN t LIKE '%?%' THEN 'ValueError: question' END AS error
+        FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text || '?' ELSE text END AS t FROM conversations WHERE text IS NOT NULL)""",
+    "written_examples": """WITH n AS (SELECT count(*) AS n FROM orders), k AS (SELECT CASE WHEN n <= 1000 THEN 0 ELSE CAST(ceil(least(0.01, 5000.0 / n) * n) AS BIGINT) END AS k, n FROM n)
+        SELECT 'eval' AS split, k AS n_rows, 16::BIGINT AS padded FROM k WHERE k > 0 UNION ALL SELECT 'train', n - k, 16 FROM k""",
     "training_examples_capped": f"""WITH {TRAIN.replace('<most>', '330')}
         SELECT ws.idx, ws.window_id, ws.shuffle_pos, (ws.shuffle_pos - 1) // 32 AS batch_id,
                array_to_string(list_concat(ids[1:{SEQ}], list_transform(range({SEQ} - len(ids[1:{SEQ}])), lambda x: 0)), ' ')

@@ -10,7 +10,8 @@ from corpuskit.operators import extract as ex
 from corpuskit.operators.prefix import first_rows
 from corpuskit.queries.common import DOC_FIELD_SQL, EXTRACT_CTE, EXTRACT_PARSED_CTE, LETTERS, documents_as_jsonl, shuffled_positions
 from corpuskit.session import ensure_checkpoint_dir
-from corpuskit.sources.jsonl import read_jsonl_lines
+from corpuskit.sinks.versions import publish, read_version, versions
+from corpuskit.sources.jsonl import read_json_table, read_jsonl_lines
 from corpuskit.streaming.ingest import ingest_stream, shuffle_batches
 
 
@@ -83,6 +84,33 @@ def q_count_valid_capped(spark, d):
     return ex.count_valid(read_jsonl_lines(spark, _written_lines(spark, d, "prefix", True, 10)), max_samples=500, letters=LETTERS)
 
 
+def q_json_table(spark, d):
+    """The lines loaded as a table with an explicit schema; broken ones land in the corrupt column."""
+    t = read_json_table(spark, _written_lines(spark, d, "json_table", True), "doc_id bigint, lang string, text string, n_chars bigint")
+    return t.select("doc_id", "lang", F.length("text").cast("bigint").alias("text_chars"), "n_chars", F.col("_corrupt_record").isNotNull().alias("corrupt"))
+
+
+def q_resumed_extract(spark, d):
+    """The incremental ingestion stopped after half of the files and started again on its checkpoint."""
+    base = ensure_checkpoint_dir(spark).rstrip("/") + "/resumed_" + uuid.uuid4().hex[:12]
+    lines = documents_as_jsonl(spark, d)
+    for half in (0, 1):
+        lines.where(F.col("line_no") % 2 == half).select("line").write.mode("append").text(base + "/src")
+        ingest_stream(spark, base + "/src", base + "/out", base + "/ck", letters=LETTERS).awaitTermination()
+    out = spark.read.parquet(base + "/out")
+    return out.select(F.get_json_object("line", "$.doc_id").cast("bigint").alias("line_no"), "source_field", F.col("batch_id").cast("bigint").alias("batch_id"))
+
+
+def q_versioned_output(spark, d):
+    """Four versions published, two kept; the last is read back, with the numbers of those that are left."""
+    base = ensure_checkpoint_dir(spark).rstrip("/") + "/versions_" + uuid.uuid4().hex[:12]
+    rows = ex.extract_text(documents_as_jsonl(spark, d), letters=LETTERS).select("line_no", "source_field")
+    for k in range(4):
+        publish(rows.withColumn("version", F.lit(k).cast("bigint")), base, keep=2)
+    left = ",".join(map(str, versions(spark, base)))
+    return read_version(spark, base).withColumn("left", F.lit(left))
+
+
 def q_jsonl_line_numbers(spark, d):
     """Lines of text files numbered in input order, without a shuffle of the lines."""
     lines = read_jsonl_lines(spark, _written_lines(spark, d, "line_numbers"), line_numbers=True)
@@ -95,6 +123,9 @@ QUERIES = {
     "jsonl_line_numbers": q_jsonl_line_numbers,
     "take_first_files": q_take_first_files,
     "count_valid_capped": q_count_valid_capped,
+    "json_table": q_json_table,
+    "resumed_extract": q_resumed_extract,
+    "versioned_output": q_versioned_output,
     "jsonl_quarantine": q_jsonl_quarantine,
     "extract_text": q_extract_text,
     "count_valid": q_count_valid,
@@ -113,6 +144,11 @@ SQL = {
     "take_first_files": f"""WITH {EXTRACT_PARSED_CTE}, a AS (SELECT line_no, row_number() OVER (ORDER BY line_no) AS idx, source_field, length(text) AS n_chars
           FROM extracted WHERE text IS NOT NULL) SELECT * FROM a WHERE idx <= 300""",
     "count_valid_capped": f"WITH {EXTRACT_PARSED_CTE} SELECT least(500, count(text)) AS n_valid FROM extracted",
+    "json_table": """SELECT CASE WHEN doc_id % 17 <> 0 THEN doc_id END AS doc_id, CASE WHEN doc_id % 17 <> 0 THEN lang END AS lang,
+        CASE WHEN doc_id % 17 <> 0 AND doc_id % 4 = 0 THEN length(text) END AS text_chars, CASE WHEN doc_id % 17 <> 0 THEN n_chars END AS n_chars,
+        doc_id % 17 = 0 AS corrupt FROM documents""",
+    "resumed_extract": f"WITH {EXTRACT_CTE} SELECT line_no, source_field, line_no % 2 AS batch_id FROM extracted WHERE text IS NOT NULL",
+    "versioned_output": f"WITH {EXTRACT_CTE} SELECT line_no, source_field, 3::BIGINT AS version, '2,3' AS \"left\" FROM extracted WHERE text IS NOT NULL",
     "jsonl_quarantine": "SELECT doc_id AS line_no, 'malformed' AS reason FROM documents WHERE doc_id % 17 = 0",
     "extract_text": f"WITH {EXTRACT_CTE} SELECT line_no, source_field, text FROM extracted WHERE text IS NOT NULL",
     "count_valid": f"WITH {EXTRACT_CTE} SELECT count(text) AS n_valid FROM extracted",

@@ -62,6 +62,12 @@ def q_limit_breaches(spark, d):
     return tm.limit_breaches(samples(spark, d), by="event_type")
 
 
+def q_memory_shares(spark, d):
+    """Sizes in bytes as gigabytes, and used over total (NULL where the total is 0)."""
+    e = table(spark, d, "events").select("event_id", (F.col("value") * 1e9).alias("used"), ((F.col("event_id") % 5) * 1e11).alias("total"))
+    return e.select("event_id", F.round(tm.bytes_to_gb("used"), 6).alias("used_gb"), F.round(tm.ram_ratio("used", "total"), 6).alias("ratio"))
+
+
 def q_tumbling_breaches(spark, d):
     return tm.tumbling_breaches(samples(spark, d), "ts", "1 hour")
 
@@ -140,6 +146,7 @@ QUERIES = {
     "stage_durations": q_stage_durations,
     "stage_resource_delta": q_stage_resource_delta,
     "limit_breaches": q_limit_breaches,
+    "memory_shares": q_memory_shares,
     "tumbling_breaches": q_tumbling_breaches,
     "level_counts": q_level_counts,
     "event_gaps": q_event_gaps,
@@ -184,6 +191,8 @@ SQL = {
           round(arg_max(cpu_usage, (ts, event_id)) - arg_min(cpu_usage, (ts, event_id)), 6) AS cpu_usage_delta,
           round(arg_max(ram_ratio, (ts, event_id)) - arg_min(ram_ratio, (ts, event_id)), 6) AS ram_ratio_delta
         FROM s GROUP BY user_id""",
+    "memory_shares": """SELECT event_id, round(value * 1e9 / 1073741824, 6) AS used_gb,
+        round(CASE WHEN event_id % 5 > 0 THEN value * 1e9 / ((event_id % 5) * 1e11) END, 6) AS ratio FROM events""",
     "limit_breaches": f"""WITH {SAMPLES} SELECT event_type, count(*) AS n_samples,
         count(*) FILTER (WHERE NOT within_limits) AS n_breaches, count(*) FILTER (WHERE cpu > 0.5) AS cpu_breaches,
         count(*) FILTER (WHERE ram > 0.33) AS ram_breaches, count(*) FILTER (WHERE gpu > 0.5) AS gpu_breaches,
