@@ -16,10 +16,15 @@ calibration of these figures, fitted on labelled rows that the counts leave
 out, gives the score.
 
 Counts cover every word of all training rows and are gathered by shuffles on
-the n-gram (words are 32-bit hashes), so they grow with the input.  The
-scoring tables, which are broadcast, hold the ``entries`` n-grams of each
-order that were seen most often (cut at a count, from the histogram of counts);
-the rest are rare expressions and are scored through the backoff.
+the n-gram (words are 32-bit hashes), so they grow with the input.  A count of 1
+is discounted whole (D = 1): it frees its mass for the backoff and keeps nothing
+of its own.  So an n-gram seen once per class scores like one never seen, a word
+seen once differs from an unseen one by a factor that both classes share, and
+scoring needs only the n-grams seen twice or more in a class and the words that
+precede one; nothing else is dropped, and the result is that of the whole tables.
+Up to ``known`` such rows are broadcast; beyond, the texts' hashes are written in
+blocks, the distinct n-grams of each block are joined with the tables and
+gathered again by block.  Both ways give the same scores.
 
 NULL and empty texts have no words and get the calibration's value for no
 evidence.  Labels: see ``common.clean_labels``; repeated rows each count and
@@ -30,84 +35,74 @@ share of label 1 (0 without any).
 from __future__ import annotations
 
 import math
-import re
+import uuid
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from corpuskit.llm.common import clean_labels, text_slices, written
+from corpuskit.llm.common import clean_labels, released, text_slices, written
 
-WORD = re.compile(r"[^\W\d_]+")
-WINDOW, ENTRIES = 8, 1 << 18
-DISCOUNTS = (0.9, 1.2, 1.4)  # of counts 1, 2, 3 and more
+SEPARATORS = r"[^\p{L}]+"
+WINDOW, KNOWN = 8, 4 << 20
+DISCOUNTS = (1.0, 1.2, 1.4)  # of counts 1, 2, 3 and more; the first has to be 1 (see above)
 N_FIGURES = 5
 CALIBRATION_SHARE, CALIBRATION_ROWS = 4, 20_000
 BROADCAST_LABELS = 1_000_000  # rows (id, label) counted to be fewer are broadcast, others joined by a shuffle
 START = 0
 
 
-def hashes(text: str | None, memo: dict) -> np.ndarray:
-    """32-bit hashes of the lower-case words; ``memo`` is emptied when it grows."""
-    words = WORD.findall(text.lower()) if text else ()
-    if len(memo) > 500_000:
-        memo.clear()
-    out = []
-    for w in words:
-        h = memo.get(w)
-        if h is None:
-            h = memo[w] = zlib.crc32(w.encode()) | 1
-        out.append(h)
-    out = np.array(out, np.uint64)
-    return out[np.concatenate(([True], out[1:] != out[:-1]))] if len(out) else out
+def hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the lower-case words of all texts in a row, and each one's text;
+    a word repeated in a row counts once."""
+    parts = pc.split_pattern_regex(pc.utf8_lower(texts), pattern=SEPARATORS)
+    flat = pc.list_flatten(parts)
+    filled = pc.greater(pc.binary_length(flat), 0)
+    words = flat.filter(filled).dictionary_encode()
+    doc = pc.list_parent_indices(parts).filter(filled).to_numpy().astype(np.int64)
+    crcs = np.array([zlib.crc32(w) | 1 for w in words.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
+    word = crcs[words.indices.to_numpy()] if len(doc) else np.zeros(0, np.uint64)
+    new = np.ones(len(word), bool)
+    new[1:] = (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])
+    return word[new], doc[new]
 
 
 def discount(n):
     """The part of a count that goes to the backoff (numbers or a column name)."""
     if isinstance(n, str):
         return F.when(F.col(n) == 0, 0.0).when(F.col(n) == 1, DISCOUNTS[0]).when(F.col(n) == 2, DISCOUNTS[1]).otherwise(DISCOUNTS[2])
-    return np.choose(np.minimum(n, 3), (0.0, *DISCOUNTS))
+    return np.array((0.0, *DISCOUNTS))[np.minimum(n, 3).astype(np.int64)]
 
 
-def bigrams(words: np.ndarray) -> np.ndarray:
-    return (np.concatenate(([START], words[:-1])).astype(np.uint64) << np.uint64(32)) | words
+def before(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The word before each word of its text (START for the first)."""
+    out = np.concatenate(([START], words[:-1])).astype(np.uint64)
+    out[np.diff(doc, prepend=-1) != 0] = START
+    return out
+
+
+def bigrams(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    return (before(words, doc) << np.uint64(32)) | words
 
 
 def bigram_counts(labelled: DataFrame) -> DataFrame:
     """``(gram, n0, n1)`` over rows ``(label, text)``; pre-aggregated per task and slice."""
     def run(batches):
-        memo = {}
         for b in text_slices(batches, 1 << 20, 8 << 20):
-            got = [[], []]
-            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if t:
-                    got[y].append(bigrams(hashes(t, memo)))
-            by = [np.unique(np.concatenate(g), return_counts=True) if g else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for g in got]
-            grams = np.union1d(by[0][0], by[1][0])
-            counts = []
-            for g, n in by:
-                c = np.zeros(len(grams), np.int64)
-                c[np.searchsorted(grams, g)] = n
-                counts.append(c)
-            yield pa.record_batch([pa.array(grams.view(np.int64)), pa.array(counts[0]), pa.array(counts[1])], names=["gram", "n0", "n1"])
+            words, doc = hashes(b.column(1))
+            every, y = bigrams(words, doc), b.column(0).to_numpy()[doc]
+            grams, at = np.unique(every, return_inverse=True)
+            counts = [np.bincount(at[y == c], minlength=len(grams)) for c in (0, 1)]
+            yield pa.record_batch([pa.array(grams.view(np.int64)), *map(pa.array, counts)], names=["gram", "n0", "n1"])
     return labelled.select("label", "text").mapInArrow(run, "gram bigint, n0 bigint, n1 bigint") \
         .groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def _most(rows: DataFrame, total: str, entries: int) -> pa.Table:
-    """The rows with the largest ``total``, at most ``entries``, all above a cut: ties fall together."""
-    hist = sorted(((r.t, r["count"]) for r in rows.groupBy(F.least(F.expr(total), F.lit(100_000)).alias("t")).count().collect()), reverse=True)
-    kept, cut = 0, math.inf
-    for t, n in hist:
-        if kept + n > entries:
-            break
-        kept, cut = kept + n, t
-    return rows.where(F.expr(total) >= F.lit(float(cut))).toArrow()
-
-
 @dataclass(frozen=True)
 class ClassModels:
     gram: np.ndarray  # sorted bigrams
@@ -116,41 +111,66 @@ class ClassModels:
     context: np.ndarray  # (2, words) times the word precedes another
     mass: np.ndarray  # (2, words) what discounts free in the word's bigrams
     unigram: np.ndarray  # (2, words) P_c(w)
-    rare: np.ndarray  # (2,) P_c of a word outside the table
+    rare: np.ndarray  # (2,) P_c of a word outside the table, but for a factor both classes share
+
+    @staticmethod
+    def of(gram, n, word, counts, kinds, context, mass, totals) -> ClassModels:
+        """From counts: of bigrams ``n`` (2, bigrams), of words ``counts``, ``context`` and ``mass`` (2, words), in any
+        order; ``totals``: (words per class, mass per class, kinds, words) of the whole tables."""
+        number, freed, every_kind, vocabulary = totals
+        every = every_kind + 0.5 * vocabulary + 0.5
+        left = [freed[c] / number[c] for c in (0, 1)]
+        g, w = np.argsort(gram), np.argsort(word)
+        unigram = np.array([(counts[c] - discount(counts[c])) / number[c] + left[c] * (kinds + 0.5) / every for c in (0, 1)])
+        return ClassModels(gram[g], np.array([n[c] - discount(n[c]) for c in (0, 1)])[:, g], word[w], np.array(context)[:, w], np.array(mass)[:, w],
+                           unigram[:, w], np.array([left[c] * 0.5 / every for c in (0, 1)]))
 
     @staticmethod
     def _find(table, x):
+        if not len(table):
+            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         at = np.minimum(np.searchsorted(table, x), len(table) - 1)
         return at, table[at] == x
 
-    def ratios(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def ratios(self, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per word: log P_1 - log P_0, given the word before and alone."""
-        g, g_in = self._find(self.gram, bigrams(words))
-        w, w_in = self._find(self.word, words)
-        v, v_in = self._find(self.word, np.concatenate(([START], words[:-1])).astype(np.uint64))
+        def pick(row, at, found, none):
+            return np.where(found, row[at], none) if len(row) else np.full(len(at), none, float)
+        # Distinct bigrams are looked up once.
+        grams, back = np.unique(bigrams(words, doc), return_inverse=True)
+        g, g_in = self._find(self.gram, grams)
+        w, w_in = self._find(self.word, grams & np.uint64(0xFFFFFFFF))
+        v, v_in = self._find(self.word, grams >> np.uint64(32))
         given, alone = [], []
         for c in (0, 1):
-            p = np.where(w_in, self.unigram[c][w], self.rare[c])
-            n = np.where(v_in, self.context[c][v], 0)
+            p = pick(self.unigram[c], w, w_in, self.rare[c])
+            n = pick(self.context[c], v, v_in, 0)
             known = np.maximum(n, 1)
-            given.append(np.log(np.where(n > 0, np.where(g_in, self.own[c][g], 0) / known + self.mass[c][v] / known * p, p)))
+            given.append(np.log(np.where(n > 0, pick(self.own[c], g, g_in, 0) / known + pick(self.mass[c], v, v_in, 0) / known * p, p)))
             alone.append(np.log(p))
-        return given[1] - given[0], alone[1] - alone[0]
-
-    def figures(self, words: np.ndarray) -> list[float]:
-        """Length-normalised log-likelihood differences of one text."""
-        n = len(words)
-        if not n:
-            return [0.0] * N_FIGURES
-        given, alone = self.ratios(words)
-        sums, k = np.concatenate(([0.0], np.cumsum(given))), min(n, WINDOW)
-        pairs = np.sort(given[np.unique(bigrams(words), return_index=True)[1]])
-        single = np.sort(alone[np.unique(words, return_index=True)[1]])
-        return [float(sums[-1] / n), float((sums[k:] - sums[:-k]).max() / k), float(pairs[-5:].mean()), float(single[-3:].mean()), math.log1p(n)]
-
-
-def fit_models(labelled: DataFrame, entries: int = ENTRIES) -> ClassModels | None:
-    """Counts of rows ``(label, text)`` as scoring tables; None without words in both classes."""
+        return (given[1] - given[0])[back], (alone[1] - alone[0])[back]
+
+    def figures(self, words: np.ndarray, doc: np.ndarray, rows: int) -> list[list[float]]:
+        """Length-normalised log-likelihood differences of each text."""
+        given, alone = self.ratios(words, doc)
+        grams = bigrams(words, doc)
+        edges = np.searchsorted(doc, np.arange(rows + 1)).tolist()
+        out = []
+        for lo, hi in zip(edges, edges[1:]):
+            n = hi - lo
+            if not n:
+                out.append([0.0] * N_FIGURES)
+                continue
+            own, k = given[lo:hi], min(n, WINDOW)
+            sums = np.concatenate(([0.0], np.cumsum(own)))
+            pairs = np.sort(own[np.unique(grams[lo:hi], return_index=True)[1]])
+            single = np.sort(alone[lo:hi][np.unique(words[lo:hi], return_index=True)[1]])
+            out.append([float(sums[-1] / n), float((sums[k:] - sums[:-k]).max() / k), float(pairs[-5:].mean()), float(single[-3:].mean()), math.log1p(n)])
+        return out
+
+
+def count_tables(labelled: DataFrame):
+    """(bigram counts, word counts, totals) of rows ``(label, text)``; None without words in both classes."""
     grams = written(bigram_counts(labelled), "toxicity-bigrams")
     ends = grams.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFFFFFF)).alias("word")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count("*").alias("kinds"))
     begins = grams.groupBy(F.shiftrightunsigned("gram", 32).alias("word")).agg(
@@ -160,19 +180,37 @@ def fit_models(labelled: DataFrame, entries: int = ENTRIES) -> ClassModels | Non
                       F.sum("kinds").alias("kinds"), F.count("*").alias("v")).first()
     if not total.n0 or not total.n1:
         return None
-    g, w = _most(grams, "n0 + n1", entries), _most(words, "n0 + n1 + c0 + c1", entries)
-    if not g.num_rows or not w.num_rows:
-        return None
-    col = lambda t, c: t.column(c).to_numpy()
-    gram, word = col(g, "gram").view(np.uint64), col(w, "word").astype(np.uint64)
-    by_gram, by_word = np.argsort(gram), np.argsort(word)
-    every = total.kinds + 0.5 * total.v + 0.5
-    left = [total[f"m{c}"] / total[f"n{c}"] for c in (0, 1)]
-    part = lambda t, c, order: (col(t, f"n{c}") - discount(col(t, f"n{c}")))[order]
-    return ClassModels(gram[by_gram], np.array([part(g, c, by_gram) for c in (0, 1)]), word[by_word],
-                       *[np.array([col(w, f"{x}{c}")[by_word] for c in (0, 1)]) for x in "cm"],
-                       np.array([part(w, c, by_word) / total[f"n{c}"] + left[c] * (col(w, "kinds")[by_word] + 0.5) / every for c in (0, 1)]),
-                       np.array([left[c] * 0.5 / every for c in (0, 1)]))
+    return grams, words, ((total.n0, total.n1), (total.m0, total.m1), total.kinds, total.v)
+
+
+_COUNTS = ("n0", "n1", "kinds", "c0", "c1", "m0", "m1")
+
+
+def scoring_rows(grams: DataFrame, words: DataFrame) -> DataFrame:
+    """``(kind, key, n0, n1, kinds, c0, c1, m0, m1)``: bigrams (kind 0) and words (kind 1) that scores depend on.
+    The others score as unseen: their discounted counts are 0, and as a context they pass all their mass on."""
+    zero = [F.lit(0).cast("double").alias(c) for c in _COUNTS[2:]]
+    g = grams.where("n0 > 1 OR n1 > 1").select(F.lit(0).alias("kind"), F.col("gram").alias("key"), *[F.col(c).cast("double").alias(c) for c in _COUNTS[:2]], *zero)
+    w = words.where("n0 > 1 OR n1 > 1 OR m0 <> c0 OR m1 <> c1").select(F.lit(1).alias("kind"), F.col("word").alias("key"), *[F.col(c).cast("double").alias(c) for c in _COUNTS])
+    return g.unionByName(w)
+
+
+def models_of(kind: np.ndarray, key: np.ndarray, cols: list[np.ndarray], totals) -> ClassModels:
+    g, w = kind == 0, kind == 1
+    n0, n1, kinds, c0, c1, m0, m1 = cols
+    return ClassModels.of(key[g].view(np.uint64), (n0[g], n1[g]), key[w].view(np.uint64), (n0[w], n1[w]), kinds[w], (c0[w], c1[w]), (m0[w], m1[w]), totals)
+
+
+def fit_models(labelled: DataFrame) -> ClassModels | None:
+    """The scoring tables of rows ``(label, text)`` in one piece; None without words in both classes."""
+    got = count_tables(labelled)
+    return None if got is None else _collected(scoring_rows(*got[:2]), got[2])
+
+
+def _collected(rows: DataFrame, totals) -> ClassModels:
+    t = rows.toArrow()
+    col = lambda c: t.column(c).to_numpy()
+    return models_of(col("kind"), col("key"), [col(c) for c in _COUNTS], totals)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30) -> np.ndarray:
@@ -186,51 +224,93 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30)
     return w
 
 
-def _figures(df: DataFrame, models: ClassModels, keep: str, ddl: str) -> DataFrame:
+def figures_by_broadcast(df: DataFrame, models: ClassModels, keep: str) -> DataFrame:
     """``(keep, figures)`` of rows ``(keep, text)``."""
-    shared = df.sparkSession.sparkContext.broadcast(models)
+    kind = df.schema[keep].dataType.simpleString()
+    shared = df.sparkSession.sparkContext.broadcast(tuple(getattr(models, f.name) for f in fields(models)))
 
     def run(batches):
-        memo, own = {}, shared.value
-        for b in text_slices(batches):
-            rows = [own.figures(hashes(t, memo)) for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(rows, pa.list_(pa.float64()))], names=[keep, "figures"])
-    return df.select(keep, "text").mapInArrow(run, f"{keep} {ddl}, figures array<double>")
-
-
-def classify(documents: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", entries: int = ENTRIES,
+        own = ClassModels(*shared.value)
+        for b in text_slices(batches, 1 << 12, 4 << 20):
+            words, doc = hashes(b.column(1))
+            yield pa.record_batch([b.column(0), pa.array(own.figures(words, doc, b.num_rows), pa.list_(pa.float64()))], names=[keep, "figures"])
+    return df.select(keep, "text").mapInArrow(released(run), f"{keep} {kind}, figures array<double>")
+
+
+def figures_by_join(df: DataFrame, rows: DataFrame, totals, keep: str) -> DataFrame:
+    """The same with :func:`scoring_rows` of any size: hashes written in blocks, each block's
+    distinct bigrams and words joined with the tables (one row a key) and gathered by block."""
+    kind, key_type = df.schema[keep].dataType.simpleString(), to_arrow_type(df.schema[keep].dataType)
+
+    def pack(batches):
+        for b in text_slices(batches, 1 << 12, 4 << 20):
+            words, doc = hashes(b.column(1))
+            yield pa.record_batch([pa.array([uuid.uuid4().hex]), pa.array([b.column(0).to_pylist()], pa.list_(key_type)), pa.array([words.astype("<u4").tobytes()], pa.binary()),
+                                   pa.array([doc.astype("<u4").tobytes()], pa.binary())], names=["block", "keys", "words", "doc"])
+
+    def unpack(words, doc):
+        return np.frombuffer(words, "<u4").astype(np.uint64), np.frombuffer(doc, "<u4").astype(np.int64)
+
+    def distinct(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                words, doc = unpack(r["words"], r["doc"])
+                grams = np.unique(bigrams(words, doc))
+                keys = np.concatenate([grams, np.union1d(words, [np.uint64(START)])]).view(np.int64)
+                kinds = np.repeat(np.array([0, 1], np.int32), [len(grams), len(keys) - len(grams)])
+                yield pa.record_batch([pa.array([r["block"]] * len(keys)), pa.array(kinds), pa.array(keys)], names=["block", "kind", "key"])
+
+    def score(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                words, doc = unpack(r["words"], r["doc"])
+                got = r["got"] or []
+                col = lambda c, t: np.array([x[c] for x in got], t)
+                own = models_of(col("kind", np.int32), col("key", np.int64), [col(c, float) for c in _COUNTS], totals)
+                out = own.figures(words, doc, len(r["keys"]))
+                yield pa.record_batch([pa.array(r["keys"], key_type), pa.array(out, pa.list_(pa.float64()))], names=[keep, "figures"])
+    blocks = written(df.select(keep, "text").mapInArrow(pack, f"block string, keys array<{kind}>, words binary, doc binary"), "toxicity-blocks")
+    need = blocks.select("block", "words", "doc").mapInArrow(distinct, "block string, kind int, key bigint")
+    got = need.join(written(rows, "toxicity-tables"), ["kind", "key"]).groupBy("block").agg(F.collect_list(F.struct("kind", "key", *_COUNTS)).alias("got"))
+    return blocks.join(got, "block", "left").mapInArrow(score, f"{keep} {kind}, figures array<double>")
+
+
+def classify(documents: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", known: int = KNOWN,
              calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
     """``(doc_id, score)`` for every row.  One in ``CALIBRATION_SHARE`` labelled
     training ids calibrates, at most ``calibration_rows`` of them by id hash."""
-    docs = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = documents.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     lab = clean_labels(labels, label).withColumn("_h", F.xxhash64("doc_id"))
     apart = F.pmod("_h", F.lit(CALIBRATION_SHARE)) == 0
     if lab.count() <= BROADCAST_LABELS:  # texts stay where they are
         rows = docs.join(F.broadcast(lab), "doc_id").select("label", "text", "_h")
     else:
         rows = written(docs.join(lab, "doc_id").select("label", "text", "_h"), "toxicity-rows")
-    models = fit_models(rows.where(~apart), entries)
+    counted = count_tables(rows.where(~apart))
     share = lab.agg(F.avg("label")).first()[0] or 0.0
-    if models is None:
+    if counted is None:
         return docs.select("doc_id", F.lit(float(share)).alias("score"))
+    tables, totals = scoring_rows(*counted[:2]), counted[2]
+    if tables.count() <= known:
+        models = _collected(tables, totals)
+        figures = lambda df, keep: figures_by_broadcast(df, models, keep)
+    else:
+        figures = lambda df, keep: figures_by_join(df, tables, totals, keep)
     held = rows.where(apart)
     n = lab.where(apart).count()
     if n > calibration_rows:  # a sample of bounded size
         held = held.where(F.pmod(F.xxhash64("_h"), F.lit(1_000_000)) < int(1_000_000 * calibration_rows / n))
-    got = _figures(held, models, "label", "int").collect()
+    got = figures(held, "label").collect()
     x, y = np.array([r.figures for r in got], float).reshape(-1, N_FIGURES), np.array([r.label for r in got], float)
     if len(set(y.tolist())) < 2:
         weights, mean, scale = np.array([math.log((share + 1e-6) / (1 - share + 1e-6)), 1.0, 1.0, 0.5, 0.5, 0]), np.zeros(N_FIGURES), np.ones(N_FIGURES)
     else:
+        order = np.lexsort((*x.T, y))  # sums don't depend on the order rows came in
+        x, y = x[order], y[order]
         mean, scale = x.mean(0), x.std(0) + 1e-9
         weights = logistic((x - mean) / scale, y)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches):
-        memo, own = {}, shared.value
-        for b in text_slices(batches):
-            f = np.array([own.figures(hashes(t, memo)) for t in b.column(1).to_pylist()], float).reshape(-1, N_FIGURES)
-            s = 1 / (1 + np.exp(-np.clip((f - mean) / scale @ weights[1:] + weights[0], -500, 500)))
-            yield pa.record_batch([b.column(0), pa.array(s)], names=["doc_id", "score"])
-    return docs.mapInArrow(run, f"doc_id {kind}, score double")
+    z = F.lit(float(weights[0]))
+    for k in range(N_FIGURES):
+        z = z + (F.col("figures")[k] - float(mean[k])) / float(scale[k]) * float(weights[k + 1])
+    z = F.greatest(F.least(z, F.lit(500.0)), F.lit(-500.0))
+    return figures(docs, "doc_id").select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))

@@ -1,7 +1,13 @@
+import math
+import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpuskit.llm import quality, toxicity
 
@@ -69,17 +75,83 @@ def test_discriminant_equals_the_densities(spark):
     assert np.allclose(model.scores(x), 1 / (1 + np.exp(logs[0] - logs[1])))
 
 
-def test_kneser_ney_sums_to_one(spark):
-    rows = [(0, "a b c a b d"), (0, "b c b"), (1, "a e a e b"), (1, "e e a"), (0, None), (1, "")]
-    m = toxicity.fit_models(spark.createDataFrame(rows, "label int, text string"))
-    words = m.word[m.word != toxicity.START]
-    for v in (toxicity.START, *words.tolist()):
+def words_of(text):
+    """Lower-case words, repeats in a row once."""
+    out = []
+    for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        h = zlib.crc32(w.encode()) | 1
+        if not out or out[-1] != h:
+            out.append(h)
+    return out
+
+
+class BruteForce:
+    """The whole class-conditional Kneser-Ney model in dictionaries."""
+
+    def __init__(self, rows):
+        self.gram = [Counter(), Counter()]
+        for y, text in rows:
+            words = words_of(text)
+            self.gram[y].update(zip([0, *words], words))
+        every = {*self.gram[0], *self.gram[1]}
+        self.word = [Counter(), Counter()]
         for c in (0, 1):
-            n, total = m.context[c][np.searchsorted(m.word, np.uint64(v))], 0.0
-            for w in words.tolist():
-                g = np.searchsorted(m.gram, np.uint64((v << 32) | w))
-                own = m.own[c][g] if g < len(m.gram) and m.gram[g] == (v << 32) | w else 0
-                at = np.searchsorted(m.word, np.uint64(v))
-                p = m.unigram[c][np.searchsorted(m.word, np.uint64(w))]
-                total += own / n + m.mass[c][at] / n * p if n else p
-            assert total == pytest.approx(1, abs=0.05)  # the rest is for unseen words
+            for (_, w), n in self.gram[c].items():
+                self.word[c][w] += n
+        self.kinds = Counter(w for _, w in every)
+        vocabulary = {x for g in every for x in g}
+        self.every = len(every) + 0.5 * len(vocabulary) + 0.5
+
+    def p(self, c, w, v=None):
+        d = lambda n: toxicity.DISCOUNTS[min(n, 3) - 1] if n else 0.0
+        total = sum(self.word[c].values())
+        p = (self.word[c][w] - d(self.word[c][w])) / total + sum(map(d, self.word[c].values())) / total * (self.kinds[w] + 0.5) / self.every
+        after = {g: n for g, n in self.gram[c].items() if g[0] == v}
+        if v is None or not after:
+            return p
+        n = sum(after.values())
+        return (self.gram[c][v, w] - d(self.gram[c][v, w])) / n + sum(map(d, after.values())) / n * p
+
+
+def toy():
+    rng = random.Random(3)
+    words = [f"w{chr(97 + i)}" for i in range(26)]
+    return [(int(i % 4 == 0), " ".join(rng.choice(words[:12] if i % 4 else words[6:]) for _ in range(rng.randint(0, 25)))) for i in range(60)] + [(0, None), (1, "")]
+
+
+def test_log_ratios_equal_a_brute_force_kneser_ney(spark):
+    """Over the whole tables, although n-grams seen once are left out of the scoring rows."""
+    rows = toy()
+    want, models = BruteForce(rows), toxicity.fit_models(spark.createDataFrame(rows, "label int, text string"))
+    assert 0 < len(models.gram) < len({*want.gram[0], *want.gram[1]})
+    texts = [t for _, t in rows[::3]] + ["wa unseen wb wz", "unseen", "wq wq wa", None, "wz wy never wa wb wc"]
+    words, doc = toxicity.hashes(pa.array(texts, pa.string()))
+    given, alone = models.ratios(words, doc)
+    assert words.tolist() == [w for t in texts for w in words_of(t)]
+    k = 0
+    for t in texts:
+        own = words_of(t)
+        for v, w in zip([0, *own], own):
+            assert given[k] == pytest.approx(math.log(want.p(1, w, v) / want.p(0, w, v)), abs=1e-9)
+            assert alone[k] == pytest.approx(math.log(want.p(1, w) / want.p(0, w)), abs=1e-9)
+            k += 1
+    assert k == len(given)
+
+
+def test_brute_force_kneser_ney_sums_to_one():
+    model = BruteForce(toy())
+    vocabulary = {w for c in (0, 1) for w in model.word[c]}
+    for c in (0, 1):
+        for v in [None, 0, *sorted(vocabulary)[:5]]:
+            assert sum(model.p(c, w, v) for w in vocabulary) == pytest.approx(1, abs=0.05)  # the rest is for unseen words
+
+
+def test_scores_dont_depend_on_the_size_of_the_tables(spark):
+    """Broadcast tables and joined ones give the same scores, for every kind of row."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    odd = spark.createDataFrame([(10**6 + i, t) for i, (_, t) in enumerate(ROWS)], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(odd)
+    labels = labels.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("toxic"))  # both classes are frequent
+    whole, joined = ({r.doc_id: r.score for r in toxicity.classify(docs, labels, known=k).collect()} for k in (1 << 22, 0))
+    assert whole.keys() == joined.keys() and len({round(s, 6) for s in whole.values()}) > 50
+    assert all(joined[i] == pytest.approx(s, abs=1e-9) for i, s in whole.items())
