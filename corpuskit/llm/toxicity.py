@@ -186,13 +186,17 @@ def count_tables(labelled: DataFrame):
 _COUNTS = ("n0", "n1", "kinds", "c0", "c1", "m0", "m1")
 
 
+def scoring_counts(grams: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The bigrams and words that scores depend on.  The others score as unseen: their
+    discounted counts are 0, and as a context they pass all their mass on."""
+    return grams.where("n0 > 1 OR n1 > 1"), words.where("n0 > 1 OR n1 > 1 OR m0 <> c0 OR m1 <> c1").select("word", *_COUNTS)
+
+
 def scoring_rows(grams: DataFrame, words: DataFrame) -> DataFrame:
-    """``(kind, key, n0, n1, kinds, c0, c1, m0, m1)``: bigrams (kind 0) and words (kind 1) that scores depend on.
-    The others score as unseen: their discounted counts are 0, and as a context they pass all their mass on."""
+    """Both of :func:`scoring_counts` as ``(kind, key, n0, n1, kinds, c0, c1, m0, m1)``: bigrams are kind 0, words kind 1."""
     zero = [F.lit(0).cast("double").alias(c) for c in _COUNTS[2:]]
-    g = grams.where("n0 > 1 OR n1 > 1").select(F.lit(0).alias("kind"), F.col("gram").alias("key"), *[F.col(c).cast("double").alias(c) for c in _COUNTS[:2]], *zero)
-    w = words.where("n0 > 1 OR n1 > 1 OR m0 <> c0 OR m1 <> c1").select(F.lit(1).alias("kind"), F.col("word").alias("key"), *[F.col(c).cast("double").alias(c) for c in _COUNTS])
-    return g.unionByName(w)
+    g = grams.select(F.lit(0).alias("kind"), F.col("gram").alias("key"), *[F.col(c).cast("double").alias(c) for c in _COUNTS[:2]], *zero)
+    return g.unionByName(words.select(F.lit(1).alias("kind"), F.col("word").alias("key"), *[F.col(c).cast("double").alias(c) for c in _COUNTS]))
 
 
 def models_of(kind: np.ndarray, key: np.ndarray, cols: list[np.ndarray], totals) -> ClassModels:
@@ -204,13 +208,18 @@ def models_of(kind: np.ndarray, key: np.ndarray, cols: list[np.ndarray], totals)
 def fit_models(labelled: DataFrame) -> ClassModels | None:
     """The scoring tables of rows ``(label, text)`` in one piece; None without words in both classes."""
     got = count_tables(labelled)
-    return None if got is None else _collected(scoring_rows(*got[:2]), got[2])
+    return None if got is None else _collected(*scoring_counts(*got[:2]), got[2])
 
 
-def _collected(rows: DataFrame, totals) -> ClassModels:
-    t = rows.toArrow()
-    col = lambda c: t.column(c).to_numpy()
-    return models_of(col("kind"), col("key"), [col(c) for c in _COUNTS], totals)
+def _collected(grams: DataFrame, words: DataFrame, totals) -> ClassModels:
+    """Tables of a checked size as arrays; sorted by Spark, so that they aren't copied here."""
+    def cols(df, key, names):
+        t = df.select(key, *names).orderBy(key).toArrow()
+        return [t.column(c).to_numpy() for c in (key, *names)]
+    word, *counts = cols(words, "word", _COUNTS)
+    n0, n1, kinds, c0, c1, m0, m1 = counts
+    gram, *n = cols(grams, "gram", _COUNTS[:2])
+    return ClassModels.of(gram.view(np.uint64), n, word.astype(np.uint64), (n0, n1), kinds, (c0, c1), (m0, m1), totals)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30) -> np.ndarray:
@@ -290,12 +299,12 @@ def classify(documents: DataFrame, labels: DataFrame, label: str = "toxic", key:
     share = lab.agg(F.avg("label")).first()[0] or 0.0
     if counted is None:
         return docs.select("doc_id", F.lit(float(share)).alias("score"))
-    tables, totals = scoring_rows(*counted[:2]), counted[2]
-    if tables.count() <= known:
-        models = _collected(tables, totals)
+    tables, totals = scoring_counts(*counted[:2]), counted[2]
+    if sum(t.count() for t in tables) <= known:
+        models = _collected(*tables, totals)
         figures = lambda df, keep: figures_by_broadcast(df, models, keep)
     else:
-        figures = lambda df, keep: figures_by_join(df, tables, totals, keep)
+        figures = lambda df, keep: figures_by_join(df, scoring_rows(*tables), totals, keep)
     held = rows.where(apart)
     n = lab.where(apart).count()
     if n > calibration_rows:  # a sample of bounded size
