@@ -132,15 +132,15 @@ def test_recall_at_letter_noise(share, least):
 
 def test_long_items_and_texts_over_many_blocks(monkeypatch):
     rng = random.Random(3)
-    long_item = prose(rng, 700)
+    long_item = prose(rng, 250)
     items = [(1, long_item), (2, prose(rng, 40)), (3, prose(rng, 4))]
-    text = prose(rng, 3000) + " " + long_item + " " + prose(rng, 100) + " " + items[1][1] + " " + prose(rng, 2500) + " " + items[2][1]
+    text = prose(rng, 1500) + " " + long_item + " " + prose(rng, 100) + " " + items[1][1] + " " + prose(rng, 900) + " " + items[2][1]
     index = decontam.Index(items, 0.8)
     want = index.leaks_of([None, text, "short", text[:9000]])
     assert [i for i, _, d in want[1] if d == 0] == [1, 2, 3] and want[0] == want[2] == []
     words = text.split()
     assert all(" ".join(words[w:]).startswith(items[i - 1][1]) for i, w, d in want[1])
-    monkeypatch.setattr(decontam, "BLOCK", 4096)
+    monkeypatch.setattr(decontam, "BLOCK", 8192)
     monkeypatch.setattr(decontam, "PROBES", 1000)
     assert decontam.Index.of(index.plain()).leaks_of([None, text, "short", text[:9000]]) == want
 
