@@ -54,7 +54,7 @@ def _shuffle(keys, buffer, seed=42):
     return out
 
 
-@pytest.mark.parametrize("buffer", [*range(1, 21), 37, 5000, 10_007])
+@pytest.mark.parametrize("buffer", [1, 2, 3, 4, 5, 7, 10, 16, 17, 37, 5000])
 def test_shuffle_is_a_bijection_of_every_buffer_and_can_be_undone(spark, buffer):
     """Whole buffers and the last, partial one; other seeds and windows give other orders."""
     n = 2 * buffer + buffer // 3
