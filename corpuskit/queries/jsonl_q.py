@@ -12,6 +12,7 @@ from corpuskit.queries.common import DOC_FIELD_SQL, EXTRACT_CTE, EXTRACT_PARSED_
 from corpuskit.session import ensure_checkpoint_dir
 from corpuskit.sinks.versions import publish, read_version, versions
 from corpuskit.sources.jsonl import read_json_table, read_jsonl_lines
+from corpuskit.streaming.carry import carried_rest, carried_shuffle
 from corpuskit.streaming.ingest import ingest_stream, shuffle_batches
 
 
@@ -62,6 +63,25 @@ def q_stream_shuffle(spark, d):
     return out.select("line_no", "idx", "window_id", "shuffle_pos", "pos_in_batch")
 
 
+def q_stream_shuffle_carried(spark, d):
+    """Four runs of the incremental ingestion, three new files each, on one checkpoint: windows of 100 rows go on
+    over runs and files as if all were one file."""
+    base = ensure_checkpoint_dir(spark).rstrip("/") + "/stream_carried_" + uuid.uuid4().hex[:12]
+    shuffle = {"buffer": 100, "seed": 42, "batch_size": 32}
+    lines = documents_as_jsonl(spark, d)
+    low, high = lines.agg(F.min("line_no"), F.max("line_no")).first()
+    quarter = F.floor((F.col("line_no") - low) * 4 / (high - low + 1)) if low is not None else F.lit(0)
+    for k in range(4):
+        lines.where(quarter == k).repartitionByRange(3, "line_no").sortWithinPartitions("line_no").select("line") \
+            .write.mode("append").text(base + "/src")
+        ingest_stream(spark, base + "/src", base + "/out", base + "/ck", letters=LETTERS,
+                      batch_transform=carried_shuffle(base + "/carry", **shuffle)).awaitTermination()
+    rest = carried_rest(spark, base + "/carry", base + "/ck", **shuffle)
+    cols = ["line", "idx", "window_id", "shuffle_pos", "pos_in_batch"]
+    out = spark.read.parquet(base + "/out").select(cols).unionByName(rest.select(cols))
+    return out.select(F.get_json_object("line", "$.doc_id").cast("bigint").alias("line_no"), *cols[1:])
+
+
 def _written_lines(spark, d, name, malformed=False, files=None):
     """The documents' JSON lines as text files in id order; the folder they are in."""
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/{name}_" + uuid.uuid4().hex[:12]
@@ -120,6 +140,7 @@ def q_jsonl_line_numbers(spark, d):
 QUERIES = {
     "stream_extract": q_stream_extract,
     "stream_shuffle": q_stream_shuffle,
+    "stream_shuffle_carried": q_stream_shuffle_carried,
     "jsonl_line_numbers": q_jsonl_line_numbers,
     "take_first_files": q_take_first_files,
     "count_valid_capped": q_count_valid_capped,
@@ -134,12 +155,16 @@ QUERIES = {
     "sample_preview": q_sample_preview,
 }
 
-SQL = {
-    "stream_extract": f"WITH {EXTRACT_CTE} SELECT line_no, source_field, text FROM extracted WHERE text IS NOT NULL",
-    "stream_shuffle": f"""WITH {EXTRACT_CTE},
+# Windows over the whole corpus, whether one micro-batch brings it or many do.
+_SHUFFLED = f"""WITH {EXTRACT_CTE},
         acc AS (SELECT line_no, row_number() OVER (ORDER BY line_no) AS idx FROM extracted WHERE text IS NOT NULL),
         ws AS ({shuffled_positions('acc', 42, 100)})
-        SELECT line_no, idx, window_id, shuffle_pos, (shuffle_pos - 1) % 32 + 1 AS pos_in_batch FROM ws""",
+        SELECT line_no, idx, window_id, shuffle_pos, (shuffle_pos - 1) % 32 + 1 AS pos_in_batch FROM ws"""
+
+SQL = {
+    "stream_extract": f"WITH {EXTRACT_CTE} SELECT line_no, source_field, text FROM extracted WHERE text IS NOT NULL",
+    "stream_shuffle": _SHUFFLED,
+    "stream_shuffle_carried": _SHUFFLED,
     "jsonl_line_numbers": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS line_no FROM documents",
     "take_first_files": f"""WITH {EXTRACT_PARSED_CTE}, a AS (SELECT line_no, row_number() OVER (ORDER BY line_no) AS idx, source_field, length(text) AS n_chars
           FROM extracted WHERE text IS NOT NULL) SELECT * FROM a WHERE idx <= 300""",

@@ -118,3 +118,45 @@ def test_stream_training_examples_with_fixed_vocabulary(spark, tmp_dir):
     rows = spark.read.parquet(out).collect()
     assert len(rows) == 15 and all(len(r.input_ids) == 8 for r in rows)
     assert {r.stream_batch for r in rows} == {0, 1}
+
+
+def _windows(rows):
+    return sorted((r.text, r.idx, r.window_id, r.shuffle_pos, r.shuffled_idx, r.pos_in_batch) for r in rows)
+
+
+def test_windows_go_on_over_micro_batches_and_restarts(spark, tmp_dir, monkeypatch):
+    from corpuskit.streaming import carried_rest, carried_shuffle, carry
+    texts = [{"text": f"{FA} {i:03d}"} for i in range(47)]
+    kinds = {"buffer": 10, "seed": 5, "batch_size": 4}
+
+    def stream(name, files, failing=None):
+        src, out, ck, kept = (os.path.join(tmp_dir, name, x) for x in ("src", "out", "ck", "carry"))
+        os.makedirs(src)
+        for k, rows in enumerate(files):  # one micro-batch each
+            _write(os.path.join(src, f"{k:02d}.jsonl"), rows)
+            go = carried_shuffle(kept, **kinds)
+            if k == failing:  # stopped after the rest is written, before the micro-batch is committed
+
+                def broken(batch, batch_id):
+                    go(batch, batch_id)
+                    raise RuntimeError("stopped")
+                try:
+                    ingest_stream(spark, src, out, ck, batch_transform=broken).awaitTermination()
+                    raise AssertionError("the stream should have stopped")
+                except Exception as e:  # noqa: BLE001
+                    assert "stopped" in str(e)
+            ingest_stream(spark, src, out, ck, batch_transform=go).awaitTermination()
+        done = spark.read.parquet(out).collect()
+        return done, carried_rest(spark, kept, ck, **kinds).collect(), kept
+
+    full, rest, _ = stream("one", [texts])
+    assert len(full) == 40 and len(rest) == 7
+    whole = _windows(full + rest)
+    assert [r[0] for r in sorted(whole, key=lambda r: r[1])] == [t["text"] for t in texts]
+    assert sorted(r[4] for r in whole) == list(range(1, 48))
+    cuts = [0, 3, 3, 14, 20, 21, 22, 45, 45, 46, 47]  # files without a row, of part of a window and of several
+    parts = [texts[a:b] or [{"x": 1}] for a, b in zip(cuts, cuts[1:])]
+    full, rest, kept = stream("ten", parts, failing=6)
+    assert _windows(full + rest) == whole
+    assert sorted(n for n in os.listdir(kept)) == ["after=8", "after=9"]
+    assert carried_rest(spark, kept, os.path.join(tmp_dir, "nothing")) is None
