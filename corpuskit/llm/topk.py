@@ -7,8 +7,11 @@ Cauchy-Schwarz within segments
     q.x <= sum over segments of (Sq Sx / m + Dq Dx),
 
 so |q - x|^2 = |q|^2 + |x|^2 - 2 q.x has a lower bound from the statistics
-alone.  Pairs whose bound can't reach the query's k-th score so far are
-dropped, coarse to fine; survivors get their exact integer inner product.
+alone.  First every query gets a floor: the k-th exact score of the few vectors
+whose finest segment means promise most, which the k-th best score can't be
+below.  Then each pair whose bound doesn't reach its query's floor is dropped,
+coarse to fine; the pairs left get their exact integer inner product, and floors
+rise with them.
 
 Plan: vectors are dealt to tiles of bounded size by a hash of their id, once
 per block of queries, packed many to a row; every tile holds one block of
@@ -30,7 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VECTOR_BLOCK, QUERY_BLOCK, STEP = 8192, 1024, 1024
-LEVELS = (2, 8)
+PAIRS = 1 << 15  # multiplied one by one at a time
+
+
+def resolutions(dim: int) -> tuple[int, ...]:
+    """Numbers of segments, coarse to fine; the finest hold one or two components
+    (up to 32 components: one each, and the bound is the score)."""
+    return 2, 8, max(32, dim // 2), max(32, dim * 3 // 4)
 
 
 def _valid(vector: Column) -> Column:
@@ -75,37 +84,79 @@ def statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     return np.column_stack(means), np.column_stack(devs)
 
 
-def best(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int, levels=LEVELS):
-    """(query row, vec_id, score): the k best of ``v`` for each row of ``q``; ties to smaller ids."""
-    exact = np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * max(1, q.shape[1]) < 2 ** 53
-    order = np.argsort(vid, kind="stable")
-    vid, v = vid[order], v[order]
-    qs = [np.hstack(statistics(q, s)) for s in levels]
-    top = np.full((len(q), k), -np.inf if exact else np.iinfo(np.int64).min, np.float64 if exact else np.int64)
-    ids = np.full((len(q), k), -1, np.int64)
-    none = top[0, 0] if len(q) else 0
-    for lo in range(0, len(v), STEP):
-        part, part_ids = v[lo:lo + STEP], vid[lo:lo + STEP]
-        at = np.arange(len(part))
-        open_ = ids[:, -1] < 0
-        for own, s in zip(qs, levels):  # coarse to fine
-            bound = own @ np.hstack(statistics(part[at], s)).T
-            bound += 1e-9 * np.abs(bound) + 1e-6
-            reach = open_[:, None] | (bound > top[:, -1:])
-            at = at[reach.any(0)]
-        if not len(at):
-            continue
-        x = part[at]
-        score = q @ x.T if exact else q.astype(np.int64) @ x.T.astype(np.int64)
-        names = np.broadcast_to(part_ids[at], score.shape)
-        score = np.where(names == qid[:, None], none, score)
-        all_s, all_i = np.hstack([top, score]), np.hstack([ids, names])
-        # Ids ascend within and over blocks, so a stable sort by score gives ties to smaller ids.
-        rank = np.argsort(-all_s if exact else ~all_s, axis=1, kind="stable")[:, :k]
-        top = np.take_along_axis(all_s, rank, 1)
-        ids = np.where(top == none, -1, np.take_along_axis(all_i, rank, 1))
-    rows, cols = np.nonzero(top != none)
-    return rows, ids[rows, cols], top[rows, cols].astype(np.int64)
+def _products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of row i[n] of ``a`` with row j[n] of ``b``."""
+    out = np.empty(len(i), a.dtype)
+    for lo in range(0, len(i), PAIRS):
+        at = slice(lo, lo + PAIRS)
+        np.einsum("nd,nd->n", a[i[at]], b[j[at]], out=out[at])
+    return out
+
+
+def _first_k(row: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
+    """The k best of every row: higher scores first, ties to smaller ids."""
+    order = np.lexsort((ids, ~score, row))
+    row, ids, score = row[order], ids[order], score[order]
+    own = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[own], ids[own], score[own]
+
+
+def _raise(floor: np.ndarray, row: np.ndarray, score: np.ndarray, k: int) -> None:
+    """A row's k-th score (of k, ordered) becomes its floor."""
+    last = np.flatnonzero(np.arange(len(row)) - np.searchsorted(row, row) == k - 1)
+    floor[row[last]] = np.maximum(floor[row[last]], score[last])
+
+
+def best(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int, levels=None, tally: list | None = None):
+    """(query row, vec_id, score): the k best of ``v`` for each row of ``q``; ties to smaller ids.
+    ``tally`` takes the number of pairs multiplied exactly, for each step."""
+    largest = np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * max(1, q.shape[1])
+    kind = np.float32 if largest < 2 ** 24 else np.float64 if largest < 2 ** 53 else np.int64  # sums are exact in it
+    qx, vx = q.astype(kind), v.astype(kind)
+    exact = lambda i, j: _products(qx, vx, i, j).astype(np.int64)
+    levels = levels or resolutions(q.shape[1])
+    qs, vs = ([np.hstack(statistics(x, s)) for s in levels] for x in (q, v))
+    floor = np.full(len(q), np.iinfo(np.int64).min)
+    steps = [slice(lo, min(lo + STEP, len(v))) for lo in range(0, len(v), STEP)]
+
+    # The first exact pass, over the most promising vectors by segment means.
+    means = qs[-1].shape[1] // 2
+    guess, at = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
+    for step in steps:
+        by_means = qs[-1][:, :means] @ vs[-1][step, :means].T
+        by_means[vid[step] == qid[:, None]] = -np.inf
+        guess = np.hstack([guess, by_means])
+        at = np.hstack([at, np.broadcast_to(np.arange(step.start, step.stop), by_means.shape)])
+        if guess.shape[1] > 2 * k:
+            most = np.argpartition(guess, -2 * k, axis=1)[:, -2 * k:]
+            guess, at = np.take_along_axis(guess, most, 1), np.take_along_axis(at, most, 1)
+    row, col = np.nonzero(guess > -np.inf)
+    score = exact(row, at[row, col])
+    if tally is not None:
+        tally.append(len(row))
+    row, _, score = _first_k(row, vid[at[row, col]], score, k)
+    _raise(floor, row, score, k)
+
+    top = (np.zeros(0, np.int64),) * 3
+    for step in steps:
+        left = vid[step] != qid[:, None]
+        for own, x in zip(qs, (x[step] for x in vs)):  # coarse to fine
+            if np.count_nonzero(left) * 8 > left.size:
+                bound = own @ x.T
+                left &= bound + 1e-9 * np.abs(bound) + 1e-6 >= floor[:, None]
+            else:
+                i, j = np.nonzero(left)
+                bound = _products(own, x, i, j)
+                out = bound + 1e-9 * np.abs(bound) + 1e-6 < floor[i]
+                left[i[out], j[out]] = False
+        row, col = np.nonzero(left)
+        score = exact(row, col + step.start)
+        if tally is not None:
+            tally.append(len(row))
+        in_reach = score >= floor[row]
+        top = _first_k(*(np.concatenate(c) for c in zip(top, (row[in_reach], vid[step][col[in_reach]], score[in_reach]))), k)
+        _raise(floor, top[0], top[2], k)
+    return top
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", component=None) -> DataFrame:

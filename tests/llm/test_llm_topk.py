@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +58,32 @@ def test_bounds_hold():
 def test_fewer_candidates_and_empty_table(spark):
     assert run(spark, [(0, [1.0]), (1, [2.0])]) == [(0, 1, 1, 131072)]
     assert run(spark, [(0, [1.0])]) == [] and run(spark, []) == []
+
+
+def _share(x, k=5):
+    """Of all pairs of queries and vectors, how many get an exact product; the results are checked, too."""
+    ids, tally = np.arange(len(x)), []
+    at = ids[ids % 50 == 0]
+    row, vid, score = topk.best(at, x[at], ids, x, k, tally=tally)
+    want = []
+    for n, i in enumerate(at):
+        s = (x @ x[i]).astype(np.int64)
+        want += [(n, j, s[j]) for j in sorted((j for j in ids if j != i), key=lambda j: (-s[j], j))[:k]]
+    assert list(zip(row, vid, score)) == want
+    return sum(tally) / (len(at) * len(x))
+
+
+def test_few_pairs_reach_the_exact_product():
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").sort_by("vec_id")
+    x = np.floor(256 * np.array(table.column("embedding").to_pylist(), dtype=np.float64))
+    assert _share(x) < 0.5
+    rng = np.random.default_rng(1)
+    smooth = np.repeat(rng.normal(size=(3000, 8)), 8, axis=1) + rng.normal(scale=0.1, size=(3000, 64))
+    assert _share(np.floor(256 * smooth)) < 0.05
+
+
+def test_many_equal_vectors_and_ties():
+    rng = np.random.default_rng(2)
+    x = np.floor(256 * rng.normal(scale=0.2, size=(3000, 10)))
+    x[rng.permutation(3000)[:1000]] = x[0]
+    assert _share(x) < 1
