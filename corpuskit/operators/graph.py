@@ -10,6 +10,7 @@ plans stay small.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from itertools import count
 
@@ -26,6 +27,14 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """Like :func:`_cut`, by a written table: its size is the files', where a checkpoint keeps
+    the estimate of its plan, which self joins square in every round."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _undirected(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """Canonical undirected simple edges ``(a < b)``; self loops dropped."""
     return edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")) \
@@ -89,10 +98,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
 
 
 def bfs_forest(edges: DataFrame, components: DataFrame, src: str = "src", dst: str = "dst",
-               eid: str = "eid") -> DataFrame:
+               eid: str = "eid", most: int | None = None) -> DataFrame | None:
     """BFS spanning forest from each component's smallest vertex:
     ``(vertex, depth, parent, parent_eid)``.  A vertex reached from several
-    frontier vertices takes the smallest (parent, edge id): deterministic."""
+    frontier vertices takes the smallest (parent, edge id): deterministic.
+    A round per level; None if there are more than ``most`` levels below the roots."""
     # Both directions, written once: every round joins against it.
     sym = _cut(edges.where(F.col(src) != F.col(dst)).select(
         F.col(src).alias("u"), F.col(dst).alias("v"), F.col(eid).alias("eid"))
@@ -117,6 +127,8 @@ def bfs_forest(edges: DataFrame, components: DataFrame, src: str = "src", dst: s
         nxt = _cut(nxt)
         if nxt.limit(1).count() == 0:
             break
+        if most is not None and d > most:
+            return None
         levels.append(nxt)
         frontier = nxt
         if len(levels) == 16:  # the plan stays bounded, however deep the forest
@@ -124,6 +136,79 @@ def bfs_forest(edges: DataFrame, components: DataFrame, src: str = "src", dst: s
     return reduce(DataFrame.unionByName, levels)
 
 
+def _chased(state: DataFrame) -> DataFrame:
+    """``(k, to, w)``: every chain of pointers ``to`` followed to its end by doubling;
+    ``w`` adds up along the chain, ``last`` is the chain's last row.  A row that has
+    arrived meets itself, so NULL pointers are no hot key."""
+    state = _stored(state.withColumn("last", F.col("k")))
+    for _ in range(state.count().bit_length() + 1):
+        if state.where(F.col("to").isNotNull()).limit(1).count() == 0:
+            return state
+        ahead = state.select(F.col("k").alias("_k"), F.col("to").alias("_to"), F.col("w").alias("_w"), F.col("last").alias("_last"))
+        more = F.when(F.col("to").isNotNull(), F.col("_w")).otherwise(F.lit(0))
+        state = _stored(state.join(ahead, F.coalesce("to", "k") == F.col("_k")).select(
+            "k", F.col("_to").alias("to"), (F.col("w") + more).alias("w"), F.col("_last").alias("last")))
+    raise ValueError("the pointers hold a cycle")
+
+
+def spanning_edges(edges: DataFrame, src: str = "src", dst: str = "dst", eid: str = "eid") -> DataFrame:
+    """Edges ``(src, dst, eid)`` of the spanning forest with the smallest edge ids, by
+    hooking and contraction (Boruvka): every part hooks on along its smallest edge
+    id, the chains of hooks are followed by pointer doubling, parts become one.
+    Parts at least halve in a round, so rounds are logarithmic however deep the
+    graph is.  ``eid`` is unique."""
+    ends = edges.where(F.col(src) != F.col(dst)).select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.col(eid).alias("eid"))
+    open_ = _stored(ends.select("eid", F.col("src").alias("a"), F.col("dst").alias("b")))
+    taken = []
+    while open_.limit(1).count():
+        both = open_.select("eid", F.col("a").alias("k"), F.col("b").alias("to")).unionByName(
+            open_.select("eid", F.col("b").alias("k"), F.col("a").alias("to")))
+        hooks = _stored(both.groupBy("k").agg(F.min(F.struct("eid", "to")).alias("m")).select("k", "m.eid", "m.to"))
+        taken.append(hooks.select("eid").distinct())
+        # Ids are unique, so hooks only run in a circle where two parts take one edge: the smaller one stays.
+        back = hooks.select(F.col("k").alias("to"), F.col("eid").alias("_eid"))
+        to = F.when((F.col("eid") == F.col("_eid")) & (F.col("k") < F.col("to")), F.lit(None)).otherwise(F.col("to"))
+        part = _chased(hooks.join(back, "to").select("k", to.alias("to"), F.lit(0).alias("w"))).select("k", "last")
+        open_ = open_.join(part.withColumnRenamed("k", "a"), "a").select("eid", F.col("last").alias("a"), "b") \
+            .join(part.withColumnRenamed("k", "b"), "b").select("eid", "a", F.col("last").alias("b"))
+        open_ = _stored(open_.where(F.col("a") != F.col("b")))
+    if not taken:
+        return ends.limit(0)
+    return _stored(ends.join(reduce(DataFrame.unionByName, taken).distinct(), "eid").select("src", "dst", "eid"))
+
+
+def hooked_forest(edges: DataFrame, components: DataFrame, src: str = "src", dst: str = "dst", eid: str = "eid") -> DataFrame:
+    """A spanning forest like :func:`bfs_forest`'s, without a round per level: the
+    edges of :func:`spanning_edges`, hung from each component's smallest vertex.
+
+    Every tree edge is an arc each way; the arc after u -> v leaves v to the
+    neighbour that follows u there, in a circle that is cut at the root.  Ranks
+    along this tour come from pointer doubling, and an edge is passed downwards
+    first; depths come from doubling the parents."""
+    tree = spanning_edges(edges, src, dst, eid)
+    roots = components.where(F.col("vertex") == F.col("component")).select(F.col("vertex").alias("v"), F.lit(True).alias("_root"))
+    arcs = tree.select(F.col("src").alias("u"), F.col("dst").alias("v"), "eid").unionByName(
+        tree.select(F.col("dst").alias("u"), F.col("src").alias("v"), "eid"))
+    # A vertex's neighbours in order of a hash, whose leading bits are buckets: no hub is one task.
+    h = F.xxhash64("u")
+    after = with_neighbour(arcs.withColumn("_h", h), ["v"], ["_h", "u"], ["u"], F.shiftright(h, 48), "_next")
+    first = arcs.groupBy("v").agg(F.min_by("u", F.struct(h, "u")).alias("first"))
+    onward = F.coalesce(F.col("_next.u"), F.when(F.col("_root").isNull(), F.col("first")))
+    arc = lambda a, b: F.struct(a.alias("u"), b.alias("v"))
+    tour = after.join(first, "v").join(roots, "v", "left")
+    rank = _chased(tour.select(arc(F.col("u"), F.col("v")).alias("k"), F.when(onward.isNotNull(), arc(F.col("v"), onward)).alias("to"),
+                               F.lit(1).cast("bigint").alias("w"))).select("k.u", "k.v", "w")
+    ranks = tree.join(rank.select(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("w").alias("_there")), ["src", "dst"]) \
+        .join(rank.select(F.col("v").alias("src"), F.col("u").alias("dst"), F.col("w").alias("_back")), ["src", "dst"])
+    down = F.col("_there") > F.col("_back")
+    parents = ranks.select(F.when(down, F.col("dst")).otherwise(F.col("src")).alias("k"),
+                           F.when(down, F.col("src")).otherwise(F.col("dst")).alias("to"), F.col("eid").alias("parent_eid"))
+    parents = _stored(parents.unionByName(roots.select(F.col("v").alias("k"), F.lit(None).alias("to"), F.lit(None).alias("parent_eid"))))
+    one = F.when(F.col("to").isNull(), 0).otherwise(1).cast("bigint")
+    depths = _chased(parents.select("k", "to", one.alias("w"))).select("k", F.col("w").alias("depth"))
+    return parents.join(depths, "k").select(F.col("k").alias("vertex"), "depth", F.col("to").alias("parent"), "parent_eid")
+
+
 def _climbed(ends: DataFrame, node: DataFrame) -> list[DataFrame]:
     """Tree edges from both endpoints up to where they meet: the deeper one climbs first, both when level."""
     na = node.select(F.col("vertex").alias("x"), F.col("depth").alias("dx"),
@@ -190,19 +275,24 @@ def _lifted(ends: DataFrame, node: DataFrame, depth: int) -> list[DataFrame]:
 
 
 def fundamental_cycles(edges: DataFrame, src: str = "src", dst: str = "dst", eid: str = "eid",
-                       components: DataFrame | None = None, levels: int = 12) -> DataFrame:
+                       components: DataFrame | None = None, levels: int = 12, bfs_levels: int = 64) -> DataFrame:
     """Edges of the fundamental cycle closed by every non-tree edge:
     ``(cycle_id, eid, src, dst)`` with ``cycle_id`` = the closing edge's id.
 
-    The closing edge's endpoints climb the BFS forest until they meet; the tree
-    edges they pass are the cycle's.  In a forest of up to ``levels`` levels they
+    The closing edge's endpoints climb a spanning forest until they meet; the tree
+    edges they pass are the cycle's.  The forest is the BFS forest where that has at
+    most ``bfs_levels`` levels; a deeper graph takes the one with the smallest edge
+    ids (:func:`hooked_forest`), in rounds logarithmic in the number of vertices: as
+    many cycles, a basis like the BFS forest's, but other ones.  In a forest of up to ``levels`` levels they
     climb edge by edge; in a deeper one by binary lifting, in rounds logarithmic
     in the depth (:func:`_lifted`).  Rows emitted equal the cycle lengths.  In a
     cactus graph these are exactly all its cycles.  Self loops are not cycles here.
     """
     edges = _cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.col(eid).alias("eid")))
     comp = components if components is not None else connected_components(edges, "src", "dst")
-    forest = bfs_forest(edges, comp, "src", "dst", "eid")
+    forest = bfs_forest(edges, comp, "src", "dst", "eid", bfs_levels)
+    if forest is None:
+        forest = hooked_forest(edges, comp, "src", "dst", "eid")
     tree_eids = forest.where(F.col("parent_eid").isNotNull()).select(F.col("parent_eid").alias("eid"))
     nontree = edges.where(F.col("src") != F.col("dst")).join(tree_eids, "eid", "left_anti")
     closing = nontree.select(F.col("eid").alias("cycle_id"), "eid", "src", "dst")
@@ -315,5 +405,5 @@ def _tour_totals(t: DataFrame, roots: DataFrame) -> DataFrame:
     return own.select("v", "total").unionByName(top).select(F.col("v").alias("vertex"), F.col("total").cast("bigint").alias("descendants"))
 
 
-__all__ = ["connected_components", "bfs_forest", "fundamental_cycles", "component_ids",
+__all__ = ["connected_components", "bfs_forest", "spanning_edges", "hooked_forest", "fundamental_cycles", "component_ids",
            "contract_graph", "subtree_totals"]

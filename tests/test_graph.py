@@ -189,3 +189,56 @@ def test_lifted_cycles_equal_climbed_ones(spark):
     assert rows(0) == rows(10**6)
     vertices, parts = {x for p in pairs for x in p}, comp.select("component").distinct().count()
     assert len({r[0] for r in rows(0)}) == len(pairs) - len(vertices) + parts  # one cycle per edge beyond a forest
+
+
+def _smallest_forest(edges):
+    """Edge ids of the spanning forest that takes edges by id."""
+    top, taken = {}, set()
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+    for e, a, b in sorted(edges):
+        if find(a) != find(b):
+            top[find(a)] = find(b)
+            taken.add(e)
+    return taken
+
+
+def test_hooked_forest_is_a_forest_with_its_depths(spark):
+    rng = random.Random(11)
+    rows = {(i, i + 1) for i in range(1, 30)} | {(100, 200 + i) for i in range(40)} | {(rng.randrange(60), rng.randrange(60)) for _ in range(50)}
+    ids = rng.sample(range(1000), len(rows) + 2)
+    edges = [(e, a, b) for e, (a, b) in zip(ids, sorted(rows))] + [(ids[-1], 2, 1), (ids[-2], 300, 300)]  # a parallel edge, a loop
+    df = spark.createDataFrame(edges, "eid long, src long, dst long")
+    comp = gr.connected_components(df).checkpoint()
+    forest = gr.hooked_forest(df, comp).collect()
+    node = {r.vertex: r for r in forest}
+    root = {r.vertex: r.component for r in comp.collect()}
+    ends = {e: {a, b} for e, a, b in edges}
+    assert node.keys() == root.keys() and len(node) == len(forest)
+    for v, r in node.items():
+        if v == root[v]:
+            assert (r.depth, r.parent, r.parent_eid) == (0, None, None)
+        else:
+            assert ends[r.parent_eid] == {v, r.parent} and r.depth == node[r.parent].depth + 1
+    assert {r.parent_eid for r in node.values()} - {None} == _smallest_forest([x for x in edges if x[1] != x[2]])
+    empty = df.where("false")
+    assert gr.hooked_forest(empty, gr.connected_components(empty)).count() == 0
+    assert gr.bfs_forest(df, comp, most=2) is None
+
+
+def test_cycles_of_a_deep_graph_take_few_rounds(spark, monkeypatch):
+    n, cuts, cut, stored = 3000, [], gr._cut, gr._stored
+    ring = spark.range(n).select(F.col("id").alias("eid"), F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"))
+    tail = [(n, 5, 10_000), (n + 1, 10_000, 10_001), (n + 2, 10_001, 10_002), (n + 3, 10_002, 10_000)]
+    edges = ring.unionByName(spark.createDataFrame(tail, "eid long, src long, dst long"))
+    comp = spark.createDataFrame([(v, 0) for v in [*range(n), 10_000, 10_001, 10_002]], "vertex long, component long")
+    monkeypatch.setattr(gr, "_cut", lambda df: cuts.append(1) or cut(df))
+    monkeypatch.setattr(gr, "_stored", lambda df: cuts.append(1) or stored(df))
+    by = {}
+    for r in gr.fundamental_cycles(edges, components=comp, bfs_levels=8).collect():
+        by.setdefault(r.cycle_id, []).append((r.eid, r.src, r.dst))
+    assert sorted(sorted(e for e, _, _ in c) for c in by.values()) == [list(range(n)), [n + 1, n + 2, n + 3]]
+    assert all(_is_cycle(c) for c in by.values()) and len(cuts) < 120
