@@ -14,8 +14,10 @@ import uuid
 from functools import reduce
 from itertools import count
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuskit.operators.ordering import with_row_index_range
 from corpuskit.operators.segments import with_neighbour
@@ -35,60 +37,59 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _undirected(edges: DataFrame, src: str, dst: str) -> DataFrame:
-    """Canonical undirected simple edges ``(a < b)``; self loops dropped."""
-    return edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")) \
-        .where(F.col("a") != F.col("b")).distinct()
+def _adjacent(edges: DataFrame, src: str, dst: str, *more: str) -> DataFrame:
+    """Both directions ``(u, v, *more)`` of every edge that is no loop, kept in partitions by ``u``:
+    every round joins or groups them where they lie.  To be unpersisted."""
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    turned = lambda a, b: F.when(F.col("_turn"), F.col(b)).otherwise(F.col(a))
+    return edges.where(F.col(src) != F.col(dst)).withColumn("_turn", F.explode(F.array(F.lit(False), F.lit(True)))) \
+        .select(turned(src, dst).alias("u"), turned(dst, src).alias("v"), *more) \
+        .repartition(n, "u").persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _large_star(e: DataFrame) -> DataFrame:
-    sym = e.select(F.col("a").alias("u"), F.col("b").alias("v")) \
-        .unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    # Written: AQE's skew rule splits a hub only if the other side isn't an aggregate.
-    mins = _cut(sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-    return sym.join(mins, "u").where(F.col("v") > F.col("u")) \
-        .select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+def _contracted(sym: DataFrame) -> DataFrame | None:
+    """``(vertex, component)`` of both directions ``(u, v)`` of the edges; None without edges.
 
-
-def _small_star(e: DataFrame) -> DataFrame:
-    mins = _cut(e.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m")))
-    nb = e.join(mins, e["b"] == mins["u"]).select(F.col("m").alias("a"), F.col("a").alias("b")) \
-        .where(F.col("a") != F.col("b"))
-    return nb.unionByName(mins.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
+    Every part points at its smallest neighbour if that is smaller; chains of
+    pointers are followed by doubling to their smallest part, which the chain
+    becomes.  Only edges between different parts go on: parts at least halve in a round."""
+    labels, open_ = None, sym
+    while open_.limit(1).count():
+        low = open_.groupBy("u").agg(F.min("v").alias("m"))
+        part = _chased(low.select(F.col("u").alias("k"), F.when(F.col("m") < F.col("u"), F.col("m")).alias("to"), F.lit(0).alias("w"))).select("k", "last")
+        if labels is None:
+            labels = part.select(F.col("k").alias("vertex"), F.col("last").alias("component"))
+        else:
+            labels = _stored(labels.join(part, F.col("component") == F.col("k"), "left").select("vertex", F.coalesce("last", "component").alias("component")))
+        between = open_.where(F.col("u") < F.col("v")).join(part.select(F.col("k").alias("u"), F.col("last").alias("a")), "u") \
+            .join(part.select(F.col("k").alias("v"), F.col("last").alias("b")), "v").where(F.col("a") != F.col("b")).select("a", "b").distinct()
+        between = _stored(between)
+        open_ = between.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(between.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    return labels
 
 
-def _is_star_forest(e: DataFrame) -> bool:
-    """Converged when the edges form disjoint stars: every leaf ``b`` has one
-    centre ``a`` and no centre is itself a leaf.  Then each star is exactly
-    one component (connectivity is preserved by every round).  One job: a
-    per-vertex count of its leaf and centre roles."""
-    roles = e.select(F.col("b").alias("v"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")) \
-        .unionByName(e.select(F.col("a").alias("v"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
-    per = roles.groupBy("v").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre"))
-    bad = per.where((F.col("leaf") > 1) | ((F.col("leaf") >= 1) & (F.col("centre") == 1)))
-    return bad.limit(1).count() == 0
+def _components(sym: DataFrame, edges: DataFrame, src: str, dst: str) -> DataFrame:
+    labels = _contracted(sym.select("u", "v"))
+    loops = edges.where(F.col(src) == F.col(dst)).select(F.col(src).alias("vertex"), F.col(src).alias("component"))
+    labels = loops if labels is None else labels.unionByName(loops)
+    return labels.groupBy("vertex").agg(F.min("component").alias("component"))
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
                          vertices: DataFrame | None = None, vertex_col: str = "id") -> DataFrame:
     """``(vertex, component)`` with the component labelled by its smallest vertex.
 
-    Alternating large-star / small-star rounds (Kiveris et al., "Connected
-    Components in MapReduce and Beyond", 2014) turn every component into a
-    star around its minimum in O(log^2 n) rounds; every step is a groupBy
-    (map-side min, written) and an equi-join on the vertex, so a hub vertex is
-    split by AQE's skew-join handling.  A vertex that only has self loops is a
-    component; isolated vertices come from ``vertices``.
+    Rounds of hooking and contraction (:func:`_contracted`), logarithmic in the
+    number of vertices.  The edges are shuffled by one end, grouped there, and
+    shuffled by the other end once a round; only those between different parts
+    go on.  A vertex that only has self loops is a component; isolated vertices
+    come from ``vertices``.
     """
-    e = _cut(_undirected(edges, src, dst))
-    while True:
-        e = _cut(_small_star(_large_star(e)))
-        if _is_star_forest(e):
-            break
-    labels = e.select(F.col("b").alias("vertex"), F.col("a").alias("component")) \
-        .unionByName(e.select(F.col("a").alias("vertex"), F.col("a").alias("component")))
-    loops = edges.where(F.col(src) == F.col(dst)).select(F.col(src).alias("vertex"), F.col(src).alias("component"))
-    labels = labels.unionByName(loops).groupBy("vertex").agg(F.min("component").alias("component"))
+    sym = _adjacent(edges, src, dst)
+    try:
+        labels = _components(sym, edges, src, dst)
+    finally:
+        sym.unpersist()
     if vertices is not None:
         vs = vertices.select(F.col(vertex_col).alias("vertex"))
         labels = vs.join(labels, "vertex", "left") \
@@ -103,11 +104,14 @@ def bfs_forest(edges: DataFrame, components: DataFrame, src: str = "src", dst: s
     ``(vertex, depth, parent, parent_eid)``.  A vertex reached from several
     frontier vertices takes the smallest (parent, edge id): deterministic.
     A round per level; None if there are more than ``most`` levels below the roots."""
-    # Both directions, written once: every round joins against it.
-    sym = _cut(edges.where(F.col(src) != F.col(dst)).select(
-        F.col(src).alias("u"), F.col(dst).alias("v"), F.col(eid).alias("eid"))
-        .unionByName(edges.where(F.col(src) != F.col(dst)).select(
-            F.col(dst).alias("u"), F.col(src).alias("v"), F.col(eid).alias("eid"))))
+    sym = _adjacent(edges.withColumnRenamed(eid, "eid"), src, dst, "eid")
+    try:
+        return _levels(sym, components, most)
+    finally:
+        sym.unpersist()
+
+
+def _levels(sym: DataFrame, components: DataFrame, most: int | None) -> DataFrame | None:
     roots = components.where(F.col("vertex") == F.col("component")).select(
         "vertex", F.lit(0).cast("bigint").alias("depth"),
         F.lit(None).cast("bigint").alias("parent"), F.lit(None).cast("bigint").alias("parent_eid"))
@@ -119,9 +123,11 @@ def bfs_forest(edges: DataFrame, components: DataFrame, src: str = "src", dst: s
         visited = levels[0]
         for lv in levels[1:]:
             visited = visited.unionByName(lv)
+        # Aggregated before the visited ones go: a vertex is shuffled once per task, not once per edge.
         cand = sym.join(frontier.select(F.col("vertex").alias("u")), "u") \
+            .groupBy("v").agg(F.min(F.struct("u", "eid")).alias("p")) \
             .join(visited.select(F.col("vertex").alias("v")), "v", "left_anti")
-        nxt = cand.groupBy("v").agg(F.min(F.struct("u", "eid")).alias("p")).select(
+        nxt = cand.select(
             F.col("v").alias("vertex"), F.lit(d).cast("bigint").alias("depth"),
             F.col("p.u").alias("parent"), F.col("p.eid").alias("parent_eid"))
         nxt = _cut(nxt)
@@ -209,27 +215,33 @@ def hooked_forest(edges: DataFrame, components: DataFrame, src: str = "src", dst
     return parents.join(depths, "k").select(F.col("k").alias("vertex"), "depth", F.col("to").alias("parent"), "parent_eid")
 
 
-def _climbed(ends: DataFrame, node: DataFrame) -> list[DataFrame]:
-    """Tree edges from both endpoints up to where they meet: the deeper one climbs first, both when level."""
-    na = node.select(F.col("vertex").alias("x"), F.col("depth").alias("dx"),
-                     F.col("parent").alias("px"), F.col("parent_eid").alias("ex"))
-    nb = node.select(F.col("vertex").alias("y"), F.col("depth").alias("dy"),
-                     F.col("parent").alias("py"), F.col("parent_eid").alias("ey"))
-    parts, state = [], ends
-    mx = F.col("dx") >= F.col("dy")
-    my = F.col("dy") >= F.col("dx")
-    while state.limit(1).count() > 0:
-        # One job per round: the joined state is written once; the emitted
-        # tree edges and the next state are projections of it.
-        s = _cut(state.join(na, "x").join(nb, "y"))
-        emit = s.select("cycle_id", F.inline(F.array(
-            F.when(mx, F.struct(F.col("ex").alias("eid"), F.col("x").alias("src"), F.col("px").alias("dst"))),
-            F.when(my, F.struct(F.col("ey").alias("eid"), F.col("y").alias("src"), F.col("py").alias("dst"))))))
-        parts.append(emit.where(F.col("eid").isNotNull()))
-        state = s.select("cycle_id", F.when(mx, F.col("px")).otherwise(F.col("x")).alias("x"),
-                         F.when(my, F.col("py")).otherwise(F.col("y")).alias("y")) \
-            .where(F.col("x") != F.col("y"))
-    return parts
+def _paths(node: DataFrame, depth: int) -> DataFrame:
+    """``(vertex, path)``: ``(eid, v)`` of the vertex and its ancestors, up to the root (its ``eid`` is NULL).
+    Paths double in a round, over one row per vertex; one that has arrived meets itself, so NULLs are no hot key."""
+    step = F.struct(F.col("parent_eid").alias("eid"), F.col("vertex").alias("v"))
+    state = _stored(node.select("vertex", F.array(step).alias("path"), F.col("parent").alias("to")))
+    for _ in range(int(depth).bit_length()):
+        ahead = state.select(F.col("vertex").alias("_v"), F.col("path").alias("_path"), F.col("to").alias("_to"))
+        state = _stored(state.join(ahead, F.coalesce("to", "vertex") == F.col("_v")).select(
+            "vertex", F.when(F.col("to").isNotNull(), F.concat("path", "_path")).otherwise(F.col("path")).alias("path"), F.col("_to").alias("to")))
+    return state.select("vertex", "path")
+
+
+def _climbed(nontree: DataFrame, node: DataFrame, depth: int) -> DataFrame:
+    """Every cycle's edges, the closing one included: its endpoints' paths to the root
+    without the steps that both take.  The edges are joined twice, however long the cycles are."""
+    kinds = {f.name: f.dataType for f in node.schema.fields}
+    paths = _paths(node, depth)
+    steps = lambda p: F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda a, b: F.struct(
+        a["eid"].alias("eid"), a["v"].alias("src"), b["v"].alias("dst")))
+    both = nontree.join(paths.select(F.col("vertex").alias("src"), F.col("path").alias("_px")), "src", "left") \
+        .join(paths.select(F.col("vertex").alias("dst"), F.col("path").alias("_py")), "dst", "left")
+    x, y = steps(F.col("_px")), steps(F.col("_py"))
+    passed = F.when(F.col("_px").isNotNull() & F.col("_py").isNotNull(), F.concat(F.array_except(x, y), F.array_except(y, x)))
+    closing = F.array(F.struct(F.col("eid").cast(kinds["parent_eid"]).alias("eid"), F.col("src").cast(kinds["vertex"]).alias("src"),
+                               F.col("dst").cast(kinds["parent"]).alias("dst")))
+    return both.select(F.col("eid").alias("cycle_id"), F.inline(F.concat(closing, F.coalesce(passed, F.array().cast(
+        T.ArrayType(T.StructType([T.StructField("eid", kinds["parent_eid"]), T.StructField("src", kinds["vertex"]), T.StructField("dst", kinds["parent"])])))))))
 
 
 def _lifted(ends: DataFrame, node: DataFrame, depth: int) -> list[DataFrame]:
@@ -284,25 +296,29 @@ def fundamental_cycles(edges: DataFrame, src: str = "src", dst: str = "dst", eid
     most ``bfs_levels`` levels; a deeper graph takes the one with the smallest edge
     ids (:func:`hooked_forest`), in rounds logarithmic in the number of vertices: as
     many cycles, a basis like the BFS forest's, but other ones.  In a forest of up to ``levels`` levels they
-    climb edge by edge; in a deeper one by binary lifting, in rounds logarithmic
-    in the depth (:func:`_lifted`).  Rows emitted equal the cycle lengths.  In a
+    meet where their paths to the root do (:func:`_climbed`); in a deeper one they
+    climb by binary lifting, in rounds logarithmic in the depth (:func:`_lifted`).  Rows emitted equal the cycle lengths.  In a
     cactus graph these are exactly all its cycles.  Self loops are not cycles here.
     """
     edges = _cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.col(eid).alias("eid")))
-    comp = components if components is not None else connected_components(edges, "src", "dst")
-    forest = bfs_forest(edges, comp, "src", "dst", "eid", bfs_levels)
+    sym = _adjacent(edges, "src", "dst", "eid")
+    try:
+        comp = components if components is not None else _components(sym, edges, "src", "dst")
+        forest = _levels(sym, comp, bfs_levels)
+    finally:
+        sym.unpersist()
     if forest is None:
         forest = hooked_forest(edges, comp, "src", "dst", "eid")
     tree_eids = forest.where(F.col("parent_eid").isNotNull()).select(F.col("parent_eid").alias("eid"))
     nontree = edges.where(F.col("src") != F.col("dst")).join(tree_eids, "eid", "left_anti")
-    closing = nontree.select(F.col("eid").alias("cycle_id"), "eid", "src", "dst")
     node = _cut(forest.select("vertex", "depth", "parent", "parent_eid"))
-    ends = _cut(nontree.select(F.col("eid").alias("cycle_id"), F.col("src").alias("x"), F.col("dst").alias("y")))
     depth = node.agg(F.max("depth")).first()[0] or 0
-    parts = [closing, *(_climbed(ends, node) if depth <= levels else _lifted(ends, node, depth))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    if depth <= levels:
+        out = _climbed(nontree, node, depth)
+    else:
+        ends = _cut(nontree.select(F.col("eid").alias("cycle_id"), F.col("src").alias("x"), F.col("dst").alias("y")))
+        closing = nontree.select(F.col("eid").alias("cycle_id"), "eid", "src", "dst")
+        out = reduce(DataFrame.unionByName, [closing, *_lifted(ends, node, depth)])
     if (src, dst) != ("src", "dst"):
         out = out.withColumnRenamed("src", src).withColumnRenamed("dst", dst)
     return out
@@ -316,7 +332,8 @@ def component_ids(vertices: DataFrame, cycle_edges: DataFrame, vertex_col: str =
     on_cycle = cycle_edges.select("cycle_id", F.explode(F.array("src", "dst")).alias("vertex")) \
         .groupBy("vertex").agg(F.min("cycle_id").alias("cycle_id"))
     v = vertices.select(F.col(vertex_col).alias("vertex")).distinct().join(on_cycle, "vertex", "left")
-    v = v.withColumn("_free", F.col("cycle_id").isNull()).withColumn("_ck", F.coalesce("cycle_id", "vertex"))
+    # Written: the numbering and the join below read one copy, not the cycles twice.
+    v = _stored(v.select("vertex", F.col("cycle_id").isNull().alias("_free"), F.coalesce("cycle_id", "vertex").alias("_ck")))
     keys = v.select("_free", "_ck").distinct()
     dense = with_row_index_range(keys, ["_free", "_ck"], "_cid").select("_free", "_ck", (F.col("_cid") - 1).alias("comp_id"))
     return v.join(dense, ["_free", "_ck"]).select("vertex", "comp_id", (~F.col("_free")).alias("on_cycle"))

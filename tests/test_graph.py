@@ -242,3 +242,24 @@ def test_cycles_of_a_deep_graph_take_few_rounds(spark, monkeypatch):
         by.setdefault(r.cycle_id, []).append((r.eid, r.src, r.dst))
     assert sorted(sorted(e for e, _, _ in c) for c in by.values()) == [list(range(n)), [n + 1, n + 2, n + 3]]
     assert all(_is_cycle(c) for c in by.values()) and len(cuts) < 120
+
+
+def test_edges_are_shuffled_once_and_not_by_level(spark, monkeypatch):
+    # Levels and climbs worked through the stored rows once each; the plan's joins don't grow with the cycles' length.
+    edges = spark.createDataFrame([(i, i, (i + 1) % 12) for i in range(12)], "eid long, src long, dst long")
+    comp = spark.createDataFrame([(v, 0) for v in range(12)], "vertex long, component long").checkpoint()
+    cut, wide = gr._cut, []
+    monkeypatch.setattr(gr, "_cut", lambda df: wide.append(df) or cut(df))
+    cyc = gr.fundamental_cycles(edges, components=comp)
+    assert sorted(r.eid for r in cyc.collect()) == list(range(12))
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in wide]
+    assert not any("cycle_id" in p for p in plans)  # no round over the cycles' rows
+
+
+def test_levels_join_kept_neighbours(spark):
+    edges = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(FIXTURE)], "eid long, src long, dst long")
+    sym = gr._adjacent(edges, "src", "dst", "eid")
+    sym.count()
+    plan = sym.groupBy("u").agg(F.min("v"))._jdf.queryExecution().executedPlan().toString()
+    sym.unpersist()
+    assert plan.split("InMemoryRelation")[0].count("Exchange") == 0
