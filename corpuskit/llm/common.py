@@ -22,12 +22,13 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """Write ``df`` once into the shared folder of ``spark.checkpoint.dir`` and
-    read it back: cuts the lineage and survives lost executors."""
+    read it back: cuts the lineage and survives lost executors.  With ``by`` (the
+    last column) there is a folder for each of its values, read alone by a filter."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,6 +56,15 @@ def clean_labels(labels: DataFrame, label: str) -> DataFrame:
         .where(F.col("label") == F.col("_hi")).drop("_hi")
 
 
+def release() -> None:
+    """What was freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def released(run):
     """``run`` for mapInArrow; what a task has freed goes back to the system when
     it ends, as Python workers stay for the stages after it."""
@@ -62,11 +72,7 @@ def released(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            release()
     return tidy
 
 

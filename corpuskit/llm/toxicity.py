@@ -22,9 +22,12 @@ of its own.  So an n-gram seen once per class scores like one never seen, a word
 seen once differs from an unseen one by a factor that both classes share, and
 scoring needs only the n-grams seen twice or more in a class and the words that
 precede one; nothing else is dropped, and the result is that of the whole tables.
-Up to ``known`` such rows are broadcast; beyond, the texts' hashes are written in
-blocks, the distinct n-grams of each block are joined with the tables and
-gathered again by block.  Both ways give the same scores.
+Up to ``known`` such rows are broadcast in one piece.  Up to ``SLICES`` times as
+many are broadcast in slices of ``known / 8`` rows, dealt by a hash: a worker
+holds one slice at a time and looks up the distinct n-grams of a block of texts
+in each.  Beyond, the texts' hashes are written in blocks and each block's distinct
+n-grams are joined with the tables and grouped with it again.  All ways give the
+same scores.
 
 NULL and empty texts have no words and get the calibration's value for no
 evidence.  Labels: see ``common.clean_labels``; repeated rows each count and
@@ -46,10 +49,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from corpuskit.llm.common import clean_labels, released, text_slices, written
+from corpuskit.llm.common import clean_labels, release, released, text_slices, written
 
 SEPARATORS = r"[^\p{L}]+"
-WINDOW, KNOWN = 8, 4 << 20
+WINDOW, KNOWN, SLICES = 8, 4 << 20, 64
+BLOCK_WORDS, BLOCK_ROWS = 1 << 20, 1 << 16  # of texts that are looked up together in sliced tables
 DISCOUNTS = (1.0, 1.2, 1.4)  # of counts 1, 2, 3 and more; the first has to be 1 (see above)
 N_FIGURES = 5
 CALIBRATION_SHARE, CALIBRATION_ROWS = 4, 20_000
@@ -90,6 +94,14 @@ def bigrams(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return (before(words, doc) << np.uint64(32)) | words
 
 
+def distinct_keys(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct bigrams, and words with START."""
+    def distinct(x):  # sorted; np.unique's hash table is ten times slower here
+        x.sort()
+        return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+    return distinct(bigrams(words, doc)), distinct(np.append(words, np.uint64(START)))
+
+
 def bigram_counts(labelled: DataFrame) -> DataFrame:
     """``(gram, n0, n1)`` over rows ``(label, text)``; pre-aggregated per task and slice."""
     def run(batches):
@@ -199,12 +211,6 @@ def scoring_rows(grams: DataFrame, words: DataFrame) -> DataFrame:
     return g.unionByName(words.select(F.lit(1).alias("kind"), F.col("word").alias("key"), *[F.col(c).cast("double").alias(c) for c in _COUNTS]))
 
 
-def models_of(kind: np.ndarray, key: np.ndarray, cols: list[np.ndarray], totals) -> ClassModels:
-    g, w = kind == 0, kind == 1
-    n0, n1, kinds, c0, c1, m0, m1 = cols
-    return ClassModels.of(key[g].view(np.uint64), (n0[g], n1[g]), key[w].view(np.uint64), (n0[w], n1[w]), kinds[w], (c0[w], c1[w]), (m0[w], m1[w]), totals)
-
-
 def fit_models(labelled: DataFrame) -> ClassModels | None:
     """The scoring tables of rows ``(label, text)`` in one piece; None without words in both classes."""
     got = count_tables(labelled)
@@ -246,42 +252,124 @@ def figures_by_broadcast(df: DataFrame, models: ClassModels, keep: str) -> DataF
     return df.select(keep, "text").mapInArrow(released(run), f"{keep} {kind}, figures array<double>")
 
 
+def _slice_of(key, n: int):
+    """Which of ``n`` slices a bigram or word is dealt to (keys or a column name)."""
+    if isinstance(key, str):
+        both = F.shiftrightunsigned(key, 32).bitwiseXOR(F.col(key).bitwiseAND(F.lit(0xFFFFFFFF)))
+        return F.pmod(F.shiftrightunsigned(both, 1), F.lit(n)).cast("int")  # the last bit of words is 1
+    return (((key >> np.uint64(32)) ^ (key & np.uint64(0xFFFFFFFF))) >> np.uint64(1)) % np.uint64(n)
+
+
+def _packed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, and each row's place among them in as few bytes as that takes."""
+    values, at = np.unique(x, return_inverse=True)
+    return values, at.astype(np.min_scalar_type(len(values)))
+
+
+def table_slices(df: DataFrame, key: str, names: tuple[str, ...], rows: int, most: int) -> list:
+    """``df`` (``rows`` rows) as broadcasts ``(sorted keys, packed columns)`` of about ``most`` rows, by :func:`_slice_of`."""
+    n = -(-rows // most) or 1
+    dealt = written(df.select(key, *names, _slice_of(key, n).alias("slice")).repartition(n, "slice"), "toxicity-slices", "slice")
+    out = []
+    for k in range(n):
+        t = dealt.where(F.col("slice") == k).select(key, *names).toArrow()
+        keys = t.column(key).to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        out.append(df.sparkSession.sparkContext.broadcast((keys[order], [_packed(t.column(c).to_numpy()[order]) for c in names])))
+        del t, keys, order
+        release()
+    return out
+
+
+def _loaded(shared):
+    """A broadcast's value; the worker doesn't keep it (but for an encrypted one, which has no file)."""
+    value = shared.value
+    if getattr(shared, "_path", None) is not None:
+        del shared._value
+    return value
+
+
+def looked_up(slices: list, keys: np.ndarray, n_columns: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Those of the distinct ``keys`` that the tables have, and their columns; one slice is held at a time."""
+    own, found, cols = _slice_of(keys, len(slices)), [], [[] for _ in range(n_columns)]
+    for k, shared in enumerate(slices):
+        wanted = keys[own == k]
+        if len(wanted):
+            table, packed = _loaded(shared)
+            at, there = ClassModels._find(table, wanted)
+            found.append(wanted[there])
+            for col, (values, places) in zip(cols, packed):
+                col.append(values[places[at[there]]])
+            del table, packed
+    return np.concatenate([np.zeros(0, np.uint64), *found]), [np.concatenate(c) if c else np.zeros(0) for c in cols]
+
+
+def figures_by_slices(df: DataFrame, grams: list, words: list, totals, keep: str) -> DataFrame:
+    """The same with the tables in slices (:func:`table_slices`): texts stay where they are, and a task
+    holds the words of one block of texts, the rows its n-grams have and one slice."""
+    kind, key_type = df.schema[keep].dataType.simpleString(), to_arrow_type(df.schema[keep].dataType)
+
+    def score(parts):
+        keys, own, sizes = zip(*parts)
+        own, doc = np.concatenate(own), np.repeat(np.arange(sum(map(len, keys))), np.concatenate(sizes))
+        pairs, single = distinct_keys(own, doc)
+        gram, n = looked_up(grams, pairs, 2)
+        word, (n0, n1, kinds, c0, c1, m0, m1) = looked_up(words, single, len(_COUNTS))
+        models = ClassModels.of(gram, n, word, (n0, n1), kinds, (c0, c1), (m0, m1), totals)
+        out = models.figures(own, doc, sum(map(len, keys)))
+        return pa.record_batch([pa.concat_arrays(keys), pa.array(out, pa.list_(pa.float64()))], names=[keep, "figures"])
+
+    def run(batches):
+        parts, n_words, n_rows = [], 0, 0
+        for b in text_slices(batches, 1 << 12, 4 << 20):
+            own, doc = hashes(b.column(1))
+            # Keys are copied: a slice of them would hold the whole batch.
+            parts.append((b.column(0).take(pa.array(np.arange(b.num_rows))).cast(key_type), own, np.bincount(doc, minlength=b.num_rows)))
+            n_words, n_rows = n_words + len(own), n_rows + b.num_rows
+            if n_words >= BLOCK_WORDS or n_rows >= BLOCK_ROWS:
+                yield score(parts)
+                parts, n_words, n_rows = [], 0, 0
+        if parts:
+            yield score(parts)
+    return df.select(keep, "text").mapInArrow(released(run), f"{keep} {kind}, figures array<double>")
+
+
 def figures_by_join(df: DataFrame, rows: DataFrame, totals, keep: str) -> DataFrame:
     """The same with :func:`scoring_rows` of any size: hashes written in blocks, each block's
-    distinct bigrams and words joined with the tables (one row a key) and gathered by block."""
+    distinct bigrams and words joined with the tables (one row a key) and grouped with it, as columns."""
     kind, key_type = df.schema[keep].dataType.simpleString(), to_arrow_type(df.schema[keep].dataType)
 
     def pack(batches):
         for b in text_slices(batches, 1 << 12, 4 << 20):
             words, doc = hashes(b.column(1))
             yield pa.record_batch([pa.array([uuid.uuid4().hex]), pa.array([b.column(0).to_pylist()], pa.list_(key_type)), pa.array([words.astype("<u4").tobytes()], pa.binary()),
-                                   pa.array([doc.astype("<u4").tobytes()], pa.binary())], names=["block", "keys", "words", "doc"])
+                                   pa.array([np.bincount(doc, minlength=b.num_rows).astype("<u4").tobytes()], pa.binary())], names=["block", "keys", "words", "sizes"])
 
-    def unpack(words, doc):
-        return np.frombuffer(words, "<u4").astype(np.uint64), np.frombuffer(doc, "<u4").astype(np.int64)
+    def unpack(words, sizes):
+        sizes = np.frombuffer(sizes, "<u4")
+        return np.frombuffer(words, "<u4").astype(np.uint64), np.repeat(np.arange(len(sizes)), sizes)
 
     def distinct(batches):
         for b in batches:
             for r in b.to_pylist():
-                words, doc = unpack(r["words"], r["doc"])
-                grams = np.unique(bigrams(words, doc))
-                keys = np.concatenate([grams, np.union1d(words, [np.uint64(START)])]).view(np.int64)
-                kinds = np.repeat(np.array([0, 1], np.int32), [len(grams), len(keys) - len(grams)])
-                yield pa.record_batch([pa.array([r["block"]] * len(keys)), pa.array(kinds), pa.array(keys)], names=["block", "kind", "key"])
-
-    def score(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                words, doc = unpack(r["words"], r["doc"])
-                got = r["got"] or []
-                col = lambda c, t: np.array([x[c] for x in got], t)
-                own = models_of(col("kind", np.int32), col("key", np.int64), [col(c, float) for c in _COUNTS], totals)
-                out = own.figures(words, doc, len(r["keys"]))
-                yield pa.record_batch([pa.array(r["keys"], key_type), pa.array(out, pa.list_(pa.float64()))], names=[keep, "figures"])
-    blocks = written(df.select(keep, "text").mapInArrow(pack, f"block string, keys array<{kind}>, words binary, doc binary"), "toxicity-blocks")
-    need = blocks.select("block", "words", "doc").mapInArrow(distinct, "block string, kind int, key bigint")
-    got = need.join(written(rows, "toxicity-tables"), ["kind", "key"]).groupBy("block").agg(F.collect_list(F.struct("kind", "key", *_COUNTS)).alias("got"))
-    return blocks.join(got, "block", "left").mapInArrow(score, f"{keep} {kind}, figures array<double>")
+                grams, own = distinct_keys(*unpack(r["words"], r["sizes"]))
+                for k, keys in enumerate((grams.view(np.int64), own.view(np.int64))):
+                    for lo in range(0, len(keys), 1 << 16):  # small batches for the JVM
+                        part = keys[lo:lo + (1 << 16)]
+                        yield pa.record_batch([pa.array([r["block"]] * len(part)), pa.array(np.full(len(part), k, np.int32)), pa.array(part)], names=["block", "kind", "key"])
+
+    def score(block: pa.Table, got: pa.Table) -> pa.Table:
+        keys = block.column("keys").combine_chunks().flatten()
+        words, doc = unpack(*(block.column(c)[0].as_py() for c in ("words", "sizes")))
+        g, w = (got.filter(pc.equal(got.column("kind"), k)) for k in (0, 1))
+        n0, n1, kinds, c0, c1, m0, m1 = (w.column(c).to_numpy() for c in _COUNTS)
+        gram, word = (t.column("key").to_numpy().view(np.uint64) for t in (g, w))
+        own = ClassModels.of(gram, [g.column(c).to_numpy() for c in _COUNTS[:2]], word, (n0, n1), kinds, (c0, c1), (m0, m1), totals)
+        return pa.table([keys, pa.array(own.figures(words, doc, len(keys)), pa.list_(pa.float64()))], names=[keep, "figures"])
+    blocks = written(df.select(keep, "text").mapInArrow(released(pack), f"block string, keys array<{kind}>, words binary, sizes binary"), "toxicity-blocks")
+    need = blocks.select("block", "words", "sizes").mapInArrow(released(distinct), "block string, kind int, key bigint")
+    got = need.join(written(rows, "toxicity-tables"), ["kind", "key"]).select("block", "kind", "key", *_COUNTS)
+    return blocks.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(score, f"{keep} {kind}, figures array<double>")
 
 
 def classify(documents: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", known: int = KNOWN,
@@ -300,9 +388,14 @@ def classify(documents: DataFrame, labels: DataFrame, label: str = "toxic", key:
     if counted is None:
         return docs.select("doc_id", F.lit(float(share)).alias("score"))
     tables, totals = scoring_counts(*counted[:2]), counted[2]
-    if sum(t.count() for t in tables) <= known:
+    sizes = [t.count() for t in tables]
+    if sum(sizes) <= known:
         models = _collected(*tables, totals)
         figures = lambda df, keep: figures_by_broadcast(df, models, keep)
+    elif sum(sizes) <= SLICES * known:
+        names = (("gram", _COUNTS[:2]), ("word", _COUNTS))
+        slices = [table_slices(t, *own, n, max(known // 8, 1)) for t, own, n in zip(tables, names, sizes)]
+        figures = lambda df, keep: figures_by_slices(df, *slices, totals, keep)
     else:
         figures = lambda df, keep: figures_by_join(df, scoring_rows(*tables), totals, keep)
     held = rows.where(apart)

@@ -155,3 +155,48 @@ def test_scores_dont_depend_on_the_size_of_the_tables(spark):
     whole, joined = ({r.doc_id: r.score for r in toxicity.classify(docs, labels, known=k).collect()} for k in (1 << 22, 0))
     assert whole.keys() == joined.keys() and len({round(s, 6) for s in whole.values()}) > 50
     assert all(joined[i] == pytest.approx(s, abs=1e-9) for i, s in whole.items())
+
+
+def test_tables_beyond_the_broadcast_bound_are_held_in_slices(spark, monkeypatch):
+    """Each slice is small, workers keep none, no text moves, and the scores are those of the whole tables."""
+    rng = random.Random(5)
+    words = [a + b for a in "abcdefghijklmnopqrst" for b in "uvwxyz"]
+    rows = [(i, " ".join(rng.choice(words[:70] if i % 3 else words[40:]) for _ in range(rng.randint(1, 40)))) for i in range(400)]
+    odd = [(10**6 + i, t) for i, (_, t) in enumerate(ROWS)] + [(None, "au av aw"), (1, rows[1][1])]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int")
+    slices, made = [], toxicity.table_slices
+    monkeypatch.setattr(toxicity, "table_slices", lambda *a: slices.append(made(*a)) or slices[-1])
+    monkeypatch.setattr(toxicity, "BLOCK_WORDS", 2_000)  # several blocks a task
+    whole = toxicity.classify(docs, labels)
+    assert not slices
+    got = toxicity.classify(docs, labels, known=400)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and plan.count("Exchange") == 1  # that of the test's repartition
+    for own in slices:
+        sizes = [len(s.value[0]) for s in own]
+        assert len(sizes) > 1 and 0 < min(sizes) and max(sizes) < 150 and sum(sizes) > 50  # 50 a slice, dealt by a hash
+    key = lambda r: (r.doc_id is None, r.doc_id, r.score)
+    a, b = sorted(whole.collect(), key=key), sorted(got.collect(), key=key)
+    assert [r.doc_id for r in a] == [r.doc_id for r in b] and len({round(r.score, 6) for r in a}) > 200
+    assert np.allclose([r.score for r in a], [r.score for r in b], rtol=0, atol=1e-9)
+
+
+def test_a_worker_drops_a_loaded_slice(spark):
+    own = [spark.sparkContext.broadcast((np.arange(5, dtype=np.uint64) * np.uint64(2) + np.uint64(k), [toxicity._packed(np.arange(5))])) for k in (0, 1)]
+
+    def run(batches):
+        for b in batches:
+            for shared in own:
+                toxicity._loaded(shared)
+            yield pa.record_batch([pa.array([sum("_value" in vars(s) for s in own)])], names=["kept"])
+    assert [r.kept for r in spark.range(1).mapInArrow(run, "kept long").collect()] == [0]
+
+
+def test_a_joined_block_is_grouped_as_columns(spark):
+    """Neither a list of rows in the JVM nor a dictionary a row in Python holds a block's tables."""
+    docs = spark.createDataFrame([(i, "a b c d e f"[:1 + i % 11]) for i in range(60)], "doc_id long, text string")
+    got = toxicity.classify(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")), known=0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" in plan and "collect_list" not in plan
+    assert got.count() == 60
