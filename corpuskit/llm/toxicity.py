@@ -38,6 +38,7 @@ share of label 1 (0 without any).
 from __future__ import annotations
 
 import math
+import pickle
 import uuid
 import zlib
 from dataclasses import dataclass, fields
@@ -94,12 +95,15 @@ def bigrams(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return (before(words, doc) << np.uint64(32)) | words
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; ``x`` is sorted in place (np.unique's hash table is ten times slower here)."""
+    x.sort()
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def distinct_keys(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct bigrams, and words with START."""
-    def distinct(x):  # sorted; np.unique's hash table is ten times slower here
-        x.sort()
-        return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
-    return distinct(bigrams(words, doc)), distinct(np.append(words, np.uint64(START)))
+    return _distinct(bigrams(words, doc)), _distinct(np.append(words, np.uint64(START)))
 
 
 def bigram_counts(labelled: DataFrame) -> DataFrame:
@@ -267,26 +271,32 @@ def _packed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def table_slices(df: DataFrame, key: str, names: tuple[str, ...], rows: int, most: int) -> list:
-    """``df`` (``rows`` rows) as broadcasts ``(sorted keys, packed columns)`` of about ``most`` rows, by :func:`_slice_of`."""
+    """``df`` (``rows`` rows) as broadcasts of about ``most`` rows, by :func:`_slice_of`: pickled ``(sorted keys,
+    packed columns)``.  Executors pack them, so that the driver holds no more than one slice's bytes."""
     n = -(-rows // most) or 1
-    dealt = written(df.select(key, *names, _slice_of(key, n).alias("slice")).repartition(n, "slice"), "toxicity-slices", "slice")
-    out = []
-    for k in range(n):
-        t = dealt.where(F.col("slice") == k).select(key, *names).toArrow()
+
+    def pack(t: pa.Table) -> pa.Table:
         keys = t.column(key).to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        out.append(df.sparkSession.sparkContext.broadcast((keys[order], [_packed(t.column(c).to_numpy()[order]) for c in names])))
-        del t, keys, order
+        data = pickle.dumps((keys[order], [_packed(t.column(c).to_numpy()[order]) for c in names]), 5)
+        return pa.table([pa.array([data], pa.binary()), t.column("slice").combine_chunks()[:1]], names=["data", "slice"])
+    dealt = df.select(key, *names, _slice_of(key, n).alias("slice")).groupBy("slice").applyInArrow(pack, "data binary, slice int")
+    dealt, out = written(dealt, "toxicity-slices", "slice"), []
+    empty = pickle.dumps((np.zeros(0, np.uint64), [_packed(np.zeros(0, np.int64))] * len(names)), 5)
+    for k in range(n):
+        got = dealt.where(F.col("slice") == k).select("data").toArrow().column(0).to_pylist()
+        out.append(df.sparkSession.sparkContext.broadcast(got[0] if got else empty))
+        del got
         release()
     return out
 
 
 def _loaded(shared):
-    """A broadcast's value; the worker doesn't keep it (but for an encrypted one, which has no file)."""
+    """A slice's tables; the worker doesn't keep the broadcast (but for an encrypted one, which has no file)."""
     value = shared.value
     if getattr(shared, "_path", None) is not None:
         del shared._value
-    return value
+    return pickle.loads(value)
 
 
 def looked_up(slices: list, keys: np.ndarray, n_columns: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -306,31 +316,30 @@ def looked_up(slices: list, keys: np.ndarray, n_columns: int) -> tuple[np.ndarra
 
 def figures_by_slices(df: DataFrame, grams: list, words: list, totals, keep: str) -> DataFrame:
     """The same with the tables in slices (:func:`table_slices`): texts stay where they are, and a task
-    holds the words of one block of texts, the rows its n-grams have and one slice."""
+    holds the word hashes of one block of texts, the rows its n-grams have and one slice; figures come by 1 MB of text."""
     kind, key_type = df.schema[keep].dataType.simpleString(), to_arrow_type(df.schema[keep].dataType)
 
     def score(parts):
-        keys, own, sizes = zip(*parts)
-        own, doc = np.concatenate(own), np.repeat(np.arange(sum(map(len, keys))), np.concatenate(sizes))
-        pairs, single = distinct_keys(own, doc)
+        pairs = _distinct(np.concatenate([p[3] for p in parts]))
         gram, n = looked_up(grams, pairs, 2)
-        word, (n0, n1, kinds, c0, c1, m0, m1) = looked_up(words, single, len(_COUNTS))
+        word, (n0, n1, kinds, c0, c1, m0, m1) = looked_up(words, _distinct(np.concatenate([p[4] for p in parts])), len(_COUNTS))
         models = ClassModels.of(gram, n, word, (n0, n1), kinds, (c0, c1), (m0, m1), totals)
-        out = models.figures(own, doc, sum(map(len, keys)))
-        return pa.record_batch([pa.concat_arrays(keys), pa.array(out, pa.list_(pa.float64()))], names=[keep, "figures"])
+        for keys, own, sizes, *_ in parts:
+            out = models.figures(own.astype(np.uint64), np.repeat(np.arange(len(sizes)), sizes), len(sizes))
+            yield pa.record_batch([keys, pa.array(out, pa.list_(pa.float64()))], names=[keep, "figures"])
 
     def run(batches):
         parts, n_words, n_rows = [], 0, 0
-        for b in text_slices(batches, 1 << 12, 4 << 20):
+        for b in text_slices(batches, 1 << 12, 1 << 20):
             own, doc = hashes(b.column(1))
             # Keys are copied: a slice of them would hold the whole batch.
-            parts.append((b.column(0).take(pa.array(np.arange(b.num_rows))).cast(key_type), own, np.bincount(doc, minlength=b.num_rows)))
+            parts.append((b.column(0).take(pa.array(np.arange(b.num_rows))).cast(key_type), own.astype("<u4"), np.bincount(doc, minlength=b.num_rows), *distinct_keys(own, doc)))
             n_words, n_rows = n_words + len(own), n_rows + b.num_rows
             if n_words >= BLOCK_WORDS or n_rows >= BLOCK_ROWS:
-                yield score(parts)
+                yield from score(parts)
                 parts, n_words, n_rows = [], 0, 0
         if parts:
-            yield score(parts)
+            yield from score(parts)
     return df.select(keep, "text").mapInArrow(released(run), f"{keep} {kind}, figures array<double>")
 
 
